@@ -10,6 +10,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import in_order, scan_secrets
+
+    out = scan_secrets(_docs(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("long")
+    live = lambda yes: F.size(F.filter("found", lambda x: x["live"] if yes else ~x["live"])).cast("long")
+    return out.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(F.concat_ws(",", "base").cast("binary"), 256).alias("base_sha256"),
+        in_order(F.transform("found", lambda x: x["span"])).alias("spans"),
+        live(True).alias("n_live"), live(False).alias("n_copied"),
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import with_quality
+
+    return with_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -41,5 +61,5 @@ from d join p on d.source is not distinct from p.source
 """
 
 
-QUERIES = {"op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op4_quality_rules": op4_quality_rules, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
 SQL = {"op9_mixing": OP9_SQL}

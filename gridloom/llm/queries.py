@@ -24,6 +24,18 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import as_text, fingerprint_edits, hashes, likeness
+
+    t = fingerprint_edits(_docs(spark, sf_dir))
+    own = hashes(F.col("picks"))
+    return t.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(F.col("picks")).alias("fingerprint"), as_text(F.col("edited_picks")).alias("edited_fingerprint"),
+        likeness(own, hashes(F.col("edited_picks"))).alias("near_edited"), likeness(own, hashes(F.col("next_picks"))).alias("near_next"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import with_quality
 
@@ -61,5 +73,5 @@ from d join p on d.source is not distinct from p.source
 """
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op4_quality_rules": op4_quality_rules, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
 SQL = {"op9_mixing": OP9_SQL}

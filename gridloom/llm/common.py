@@ -6,6 +6,7 @@ import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The white space that separates words, as a Java and Python character class.
@@ -65,3 +66,19 @@ def block_of(key: Column, splits: list[int]) -> Column:
     coarse = below(F.lit([r[0] for r in rows]))
     fine = below(F.element_at(F.lit([r + [2**63 - 1] * (step - len(r)) for r in rows]), coarse))
     return F.when(key.isNull() | (key < splits[0]), F.lit(0)).otherwise((coarse - 1) * step + fine)
+
+
+def with_prefix(rows: DataFrame, key: str, ties: tuple[str, ...], value: str, *, rows_per_block: int = 1_000, max_blocks: int = 20_000) -> DataFrame:
+    """rows with start (the sum of value over all rows before), rank (their number) and total (the sum of value),
+    in ascending order of key, a null key first, then ties. rows is read several times: give a written table.
+
+    Sums within blocks of consecutive keys plus the sums of the blocks before; the table of blocks has at most
+    max_blocks rows, so it is broadcast."""
+    rows = rows.withColumn("block", block_of(rows[key], id_splits(rows, key, rows_per_block, max_blocks)))
+    sums = rows.groupBy("block").agg(F.sum(value).alias("b"), F.count(F.lit(1)).alias("r"))
+    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("block", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.sum("b").over(W.partitionBy()).alias("total"))
+    inside = W.partitionBy("block").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(W.unboundedPreceding, -1)
+    at = rows.withColumn("start", F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn("rank", F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
+    at = at.join(F.broadcast(sums), "block").withColumns({"start": F.col("start") + F.col("b0"), "rank": F.col("rank") + F.col("r0")})
+    return at.drop("block", "b0", "r0")

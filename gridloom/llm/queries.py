@@ -24,6 +24,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import as_text, fingerprint_edits, hashes, likeness
 
@@ -42,6 +50,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row")
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .common import fresh_path
+    from .tokens import digests, encode_documents, read_tokens, write_tokens
+
+    path = fresh_path(spark, "tokens")
+    write_tokens(encode_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")), path)
+    return digests(read_tokens(spark, path))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -73,5 +92,5 @@ from d join p on d.source is not distinct from p.source
 """
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
 SQL = {"op9_mixing": OP9_SQL}

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
-ROWS_PER_BLOCK, MAX_BLOCKS = 1_000, 20_000
-
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, *, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text plus overhead), text_crc32, shard, slot.
@@ -20,22 +17,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, *, overhead: int = 16, i
     a document longer than a shard leaves its neighbours empty. Null text has no bytes; repeated rows are rows
     of their own; an empty table gives no rows; other columns are ignored.
     Plan: the texts are read once, to a small table (id, size, crc); the prefix sums are those within blocks of
-    consecutive ids plus the sums of the blocks before, of which there are at most MAX_BLOCKS. No text is shuffled."""
+    consecutive ids plus the sums of the blocks before, of which there are at most 20,000. No text is shuffled."""
     C.require(docs, id_col, text_col)
     text = C.texts(docs, text_col)
     rows = C.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "sizes")
-    splits = C.id_splits(rows, "doc_id", ROWS_PER_BLOCK, MAX_BLOCKS)
-    rows = rows.withColumn("block", C.block_of(F.col("doc_id"), splits))
-    sums = rows.groupBy("block").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
-    # One row a block, MAX_BLOCKS at most.
-    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("block", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.sum("b").over(W.partitionBy()).alias("total"))
-    inside = W.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
-    at = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("rank", F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
-    at = at.join(F.broadcast(sums), "block")
-    middle = 2 * (F.col("start") + F.col("b0")) + F.col("size")
+    at = C.with_prefix(rows, "doc_id", ("size", "text_crc32"), "size")
+    middle = 2 * F.col("start") + F.col("size")
     # Decimal, as bytes times shards may pass 2^63.
     shard = F.floor(middle.cast("decimal(38,0)") * F.lit(n_shards) / (2 * F.col("total")).cast("decimal(38,0)"))
-    at = C.written(at.select("doc_id", "size", "text_crc32", F.least(shard.cast("int"), F.lit(n_shards - 1)).alias("shard"), (F.col("rank") + F.col("r0")).alias("rank")), "shards")
+    at = C.written(at.select("doc_id", "size", "text_crc32", F.least(shard.cast("int"), F.lit(n_shards - 1)).alias("shard"), "rank"), "shards")
     first = at.groupBy("shard").agg(F.min("rank").alias("first"))
     return at.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot"))

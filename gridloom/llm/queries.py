@@ -74,6 +74,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 OP9_SQL = r"""
 with d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size from documents),
 t as (select source, sum(size)::bigint as source_size from d group by source),
@@ -92,5 +98,5 @@ from d join p on d.source is not distinct from p.source
 """
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_html": op10_html}
 SQL = {"op9_mixing": OP9_SQL}

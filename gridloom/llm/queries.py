@@ -68,6 +68,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_counts
 
@@ -98,5 +104,5 @@ from d join p on d.source is not distinct from p.source
 """
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op7_sharding": op7_sharding, "op9_mixing": op9_mixing, "op10_html": op10_html}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op7_sharding": op7_sharding, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_html": op10_html}
 SQL = {"op9_mixing": OP9_SQL}

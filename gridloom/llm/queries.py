@@ -61,6 +61,12 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_tokens(spark, path))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import link_documents
+
+    return link_documents(_docs(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -86,6 +92,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+OP6_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+f as (select doc_id, unnest(sh) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from f a join f b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select p.x, p.y from p join s a on a.doc_id = p.x join s b on b.doc_id = p.y where 100 * k >= 75 * (len(a.sh) + len(b.sh) - k)),
+r(x, y) as (select doc_id, doc_id from s union select r.x, l.y from r join l on l.x = r.y)
+select s.doc_id, len(s.sh)::bigint as n_shingles, min(r.y) as component_id from s join r on r.x = s.doc_id group by s.doc_id, s.sh
+"""
+
 OP9_SQL = r"""
 with d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size from documents),
 t as (select source, sum(size)::bigint as source_size from d group by source),
@@ -104,5 +121,5 @@ from d join p on d.source is not distinct from p.source
 """
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op7_sharding": op7_sharding, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_html": op10_html}
-SQL = {"op9_mixing": OP9_SQL}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_html": op10_html}
+SQL = {"op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}

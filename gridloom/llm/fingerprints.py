@@ -76,12 +76,35 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumn("after", after).where("not guest").select("doc_id", "text", "picks", F.col("after.text").alias("next_text"), F.col("after.picks").alias("next_picks"))
 
 
+LOW = 4294967295
+
+
+def _moved(picks_: str, by: str, low: str, high: str) -> str:
+    """SQL for the picks with positions greater by `by`, those from low to high."""
+    at = f"({LOW}L - (x & {LOW}L))"
+    return f"filter(transform({picks_}, x -> x - cast({by} as bigint)), x -> {at} >= {low} and {at} <= {high})"
+
+
 def fingerprint_edits(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_chars, edited (text), picks, edited_picks, next_picks.
 
     The edited text has its last floor(n / 2) code points replaced by as many of the next document's first ones, or by
-    all that it has. An empty table gives no rows; extra columns of docs are ignored."""
+    all that it has. A pick depends on the windows that hold it and on nothing else, so the edited text's picks are
+    the document's own as far as all their windows lie before the edit, the next one's where they lie in what it gives,
+    and only those around the two seams are worked out anew. An empty table gives no rows; extra columns of docs are
+    ignored."""
     t = with_next(docs, **options)
-    half = F.floor(F.length("text") / 2).cast("int")
-    t = t.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-    return t.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", "picks", F.expr(picks("edited")).alias("edited_picks"), "next_picks")
+    t = t.withColumn("n", F.length("text")).withColumn("h", F.floor(F.col("n") / 2).cast("int")).withColumn("a", F.col("n") - F.col("h"))
+    t = t.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("a")), F.substring("next_text", F.lit(1), F.col("h"))))
+    # Grams of the edited text and of what the next gives; the last own pick and the first and last of the next's that stay.
+    t = t.withColumn("m", F.length("edited")).withColumn("grams", F.greatest(F.col("m") - K + 1, F.lit(1))).withColumn("given", F.col("m") - F.col("a") - K + 1)
+    t = t.withColumn("own_to", F.col("a") - K + 1 - WINDOW).withColumn("next_from", F.col("a") + WINDOW - 1).withColumn("next_to", F.col("a") + F.col("given") - WINDOW)
+    has = F.col("next_to") >= F.col("next_from")
+    t = t.withColumn("lo1", F.greatest(F.col("own_to") + 1, F.lit(0))).withColumn("hi1", F.when(has, F.col("next_from") - 1).otherwise(F.col("grams") - 1))
+    t = t.withColumn("lo2", F.when(has, F.col("next_to") + 1).otherwise(F.col("grams"))).withColumn("hi2", F.col("grams") - 1)
+    for z in "12":
+        t = t.withColumn(f"s{z}", F.greatest(F.col(f"lo{z}") - (WINDOW - 1), F.lit(0)))
+        t = t.withColumn(f"seam{z}", F.when(F.col(f"lo{z}") <= F.col(f"hi{z}"), F.substring("edited", F.col(f"s{z}") + 1, F.col(f"hi{z}") - F.col(f"s{z}") + WINDOW - 1 + K)).otherwise(""))
+    t = t.withColumns({f"p{z}": F.expr(picks(f"seam{z}")) for z in "12"})
+    parts = [_moved("picks", "0", "0", "own_to"), _moved("p1", "s1", "lo1", "hi1"), _moved("next_picks", "a", "next_from", "next_to"), _moved("p2", "s2", "lo2", "hi2")]
+    return t.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited", "picks", F.expr(f"concat({', '.join(parts)})").alias("edited_picks"), "next_picks")

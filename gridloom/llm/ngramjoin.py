@@ -193,15 +193,40 @@ def _stars(entries: DataFrame, key: str) -> DataFrame:
     return pairs.select(F.least("uid", "end.uid").alias("a"), F.greatest("uid", "end.uid").alias("b")).distinct()
 
 
-def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def row_key(id_: F.Column, text: F.Column) -> F.Column:
+    """What link_rows calls uid: rows with the same one are the same document."""
+    return F.xxhash64(id_, text)
+
+
+def link_documents(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; see link_rows."""
+    return link_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that with the least id; all rows without shingles stay."""
+    rows = C.written(link_rows(docs, id_col=id_col, text_col=text_col).select("uid", "doc_id", "root"), "linked").where("root is not null")
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("k"))
+    gone = C.written(rows.join(keep, "root").where("uid != k.uid").select("uid").distinct(), "gone")
+    again = C.written(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid").join(gone, "uid", "left_anti"), "again")
+    key = row_key(docs[id_col], C.texts(docs, text_col))
+    name = "uid_" + "_".join(docs.columns)  # no column of docs has it
+    left = docs.withColumn(name, key).join(_few(gone.withColumnRenamed("uid", name)), name, "left_anti")
+    if again.limit(1).count():
+        twice = _few(again.withColumnRenamed("uid", name))
+        left = left.join(twice, name, "left_anti").unionByName(left.join(twice, name, "left_semi").dropDuplicates([name]))
+    return left.select(*docs.columns)
+
+
+def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """uid, doc_id, n_shingles, root (null without shingles), component_id of every row.
 
     Documents without words, null or empty, have no shingles, link with nothing and are their own component. Rows
     with equal texts link; a null id counts as an id only where a component has no other; repeated rows are rows of
     their own; an empty table gives no rows; other columns are ignored."""
     C.require(docs, id_col, text_col)
     text = C.texts(docs, text_col)
-    given = docs.select(F.xxhash64(docs[id_col], text).alias("uid"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
+    given = docs.select(row_key(docs[id_col], text).alias("uid"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
     summary = C.written(given.mapInArrow(_summarize(frequent_shingles(given)), SUMMARY_TYPE), "summary")
     sets = C.written(summary.where("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")), "sets")
     reps = C.written(summary.where("n > 0").join(sets.select("uid"), "uid", "left_semi").dropDuplicates(["uid"]).select("uid", "n", "anchors", "prefix"), "representatives")
@@ -237,6 +262,6 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             break
     roots = sets.join(labels, F.col("uid") == F.col("node"), "left").select("s1", "s2", "least_id", F.coalesce("label", "uid").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = roots.join(ids, "root").select("s1", "s2", "component_id")
-    out = summary.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = roots.join(ids, "root").select("s1", "s2", "root", "component_id")
+    out = summary.select("uid", "doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
+    return out.select("uid", "doc_id", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))

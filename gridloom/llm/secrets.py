@@ -31,7 +31,10 @@ MAX_OWNERS = 2
 #: Bits a character that a "mixed" run of letters and digits must have.
 MIN_BITS = 3.5
 
-SCAN_TYPE = "uid long, doc_id long, owner string, base array<string>, value array<string>, span array<string>"
+#: Rows of the table of spans that are broadcast at most.
+MAX_BROADCAST = 50_000
+
+SCAN_TYPE = "uid long, key long, doc_id long, owner string, base array<string>, value array<string>, span array<string>"
 
 
 def _bits(s: str) -> float:
@@ -76,7 +79,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["value"].append([hashlib.sha256(s[3].encode("utf-8", "surrogatepass")).hexdigest() for s in base + more])
             out["span"].append([span_text([s]) for s in base + more])
         lists = [pa.array(out[n], pa.list_(pa.string())) for n in ("base", "value", "span")]
-        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("owner"), *lists], ["uid", "doc_id", "owner", "base", "value", "span"])
+        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("key"), b.column("doc_id"), b.column("owner"), *lists], ["uid", "key", "doc_id", "owner", "base", "value", "span"])
 
 
 def ownership(scan: DataFrame) -> DataFrame:
@@ -89,8 +92,28 @@ def ownership(scan: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
 
 
+def _key(docs: DataFrame, id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(docs[id_col], C.texts(docs, text_col))
+
+
+def without_secrets(docs: DataFrame, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with each live span of the texts replaced by `mark`; overlapping spans are replaced as one. Values that
+    are widely copied stay, and so do all rows. Texts with spans are few, so the table of spans is broadcast where it
+    has at most MAX_BROADCAST rows, and else joined by a shuffle."""
+    hits = scan_secrets(docs, id_col=id_col, text_col=text_col, **options).select("key", F.transform(F.filter("found", lambda x: x["live"]), lambda x: x["span"]).alias("spans")).where(F.size("spans") > 0)
+    part = lambda s, n: F.split_part(s, F.lit(":"), F.lit(n)).cast("int")
+    cuts = F.sort_array(F.transform("spans", lambda s: F.struct(part(s, 2).alias("s"), part(s, 3).alias("e"))))
+    whole = "aggregate(cuts, cast(array() as array<struct<s: int, e: int>>), (r, x) -> if(size(r) > 0 and x.s < element_at(r, -1).e, concat(slice(r, 1, size(r) - 1), array(struct(element_at(r, -1).s as s, greatest(element_at(r, -1).e, x.e) as e))), concat(r, array(struct(x.s as s, x.e as e)))))"
+    hits = C.written(hits.dropDuplicates(["key"]).select("key", cuts.alias("cuts")).select("key", F.reverse(F.expr(whole)).alias("cuts")), "spans")
+    small = hits.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _key(docs, id_col, text_col).alias("key")).join(F.broadcast(hits) if small else hits, "key", "left")
+    text = F.aggregate("cuts", F.col(f"row.`{text_col}`"), lambda t, x: F.overlay(t, F.lit(mark), x["s"] + 1, x["e"] - x["s"]))
+    text = F.when(F.col("cuts").isNull(), F.col(f"row.`{text_col}`")).otherwise(text)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, base (array of kind:start:end), found (array of struct span, value, owners, repositories, live, is_base).
+    """doc_id, key (hash of id and text), base (array of kind:start:end), found (array of struct span, value, owners, repositories, live, is_base).
 
     The owner is owner_col, the repository the document. Every text is scanned whole. Base spans all stay in `found`;
     a further candidate is added where its value is live-looking: at most max_owners owners have it. live says the
@@ -99,7 +122,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Plan: the texts are scanned once, to a table without them; values are counted by (value, owner, document), then
     joined back by value, which Spark splits where one value is hot, and gathered by row."""
     C.require(docs, id_col, text_col, owner_col)
-    given = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long").alias("doc_id"), docs[owner_col].cast("string").alias("owner"), C.texts(docs, text_col).alias("text"))
+    given = docs.select(F.monotonically_increasing_id().alias("uid"), _key(docs, id_col, text_col).alias("key"), docs[id_col].cast("long").alias("doc_id"), docs[owner_col].cast("string").alias("owner"), C.texts(docs, text_col).alias("text"))
     scan = C.written(given.mapInArrow(_scan, SCAN_TYPE), "scan")
     owned = ownership(scan.where(F.size("value") > 0))
     each = scan.where(F.size("value") > 0).select("uid", F.posexplode(F.arrays_zip("value", "span", F.sequence(F.lit(1), F.size("value")).alias("at"))).alias("i", "c"), F.size("base").alias("n_base"))
@@ -107,9 +130,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     live = F.col("owners") <= max_owners
     each = each.join(owned, "value").where(F.col("is_base") | live)
     found = each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("i", "span", "value", "owners", "repositories", live.alias("live"), "is_base"))).alias("found"))
-    out = scan.select("uid", "doc_id", "base").join(found, "uid", "left")
+    out = scan.select("uid", "key", "doc_id", "base").join(found, "uid", "left")
     none = F.array().cast(found.schema["found"].dataType)
-    return out.select("doc_id", "base", F.coalesce("found", none).alias("found"))
+    return out.select("doc_id", "key", "base", F.coalesce("found", none).alias("found"))
 
 
 def in_order(spans: F.Column) -> F.Column:

@@ -49,8 +49,9 @@ def shingle_set(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > 500_000:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in words:
+        if w not in _words:
+            _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = min(N, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)

@@ -247,7 +247,7 @@ class Scorer:
     def numbers(self, words: list[str]) -> np.ndarray:
         """Rows of the table for the words, of which there are MEMORY different ones at most."""
         every = set(words)
-        new = every - self.rows.keys()
+        new = {w for w in every if w not in self.rows}
         if len(self.rows) + len(new) > MEMORY:
             self.rows.clear()
             new = every

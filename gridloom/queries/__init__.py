@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import boxes, corpora, imagery, judging, language  # noqa: F401
+    from . import assembly, boxes, corpora, imagery, judging, language  # noqa: F401

@@ -1 +1 @@
-
+"""Readers and sinks: raster headers and samples, manifests, archives, reports."""

@@ -10,37 +10,40 @@ from ..operators import detections as D
 from ..operators import routing as R
 from . import query
 
-_c = tuple(F.col(n) for n in ("x0", "y0", "x1", "y1"))
+def _c():
+    return tuple(F.col(n) for n in ("x0", "y0", "x1", "y1"))
+
+
 _BX = V.with_views("bx")
 
 
 @query("map12_map13_map16_box_facts", _BX + """ select image, ord, case when x1 > x0 and y1 > y0 then (x1 - x0) * (y1 - y0) else 0.0::double end as area, x0 >= 0 and y0 >= 0 and x1 <= 512 and y1 <= 512 and x0 < x1 and y0 < y1 as valid, round(x0 / 512.0::double, 4) as n0, round(y1 / 512.0::double, 4) as n3 from bx""")
 def map12(spark, d):
-    return V.boxes(spark, d).select("image", "ord", B.area(*_c).alias("area"), B.valid(*_c, F.lit(512.0), F.lit(512.0)).alias("valid"), F.round(_c[0] / 512.0, 4).alias("n0"), F.round(_c[3] / 512.0, 4).alias("n3"))
+    return V.boxes(spark, d).select("image", "ord", B.area(*_c()).alias("area"), B.valid(*_c(), F.lit(512.0), F.lit(512.0)).alias("valid"), F.round(_c()[0] / 512.0, 4).alias("n0"), F.round(_c()[3] / 512.0, 4).alias("n3"))
 
 
 @query("map14_degenerate", _BX + """, s as (select image, ord, x0 * 0 as a0, y0 * 0 as b0, x1 - x0 as w, (y1 - y0) as h from bx) select image, ord, case when w * h <= 0 then 'zero_area' when w * h / (200.0::double * 150.0::double) >= 0.98 then 'full_image_coverage_' || floor(w * h / (200.0::double * 150.0::double) * 100)::bigint::varchar || 'pct' when w >= 0.99 * 200 and h >= 0.99 * 150 then 'full_image_fallback' end as reason from s""")
 def map14(spark, d):
     """Boxes moved to the origin of an image of 200 x 150."""
     z = F.lit(0.0)
-    return V.boxes(spark, d).select("image", "ord", B.degeneracy(z, z, _c[2] - _c[0], _c[3] - _c[1], F.lit(200.0), F.lit(150.0)).alias("reason"))
+    return V.boxes(spark, d).select("image", "ord", B.degeneracy(z, z, _c()[2] - _c()[0], _c()[3] - _c()[1], F.lit(200.0), F.lit(150.0)).alias("reason"))
 
 
 @query("map15_clamped", _BX + """, c as (select image, ord, greatest(0.0::double, least(x0 - 40, 511.0::double)) as a, greatest(0.0::double, least(y0 - 40, 511.0::double)) as b, x1, y1 from bx) select image, ord, round(a, 2) as x0, round(b, 2) as y0, round(greatest(a + 1, least(x1, 512.0::double)), 2) as x1, round(greatest(b + 1, least(y1, 512.0::double)), 2) as y1 from c""")
 def map15(spark, d):
-    out = B.clamped(_c[0] - 40.0, _c[1] - 40.0, _c[2], _c[3], F.lit(512.0), F.lit(512.0))
+    out = B.clamped(_c()[0] - 40.0, _c()[1] - 40.0, _c()[2], _c()[3], F.lit(512.0), F.lit(512.0))
     return V.boxes(spark, d).select("image", "ord", *[v.alias(n) for v, n in zip(out, ("x0", "y0", "x1", "y1"))])
 
 
 @query("map10_map11_geo_ring", _BX + """ select image, ord, printf('%.4f %.4f, %.4f %.4f, %.4f %.4f, %.4f %.4f, %.4f %.4f', 725000 + 10 * x0, 3130000 - 10 * y0, 725000 + 10 * x1, 3130000 - 10 * y0, 725000 + 10 * x1, 3130000 - 10 * y1, 725000 + 10 * x0, 3130000 - 10 * y1, 725000 + 10 * x0, 3130000 - 10 * y0) as ring from bx where x1 > x0 and y1 > y0""")
 def map10(spark, d):
     t = tuple(F.lit(v) for v in (10.0, 0.0, 725000.0, 0.0, -10.0, 3130000.0))
-    return V.boxes(spark, d).where(B.area(*_c) > 0).select("image", "ord", B.ring(*_c, t).alias("ring"))
+    return V.boxes(spark, d).where(B.area(*_c()) > 0).select("image", "ord", B.ring(*_c(), t).alias("ring"))
 
 
 @query("map17_oriented_to_axis", _BX + """ select image, ord, round(least(greatest(least(x0, x1, y0, y1) / 512, 0), 1) * 512.0::double, 1) as lo, round(least(greatest(greatest(x0, x1, y0, y1) / 512, 0), 1) * 512.0::double, 1) as hi from bx""")
 def map17(spark, d):
-    corner = F.array(*_c)
+    corner = F.array(*_c())
     unit = lambda v: F.round(F.least(F.greatest(v / 512.0, F.lit(0.0)), F.lit(1.0)) * 512.0, 1)
     return V.boxes(spark, d).select("image", "ord", unit(F.array_min(corner)).alias("lo"), unit(F.array_max(corner)).alias("hi"))
 
@@ -48,8 +51,8 @@ def map17(spark, d):
 @query("map19_padded_crop", _BX + """, p as (select image, ord, greatest(0, x0 - greatest(10, 0.15::double * (x1 - x0))) as a, greatest(0, y0 - greatest(10, 0.15::double * (y1 - y0))) as b, least(512, x1 + greatest(10, 0.15::double * (x1 - x0))) as c, least(512, y1 + greatest(10, 0.15::double * (y1 - y0))) as e from bx) select image, ord, floor(a)::bigint as x0, floor(b)::bigint as y0, floor(c)::bigint as x1, floor(e)::bigint as y1 from p where floor(c) - floor(a) >= 10 and floor(e) - floor(b) >= 10""")
 def map19(spark, d):
     pad = lambda lo, hi: F.greatest(F.lit(10.0), 0.15 * (hi - lo))
-    px, py = pad(_c[0], _c[2]), pad(_c[1], _c[3])
-    t = V.boxes(spark, d).select("image", "ord", F.floor(F.greatest(F.lit(0.0), _c[0] - px)).alias("x0"), F.floor(F.greatest(F.lit(0.0), _c[1] - py)).alias("y0"), F.floor(F.least(F.lit(512.0), _c[2] + px)).alias("x1"), F.floor(F.least(F.lit(512.0), _c[3] + py)).alias("y1"))
+    px, py = pad(_c()[0], _c()[2]), pad(_c()[1], _c()[3])
+    t = V.boxes(spark, d).select("image", "ord", F.floor(F.greatest(F.lit(0.0), _c()[0] - px)).alias("x0"), F.floor(F.greatest(F.lit(0.0), _c()[1] - py)).alias("y0"), F.floor(F.least(F.lit(512.0), _c()[2] + px)).alias("x1"), F.floor(F.least(F.lit(512.0), _c()[3] + py)).alias("y1"))
     return t.where("x1 - x0 >= 10 and y1 - y0 >= 10")
 
 
@@ -79,7 +82,7 @@ select round(avg(iou), 4) as mean_iou, round(median(iou), 4) as median_iou, roun
 def agg15(spark, d):
     b = V.boxes(spark, d)
     second = b.where("ord = 2").select("image", *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
-    best = b.where("ord = 1").join(second, "image", "left").select("image", F.when(F.col("x0_b").isNotNull(), B.iou(_c, tuple(F.col(f"{c}_b") for c in ("x0", "y0", "x1", "y1")))).alias("iou"))
+    best = b.where("ord = 1").join(second, "image", "left").select("image", F.when(F.col("x0_b").isNotNull(), B.iou(_c(), tuple(F.col(f"{c}_b") for c in ("x0", "y0", "x1", "y1")))).alias("iou"))
     return D.grounding_metrics(best.groupBy("image").agg(F.max("iou").alias("iou"), F.lit(False).alias("degenerate")))
 
 

@@ -107,7 +107,8 @@ def inspect(spark: SparkSession, path: str, pattern: str | None = None) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in HEADER.split(", ")]
         for b in batches:
-            yield pd.DataFrame([{"path": p, **header(bytes(c))} for p, c in zip(b["path"], b["content"])]).reindex(columns=names).astype({k: "Int32" for k in ("width", "height", "n_bands")})
+            rows = pd.DataFrame([{"path": p, **header(bytes(c))} for p, c in zip(b["path"], b["content"])], columns=names, dtype=object)
+            yield rows.where(rows.notna(), None)
 
     return _files(spark, path, pattern).mapInPandas(run, HEADER)
 

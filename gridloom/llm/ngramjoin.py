@@ -5,10 +5,11 @@ How all links are found without the pairs of every group:
 1. Equal sets collapse to one representative.
 2. All sets are ordered alike, shingles that many documents share last. A link needs T shared shingles, so it shares
    one among each set's first n - T + 1: the short lists of the search are those of these shingles.
-3. Representatives that share a rare minimum hash are first joined to one of them each, so that groups of near copies
+3. Sets that share two of their least hashes are first joined to one of them each, so that groups of near copies
    become components at a cost linear in their size.
-4. A list whose members are all of one component can add nothing and goes. In the others members are joined to two of
-   theirs, round by round, and at last each to all those of other components that sizes and positions allow.
+4. A list whose members are all of one component can add nothing and goes. Members of the long ones left are joined to
+   two of theirs, round by round. At last the short lists are merged: the pairs of different components are counted
+   over all lists, and those that are met less often than T asks for go.
 5. Each candidate is verified by the search itself: a query's block of candidates is indexed by shingle, the short
    lists are merged, the T_0 - 1 longest ones probed (DivideSkip).
 
@@ -36,8 +37,10 @@ MAX_FREQUENT, MIN_COUNT = 200_000, 8
 ANCHORS = 4
 #: Candidates of one query in a block, rounds of joining to two members, and tables of ids that are broadcast at most.
 BLOCK, ROUNDS, MAX_BROADCAST = 256, 4, 500_000
-#: The search by rounds ends early when this many pairs at most are left for each representative in an open list.
-FEW = 8
+#: Open lists' shingles, 8 bytes each, that are broadcast at most.
+MAX_OPEN = 2_000_000
+#: Lists of more members are long; the rounds end when long lists have this many pairs at most for each member.
+LONG_LIST, FEW = 64, 32
 
 _words: dict[bytes, int] = {}
 
@@ -83,7 +86,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.array([r["s"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-SUMMARY_TYPE = "uid long, doc_id long, n long, s1 long, s2 long, anchors array<long>, prefix array<long>"
+SUMMARY_TYPE = "row long, doc_id long, n long, uid long, anchors array<long>, prefix array<long>"
 
 
 def _summarize(last: np.ndarray):
@@ -94,7 +97,7 @@ def _summarize(last: np.ndarray):
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.slice(at, 1000)
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], []]
                 for x in part.column("text"):
                     s = shingle_set(x.as_py() or "")
                     rank = np.zeros(len(s), np.int64)
@@ -103,14 +106,13 @@ def _summarize(last: np.ndarray):
                         rank = np.where(values[k] == s, by_value[k] + 1, 0)
                     order = np.lexsort((s, rank))
                     first = len(s) - -(-DEN * len(s) // NUM) + 1 if len(s) else 0
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
                     with np.errstate(over="ignore"):
                         mixed = s * np.uint64(0xC2B2AE3D27D4EB4F)
                     mixed = np.sort(mixed ^ (mixed >> np.uint64(31)))[:ANCHORS]
-                    for c, v in zip(cols, (len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), mixed.view(np.int64), s[order[:first]].view(np.int64))):
+                    for c, v in zip(cols, (len(s), int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True), mixed.view(np.int64), s[order[:first]].view(np.int64))):
                         c.append(v)
-                lists = [pa.array(c, pa.list_(pa.int64())) for c in cols[3:]]
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], *lists], ["uid", "doc_id", "n", "s1", "s2", "anchors", "prefix"])
+                lists = [pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:2]], *lists], ["row", "doc_id", "n", "uid", "anchors", "prefix"])
 
     return run
 
@@ -156,15 +158,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
-def _few(df: DataFrame) -> DataFrame:
+def _few(df: DataFrame, most: int = 0) -> DataFrame:
     """df, to be broadcast if it has few rows. df is a written table of ids."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    most = most or MAX_BROADCAST
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b), each two ids of texts (uid, text). pairs is a written table."""
-    ids = C.written(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "ids")
-    there = C.written(texts.join(_few(ids), "uid", "left_semi").dropDuplicates(["uid"]), "texts")
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The linked ones of pairs (a, b) of sets (uid, row), whose texts are in texts (row, text). pairs is a written table."""
+    ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    ids = C.written(sets.select("uid", "row").join(ids, "uid", "left_semi"), "ids")
+    there = C.written(texts.join(_few(ids), "row").dropDuplicates(["uid"]).select("uid", "text"), "texts")
     rows = pairs.join(there.select(F.col("uid").alias("b"), F.col("text").alias("b_text")), "b")
     rows = rows.join(there.select(F.col("uid").alias("a"), F.col("text").alias("a_text")), "a")
     return C.written(rows.select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long"), "links")
@@ -186,16 +190,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _stars(entries: DataFrame, key: str) -> DataFrame:
-    """Pairs of each entry with two entries of its key's list, those of the least and the largest id, where the components differ."""
-    ends = entries.groupBy(key).agg(F.min(F.struct("uid", "comp")).alias("lo"), F.max(F.struct("uid", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    ends = ends.where("c0 != c1").select(key, F.explode(F.array("lo", "hi")).alias("end"))
-    pairs = entries.join(ends, key).where(F.col("comp") != F.col("end.comp"))
-    return pairs.select(F.least("uid", "end.uid").alias("a"), F.greatest("uid", "end.uid").alias("b")).distinct()
+def _stars(entries: DataFrame, key: str, least: int) -> DataFrame:
+    """Pairs of each entry with two entries of its key's list, those of the least and the largest id, where components
+    differ and sizes allow a link. Only pairs that `least` lists give."""
+    ends = entries.groupBy(key).agg(F.min(F.struct("uid", "n", "comp")).alias("lo"), F.max(F.struct("uid", "n", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    ends = ends.where("c0 != c1").select(key, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end"))
+    pairs = entries.join(ends, key).where((F.col("comp") != F.col("end.comp")) & (F.least("n", "end.n") >= _needed(F.col("n"), F.col("end.n"))))
+    pairs = pairs.groupBy(F.least("uid", "end.uid").alias("a"), F.greatest("uid", "end.uid").alias("b")).agg(F.count_distinct(key).alias("k") if least > 1 else F.count(F.lit(1)).alias("k"))
+    return pairs.where(F.col("k") >= least).select("a", "b")
+
+
+def _needed(a: F.Column, b: F.Column) -> F.Column:
+    """T as a column; whole numbers throughout."""
+    return F.floor((DEN * (a + b) + (NUM + DEN - 1)) / (NUM + DEN))
+
+
+def _merged(entries: DataFrame) -> DataFrame:
+    """Pairs of different components that enough lists have in common. One of two prefixes lies wholly before the other's
+    end, so what is shared beyond the lists is less than the larger T of the two sizes; the rest must be in the lists."""
+    b = entries.select("s", *[F.col(c).alias(f"{c}_b") for c in ("uid", "n", "comp")])
+    both = entries.join(b, "s").where("uid < uid_b and comp != comp_b").where(F.least("n", "n_b") >= _needed(F.col("n"), F.col("n_b")))
+    own = lambda n: F.floor((DEN * F.col(n) + NUM - 1) / NUM)
+    least = _needed(F.col("n"), F.col("n_b")) - F.greatest(own("n"), own("n_b")) + 1
+    counts = both.groupBy(F.col("uid").alias("a"), F.col("uid_b").alias("b"), least.alias("least")).agg(F.count(F.lit(1)).alias("k"))
+    return counts.where("k >= least").select("a", "b")
 
 
 def row_key(id_: F.Column, text: F.Column) -> F.Column:
-    """What link_rows calls uid: rows with the same one are the same document."""
+    """What link_rows calls row: rows with the same one are the same document."""
     return F.xxhash64(id_, text)
 
 
@@ -206,63 +228,54 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that with the least id; all rows without shingles stay."""
-    rows = C.written(link_rows(docs, id_col=id_col, text_col=text_col).select("uid", "doc_id", "root"), "linked").where("root is not null")
-    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("k"))
-    gone = C.written(rows.join(keep, "root").where("uid != k.uid").select("uid").distinct(), "gone")
-    again = C.written(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid").join(gone, "uid", "left_anti"), "again")
+    rows = C.written(link_rows(docs, id_col=id_col, text_col=text_col).select("row", "doc_id", "root"), "linked").where("root is not null")
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
+    gone = C.written(rows.join(keep, "root").where("row != k.row").select("row").distinct(), "gone")
+    again = C.written(rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row").join(gone, "row", "left_anti"), "again")
     key = row_key(docs[id_col], C.texts(docs, text_col))
     name = "uid_" + "_".join(docs.columns)  # no column of docs has it
-    left = docs.withColumn(name, key).join(_few(gone.withColumnRenamed("uid", name)), name, "left_anti")
+    left = docs.withColumn(name, key).join(_few(gone.withColumnRenamed("row", name)), name, "left_anti")
     if again.limit(1).count():
-        twice = _few(again.withColumnRenamed("uid", name))
+        twice = _few(again.withColumnRenamed("row", name))
         left = left.join(twice, name, "left_anti").unionByName(left.join(twice, name, "left_semi").dropDuplicates([name]))
     return left.select(*docs.columns)
 
 
 def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, doc_id, n_shingles, root (null without shingles), component_id of every row.
+    """row (see row_key), doc_id, n_shingles, root (null without shingles), component_id of every row.
 
     Documents without words, null or empty, have no shingles, link with nothing and are their own component. Rows
     with equal texts link; a null id counts as an id only where a component has no other; repeated rows are rows of
     their own; an empty table gives no rows; other columns are ignored."""
     C.require(docs, id_col, text_col)
     text = C.texts(docs, text_col)
-    given = docs.select(row_key(docs[id_col], text).alias("uid"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
+    given = docs.select(row_key(docs[id_col], text).alias("row"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
     summary = C.written(given.mapInArrow(_summarize(frequent_shingles(given)), SUMMARY_TYPE), "summary")
-    sets = C.written(summary.where("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")), "sets")
-    reps = C.written(summary.where("n > 0").join(sets.select("uid"), "uid", "left_semi").dropDuplicates(["uid"]).select("uid", "n", "anchors", "prefix"), "representatives")
-    texts = given.select("uid", "text")
-
-    near = reps.select("uid", F.col("uid").alias("comp"), F.explode("anchors").alias("anchor"))
-    links = verified(C.written(_stars(near, "anchor"), "pairs"), texts)
-    for done in range(ROUNDS + 1):
-        labels = components(links)
-        lists = reps.select("uid", "n", F.posexplode("prefix").alias("at", "s")).join(labels, F.col("uid") == F.col("node"), "left").select("uid", "n", "at", "s", F.coalesce("label", "uid").alias("comp"))
-        if done == 0:
-            open_ = C.written(lists.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("s"), "open")
-            entries = C.written(lists.join(_few(open_), "s", "left_semi"), "entries")
-        else:
-            entries = entries.drop("comp").join(labels, F.col("uid") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "uid")).drop("node", "label")
-            entries = C.written(entries.join(entries.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("s"), "s", "left_semi"), "entries")
-        size = entries.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+    full = summary.where("n > 0")
+    sets = C.written(full.groupBy("uid").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "sets")
+    texts = given.select("row", "text")
+
+    near = full.select("uid", "n", F.col("uid").alias("comp"), F.explode("anchors").alias("anchor")).distinct()
+    links = verified(C.written(_stars(near, "anchor", 2), "pairs"), sets, texts)
+    mixed = lambda df: df.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("s")
+    label = lambda df: df.join(_few(labels), F.col("uid") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "uid")).drop("node", "label")
+    labels = components(links)
+    lists = full.select("uid", "n", F.explode("prefix").alias("s"))
+    entries = C.written(label(lists).join(_few(C.written(mixed(label(lists)), "open"), MAX_OPEN), "s", "left_semi").distinct(), "entries")
+    for done in range(ROUNDS):
+        size = entries.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).where(F.col("k") > LONG_LIST)
         left = size.agg(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
-        if not left["pairs"]:
+        if not left["pairs"] or left["pairs"] <= FEW * left["rows"]:
             break
-        last = done == ROUNDS or left["pairs"] <= FEW * left["rows"]
-        if last:
-            b = entries.select("s", *[F.col(c).alias(f"{c}_b") for c in ("uid", "n", "at", "comp")])
-            both = entries.join(b, "s").where("uid < uid_b and comp != comp_b")
-            t = F.ceil(DEN * (F.col("n") + F.col("n_b")) / (NUM + DEN))
-            most = F.least("at", "at_b") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n_b") - F.col("at_b") - 1)
-            pairs = both.where((F.least("n", "n_b") >= t) & (most >= t)).select(F.col("uid").alias("a"), F.col("uid_b").alias("b")).distinct()
-        else:
-            pairs = _stars(entries, "s")
-        links = C.written(links.union(verified(C.written(pairs, "pairs"), texts)), "links")
-        if last:
-            labels = components(links)
-            break
-    roots = sets.join(labels, F.col("uid") == F.col("node"), "left").select("s1", "s2", "least_id", F.coalesce("label", "uid").alias("root"))
+        long_ = entries.join(size.select("s"), "s", "left_semi")
+        links = C.written(links.union(verified(C.written(_stars(long_, "s", 1), "pairs"), sets, texts)), "links")
+        labels = components(links)
+        now = label(entries.drop("comp"))
+        entries = C.written(now.join(mixed(now), "s", "left_semi"), "entries")
+    links = C.written(links.union(verified(C.written(_merged(entries), "pairs"), sets, texts)), "links")
+    labels = components(links)
+    roots = sets.join(labels, F.col("uid") == F.col("node"), "left").select("uid", "least_id", F.coalesce("label", "uid").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = roots.join(ids, "root").select("s1", "s2", "root", "component_id")
-    out = summary.select("uid", "doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
-    return out.select("uid", "doc_id", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = roots.join(ids, "root").select("uid", "root", "component_id")
+    out = summary.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("uid")).alias("uid")).join(found, "uid", "left")
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -94,8 +94,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
-s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [hash(array_to_string(ws, ' '))]
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: hash(ws[i], ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4]))) end as sh from w),
 f as (select doc_id, unnest(sh) as g from s),
 p as (select a.doc_id as x, b.doc_id as y, count(*) as k from f a join f b on a.g = b.g and a.doc_id <> b.doc_id group by all),
 l as (select p.x, p.y from p join s a on a.doc_id = p.x join s b on b.doc_id = p.y where 100 * k >= 75 * (len(a.sh) + len(b.sh) - k)),

@@ -8,8 +8,9 @@ How all links are found without the pairs of every group:
 3. Sets that share two of their least hashes are first joined to one of them each, so that groups of near copies
    become components at a cost linear in their size.
 4. A list whose members are all of one component can add nothing and goes. Members of the long ones left are joined to
-   two of theirs, round by round. At last the short lists are merged: the pairs of different components are counted
-   over all lists, and those that are met less often than T asks for go.
+   two of theirs, round by round. At last the pairs of different components are counted over the short lists, and
+   those go that are met less often than T, less the long lists that both are in, asks for. From a long list come only
+   pairs of which it can be the first list in common: the smaller set must have it among its first n - 6 n / 7 shingles.
 5. Each candidate is verified by the search itself: a query's block of candidates is indexed by shingle, the short
    lists are merged, the T_0 - 1 longest ones probed (DivideSkip).
 
@@ -205,14 +206,29 @@ def _needed(a: F.Column, b: F.Column) -> F.Column:
     return F.floor((DEN * (a + b) + (NUM + DEN - 1)) / (NUM + DEN))
 
 
+def _long(entries: DataFrame) -> DataFrame:
+    """s, k and feasible of the long lists: their members, and how many pairs they can be the first common list of."""
+    index = F.col("at") <= F.col("n") - F.floor((2 * DEN * F.col("n") + NUM + DEN - 1) / (NUM + DEN))
+    lists = entries.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.count_if(index).alias("i"))
+    return lists.where(F.col("k") > LONG_LIST).select("s", "k", (F.col("k") * F.col("i")).alias("feasible"))
+
+
 def _merged(entries: DataFrame) -> DataFrame:
     """Pairs of different components that enough lists have in common. One of two prefixes lies wholly before the other's
     end, so what is shared beyond the lists is less than the larger T of the two sizes; the rest must be in the lists."""
-    b = entries.select("s", *[F.col(c).alias(f"{c}_b") for c in ("uid", "n", "comp")])
-    both = entries.join(b, "s").where("uid < uid_b and comp != comp_b").where(F.least("n", "n_b") >= _needed(F.col("n"), F.col("n_b")))
+    marked = entries.join(_few(C.written(_long(entries).select(F.col("s").alias("long")), "long")), F.col("s") == F.col("long"), "left")
+    marked = C.written(marked.join(marked.groupBy("uid").agg(F.count("long").alias("longs")), "uid").select(*entries.columns, F.col("long").isNotNull().alias("is_long"), "longs"), "marked")
     own = lambda n: F.floor((DEN * F.col(n) + NUM - 1) / NUM)
-    least = _needed(F.col("n"), F.col("n_b")) - F.greatest(own("n"), own("n_b")) + 1
-    counts = both.groupBy(F.col("uid").alias("a"), F.col("uid_b").alias("b"), least.alias("least")).agg(F.count(F.lit(1)).alias("k"))
+    t, rest = _needed(F.col("n"), F.col("n_b")), lambda e: F.col(f"n{e}") - F.col(f"at{e}")
+    least = t - F.greatest(own("n"), own("n_b")) + 1 - F.least("longs", "longs_b")
+    other = marked.select("s", *[F.col(c).alias(f"{c}_b") for c in ("uid", "n", "at", "comp", "longs")])
+    sizes = (F.col("comp") != F.col("comp_b")) & (F.least("n", "n_b") >= t)
+    short = marked.where("not is_long").join(other, "s").where("uid < uid_b").where(sizes)
+    # Of two equal sizes the smaller id counts as the smaller set.
+    index = F.col("at_b") <= F.col("n_b") - F.floor((2 * DEN * F.col("n_b") + NUM + DEN - 1) / (NUM + DEN))
+    long_ = marked.where("is_long").join(other.where(index), "s").where((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("uid") > F.col("uid_b")))).where(sizes & (F.least(rest(""), rest("_b")) >= t))
+    pick = lambda df, k: df.select(F.least("uid", "uid_b").alias("a"), F.greatest("uid", "uid_b").alias("b"), least.alias("least"), F.lit(k).alias("k"))
+    counts = pick(short, 1).union(pick(long_, 0)).groupBy("a", "b", "least").agg(F.sum("k").alias("k"))
     return counts.where("k >= least").select("a", "b")
 
 
@@ -260,14 +276,16 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     mixed = lambda df: df.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("s")
     label = lambda df: df.join(_few(labels), F.col("uid") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "uid")).drop("node", "label")
     labels = components(links)
-    lists = full.select("uid", "n", F.explode("prefix").alias("s"))
+    lists = full.select("uid", "n", F.posexplode("prefix").alias("at", "s"))
     entries = C.written(label(lists).join(_few(C.written(mixed(label(lists)), "open"), MAX_OPEN), "s", "left_semi").distinct(), "entries")
-    for done in range(ROUNDS):
-        size = entries.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).where(F.col("k") > LONG_LIST)
-        left = size.agg(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
-        if not left["pairs"] or left["pairs"] <= FEW * left["rows"]:
+    before = float("inf")
+    for _ in range(ROUNDS):
+        left = _long(entries).agg(F.sum("feasible").alias("pairs"), F.sum("k").alias("rows")).first()
+        # Rounds end when little is left, or when the last one didn't take much away.
+        if not left["pairs"] or left["pairs"] <= FEW * left["rows"] or left["pairs"] > 0.7 * before:
             break
-        long_ = entries.join(size.select("s"), "s", "left_semi")
+        before = left["pairs"]
+        long_ = entries.join(_long(entries).select("s"), "s", "left_semi")
         links = C.written(links.union(verified(C.written(_stars(long_, "s", 1), "pairs"), sets, texts)), "links")
         labels = components(links)
         now = label(entries.drop("comp"))

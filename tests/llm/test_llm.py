@@ -253,8 +253,10 @@ def test_ngram_join_chains_and_families(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = Counter(linked(rows))
-    for rounds in (0, 4):
+    for rounds, long_, few in ((0, 64, 32), (0, 2, 32), (4, 2, 0)):
         monkeypatch.setattr(NJ, "ROUNDS", rounds)
+        monkeypatch.setattr(NJ, "LONG_LIST", long_)
+        monkeypatch.setattr(NJ, "FEW", few)
         assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in NJ.link_documents(df).collect()) == want
 
 

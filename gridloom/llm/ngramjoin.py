@@ -34,7 +34,7 @@ from . import common as C
 #: Words in a shingle; a link is NUM * intersection >= DEN * union.
 N, NUM, DEN = 5, 100, 75
 #: Shingles that stand last in the order: at most MAX_FREQUENT of those met at least MIN_COUNT times.
-MAX_FREQUENT, MIN_COUNT = 200_000, 8
+MAX_FREQUENT, MIN_COUNT = 2_000_000, 4
 ANCHORS = 4
 #: Candidates of one query in a block, rounds of joining to two members, and tables of ids that are broadcast at most.
 BLOCK, ROUNDS, MAX_BROADCAST = 256, 4, 500_000
@@ -82,9 +82,17 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles, rarest first; at most MAX_FREQUENT numbers come to the driver."""
-    seen = docs.select("text").mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    rows = seen.orderBy(F.desc("n"), "s").limit(MAX_FREQUENT).collect()
-    return np.array([r["s"] for r in reversed(rows)], np.int64).view(np.uint64)
+    seen = C.written(docs.select("text").mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT), "frequent")
+    # The least count that leaves MAX_FREQUENT at most; counts from 10,000 on are alike here.
+    least, room = 10_001, MAX_FREQUENT
+    for r in seen.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
+        room -= r["k"]
+        if room < 0:
+            break
+        least = r["n"]
+    rows = seen.where(F.col("n") >= least).toArrow()
+    s, n = rows["s"].to_numpy(), rows["n"].to_numpy()
+    return s[np.lexsort((s, n))].view(np.uint64)
 
 
 SUMMARY_TYPE = "row long, doc_id long, n long, uid long, anchors array<long>, prefix array<long>"

@@ -59,8 +59,8 @@ def json_answer(t: Column, schema: str, fields: list[str]) -> Column:
 def answer_matches(pred: Column, truth: Column) -> dict[str, Column]:
     """STR10 to STR12: three ways of calling an answer right. In `either` an empty answer matches (as named)."""
     p, g = F.lower(F.trim(pred)), F.lower(F.trim(truth))
-    bare = lambda c: F.trim(F.regexp_replace(c, r"[^\w\s]", ""))
-    tokens = lambda c: F.split(bare(c), r"\s+")
+    bare = lambda c: F.trim(F.regexp_replace(c, r"(?U)[^\w\s]", ""))
+    tokens = lambda c: F.split(bare(c), r"(?U)\s+")
     long_in = lambda n: F.exists(tokens(g), lambda w: (F.length(w) > n) & F.contains(p, w))
     strict = (bare(p) == bare(g)) | ((F.size(tokens(g)) == 1) & F.array_contains(tokens(p), bare(g))) | F.contains(bare(p), bare(g))
     return {"strict": strict, "relaxed": strict | long_in(3), "either": F.contains(p, g) | F.contains(g, p) | long_in(4), "contained": F.contains(p, g), "contained_relaxed": F.contains(p, g) | long_in(3)}

@@ -100,6 +100,16 @@ def str11(spark, d):
     return j.select("conv_id", "turn", *[m[k].alias(k) for k in ("contained", "either", "contained_relaxed")])
 
 
+@query("str10_str11_str12_whole_answer_match")
+def str10(spark, d):
+    """Every user text and the text after it, both whole. No SQL: DuckDB's \\w knows ASCII only."""
+    c = V.table(spark, d, "conversations")
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("truth"))
+    j = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("pred")).join(b, ["conv_id", "turn"])
+    m = T.answer_matches(F.col("pred"), F.col("truth"))
+    return j.select("conv_id", "turn", *[v.alias(k) for k, v in m.items()])
+
+
 @query("str8_str9_kinds", "select page_id, case when contains(lower(url), 'en') then 'en' when contains(lower(url), 'fr') then 'fr' when contains(lower(url), 'de') then 'de' else 'general' end as domain, case when contains(lower(html), 'how many') or contains(lower(html), 'number of') then 'count' when contains(lower(html), 'is there') or contains(lower(html), 'are there') then 'presence' when contains(lower(html), 'more') or contains(lower(html), 'less') then 'comparison' when contains(lower(html), 'rural') or contains(lower(html), 'urban') then 'rural_urban' else 'other' end as kind from pages")
 def str8(spark, d):
     p = V.table(spark, d, "pages")

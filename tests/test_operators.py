@@ -230,3 +230,34 @@ def test_request_stream(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert [r["task"] for r in spark.sql("select task from routed").collect()] == ["grounding"]
+
+
+def test_whole_answers_like_brute_force(spark, tmp_path):
+    import re
+
+    from gridloom.queries.language import str10
+
+    def matches(pred, truth):
+        p, g = pred.strip(" ").lower(), truth.strip(" ").lower()
+        bp, bg = (re.sub(r"[^\w\s]", "", x).strip(" ") for x in (p, g))
+        tokens, long_in = re.split(r"\s+", bg), lambda n: any(len(w) > n and w in p for w in re.split(r"\s+", bg))
+        strict = bp == bg or len(tokens) == 1 and bg in re.split(r"\s+", bp) or bg in bp
+        return (strict, strict or long_in(3), g in p or p in g or long_in(4), g in p, g in p or long_in(3))
+
+    def check(d):
+        rows = spark.read.parquet(f"{d}/conversations.parquet").collect()
+        text = {}
+        for r in rows:
+            text.setdefault((r["conv_id"], r["turn"]), []).append(r["text"])
+        want = [(r["conv_id"], r["turn"], *matches(r["text"], t)) for r in rows if r["role"] == "user" for t in text.get((r["conv_id"], r["turn"] + 1), [])]
+        got = [tuple(r) for r in str10(spark, d).collect()]
+        assert want and sorted(got) == sorted(want)
+        return {r[:2]: r[2:] for r in got}
+
+    check("/root/testdata/sf0.01")
+    far = "word " * 20 + "harbour"
+    rows = [(1, 1, "user", far), (1, 2, "assistant", "the new one, near the harbour"), (2, 1, "user", "漢字"), (2, 2, "assistant", "かな"), (3, 1, "user", "Größe"), (3, 2, "assistant", "größe!")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = check(str(tmp_path))
+    # A word after the 40th character counts, and letters outside ASCII are letters.
+    assert got[1, 1] == (False, True, True, False, True) and not any(got[2, 1]) and got[3, 1][0]

@@ -148,14 +148,17 @@ def _layout(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return at, (at > 0).astype(np.float32)[:, :, None]
 
 
-def train(texts: list[str], labels: list[int], *, epochs: int = 6, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], *, rates: tuple[float, float] = (1.0, 1.0), epochs: int = 6, seed: int = 7) -> Network:
     """Multiple-instance learning: a toxic text's window with the strongest evidence is a positive example, a clean
     text's windows are negative ones. At first the evidence is the words' log odds between the two kinds of texts,
-    later the network's own logit. At last the logit of texts is calibrated."""
+    later the network's own logit. At last the logit of texts is calibrated. rates are the shares of all clean and of
+    all toxic rows that are given; calibration and prior weigh the rows by their inverse."""
     rng = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
     y = np.array(labels)
-    prior = float(y.mean()) if len(y) else 0.0
+    weight = np.where(y == 1, 1 / rates[1], 1 / rates[0])
+    weight = weight / weight.mean() if len(y) else weight
+    prior = float((weight * y).mean()) if len(y) else 0.0
     df = [Counter(), Counter()]
     for d, k in zip(docs, y):
         df[k].update(set(d))
@@ -228,9 +231,9 @@ def train(texts: list[str], labels: list[int], *, epochs: int = 6, seed: int = 7
     best = np.array([ev.max() if len(ev) else 0.0 for ev in logits()])
     for _ in range(300):  # logistic calibration by Newton's steps, slightly damped
         q = _sigmoid(net.scale * best + net.shift)
-        w = q * (1 - q) + 1e-4
+        w = weight * q * (1 - q) + 1e-4
         a = np.array([[np.sum(w * best * best) + 1e-2, np.sum(w * best)], [np.sum(w * best), np.sum(w) + 1e-2]])
-        d = np.linalg.solve(a, np.array([np.sum((y - q) * best), np.sum(y - q)]))
+        d = np.linalg.solve(a, np.array([np.sum(weight * (y - q) * best), np.sum(weight * (y - q))]))
         net.scale, net.shift = net.scale + 0.5 * d[0], net.shift + 0.5 * d[1]
         if np.abs(d).max() < 1e-6:
             break
@@ -296,26 +299,30 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most MAX_TOXIC + MAX_CLEAN rows that aren't held out, by the lowest hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], tuple[float, float]]:
+    """Texts and labels of at most MAX_TOXIC + MAX_CLEAN rows that aren't held out, by the lowest hash of their id,
+    and the shares of all such clean and toxic rows that they are."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     rows = rows.withColumn("h", F.xxhash64(F.lit("toxic"), "k"))
     take = lambda y, n: rows.where(F.col("y") == y).orderBy("h", "k").limit(n)
+    there = {int(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rates = tuple(min(1.0, most / max(1, there.get(y, 0))) for y, most in ((0, MAX_CLEAN), (1, MAX_TOXIC)))
     ids = C.written(take(1, MAX_TOXIC).unionByName(take(0, MAX_CLEAN)).select("k", "y"), "sample")
     got = docs.select(docs[id_col].alias("k"), C.texts(docs, text_col).alias("text")).join(F.broadcast(ids), "k")
     got = sorted(got.dropDuplicates(["k"]).collect(), key=lambda r: r["k"])
-    return [r["text"] for r in got], [int(r["y"]) for r in got]
+    return [r["text"] for r in got], [int(r["y"]) for r in got], rates
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every document, all windows of its whole text being scored.
 
     The network is fitted on the driver on a bounded sample (see MAX_TOXIC, MAX_CLEAN) of labelled rows whose
-    crc32(doc_id) mod 3 is not 1; nothing but the text is its input. A text without words, null or empty, has the
-    sample's share of toxic rows as its score. A null id isn't held out; repeated rows score alike; an empty table
+    crc32(doc_id) mod 3 is not 1; nothing but the text is its input. Scores are calibrated to the share of toxic rows
+    among all of these, which is also the score of a text without words, null or empty. A null id isn't held out; repeated rows score alike; an empty table
     gives no rows; other columns are ignored. No shuffle but the sample's."""
     C.require(docs, id_col, text_col)
-    net = train(*labelled_sample(docs, labels, id_col, text_col))
+    sample, marks, rates = labelled_sample(docs, labels, id_col, text_col)
+    net = train(sample, marks, rates=rates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)

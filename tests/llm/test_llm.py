@@ -317,6 +317,28 @@ def test_toxicity(spark, docs, empty):
     assert TX.score_toxicity(empty, labels).count() == 0 and TX.score_toxicity(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_is_calibrated_to_all_labels(spark, monkeypatch):
+    """A bounded sample with many more toxic rows than there are by nature leaves the scores' level alone."""
+    r = random.Random(3)
+    # "grim" is in nine of ten toxic texts and in a tenth of the clean ones, so one with it is toxic by a half.
+    rows = []
+    for i in range(3000):
+        y = int(i % 10 == 0)
+        rows.append((i, " ".join(r.choice(VOCAB) for _ in range(12)) + (" grim" if r.random() < (0.9 if y else 0.1) else " mild"), y))
+    rows.append((3000, "", None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(2)
+    monkeypatch.setattr(TX, "MAX_TOXIC", 100)
+    monkeypatch.setattr(TX, "MAX_CLEAN", 200)
+    used = [y for i, _, y in rows[:-1] if zlib.crc32(str(i).encode()) % 3 != 1]
+    natural = sum(used) / len(used)
+    out = TX.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("toxic is not null")).join(df.select("doc_id", "toxic"), "doc_id").collect()
+    assert abs(next(x["score"] for x in out if x["doc_id"] == 3000) - natural) < 1e-3
+    mean = sum(x["score"] for x in out if x["doc_id"] < 3000) / 3000
+    assert abs(mean - natural) < 0.05, (mean, natural)
+    texts, labels, rates = TX.labelled_sample(df, df)
+    assert len(texts) == 300 and rates == (200 / (len(used) - sum(used)), 100 / sum(used))
+
+
 def test_gradients():
     net = TX.Network({"a": 1, "b": 2, "c": 3})
     rows = [np.array([1, 2, 3]), np.array([2, 1]), np.array([3])]

@@ -379,6 +379,17 @@ def test_html(spark):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_drops_nothing_for_values_and_empty_drawings():
+    text = lambda attrs: H.main_text(f"<article><p>One.</p><div {attrs}><p>Two.</p></div><p>Three.</p></article>")
+    whole, cut = "One.\n\nTwo.\n\nThree.", "One.\n\nThree."
+    for attrs in ('style="overflow:hidden"', "style=overflow:hidden", "style='a: b; visibility: hidden'", 'data-id="ad"', 'data-x=\'class="ad"\'', 'title="the role=menu"', 'aria-hidden="false"'):
+        assert text(attrs) == whole, attrs
+    for attrs in ("hidden", 'style="x" hidden', 'HIDDEN=""', "class=ad", 'data-id="x" id = "ad"', "role='menu'", 'aria-hidden="true"'):
+        assert text(attrs) == cut, attrs
+    for drawing in ('<svg class="i"/>', "<math/>", "<svg a='>' />", '<svg class="i"><text>no</text></svg>', "<svg-icon></svg-icon>"):
+        assert H.main_text(f"<article><p>One.</p>{drawing}<p>Two.</p><p>Three.</p></article>") == whole, drawing
+
+
 def test_html_keeps_the_articles_of_the_test_pages(spark):
     import html
 

@@ -49,8 +49,16 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def _covered(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
+    for s, e in sorted(t for t in taken if start < t[1] and t[0] < end):
+        if s > start:
+            return False
+        start = max(start, e)
+    return start >= end
+
+
 def further_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
-    """Candidates of the further kinds that touch no base span, nor one of an earlier kind."""
+    """Candidates of the further kinds that reach beyond the base spans and the candidates of earlier kinds."""
     taken = [(s, e) for s, _, e, _ in base]
     found = []
     for k, (kind, pattern) in enumerate(FURTHER.items(), 3):
@@ -58,7 +66,7 @@ def further_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
             value = m.group(m.lastindex or 0)
             if kind == "mixed" and not (re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value) and _bits(value) >= MIN_BITS):
                 continue
-            if any(m.start() < e and s < m.end() for s, e in taken):
+            if _covered(m.start(), m.end(), taken):
                 continue
             taken.append((m.start(), m.end()))
             found.append((m.start(), k, m.end(), value))

@@ -66,6 +66,36 @@ def answer_matches(pred: Column, truth: Column) -> dict[str, Column]:
     return {"strict": strict, "relaxed": strict | long_in(3), "either": F.contains(p, g) | F.contains(g, p) | long_in(4), "contained": F.contains(p, g), "contained_relaxed": F.contains(p, g) | long_in(3)}
 
 
+def change_answer_correct(answer: Column, direction: Column, truth: Column, truth_direction: Column) -> Column:
+    """STR13. A yes or no against the predicted direction or else the answer's text; any other truth by its direction."""
+    g, d = F.lower(F.coalesce(truth, F.lit(""))), F.coalesce(F.nullif(F.lower(direction), F.lit("")), F.lit("unknown"))
+    said = ((g == "yes") & d.isin("increased", "modified", "decreased")) | ((g == "no") & (d == "no_change")) | F.contains(F.lower(F.coalesce(answer, F.lit(""))), g)
+    return F.when(g.isin("yes", "no"), said).otherwise(F.coalesce(d == F.nullif(F.lower(truth_direction), F.lit("")), F.lit(False)))
+
+
+# Words of each class, as parts of words, and patterns of whole words, of which the first match counts.
+CLASS_WORDS = {
+    "built_structure": ["built", "building", "urban", "structure", "construction", "roof"], "water_body": ["water", "aquatic", "lake", "river", "reservoir", "flood"],
+    "vegetation_or_cropland": ["vegetation", "crop", "cropland", "agriculture", "forest", "tree"], "bare_ground_or_soil": ["bare", "soil", "ground", "dirt", "cleared"],
+    "road_or_infrastructure": ["road", "highway", "infrastructure", "pavement", "runway"],
+}
+CLASS_PATTERNS = {
+    "built-up / building": "buildings?|structures?|houses?|settlements?|residential|commercial|industrial|urban|built[- ]up", "vegetation / cropland": "vegetation|crops?|cropland|farmland|pasture|grassland|agricultural",
+    "forest / canopy": "forests?|trees?|woodlands?|deforestation|timber", "water body": "water(?:[- ]body)?|lakes?|rivers?|reservoirs?|ponds?|floods?|flooding|wetlands?",
+    "bare ground / soil": "bare[- ]ground|bare[- ]soil|soils?|dirt|sand|cleared[- ]land|unpaved", "road / infrastructure": "roads?|highways?|runways?|bridges?|infrastructure|pavement",
+}
+
+
+def target_classes(q: Column) -> Column:
+    """STR5. All classes of which the query has a word, also as a part of another word."""
+    return F.array_compact(F.array(*[F.when(F.lower(q).rlike("|".join(ws)), k) for k, ws in CLASS_WORDS.items()]))
+
+
+def target_class(q: Column) -> Column:
+    """STR5. The first class that the query names by a whole word, else null."""
+    return F.coalesce(*[F.when(F.lower(q).rlike(rf"(?U)\b(?:{p})\b"), k) for k, p in CLASS_PATTERNS.items()])
+
+
 def question_kind(q: Column) -> Column:
     """STR8. The kind of a question by its words, first match."""
     l = F.lower(q)  # noqa: E741

@@ -153,6 +153,24 @@ def str5(spark, d):
     return t.select("text", F.when(l.rlike(r"\b(is|was)\b"), "a").when(l.rlike(r"\b(of|the)\b"), "b").alias("first"))
 
 
+@query("str5_target_classes_of_queries")
+def str5_queries(spark, d):
+    """Every text of the conversations, and the questions. No SQL: DuckDB's \\b knows ASCII only."""
+    t = spark.createDataFrame([(q,) for q in QUESTIONS], "query string").unionByName(V.table(spark, d, "conversations").select(F.col("text").alias("query")))
+    return t.select("query", F.concat_ws(",", T.target_classes(F.col("query"))).alias("classes"), T.target_class(F.col("query")).alias("first"))
+
+
+_DIRS, _TRUE = ["increased", "no_change", "Decreased", None, "modified", "lost"], [("yes", None), ("No", "increased"), ("more water", "decreased"), ("", ""), (None, "lost")]
+
+
+@query("str13_change_answer", f"with o as (select o_orderkey as k, o_orderpriority as a, {str(_DIRS).replace('None', 'null')}[o_orderkey % 6 + 1] as d, {str([t for t, _ in _TRUE]).replace('None', 'null')}[o_orderkey % 5 + 1] as t, {str([x for _, x in _TRUE]).replace('None', 'null')}[o_orderkey % 5 + 1] as td from orders) select k, case when lower(t) = 'yes' then coalesce(lower(d) in ('increased', 'modified', 'decreased'), false) or contains(lower(a), 'yes') when lower(t) = 'no' then coalesce(lower(d) = 'no_change', false) or contains(lower(a), 'no') else coalesce(coalesce(lower(d), 'unknown') = lower(td), false) end as correct from o")
+def str13(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (k % len(vs) + 1).cast("int"))
+    o = V.table(spark, d, "orders")
+    return o.select(k.alias("k"), T.change_answer_correct(F.col("o_orderpriority"), pick(_DIRS), pick([t for t, _ in _TRUE]), pick([x for _, x in _TRUE])).alias("correct"))
+
+
 _SENS = ["Sentinel-1 GRD", "S2 MSI", "gas1 none", "Landsat 8", "", "ALOS PALSAR", "spotted"]
 _MOD = f"with x as (select n_nationkey as k, [{', '.join(repr(s) for s in _SENS)}][n_nationkey % 7 + 1] as sensor, case n_nationkey % 5 when 0 then ['VV', 'VH'] when 1 then ['red', 'VV'] else []::varchar[] end as bands, ['a_s1_b.tif', 'optical.tif', 'x.tif'][n_nationkey % 3 + 1] as name, n_regionkey * 2 + 1 as nb, ['uint8', 'float32', 'uint16'][n_nationkey % 3 + 1] as dt, n_nationkey <> 7 as ok from nation)"
 

@@ -261,3 +261,14 @@ def test_whole_answers_like_brute_force(spark, tmp_path):
     got = check(str(tmp_path))
     # A word after the 40th character counts, and letters outside ASCII are letters.
     assert got[1, 1] == (False, True, True, False, True) and not any(got[2, 1]) and got[3, 1][0]
+
+
+def test_change_answers_and_target_classes(spark):
+    rows = [("", "Increased", "Yes", None, True), ("", "no_change", "yes", "no_change", False), ("Yes, it did", None, "yes", None, True), (None, "no_change", "no", None, True), ("none", "lost", "No", None, True),
+            (None, None, "no", None, False), ("x", "lost", "forest lost", "Lost", True), ("forest lost", "modified", "forest lost", "lost", False), ("x", None, None, None, False), ("x", None, "", "", False), ("x", "", "y", "unknown", True)]
+    df = spark.createDataFrame(rows, "a string, d string, t string, td string, want boolean")
+    assert [r for r in df.select("*", T.change_answer_correct(*[F.col(c) for c in ("a", "d", "t", "td")]).alias("got")).collect() if r["got"] is not r["want"]] == []
+    asked = {"Did the Buildings near the lake change?": (["built_structure", "water_body"], "built-up / building"), "rebuilt waterfront roads": (["built_structure", "water_body", "road_or_infrastructure"], "road / infrastructure"),
+             "the bare-soil area": (["bare_ground_or_soil"], "bare ground / soil"), "street": (["vegetation_or_cropland"], None), "élake": (["water_body"], None), "what is it": ([], None)}
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert {r["q"]: (r["c"], r["f"]) for r in df.select("q", T.target_classes(F.col("q")).alias("c"), T.target_class(F.col("q")).alias("f")).collect()} == asked

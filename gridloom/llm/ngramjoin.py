@@ -6,15 +6,21 @@ How all links are found without the pairs of every group:
 2. All sets are ordered alike, shingles that many documents share last. A link needs T shared shingles, so it shares
    one among each set's first n - T + 1: the short lists of the search are those of these shingles.
 3. Sets that share two of their least hashes are first joined to one of them each, so that groups of near copies
-   become components at a cost linear in their size.
-4. A list whose members are all of one component can add nothing and goes. Members of the long ones left are joined to
-   two of theirs, round by round. At last the pairs of different components are counted over the short lists, and
-   those go that are met less often than T, less the long lists that both are in, asks for. From a long list come only
-   pairs of which it can be the first list in common: the smaller set must have it among its first n - 6 n / 7 shingles.
-5. Each candidate is verified by the search itself: a query's block of candidates is indexed by shingle, the short
-   lists are merged, the T_0 - 1 longest ones probed (DivideSkip).
+   become components at a cost linear in their size. A list whose members are all of one component can add nothing.
+4. Short lists are merged: pairs of different components are counted over them, and those go that are met less often
+   than T, less the long lists that both are in, asks for. What is left is verified by the search itself: a query's
+   block of candidates is indexed by shingle, the short lists are merged, the T_0 - 1 longest ones probed (DivideSkip).
+5. A long list never gives the pairs of its members. It names a hub S, the member that has the largest share of its
+   prefix in long lists, and each other member A is compared with S alone. What links becomes one component. Any other
+   pair is searched for in what sets A from S: with the difference a = A xor S, of which m shingles are missing from A,
 
-The order is a heuristic: it decides how long lists are, never which links are found."""
+       |A and B| = |S| - m(a) - m(b) + |a and b|,   so a link needs   |a and b| >= D = T - |S| + m(a) + m(b).
+
+   If D is 0 or less, both A and B link with S, so they are of one component already. If not, the pair shares D shingles
+   of the differences, from which those of S that nearly all have are gone: the same T-occurrence search, with D for T
+   and the differences for the sets, goes on over the differences' lists, which are short, or name hubs in turn.
+
+The order is a heuristic, and so are the hubs: they decide how long lists are, never which links are found."""
 
 from __future__ import annotations
 
@@ -27,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -36,12 +43,15 @@ N, NUM, DEN = 5, 100, 75
 #: Shingles that stand last in the order: at most MAX_FREQUENT of those met at least MIN_COUNT times.
 MAX_FREQUENT, MIN_COUNT = 2_000_000, 4
 ANCHORS = 4
-#: Candidates of one query in a block, rounds of joining to two members, and tables of ids that are broadcast at most.
-BLOCK, ROUNDS, MAX_BROADCAST = 256, 4, 500_000
+#: Candidates of one query in a block, and tables of ids that are broadcast at most.
+BLOCK, MAX_BROADCAST = 256, 500_000
 #: Open lists' shingles, 8 bytes each, that are broadcast at most.
 MAX_OPEN = 2_000_000
-#: Lists of more members are long; the rounds end when long lists have this many pairs at most for each member.
-LONG_LIST, FEW = 64, 32
+#: Lists of more members are long and give no pairs. Differences from hubs are taken so many times over at most; the
+#: lists of the last ones are all merged, so that no link is lost.
+LONG_LIST, LEVELS = 64, 5
+#: Costs are counted in parts of 1 / UNIT of a shingle.
+UNIT = NUM + DEN
 
 _words: dict[bytes, int] = {}
 
@@ -51,7 +61,7 @@ def shingle_set(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 300_000:
         _words.clear()
     for w in words:
         if w not in _words:
@@ -157,14 +167,36 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        found: list[tuple[int, int]] = []
-        for _, run in groupby(range(len(a)), key=a.__getitem__):
+        found: list[int] = []
+        for _, run in groupby(range(len(b)), key=b.__getitem__):
             run = list(run)
-            query = shingle_set(batch.column("a_text")[run[0]].as_py())
+            query = shingle_set(batch.column("b_text")[run[0]].as_py())
             for k in range(0, len(run), BLOCK):
                 part = run[k : k + BLOCK]
-                found += [(a[part[i]], b[part[i]]) for i in divide_skip(query, [shingle_set(batch.column("b_text")[j].as_py()) for j in part])]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                found += [part[i] for i in divide_skip(query, [shingle_set(batch.column("a_text")[j].as_py()) for j in part])]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in found], pa.int64()) for x in (a, b)], ["a", "b"])
+
+
+DIFFERENCE_TYPE = "hub long, uid long, n long, base long, missing long, tied boolean, others array<long>"
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, a_text, b_text), b being the hub: what sets a from b, and whether the two link."""
+    hub, s = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        for at in range(0, len(batch), 1000):
+            part = batch.slice(at, 1000)
+            cols: list[list] = [[], [], [], [], []]
+            for b, a_text, b_text in zip(part.column("b").to_pylist(), part.column("a_text"), part.column("b_text")):
+                if b != hub:
+                    hub, s = b, shingle_set(b_text.as_py())
+                x = shingle_set(a_text.as_py())
+                others = np.setxor1d(x, s, assume_unique=True)
+                missing = (len(others) - len(x) + len(s)) // 2
+                for c, v in zip(cols, (len(x), len(s), missing, len(s) - missing >= needed(len(x), len(s)), others.view(np.int64))):
+                    c.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("b"), part.column("a"), *[pa.array(c, t) for c, t in zip(cols, types)]], ["hub", "uid", "n", "base", "missing", "tied", "others"])
 
 
 def _few(df: DataFrame, most: int = 0) -> DataFrame:
@@ -173,14 +205,18 @@ def _few(df: DataFrame, most: int = 0) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b) of sets (uid, row), whose texts are in texts (row, text). pairs is a written table."""
+def _with_texts(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) of sets (uid, row) beside their texts, which are in texts (row, text). pairs is a written table."""
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     ids = C.written(sets.select("uid", "row").join(ids, "uid", "left_semi"), "ids")
     there = C.written(texts.join(_few(ids), "row").dropDuplicates(["uid"]).select("uid", "text"), "texts")
-    rows = pairs.join(there.select(F.col("uid").alias("b"), F.col("text").alias("b_text")), "b")
-    rows = rows.join(there.select(F.col("uid").alias("a"), F.col("text").alias("a_text")), "a")
-    return C.written(rows.select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long"), "links")
+    rows = pairs.join(there.select(F.col("uid").alias("a"), F.col("text").alias("a_text")), "a")
+    return rows.join(there.select(F.col("uid").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The linked ones of pairs (a, b); see _with_texts."""
+    return C.written(_with_texts(pairs, sets, texts).mapInArrow(_verify, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,7 +241,7 @@ def _stars(entries: DataFrame, key: str, least: int) -> DataFrame:
     ends = entries.groupBy(key).agg(F.min(F.struct("uid", "n", "comp")).alias("lo"), F.max(F.struct("uid", "n", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     ends = ends.where("c0 != c1").select(key, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end"))
     pairs = entries.join(ends, key).where((F.col("comp") != F.col("end.comp")) & (F.least("n", "end.n") >= _needed(F.col("n"), F.col("end.n"))))
-    pairs = pairs.groupBy(F.least("uid", "end.uid").alias("a"), F.greatest("uid", "end.uid").alias("b")).agg(F.count_distinct(key).alias("k") if least > 1 else F.count(F.lit(1)).alias("k"))
+    pairs = pairs.groupBy(F.least("uid", "end.uid").alias("a"), F.greatest("uid", "end.uid").alias("b")).agg(F.count_distinct(key).alias("k"))
     return pairs.where(F.col("k") >= least).select("a", "b")
 
 
@@ -214,30 +250,74 @@ def _needed(a: F.Column, b: F.Column) -> F.Column:
     return F.floor((DEN * (a + b) + (NUM + DEN - 1)) / (NUM + DEN))
 
 
-def _long(entries: DataFrame) -> DataFrame:
-    """s, k and feasible of the long lists: their members, and how many pairs they can be the first common list of."""
-    index = F.col("at") <= F.col("n") - F.floor((2 * DEN * F.col("n") + NUM + DEN - 1) / (NUM + DEN))
-    lists = entries.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.count_if(index).alias("i"))
-    return lists.where(F.col("k") > LONG_LIST).select("s", "k", (F.col("k") * F.col("i")).alias("feasible"))
-
-
-def _merged(entries: DataFrame) -> DataFrame:
-    """Pairs of different components that enough lists have in common. One of two prefixes lies wholly before the other's
-    end, so what is shared beyond the lists is less than the larger T of the two sizes; the rest must be in the lists."""
-    marked = entries.join(_few(C.written(_long(entries).select(F.col("s").alias("long")), "long")), F.col("s") == F.col("long"), "left")
-    marked = C.written(marked.join(marked.groupBy("uid").agg(F.count("long").alias("longs")), "uid").select(*entries.columns, F.col("long").isNotNull().alias("is_long"), "longs"), "marked")
-    own = lambda n: F.floor((DEN * F.col(n) + NUM - 1) / NUM)
-    t, rest = _needed(F.col("n"), F.col("n_b")), lambda e: F.col(f"n{e}") - F.col(f"at{e}")
-    least = t - F.greatest(own("n"), own("n_b")) + 1 - F.least("longs", "longs_b")
-    other = marked.select("s", *[F.col(c).alias(f"{c}_b") for c in ("uid", "n", "at", "comp", "longs")])
-    sizes = (F.col("comp") != F.col("comp_b")) & (F.least("n", "n_b") >= t)
-    short = marked.where("not is_long").join(other, "s").where("uid < uid_b").where(sizes)
-    # Of two equal sizes the smaller id counts as the smaller set.
-    index = F.col("at_b") <= F.col("n_b") - F.floor((2 * DEN * F.col("n_b") + NUM + DEN - 1) / (NUM + DEN))
-    long_ = marked.where("is_long").join(other.where(index), "s").where((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("uid") > F.col("uid_b")))).where(sizes & (F.least(rest(""), rest("_b")) >= t))
-    pick = lambda df, k: df.select(F.least("uid", "uid_b").alias("a"), F.greatest("uid", "uid_b").alias("b"), least.alias("least"), F.lit(k).alias("k"))
-    counts = pick(short, 1).union(pick(long_, 0)).groupBy("a", "b", "least").agg(F.sum("k").alias("k"))
-    return counts.where("k >= least").select("a", "b")
+def _prefixed(rows: DataFrame) -> DataFrame:
+    """rows with own, the least overlap that any link of theirs needs, of which the prefix is d - own + 1 elements long.
+
+    hub names the set S that the rows' differences are from (none at first: S is empty, the differences are the sets),
+    base is |S|, d the difference's size, cost DEN * n + UNIT * m, so that D is (cost + cost) / UNIT - base, rounded up.
+    Whoever the partner is, its cost is at least DEN * base, and DEN times the least size that may link. The partner of
+    one that is tied to S isn't tied, or the two are of one component; its cost is over NUM * base."""
+    least = F.greatest(DEN * F.ceil(DEN * F.col("n") / NUM), F.when(F.col("tied"), NUM * F.col("base") + 1).otherwise(DEN * F.col("base")))
+    return rows.withColumn("own", F.greatest(F.lit(1), _over(F.col("cost") + least) - F.col("base")))
+
+
+def _over(cost: F.Column) -> F.Column:
+    """cost / UNIT, rounded up; whole numbers throughout."""
+    return F.floor((cost + (UNIT - 1)) / UNIT)
+
+
+#: Kinds of lists: merged in full; few index entries, each of which meets all members; many, so that a hub is named.
+SHORT, WIDE, LONG = 0, 1, 2
+
+
+def _marked(entries: DataFrame, long_list: float) -> DataFrame:
+    """entries of lists with members of several components, with index, kind and others, the set's number of lists that
+    aren't short.
+
+    index: the first element that two sets share stands early in the one of less cost, among its first d - D + 1 for
+    the D of a partner that costs as much."""
+    alike = F.when(F.col("tied"), F.col("own")).otherwise(F.greatest(F.lit(1), _over(2 * F.col("cost")) - F.col("base")))
+    entries = entries.withColumn("index", F.col("at") <= F.col("d") - alike)
+    lists = entries.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k"), F.count_if("index").alias("i"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    kind = F.when(F.col("k") <= F.lit(long_list), SHORT).when(F.col("i") <= F.lit(long_list), WIDE).otherwise(LONG)
+    lists = C.written(lists.select("hub", "s", kind.alias("kind")), "lists")
+    own = W.partitionBy("hub", "uid")
+    return C.written(entries.join(lists, ["hub", "s"]).withColumn("others", F.count_if(F.col("kind") != SHORT).over(own)), "marked")
+
+
+def _merged(marked: DataFrame) -> DataFrame:
+    """Pairs of different components that enough lists have in common. One of two prefixes lies wholly before the
+    other's end, so what is shared beyond the lists is less than the larger `own`; the rest must be in the lists.
+    Short lists are counted; a wide one only shows pairs of which it can be the first list in common."""
+    names = ("uid", "n", "cost", "d", "own", "at", "comp", "others")
+    other = marked.select("hub", "s", "kind", *[F.col(c).alias(f"{c}_b") for c in names])
+    need = _over(F.col("cost") + F.col("cost_b")) - F.col("base")
+    least = need - F.greatest("own", "own_b") + 1 - F.least("others", "others_b")
+    fits = (F.col("comp") != F.col("comp_b")) & (F.least("n", "n_b") >= _needed(F.col("n"), F.col("n_b")))
+    first = (F.struct("cost", "uid") < F.struct("cost_b", "uid_b")) & (F.least(F.col("d") - F.col("at"), F.col("d_b") - F.col("at_b")) >= need)
+    meet = lambda kind, mine, which: mine.where(F.col("kind") == kind).join(other.where(F.col("kind") == kind).drop("kind"), ["hub", "s"]).where(fits & which)
+    pick = lambda df, k: df.select("hub", F.least("uid", "uid_b").alias("a"), F.greatest("uid", "uid_b").alias("b"), least.alias("least"), F.lit(k).alias("k"))
+    found = pick(meet(SHORT, marked, F.col("uid") < F.col("uid_b")), 1).union(pick(meet(WIDE, marked.where("index"), first), 0))
+    return found.groupBy("hub", "a", "b", "least").agg(F.sum("k").alias("k")).where("k >= least").select("a", "b").distinct()
+
+
+def _hubs(marked: DataFrame) -> DataFrame:
+    """Each member of a long list as `a` beside the list's hub as `b`."""
+    long_ = marked.where(F.col("kind") == LONG)
+    share = F.struct(F.col("others") / (F.col("d") - F.col("own") + 1), "uid")
+    hubs = C.written(long_.groupBy("hub", "s").agg(F.max_by("uid", share).alias("b")), "hubs")
+    return long_.join(hubs, ["hub", "s"]).where("uid != b").select(F.col("uid").alias("a"), "b").distinct()
+
+
+def _differences(rows: DataFrame, label) -> DataFrame:
+    """Entries of the differences' prefixes; rows are _differ's. Elements that only one component has come first, as no
+    pair that is looked for shares them, then the others, those of few differences first."""
+    each = label(rows).select("hub", "uid", "n", "base", "tied", (DEN * F.col("n") + UNIT * F.col("missing")).alias("cost"), F.size("others").cast("long").alias("d"), "comp", F.explode("others").alias("s"))
+    lists = each.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    each = _prefixed(each).join(C.written(lists.select("hub", "s", "k"), "lists"), ["hub", "s"])
+    own = W.partitionBy("hub", "uid")
+    at = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "s")) - 1
+    return each.withColumn("at", at).where("at <= d - own").drop("k")
 
 
 def row_key(id_: F.Column, text: F.Column) -> F.Column:
@@ -253,8 +333,9 @@ def link_documents(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that with the least id; all rows without shingles stay."""
     rows = C.written(link_rows(docs, id_col=id_col, text_col=text_col).select("row", "doc_id", "root"), "linked").where("root is not null")
-    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
-    gone = C.written(rows.join(keep, "root").where("row != k.row").select("row").distinct(), "gone")
+    # One of each root combines before its shuffle; rows meet it by their own key, so that no task gets a whole group.
+    keep = C.written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")).select("k.row").distinct(), "kept")
+    gone = C.written(rows.select("row").distinct().join(keep, "row", "left_anti"), "gone")
     again = C.written(rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row").join(gone, "row", "left_anti"), "again")
     key = row_key(docs[id_col], C.texts(docs, text_col))
     name = "uid_" + "_".join(docs.columns)  # no column of docs has it
@@ -281,27 +362,25 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     near = full.select("uid", "n", F.col("uid").alias("comp"), F.explode("anchors").alias("anchor")).distinct()
     links = verified(C.written(_stars(near, "anchor", 2), "pairs"), sets, texts)
-    mixed = lambda df: df.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("s")
-    label = lambda df: df.join(_few(labels), F.col("uid") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "uid")).drop("node", "label")
     labels = components(links)
-    lists = full.select("uid", "n", F.posexplode("prefix").alias("at", "s"))
-    entries = C.written(label(lists).join(_few(C.written(mixed(label(lists)), "open"), MAX_OPEN), "s", "left_semi").distinct(), "entries")
-    before = float("inf")
-    for _ in range(ROUNDS):
-        left = _long(entries).agg(F.sum("feasible").alias("pairs"), F.sum("k").alias("rows")).first()
-        # Rounds end when little is left, or when the last one didn't take much away.
-        if not left["pairs"] or left["pairs"] <= FEW * left["rows"] or left["pairs"] > 0.7 * before:
+    label = lambda df: df.join(_few(labels), F.col("uid") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "uid")).drop("node", "label")
+    first = full.select(F.lit(0).cast("long").alias("hub"), "uid", "n", F.lit(0).cast("long").alias("base"), F.lit(False).alias("tied"), (DEN * F.col("n")).alias("cost"), F.col("n").alias("d"), F.ceil(DEN * F.col("n") / NUM).alias("own"), F.posexplode("prefix").alias("at", "s"))
+    open_ = label(first.select("uid", "s")).groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("s")
+    entries = C.written(label(first).join(_few(C.written(open_, "open"), MAX_OPEN), "s", "left_semi").distinct(), "entries")
+    for level in range(LEVELS):
+        marked = _marked(entries, LONG_LIST if level < LEVELS - 1 else float("inf"))
+        links = C.written(links.union(verified(C.written(_merged(marked), "pairs"), sets, texts)), "links")
+        if not marked.where(F.col("kind") == LONG).limit(1).count():
             break
-        before = left["pairs"]
-        long_ = entries.join(_long(entries).select("s"), "s", "left_semi")
-        links = C.written(links.union(verified(C.written(_stars(long_, "s", 1), "pairs"), sets, texts)), "links")
+        members = _with_texts(C.written(_hubs(marked), "members"), sets, texts)
+        rows = C.written(members.mapInArrow(_differ, DIFFERENCE_TYPE), "differences")
+        links = C.written(links.union(rows.where("tied").select(F.col("uid").alias("a"), F.col("hub").alias("b"))), "links")
         labels = components(links)
-        now = label(entries.drop("comp"))
-        entries = C.written(now.join(mixed(now), "s", "left_semi"), "entries")
-    links = C.written(links.union(verified(C.written(_merged(entries), "pairs"), sets, texts)), "links")
+        entries = C.written(_differences(rows, label), "entries")
     labels = components(links)
     roots = sets.join(labels, F.col("uid") == F.col("node"), "left").select("uid", "least_id", F.coalesce("label", "uid").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    roots = C.written(roots, "roots")
+    ids = C.written(roots.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
     found = roots.join(ids, "root").select("uid", "root", "component_id")
     out = summary.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("uid")).alias("uid")).join(found, "uid", "left")
     return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .encode import Encoder, WordEnd, each_text, encoder
 
-#: Steps of the search for fewer sequences than the incumbent has; and fillings tried at each step.
-MAX_NODES, BRANCHES = 20_000, 4
+#: Steps of the search for fewer sequences than the incumbent has: fillings looked at, used or not.
+MAX_NODES = 20_000
 #: Pieces of one size are numbered within groups of about this many pieces, chosen by hash.
 GROUP_ROWS, MIN_GROUPS = 20_000, 64
 
@@ -51,116 +53,143 @@ def least_sequences(counts: np.ndarray, capacity: int) -> int:
     fit beside those over half (Martello and Toth)."""
     n = np.concatenate([np.cumsum(counts[::-1])[::-1], [0]])  # pieces of at least that size
     mass = np.concatenate([np.cumsum((counts * np.arange(capacity + 1))[::-1])[::-1], [0]])
-    best = -(-int(mass[0]) // capacity)
     half = capacity // 2 + 1
-    for k in range(1, capacity // 2 + 1):
-        alone = int(n[capacity - k + 1])
-        mid = int(n[half] - n[capacity - k + 1])
-        spare = mid * capacity - int(mass[half] - mass[capacity - k + 1])
-        small = int(mass[k] - mass[half])
-        best = max(best, alone + mid + max(0, -(-(small - spare) // capacity)))
-    return best
-
+    k = np.arange(1, capacity // 2 + 1)
+    over = capacity - k + 1
+    mid = n[half] - n[over]
+    spare = mid * capacity - (mass[half] - mass[over])
+    more = -((spare - (mass[k] - mass[half])) // capacity)
+    return max(-(-int(mass[0]) // capacity), int((n[over] + mid + np.maximum(0, more)).max(initial=0)))
+
+
+def _widened(sums: int, by: int) -> int:
+    """Sums as the bits of a number, each with the `by` numbers above it."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+def _dominated(filling: Counter, left: dict[int, int], slack: int) -> bool:
+    """Whether a piece that is left could stand in the place of some of the filling's, or beside them: then the filling
+    with it is at least as good, as what it gives back fits wherever that piece would have gone (Martello and Toth).
+    Two pieces or more may make way for one as long as they together, one or none only for a longer one."""
+    single = sum(1 << y for y in filling)
+    several, any_ = 0, 1  # sums of at least two, and of any number, as the bits of a number
+    for y, k in filling.items():
+        for _ in range(k):
+            several |= (any_ & ~1) << y | several << y
+            any_ |= any_ << y
+    free = sum(1 << x for x, k in left.items() if k > filling.get(x, 0))
+    longer = _widened((single | 1) << 1, slack - 1) if slack else 0
+    return bool(free & (longer | _widened(several, slack)))
+
+
+def fillings(counts: np.ndarray, largest: int, capacity: int) -> Iterator[Counter]:
+    """All undominated fillings of a sequence around a piece of size `largest`, the fullest first, of equal ones those
+    with longer pieces first. Dominated ones come as None, so that the caller can count them.
+
+    For each sum from the room downwards, pieces are added from the longest on; whether the rest of a sum can be made
+    of pieces up to some size is one bit of a number, so no branch is entered in vain."""
+    room = capacity - largest
+    left = {x: int(counts[x]) - (x == largest) for x in np.flatnonzero(counts[: room + 1]).tolist()}
+    sizes = sorted(x for x, k in left.items() if k)
+    reach = [1]  # by number of the shortest sizes: sums that they can make
+    for x in sizes:
+        sums, k, part = reach[-1], min(left[x], room // x), 1
+        while k:
+            part = min(part, k)
+            sums |= sums << part * x
+            k -= part
+            part *= 2
+        reach.append(sums & ((2 << room) - 1))
+
+    def made(upto: int, target: int, chosen: Counter) -> Iterator[Counter]:
+        """The ways to make the target of the first `upto` sizes, by a stack of its own: (sizes to look at, target, number to use of the last)."""
+        stack = [(upto, target, 0, 0)]
+        while stack:
+            at, want, size, used = stack.pop()
+            for x in [x for x in chosen if x < size]:
+                del chosen[x]
+            if size:
+                chosen[size] = used
+                if not used:
+                    del chosen[size]
+            if not want:
+                yield Counter({largest: 1}) + chosen
+                continue
+            at = min(at, bisect_right(sizes, want))
+            x = sizes[at - 1]
+            for k in range(min(left[x], want // x) + 1):  # the most on top of the stack
+                if reach[at - 1] >> (want - k * x) & 1:
+                    stack.append((at - 1, want - k * x, x, k))
 
-def fillings(counts: np.ndarray, largest: int, capacity: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a sequence around a piece of size `largest`, the fullest first.
-
-    While the room takes more than three of the largest pieces left, such pieces go in. Then: the largest single
-    piece that fits; for each piece, the largest second one, if the two fill more than the single; and where these
-    leave room, for each piece the best two beside it. A filling that fills no more than one of fewer pieces is
-    dominated."""
-    left = counts.copy()
-    left[largest] -= 1
-    room, base = capacity - largest, [largest]
-    while True:
-        fit = np.flatnonzero(left[1 : room + 1])
-        if not len(fit) or room <= 3 * (fit[-1] + 1):
-            break
-        size = int(fit[-1] + 1)
-        many = min(int(left[size]), max(1, room // size - 2))
-        base += [size] * many
-        left[size] -= many
-        room -= size * many
-    sizes = np.flatnonzero(left[1 : room + 1]) + 1
-    if not len(sizes):
-        return [tuple(base)]
-    floor_ = np.zeros(room + 1, np.int64)  # the largest size there is up to each room
-    floor_[sizes] = sizes
-    np.maximum.accumulate(floor_, out=floor_)
-
-    def pairs(room: int, short: int = 0) -> list[tuple[int, int, int]]:
-        """(sum, a, b) with a >= b > 0 for each a; short: a size of which one piece is used already."""
-        a = sizes[sizes < room]
-        b = np.minimum(floor_[room - a], a)
-        b = np.where((b == a) & (left[a] - (a == short) < 2), floor_[np.minimum(room - a, a - 1)], b)
-        ok = (b > 0) & (left[a] > (a == short)) & (left[b] > (b == short))
-        order = np.argsort(-(a + b)[ok], kind="stable")[:BRANCHES]
-        return [(int(x + y), int(x), int(y)) for x, y in zip(a[ok][order], b[ok][order])]
-
-    one = int(sizes[-1])
-    found = [(one, (one,))]
-    if one < room:
-        found += [(s, (a, b)) for s, a, b in pairs(room) if s > one]
-        full = max(s for s, _ in found)
-        if full < room:
-            for a in sizes[::-1].tolist():
-                if a * 3 < full:
-                    break
-                for s, b, c in pairs(room - a, a)[:1]:
-                    if a + s > full:
-                        found.append((a + s, (a, b, c)))
-                        full = a + s
-                if full == room:
-                    break
-    found.sort(key=lambda f: (-f[0], len(f[1]), [-x for x in f[1]]))
-    return [(*base, *f) for _, f in found[:BRANCHES]]
+    for target in range(room, -1, -1):
+        if reach[-1] >> target & 1:
+            for chosen in made(len(sizes), target, Counter()):
+                inner = chosen - Counter({largest: 1})
+                yield None if _dominated(inner, left, room - target) else chosen
 
 
 def plan_packing(counts: np.ndarray, capacity: int, max_nodes: int = MAX_NODES) -> Plan:
     """Bin completion, branch and bound, over the numbers of pieces by size.
 
-    A step takes the largest piece left, tries its undominated fillings, the fullest first, each as often as the
-    pieces allow, and goes on with the rest. The waste so far may not pass what the incumbent, at first best-fit
-    decreasing, would have with one sequence less. It ends at a lower bound, or after max_nodes steps with the incumbent."""
+    A step takes the largest piece left and tries its undominated fillings, the fullest first, each as often as the
+    pieces allow, and then once, so that any number of times is looked at. The waste so far may not pass what the
+    incumbent, at first best-fit decreasing, would have with one sequence less, nor may the bound for what is left
+    reach the incumbent; what was left once isn't searched again after as many sequences. It ends at the lower bound, when all is
+    searched, which proves the incumbent, or after max_nodes steps."""
     counts = np.asarray(counts, np.int64).copy()
     best = best_fit(counts, capacity)
     n_best, least = sum(n for _, n in best), least_sequences(counts, capacity)
     total = int((counts * np.arange(capacity + 1)).sum())
-    nodes, chosen = 0, []
-    stack: list[tuple[int, int, Iterator[tuple[int, ...]] | None]] = []  # (waste, sequences) before, and fillings to try
-    waste = used = 0
+    seen: dict[bytes, int] = {}
+    chosen: list[tuple[tuple[int, ...], int]] = []
+
+    def options() -> Iterator[tuple[Counter, int] | None]:
+        for need in fillings(counts, int(np.flatnonzero(counts)[-1]), capacity):
+            if need is None:
+                yield None
+                continue
+            n = min(int(counts[s]) // k for s, k in need.items())
+            yield need, n
+            if n > 1:
+                yield need, 1
 
-    def options() -> Iterator[tuple[int, ...]]:
-        there = np.flatnonzero(counts)
-        return iter(fillings(counts, int(there[-1]), capacity)) if len(there) else iter(())
+    def put(need: Counter, n: int) -> None:
+        for s, k in need.items():
+            counts[s] += k * n
 
-    stack.append((0, 0, options()))
+    nodes = 0
+    stack: list[tuple[int, int, Iterator]] = [(0, 0, options())] if counts.any() else []  # waste, sequences, fillings to try
     while stack and n_best > least and nodes < max_nodes:
         waste, used, tries = stack[-1]
-        sizes = next(tries, None)
-        if sizes is None:
+        option = next(tries, ())
+        nodes += 1
+        if option is None:
+            continue
+        if not option:
             stack.pop()
-            if chosen and len(chosen) >= len(stack) > 0:
-                done, n = chosen.pop()
-                for s, k in Counter(done).items():
-                    counts[s] += k * n
+            if chosen:
+                sizes, n = chosen.pop()
+                put(Counter(sizes), n)
             continue
-        nodes += 1
-        need = Counter(sizes)
-        n = min(int(counts[s]) // k for s, k in need.items())
-        waste += n * (capacity - sum(sizes))
+        need, n = option
+        waste, used = waste + n * (capacity - sum(s * k for s, k in need.items())), used + n
         if waste > (n_best - 1) * capacity - total:
             continue
-        for s, k in need.items():
-            counts[s] -= k * n
-        chosen.append((sizes, n))
+        put(need, -n)
+        state = hashlib.blake2b(counts.tobytes(), digest_size=16).digest()
         if not counts.any():
-            n_best, best = used + n, list(chosen)
-            done, n = chosen.pop()
-            for s, k in Counter(done).items():
-                counts[s] += k * n
+            n_best, best = used, [*chosen, (tuple(need.elements()), n)]
+        elif seen.get(state, n_best) > used and used + least_sequences(counts, capacity) < n_best:
+            seen[state] = used
+            chosen.append((tuple(need.elements()), n))
+            stack.append((waste, used, options()))
             continue
-        stack.append((waste, used + n, options()))
+        put(need, n)
     return best
 
 

@@ -16,11 +16,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(_docs(spark, sf_dir))
     of = lambda kind: F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("long")
     live = lambda yes: F.size(F.filter("found", lambda x: x["live"] if yes else ~x["live"])).cast("long")
+    most = lambda what: F.coalesce(F.array_max(F.transform("found", lambda x: x[what])), F.lit(0)).cast("long")
     return out.select(
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         F.sha2(F.concat_ws(",", "base").cast("binary"), 256).alias("base_sha256"),
         in_order(F.transform("found", lambda x: x["span"])).alias("spans"),
-        live(True).alias("n_live"), live(False).alias("n_copied"),
+        live(True).alias("n_live"), live(False).alias("n_copied"), most("owners").alias("most_owners"), most("repositories").alias("most_repositories"),
     )
 
 

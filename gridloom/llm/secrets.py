@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,15 +27,16 @@ FURTHER = {
     "mixed": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"),
 }
 KINDS = ("assign", "access", "hex", *FURTHER)
-#: A value that at most so many owners have counts as theirs; one that more have is an example that is widely copied.
-MAX_OWNERS = 2
+#: A value that at most so many owners have, in at most so many repositories, counts as theirs; one that more owners or
+#: more repositories have is an example that is widely copied.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 10
 #: Bits a character that a "mixed" run of letters and digits must have.
 MIN_BITS = 3.5
 
 #: Rows of the table of spans that are broadcast at most.
 MAX_BROADCAST = 50_000
 
-SCAN_TYPE = "uid long, key long, doc_id long, owner string, base array<string>, value array<string>, span array<string>"
+SCAN_TYPE = "uid long, key long, doc_id long, owner string, repository long, base array<string>, value array<string>, span array<string>"
 
 
 def _bits(s: str) -> float:
@@ -49,27 +51,38 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def _covered(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
-    for s, e in sorted(t for t in taken if start < t[1] and t[0] < end):
-        if s > start:
-            return False
-        start = max(start, e)
-    return start >= end
+class Covered:
+    """The places that spans cover, as disjoint runs in order; runs that touch are one."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            self.add(s, e)
+
+    def has(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start) - 1
+        return i >= 0 and self.ends[i] >= end
+
+    def add(self, start: int, end: int) -> None:
+        i, j = bisect_left(self.ends, start), bisect_right(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
 
 
 def further_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
     """Candidates of the further kinds that reach beyond the base spans and the candidates of earlier kinds."""
-    taken = [(s, e) for s, _, e, _ in base]
+    taken = Covered([(s, e) for s, _, e, _ in base])
     found = []
     for k, (kind, pattern) in enumerate(FURTHER.items(), 3):
         for m in pattern.finditer(text):
             value = m.group(m.lastindex or 0)
             if kind == "mixed" and not (re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value) and _bits(value) >= MIN_BITS):
                 continue
-            if _covered(m.start(), m.end(), taken):
-                continue
-            taken.append((m.start(), m.end()))
-            found.append((m.start(), k, m.end(), value))
+            if not taken.has(*m.span()):
+                taken.add(*m.span())
+                found.append((m.start(), k, m.end(), value))
     return found
 
 
@@ -87,15 +100,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["value"].append([hashlib.sha256(s[3].encode("utf-8", "surrogatepass")).hexdigest() for s in base + more])
             out["span"].append([span_text([s]) for s in base + more])
         lists = [pa.array(out[n], pa.list_(pa.string())) for n in ("base", "value", "span")]
-        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("key"), b.column("doc_id"), b.column("owner"), *lists], ["uid", "key", "doc_id", "owner", "base", "value", "span"])
+        as_is = ["uid", "key", "doc_id", "owner", "repository"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, as_is), *lists], [*as_is, "base", "value", "span"])
 
 
 def ownership(scan: DataFrame) -> DataFrame:
-    """value -> owners, repositories, occurrences: how many different ones have it.
+    """value -> owners, repositories, occurrences: how many different ones have it. An owner's equal texts are one repository.
 
     Two steps, each combined before its shuffle: a value that a third of the rows have is a row an owner and task."""
-    each = scan.select("owner", "doc_id", F.explode("value").alias("value"))
-    by_repo = each.groupBy("value", "owner", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    each = scan.select("owner", "repository", F.explode("value").alias("value"))
+    by_repo = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_repo.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
     return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
 
@@ -120,22 +134,22 @@ def without_secrets(docs: DataFrame, *, mark: str = "[SECRET]", id_col: str = "d
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, key (hash of id and text), base (array of kind:start:end), found (array of struct span, value, owners, repositories, live, is_base).
 
-    The owner is owner_col, the repository the document. Every text is scanned whole. Base spans all stay in `found`;
-    a further candidate is added where its value is live-looking: at most max_owners owners have it. live says the
-    same of base spans. Null text is empty, a null owner is one owner, repeated rows are rows of their own, an empty
+    The owner is owner_col, the repository the document, an owner's equal texts being copies of one. Every text is
+    scanned whole. Base spans all stay in `found`; a further candidate is added where its value is live-looking: at most
+    max_owners owners have it, in at most max_repositories repositories. live says the same of base spans. Null text is empty, a null owner is one owner, repeated rows are rows of their own, an empty
     table gives no rows; other columns are ignored.
     Plan: the texts are scanned once, to a table without them; values are counted by (value, owner, document), then
     joined back by value, which Spark splits where one value is hot, and gathered by row."""
     C.require(docs, id_col, text_col, owner_col)
-    given = docs.select(F.monotonically_increasing_id().alias("uid"), _key(docs, id_col, text_col).alias("key"), docs[id_col].cast("long").alias("doc_id"), docs[owner_col].cast("string").alias("owner"), C.texts(docs, text_col).alias("text"))
+    given = docs.select(F.monotonically_increasing_id().alias("uid"), _key(docs, id_col, text_col).alias("key"), docs[id_col].cast("long").alias("doc_id"), docs[owner_col].cast("string").alias("owner"), F.xxhash64(C.texts(docs, text_col)).alias("repository"), C.texts(docs, text_col).alias("text"))
     scan = C.written(given.mapInArrow(_scan, SCAN_TYPE), "scan")
     owned = ownership(scan.where(F.size("value") > 0))
     each = scan.where(F.size("value") > 0).select("uid", F.posexplode(F.arrays_zip("value", "span", F.sequence(F.lit(1), F.size("value")).alias("at"))).alias("i", "c"), F.size("base").alias("n_base"))
     each = each.select("uid", F.col("c.value").alias("value"), F.col("c.span").alias("span"), (F.col("i") < F.col("n_base")).alias("is_base"), "i")
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     each = each.join(owned, "value").where(F.col("is_base") | live)
     found = each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("i", "span", "value", "owners", "repositories", live.alias("live"), "is_base"))).alias("found"))
     out = scan.select("uid", "key", "doc_id", "base").join(found, "uid", "left")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import pixels as P
+from ..store import written as _written
+
+#: Pixels of a line in one number; side of the cells through which regions meet pixels.
+BITS, CELL = 64, 64
 
 
 def difference(pair: DataFrame) -> DataFrame:
@@ -56,10 +58,48 @@ def dilate(mask: DataFrame, height: int, width: int, ys: range = range(-1, 2), x
     return _around(mask, ys, xs).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).distinct()
 
 
+def words(mask: DataFrame) -> DataFrame:
+    """scene, y, w, b: the mask as numbers of BITS pixels of a line each; numbers of none are left out."""
+    bit = F.expr(f"shiftleft(1L, cast(x % {BITS} as int))")
+    return mask.groupBy("scene", "y", F.floor(F.col("x") / BITS).cast("int").alias("w")).agg(F.bit_or(bit).alias("b"))
+
+
+def pixels_of(w: DataFrame) -> DataFrame:
+    """scene, y, x of the bits that are set."""
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.expr("b").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    return w.select("scene", "y", F.explode(F.transform(set_, lambda i: (F.col("w") * BITS + i).cast("int"))).alias("x"))
+
+
+def _square(w: DataFrame, height: int, width: int, grow: bool) -> DataFrame:
+    """The 3 x 3 erosion or dilation of words. Each number goes to the lines above and below, and the bits at its ends
+    to the numbers beside it: nine rows for BITS pixels, combined before the one shuffle. What lies outside is not in the mask."""
+    last = (width - 1) // BITS
+    parts = [F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw"), F.expr(bits).alias("v")) for dy in (-1, 0, 1) for dw, bits in ((-1, f"shiftleft(b, {BITS - 1})"), (0, "b"), (1, f"shiftrightunsigned(b, {BITS - 1})"))]
+    rows = w.select("scene", "y", "w", F.explode(F.array(*parts)).alias("p")).where("p.v != 0")
+    rows = rows.select("scene", (F.col("y") + F.col("p.dy")).cast("int").alias("y"), (F.col("w") + F.col("p.dw")).cast("int").alias("w"), "p.*")
+    rows = rows.where(F.col("y").between(0, height - 1) & F.col("w").between(0, last))
+    found = rows.groupBy("scene", "y", "w").agg(*[F.coalesce(F.bit_or(F.when((F.col("dy") == dy) & (F.col("dw") == dw), F.col("v"))), F.lit(0).cast("long")).alias(f"v{i}{j}") for i, dy in enumerate((-1, 0, 1)) for j, dw in enumerate((-1, 0, 1))])
+
+    def line(i: int) -> Column:
+        # From the number on the left came its last bit, which stands at 0 here; from the one on the right its first, at the end.
+        own, left, right = (f"v{i}{j}" for j in (1, 2, 0))
+        low, high = f"(shiftleft({own}, 1) | {left})", f"(shiftrightunsigned({own}, 1) | {right})"
+        return F.expr(f"{own} | {low} | {high}" if grow else f"{own} & {low} & {high}")
+
+    join = Column.bitwiseOR if grow else Column.bitwiseAND
+    out = join(join(line(0), line(1)), line(2))
+    inside = (1 << ((width - 1) % BITS + 1)) - 1
+    inside = inside - (1 << 64) if inside >> 63 else inside
+    out = F.when(F.col("w") == last, out.bitwiseAND(F.lit(inside).cast("long"))).otherwise(out)
+    return found.select("scene", "y", "w", out.alias("b")).where("b != 0")
+
+
 def opened_closed(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """WIN2: 3 x 3 opening, then closing. Only foreground rows are shuffled."""
-    m = mask.select("scene", "y", "x")
-    return erode(dilate(dilate(erode(m), height, width), height, width))
+    """WIN2: 3 x 3 opening, then closing, on numbers of BITS pixels."""
+    w = words(mask)
+    for grow in (False, True, True, False):
+        w = _square(w, height, width, grow)
+    return pixels_of(w)
 
 
 def opened_2x2(mask: DataFrame, height: int, width: int) -> DataFrame:
@@ -68,16 +108,6 @@ def opened_2x2(mask: DataFrame, height: int, width: int) -> DataFrame:
     return dilate(erode(m, range(0, 2), range(0, 2)), height, width, range(0, 2), range(0, 2)).intersect(m)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/gridloom").rstrip("/")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{checkpoint_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(mask: DataFrame, width: int) -> DataFrame:
     """WIN4: scene, y, x, label of four-connected components, numbered from 1 in raster order of their first pixel.
 
@@ -100,7 +130,9 @@ def components(mask: DataFrame, width: int) -> DataFrame:
         labels = new.select("scene", "id", "label")
         if new.where("was != label").limit(1).count() == 0:
             break
-    out = runs.join(labels, ["scene", "id"]).withColumn("label", F.dense_rank().over(W.partitionBy("scene").orderBy("label")))
+    # Numbers go to the labels alone, of which there are as many as components.
+    numbers = _written(labels.select("scene", "label").distinct().withColumn("number", F.row_number().over(W.partitionBy("scene").orderBy("label"))), "numbers")
+    out = runs.join(labels, ["scene", "id"]).join(numbers, ["scene", "label"]).withColumn("label", F.col("number"))
     return out.select("scene", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
 
 
@@ -110,7 +142,10 @@ def regions(labelled: DataFrame, diff: DataFrame, *, least: int = 16, most: int
     r = labelled.groupBy("scene", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.count(F.lit(1)).alias("pixels"))
     order = [F.desc("pixels"), F.col("label")] if by_area else [F.col("label")]
     r = r.withColumn("rank", F.row_number().over(W.partitionBy("scene").orderBy(*order))).where((F.col("rank") <= most) & (F.col("pixels") >= least))
-    inside = r.join(diff.select("scene", "y", "x", "d"), "scene").where("y >= y0 and y < y1 and x >= x0 and x < x1")
+    # Regions and pixels meet in coarse cells, so a pixel sees the regions near it only.
+    cut = lambda c: F.floor(F.col(c) / CELL)
+    cells = r.withColumn("cy", F.explode(F.sequence(cut("y0"), F.floor((F.col("y1") - 1) / CELL)))).withColumn("cx", F.explode(F.sequence(cut("x0"), F.floor((F.col("x1") - 1) / CELL))))
+    inside = cells.join(diff.select("scene", "y", "x", "d", cut("y").alias("cy"), cut("x").alias("cx")), ["scene", "cy", "cx"]).where("y >= y0 and y < y1 and x >= x0 and x < x1")
     mean = inside.groupBy("scene", "label").agg(F.round(F.avg("d"), 4).alias("mean_d"))
     return r.drop("rank").join(mean, ["scene", "label"])
 

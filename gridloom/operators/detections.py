@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..store import written
 
 _xy = lambda x: (x["x0"], x["y0"], x["x1"], x["y1"])
 
@@ -23,15 +24,48 @@ def pair_iou(boxes: DataFrame) -> DataFrame:
     return j.select("image", F.col("ord").alias("i"), F.col("ord_b").alias("j"), score.alias("iou")).where("iou > 0")
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """JN6: greedy suppression by score, ties by ord: an image's boxes folded in order, a box joining those kept unless it
-    overlaps one. Images are independent; an image's boxes are one group, as greedy order asks for."""
+#: An image of more boxes isn't gathered in one row.
+MAX_BOXES = 2_000
+BOX = ["image", "ord", "x0", "y0", "x1", "y1", "score"]
+
+
+def suppress(boxes: DataFrame, threshold: float = 0.70, max_boxes: int = MAX_BOXES) -> DataFrame:
+    """JN6: greedy suppression by score, ties by ord. An image's boxes are folded in order, a box joining those kept
+    unless it overlaps one; images of more than max_boxes go through _suppress_in_rounds, with the same result."""
+    rows = boxes.select(*BOX)
+    many = rows.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_boxes).select("image")
+    if not many.limit(1).count():
+        return _suppress_in_place(rows, threshold)
+    many = written(many, "many")
+    return _suppress_in_place(rows.join(many, "image", "left_anti"), threshold).union(_suppress_in_rounds(rows.join(many, "image", "left_semi"), threshold))
+
+
+def _suppress_in_place(boxes: DataFrame, threshold: float) -> DataFrame:
     item = F.struct((-F.col("score")).alias("k"), "ord", "x0", "y0", "x1", "y1", "score")
     sorted_ = boxes.groupBy("image").agg(F.sort_array(F.collect_list(item)).alias("all"))
     kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda acc, b: F.when(F.exists(acc, lambda k: B.iou(_xy(b), _xy(k)) >= threshold), acc).otherwise(F.concat(acc, F.array(b))))
     return sorted_.select("image", F.explode(kept).alias("b")).select("image", "b.ord", "b.x0", "b.y0", "b.x1", "b.y1", "b.score")
 
 
+def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Of the boxes left, those that overlap no better one stay, and what overlaps them goes; and so on. Only overlapping
+    pairs are looked at; a round is a written table, and their number is that of the longest chain of ever better boxes."""
+    boxes = written(boxes.select(*BOX), "boxes")
+    rank = boxes.select("image", "ord", F.struct(-F.col("score"), F.col("ord")).alias("r"))
+    pairs = pair_iou(boxes).where(F.col("iou") >= threshold).select("image", "i", "j")
+    pairs = pairs.join(rank.toDF("image", "i", "ri"), ["image", "i"]).join(rank.toDF("image", "j", "rj"), ["image", "j"])
+    better = written(pairs.select("image", F.when(F.col("ri") < F.col("rj"), F.col("i")).otherwise(F.col("j")).alias("up"), F.when(F.col("ri") < F.col("rj"), F.col("j")).otherwise(F.col("i")).alias("ord")), "better")
+    left, kept = boxes.select("image", "ord"), boxes.select("image", "ord").limit(0)
+    while True:
+        open_ = better.join(left, ["image", "ord"], "left_semi").join(left.withColumnRenamed("ord", "up"), ["image", "up"], "left_semi")
+        top = written(left.join(open_, ["image", "ord"], "left_anti"), "top")
+        kept = written(kept.union(top), "kept")
+        gone = better.join(top.withColumnRenamed("ord", "up"), ["image", "up"], "left_semi").select("image", "ord")
+        left = written(left.join(top.union(gone), ["image", "ord"], "left_anti"), "left")
+        if not left.limit(1).count():
+            return boxes.join(kept, ["image", "ord"], "left_semi").select(*BOX)
+
+
 def processed(boxes: DataFrame, w: float = 512.0, h: float = 512.0, least: float = 16.0) -> DataFrame:
     """CMP8: clamp, drop small and unsound boxes, mark degenerate ones, suppress."""
     raw = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))

@@ -58,3 +58,25 @@ def metric_area(pixels: Column, a: Column, e: Column) -> tuple[Column, Column]:
     """MAP22. Square metres, two decimals, and hectares, four."""
     m2 = pixels * F.abs(a) * F.abs(e)
     return F.round(m2, 2), F.round(m2 / 10_000.0, 4)
+
+
+def oriented_to_axis(corners: Column, w: float, h: float) -> Column:
+    """MAP17. An array of four corners x, y, x, y, ... in 0..1 as xmin, ymin, xmax, ymax in pixels, one decimal."""
+    unit = F.transform(corners, lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+    xs, ys = F.filter(unit, lambda _, i: i % 2 == 0), F.filter(unit, lambda _, i: i % 2 == 1)
+    return F.array(*[F.round(f(c) * size, 1) for f in (F.array_min, F.array_max) for c, size in ((xs, w), (ys, h))])
+
+
+def padded_crop(x0: Column, y0: Column, x1: Column, y1: Column, w: int, h: int, share: float = 0.15, least: float = 10.0) -> tuple[Column, Column, Column, Column, Column]:
+    """MAP19. The box with `share` of its sides added, `least` pixels at least, in the image; and whether it is large enough."""
+    px, py = F.greatest(F.lit(least), share * (x1 - x0)), F.greatest(F.lit(least), share * (y1 - y0))
+    a, b = F.floor(F.greatest(F.lit(0.0), x0 - px)), F.floor(F.greatest(F.lit(0.0), y0 - py))
+    c, e = F.floor(F.least(F.lit(float(w)), x1 + px)), F.floor(F.least(F.lit(float(h)), y1 + py))
+    return a, b, c, e, (c - a >= least) & (e - b >= least)
+
+
+def centre_crop(y: Column, x: Column, height: int, width: int, side: int) -> tuple[Column, Column, Column]:
+    """MAP23. Whether a pixel is in the square about the centre, and its line and column there."""
+    top, left = max(0, (height - side) // 2), max(0, (width - side) // 2)
+    inside = (y >= top) & (y < min(height, top + side)) & (x >= left) & (x < min(width, left + side))
+    return inside, (y - top).cast("int"), (x - left).cast("int")

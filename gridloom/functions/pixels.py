@@ -75,3 +75,9 @@ def classify(r, g, b, exg, lightness, blue_ratio, red_ratio, sar, rough) -> tupl
     for cond, name, p in reversed(rules):
         label, prob = F.when(cond, name).otherwise(label), F.when(cond, p).otherwise(prob)
     return label, prob
+
+
+def token_confidence(logits: Column) -> Column:
+    """MAP24. Mean over tokens of the largest softmax probability; logits is an array of arrays."""
+    top = F.transform(logits, lambda t: 1.0 / F.aggregate(F.transform(t, lambda z: F.exp(z - F.array_max(t))), F.lit(0.0), lambda s, z: s + z))
+    return F.aggregate(top, F.lit(0.0), lambda s, z: s + z) / F.size(top)

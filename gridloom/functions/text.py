@@ -133,3 +133,46 @@ def stable_id(prefix: str, *keys: Column) -> Column:
 def hash_order(seed: str, key: Column) -> Column:
     """WIN10, WIN11. What a seeded shuffle sorts by."""
     return F.sha2(F.concat(F.lit(seed), key.cast("string")).cast("binary"), 256)
+
+
+# Directions of change, roots of class names, and words that tell a scene's domain.
+DIRECTIONS = ["increased", "decreased", "no_change", "modified"]
+
+
+def semantic_validation(direction: Column, changed_px: Column, from_: Column, to: Column, confidence: Column, classes: list[str]) -> Column:
+    """STR4. struct(direction, uncertain, confidence, uncertainty): a direction that isn't known, or no change beside many
+    changed pixels, is `modified`; an unknown class or one that stays the same is uncertain, which caps the confidence."""
+    ok = F.when(~direction.isin(DIRECTIONS) | direction.isNull() | ((direction == "no_change") & (changed_px > 500)), "modified").otherwise(direction)
+    unsure = F.coalesce(~from_.isin(classes) | (from_ == to), F.lit(True))
+    sure = F.when(unsure, F.least(confidence, F.lit(0.60))).otherwise(confidence)
+    return F.struct(ok.alias("direction"), unsure.alias("uncertain"), sure.alias("confidence"), F.round(1.0 - sure, 4).alias("uncertainty"))
+
+
+def change_narrative(px: Column, parts: Column, m2_per_px: float) -> Column:
+    """STR14."""
+    said = F.format_string("%d px changed over %d parts (%.2f ha).", px, parts, px * m2_per_px / 10000.0)
+    return F.when(px == 0, "No change was found.").otherwise(said)
+
+
+def fusion_narrative(built: Column, water: Column) -> Column:
+    """STR14, CMP6."""
+    return F.format_string("Both sensors together show %d pixels of buildings, by double bounce, and %d of open water, by its smooth surface.", built, water)
+
+
+def scene_questions(scene: Column, kinds: Column, absent: Column, crs: Column) -> Column:
+    """STR15. Questions and answers of a scene's annotations: what it is, what is there, what isn't, and its map grid.
+    An array of struct(family, question, answer); those without an annotation are left out."""
+    qa = lambda family, q, a, cond: F.when(cond, F.struct(F.lit(family).alias("family"), q.alias("question"), a.alias("answer")))
+    first = F.get(kinds, F.lit(0))
+    return F.array_compact(F.array(
+        qa("scene", F.format_string("What does scene %s show?", scene), F.concat_ws(", ", kinds), F.size(kinds) > 0),
+        qa("inventory", F.format_string("How many kinds are there in scene %s?", scene), F.size(kinds).cast("string"), F.size(kinds) > 0),
+        qa("presence", F.format_string("Is there %s in scene %s?", first, scene), F.lit("yes"), F.size(kinds) > 0),
+        qa("hard_negative", F.format_string("Is there %s in scene %s?", absent, scene), F.lit("no"), absent.isNotNull() & ~F.array_contains(kinds, absent)),
+        qa("crs", F.format_string("Which map grid has scene %s?", scene), crs, crs.isNotNull()),
+    ))
+
+
+def spatial_summary(sensor: Column, crs: Column, width: Column, height: Column) -> Column:
+    """SRC4. A raster in a line, with words for what is missing."""
+    return F.concat_ws(", ", F.coalesce(sensor, F.lit("unknown sensor")), F.coalesce(crs, F.lit("no CRS")), F.when(width.isNotNull() & height.isNotNull(), F.format_string("%d x %d px", width, height)).otherwise("size unknown"))

@@ -1,10 +1,12 @@
-"""Phase correlation of image pairs (numpy, one pair a task group) and the pair normaliser."""
+"""Phase correlation of image pairs (numpy, one pair a task group), the pair normaliser, resizing and tiles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHIFT = "scene long, dy int, dx int, peak double, psr double, ncc double, consensus double, score double"
@@ -51,3 +53,39 @@ def pair_score(shift: DataFrame, overlap: DataFrame) -> DataFrame:
     score = F.when(F.col("share").isNotNull(), F.greatest(F.lit(0.10), 0.5 * F.col("score") + 0.5 * F.col("share"))).otherwise(F.col("score"))
     grade = F.when(score >= 0.85, "excellent").when(score >= 0.70, "good").when(score >= 0.35, "moderate").otherwise("poor")
     return s.select("scene", "dy", "dx", F.round(score, 4).alias("score"), grade.alias("grade"))
+
+
+def _weights(n: int, m: int) -> Column:
+    """For target places `i` of m over n source places: array of struct(s, k), the triangle's weights about the centre.
+    Smaller targets widen the triangle, so that every source place counts."""
+    scale = n / m
+    wide = max(1.0, scale)
+    centre = (F.col("i") + 0.5) * scale
+    low, high = F.greatest(F.lit(0), F.floor(centre - wide + 0.5)), F.least(F.lit(n), F.floor(centre + wide + 0.5))
+    k = lambda s: F.greatest(F.lit(0.0), 1.0 - F.abs((s + 0.5 - centre) / wide))
+    return F.transform(F.sequence(low, high - 1), lambda s: F.struct(s.cast("int").alias("s"), k(s).alias("k")))
+
+
+def resize_bilinear(img: DataFrame, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """MAP9: scene, y, x, v of images of one size at another, by a triangle over columns, then over lines, each rounded to
+    whole numbers. Each target place takes few source places: two equi-joins with tables as long as an image's side."""
+    spark = img.sparkSession
+    rows = img.select("scene", "y", "x", "v")
+    for axis, other, n, m in (("x", "y", size[1], target[1]), ("y", "x", size[0], target[0])):
+        table = spark.range(m).select(F.col("id").cast("int").alias("i")).select("i", F.explode(_weights(n, m)).alias("w")).select("i", F.col("w.s").alias(axis), F.col("w.k").alias("k"))
+        rows = rows.join(F.broadcast(table), axis).groupBy("scene", other, "i").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("v"))
+        rows = rows.select("scene", other, F.col("i").alias(axis), F.floor(F.round("v", 9) + 0.5).alias("v"))
+    return rows.select("scene", "y", "x", "v")
+
+
+def tile_starts(length: int, tile: int) -> list[int]:
+    """WIN7. Where tiles begin; the last one ends at the edge."""
+    return [max(0, min(at + tile, length) - tile) for at in range(0, length, tile)]
+
+
+def tiled(img: DataFrame, height: int, width: int, tile: int, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """WIN7: scene, y, x, v. The model gets each tile's pixels (scene, ty, tx and img's columns) and gives a value `v` for
+    each; where tiles overlap, the values are averaged."""
+    starts = lambda c, n: F.explode(F.filter(F.lit(tile_starts(n, tile)), lambda s: (F.col(c) >= s) & (F.col(c) < s + tile)))
+    out = model(img.withColumn("ty", starts("y", height)).withColumn("tx", starts("x", width)))
+    return out.groupBy("scene", "y", "x").agg(F.avg("v").alias("v"))

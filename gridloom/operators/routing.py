@@ -156,3 +156,11 @@ def cross_modal_issue(m1: Column, m2: Column, crs1: Column, crs2: Column, share:
     optical = lambda m: m.isin("optical", "multispectral")
     ok = (optical(m1) & (m2 == "sar")) | ((m1 == "sar") & optical(m2))
     return F.coalesce(F.when(crs1.isNull() | crs2.isNull(), "no_crs"), F.when(~ok, "not_optical_and_sar"), F.when(share < 0.20, "low_overlap")), ok & (m1 == "sar")
+
+
+REQUEST_TYPE = "request long, query string, t1 string, t2 string, hint string"
+
+
+def requests_of(df: DataFrame, body: str) -> DataFrame:
+    """SRC5: request, query, t1, t2, hint of each JSON body, one row a request; t2 and hint may be missing."""
+    return df.select(F.from_json(body, REQUEST_TYPE).alias("r")).select("r.*")

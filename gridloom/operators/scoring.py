@@ -148,3 +148,48 @@ def calibration(df: DataFrame, p: str = "p", y: str = "y", bins: int = 5) -> Dat
     """AGG19: Brier score and the measured expected calibration error over equal bins."""
     b = df.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my"), F.sum((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("se"))
     return b.agg(F.round(F.sum("se") / F.sum("n"), 6).alias("brier"), F.round(F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
+
+
+def changed(px: Column, ratio_pct: Column) -> Column:
+    """FLT17. Whether a scenario counts as changed."""
+    return (ratio_pct >= 1.0) & (px > 100)
+
+
+def insufficient(task: Column, regions: Column, degenerate: Column) -> tuple[Column, Column]:
+    """CON8. The rule that is broken, null if none, and whether the evidence is insufficient: no region where regions are
+    asked for, or one that is degenerate."""
+    none = task.isin("grounding", "optical_sar_analysis") & (F.coalesce(regions, F.lit(0)) == 0)
+    bad = (task == "grounding") & (F.coalesce(degenerate, F.lit(0)) > 0)
+    return F.when(none, "C8_INSUFFICIENT_EVIDENCE").when(bad, "C8_DEGENERATE_DETECTION"), none
+
+
+def needs_grid(query: Column, crs: Column) -> Column:
+    """CON8. Whether a measure is asked for that needs a map grid which isn't there."""
+    return F.lower(query).rlike("area|hectare|meter|size|distance") & crs.isNull()
+
+
+def latencies(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """AGG13, WIN12: by key, of all but its first sample by `order` (the cold start): mean, median, p95, low, high. The
+    first one is found by an aggregate, so that no key is one window; keys are few, and their table is broadcast."""
+    cold = df.groupBy(key).agg(F.min(order).alias(order))
+    warm = df.join(F.broadcast(cold), [key, order], "left_anti")
+    return warm.groupBy(key).agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.median(value), 4).alias("median"), F.round(F.percentile(value, F.lit(0.95)), 4).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def failure_distribution(df: DataFrame, kind: str, order: str) -> DataFrame:
+    """AGG14: kind, n, primary: the kinds of failure, and which is the most frequent, the earlier by `order` of equal ones."""
+    n = df.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    top = n.agg(F.max_by("kind", F.struct("n", -F.col("first"))).alias("top"))
+    return n.join(F.broadcast(top), F.lit(True)).select("kind", "n", (F.col("kind") == F.col("top")).alias("primary"))
+
+
+def format_matrix(df: DataFrame) -> DataFrame:
+    """AGG17 over formats, correct, misaligned, false_positive: counts and accuracy by format."""
+    out = df.groupBy("formats").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("correct"), F.count_if("misaligned").alias("misaligned"), F.count_if("false_positive").alias("false_positives"))
+    return out.withColumn("accuracy_pct", F.round(F.col("correct") / F.col("n") * 100.0, 2))
+
+
+def bce_dice(df: DataFrame, *keys: str, p: str = "p", y: str = "y") -> DataFrame:
+    """AGG21: binary cross entropy and soft Dice loss of probabilities against 0 or 1."""
+    bce = -F.avg(F.col(y) * F.ln(p) + (1 - F.col(y)) * F.ln(1 - F.col(p)))
+    return df.groupBy(*keys).agg(F.round(bce, 6).alias("bce"), F.round(1 - (2 * F.sum(F.col(p) * F.col(y)) + 1) / (F.sum(p) + F.sum(y) + 1), 6).alias("dice"))

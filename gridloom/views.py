@@ -28,6 +28,13 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, ["scene", "y", "x"])
 
 
+def changed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair with a block of the second time raised in three of four scenes, its place varying with the scene: what is to be found."""
+    y, x, n = F.col("y"), F.col("x"), F.col("scene")
+    block = (n % 4 != 0) & (y >= 8 + n % 7) & (y < 28 + n % 9) & (x >= 2 + n % 3) & (x < 12)
+    return pair(spark, sf_dir).withColumn("b", F.when(block, F.transform("b", lambda v: v + 1.5)).otherwise(F.col("b")))
+
+
 def optical_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene, y, x, r, g, b, sar in 0..1: bands 0 to 2 and 3 of time 0, rescaled."""
     u = lambda i: (F.get("bands", F.lit(i)) + 1.0) / 2.0
@@ -44,6 +51,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "px": "px as (select vec_id // 100 as scene, (vec_id % 2)::int as t, ((vec_id // 2) % 50)::int as y, x.x::int as x, list_transform(embedding[x.x * 4 + 1 : x.x * 4 + 4], lambda z: z::double) as bands from embeddings, (select unnest(range(16)) as x) x)",
     "pair": "pair as (select p.scene, p.y, p.x, p.bands as a, q.bands as b from px p join px q using (scene, y, x) where p.t = 0 and q.t = 1)",
+    "cpair": "cpair as (select scene, y, x, a, case when scene % 4 <> 0 and y >= 8 + scene % 7 and y < 28 + scene % 9 and x >= 2 + scene % 3 and x < 12 then list_transform(b, lambda z: z + 1.5::double) else b end as b from pair)",
     "os": "os as (select scene, y, x, (bands[1] + 1.0::double) / 2.0::double as r, (bands[2] + 1.0::double) / 2.0::double as g, (bands[3] + 1.0::double) / 2.0::double as b, (bands[4] + 1.0::double) / 2.0::double as sar from px where t = 0)",
     "bx": "bx as (select l_orderkey as image, l_linenumber as ord, (l_partkey % 400)::double as x0, (l_suppkey * 37 % 400)::double as y0, (l_partkey % 400) + l_quantity * 4 as x1, (l_suppkey * 37 % 400) + l_quantity * 3 as y1, l_discount as score from lineitem)",
 }
@@ -51,6 +59,6 @@ SQL = {
 
 def with_views(*names: str) -> str:
     """A WITH clause of the views; a query's own may follow after a comma."""
-    need = {"pair": ["px", "pair"], "os": ["px", "os"]}
+    need = {"pair": ["px", "pair"], "cpair": ["px", "pair", "cpair"], "os": ["px", "os"]}
     order = [v for n in names for v in need.get(n, [n])]
     return "with " + ", ".join(SQL[v] for v in dict.fromkeys(order))

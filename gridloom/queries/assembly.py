@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..functions import pixels as PX
+from ..functions import text as T
 from ..operators import alignment as A
-from ..operators import change as CH
 from ..operators import evidence as E
-from ..operators import routing as R
 from ..operators import scoring as S
+from ..plans import executor as X
 from ..plans import registry as P
+from . import imagery as I
+from . import language as L
 from . import query
 from .language import QUESTIONS
 
@@ -30,10 +33,24 @@ def pln1(spark, d):
     return P.plan(r).select(F.col("query").cast("long").alias("request"), F.col("step").cast("int").alias("step"), "name")
 
 
-@query("udf1_udf5_unavailable_models", "select o_orderkey as request, 'unavailable' as status from orders where o_orderkey % 6 = 0")
+_TASK = "['vqa', 'grounding', 'caption', 'change_detection', 'change_vqa', 'optical_sar_analysis'][o_orderkey % 6 + 1]"
+
+
+@query("udf1_udf5_registry_status", _CAPS + f", o as (select o_orderkey as request, {_TASK} as task, o_totalprice as price from orders) select request, c.name as specialist, case when built_in then 'ok' else 'unavailable' end as status, case when built_in then round(price * 2, 2) end as answer from o join c using (task)")
 def udf5(spark, d):
-    """A model that isn't there gives no answer, only its status."""
-    return P.Registry().run("RS_VQA", V.table(spark, d, "orders").where("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("request")))
+    """Every request through the pipeline of its task: a registered one answers, one that isn't there gives its status only."""
+    registry = P.Registry()
+    for name, *_, built_in in P.SPECIALISTS:
+        if built_in:
+            registry.register(name, lambda df: df.withColumn("answer", F.round(F.col("price") * 2, 2)))
+    task = F.element_at(F.array(*[F.lit(t) for t in P.STEPS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), task.alias("task"), F.col("o_totalprice").alias("price"))
+    out = None
+    for name, of, *_ in P.SPECIALISTS:
+        one = registry.run(name, o.where(F.col("task") == of))
+        one = one.select("request", F.lit(name).alias("specialist"), "status", (F.col("answer") if "answer" in one.columns else F.lit(None).cast("double")).alias("answer"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _BX = V.with_views("bx") + ", rq as (select distinct l_orderkey as request from lineitem), it as (select image as request, ord, max(score) as score from bx where x1 - x0 >= 60 group by image, ord)"
@@ -56,12 +73,23 @@ def evd1(spark, d):
     return a.select("request", "specialist", "value", "is_uncertain")
 
 
-@query("evd3_evd5_imagery_evidence")
+_ID = lambda who, kind, region: f"'ev_' || left(sha256('{who}:' || scene::varchar || ':{kind}:' || {region}), 8) as item_id"
+
+
+@query("evd3_evd5_imagery_evidence", I.CHANGED.replace("with px", "with recursive px", 1) + I.LABELS.replace("from rw", "from cl") + ", " + V.SQL["os"] + I.CLASS_STEPS + f""", zo as (select scene, count(*) as total, count(cl.x) as changed from df left join cl using (scene, y, x) group by scene),
+rg as (select scene, label, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1, count(*) as pixels from la group by scene, label having count(*) >= 16),
+rm as (select rg.scene, label, pixels, round(avg(d), 4) as mean_d from rg join df on df.scene = rg.scene and df.y >= y0 and df.y < y1 and df.x >= x0 and df.x < x1 group by all),
+hc as (select scene, class, round(count(*)::double / (sum(count(*)) over (partition by scene))::double * 100.0::double, 2) as pct, case class when 'water_body' then 0.92 when 'built_structure' then 0.88 when 'vegetation_or_cropland' then 0.89 when 'road_or_infrastructure' then 0.82 when 'bare_ground_or_soil' then 0.85 else 0.5 end::double as prob from k group by scene, class)
+select {_ID('CHANGE_DETECT', 'statistic', "''")}, scene as request, 'statistic' as type, null as region, changed::double as value, 0.95::double as confidence, round(changed::double / total * 100.0::double, 4) >= 98 as is_uncertain from zo
+union all select {_ID('CHANGE_DETECT', 'region', "printf('changed_region_%02d', label)")}, scene, 'region', printf('changed_region_%02d', label), pixels::double, mean_d, false from rm
+union all select {_ID('OPTICAL_SAR_FUSION', 'class', "class")}, scene, 'class', class, pct, prob, class = 'unknown' from hc""")
 def evd3(spark, d):
-    diff = CH.difference(V.pair(spark, d))
-    mask = CH.raw_mask(diff, CH.thresholds(diff))
-    regions = CH.regions(CH.components(mask, 16), diff, least=4).withColumnRenamed("scene", "request")
-    return E.fused(E.from_change(CH.zonal(diff, mask).withColumnRenamed("scene", "request"), regions))
+    """Change and land cover of every scene as evidence."""
+    change = X.run_change(V.changed_pair(spark, d), I.H, I.WIDTH)
+    fusion = X.run_fusion(V.optical_sar(spark, d), I.H, I.WIDTH)
+    of = lambda df: df.withColumnRenamed("scene", "request")
+    items = E.fused(E.from_change(of(change["zonal"]), of(change["regions"])), E.from_classes(of(fusion["classes"])))
+    return items.select("item_id", "request", "type", "region", "value", "confidence", "is_uncertain")
 
 
 @query("rpt1_agg23_report", _BX + ", n as (select request, count(*) as n, max(score) as best from it group by request) select request, coalesce(n || ' findings, 0 of them uncertain.', '1 findings, 1 of them uncertain.') as answer, case when n is null then 'insufficient_evidence' else 'consistent' end as status from rq left join n using (request)")
@@ -80,34 +108,44 @@ def win5(spark, d):
     return A.pair_score(shift, share)
 
 
-@query("pln2_analyze_requests")
+_ASKED = [(q, m1, m2, None) for q in QUESTIONS for m1, m2 in (("optical", "optical"), ("optical", None), ("optical", "sar"))]
+_RQ = "rq as (select i as request, i % 5 as scene, query, m1, m2, hint from (values " + ", ".join(f"({i}, '{q}', '{m1}', {repr(m2) if m2 else 'null'}, null::varchar)" for i, (q, m1, m2, _) in enumerate(_ASKED)) + ") v(i, query, m1, m2, hint))"
+_ROUTED = L.HIT + L.ROUTE_STEPS + ", rt as (" + L.ROUTED.replace("select query,", "select request, scene, query,", 1) + ")"
+
+
+@query("pln2_execute_requests", I.CHANGED + ", " + V.SQL["os"] + I.CLASS_STEPS + ", " + _RQ + ", " + _ROUTED + """, sg as (select request, scene, task, rejection, unnest(string_split(specialists, ',')) as specialist from rt),
+zo as (select scene, count(*) as total, count(cl.x) as changed from df left join cl using (scene, y, x) group by scene),
+hc as (select scene, class, count(*) as pixels, round(count(*)::double / (sum(count(*)) over (partition by scene))::double * 100.0::double, 2) as pct from k group by scene, class),
+cf as (select scene, round(least(greatest(avg(case class when 'water_body' then 0.92 when 'built_structure' then 0.88 when 'vegetation_or_cropland' then 0.89 when 'road_or_infrastructure' then 0.82 when 'bare_ground_or_soil' then 0.85 else 0.5 end::double), 0.60::double), 0.95::double), 4) as s from k group by scene),
+jc as (select scene, 'CHANGE_DETECT' as specialist, case when round(changed::double / total * 100.0::double, 4) >= 50 then 'partially_consistent' else 'consistent' end as status, case when changed = 0 then 0.95 else 0.85 end::double as s, case when round(changed::double / total * 100.0::double, 4) >= 50 then 0.8 else 1.0 end::double as q from zo),
+jf as (select scene, 'OPTICAL_SAR_FUSION' as specialist, case when n = 0 then 'insufficient_evidence' else 'consistent' end as status, round(least(0.99::double, greatest(0.10::double, case when u > 25 then greatest(0.20::double, s * 0.75::double) else s end)), 4) as s, case when n = 0 then 0.35 else 1.0 end::double as q
+  from (select scene, count_if(class <> 'unknown' and pixels >= 16) as n, coalesce(max(case when class = 'unknown' then pct end), 0) as u from hc group by scene) join cf using (scene)),
+jj as (select *, round(greatest(0.05::double, least(case status when 'consistent' then 0.99 when 'partially_consistent' then 0.75 else 0.40 end::double, round((0.15::double + 0.15::double * 0.9::double + 0.5::double * s + 0.2::double * q) * case status when 'consistent' then 1.0 when 'partially_consistent' then 0.85 else 0.45 end::double - case status when 'consistent' then 0.0 when 'partially_consistent' then 0.12 else 0.35 end::double, 4))), 4) as confidence from (select * from jc union all select * from jf))
+select request, task, rejection, sg.specialist, case when rejection is not null then 'rejected' when sg.specialist not in ('CHANGE_DETECT', 'OPTICAL_SAR_FUSION') then 'unavailable' when jj.scene is null then 'no_input' else 'ok' end as state, status, confidence,
+case when confidence >= 0.78 then 'HIGH' when confidence >= 0.55 then 'MEDIUM' when confidence >= 0.35 then 'LOW' when confidence is not null then 'UNSUPPORTED' end as tier
+from sg left join jj on jj.scene = sg.scene and jj.specialist = sg.specialist and rejection is null""")
 def pln2(spark, d):
-    """Requests routed, each valid one's specialists run or marked unavailable: the whole path as one table."""
-    q = spark.createDataFrame([(i, q, "optical", "optical" if i % 2 else None, None) for i, q in enumerate(QUESTIONS)], "request long, query string, m1 string, m2 string, hint string")
-    built = [n for n, *_, b in P.SPECIALISTS if b]
-    r = R.route(q).withColumn("specialist", F.explode(F.split("specialists", ",")))
-    return r.select("request", "task", "rejection", "specialist", F.when(F.col("rejection").isNotNull(), "rejected").when(F.col("specialist").isin(built), "ok").otherwise("unavailable").alias("status"))
+    """Questions over three kinds of inputs and five scenes, each request's specialists run and its evidence judged."""
+    rows = [(i, q, m1, m2, hint, i % 5) for i, (q, m1, m2, hint) in enumerate(_ASKED)]
+    q = spark.createDataFrame(rows, "request long, query string, m1 string, m2 string, hint string, scene long")
+    o = X.execute(q, V.changed_pair(spark, d), V.optical_sar(spark, d), I.H, I.WIDTH)
+    judged = o["judged"].select("request", "status", F.round("confidence", 4).alias("confidence"), "tier")
+    ran = F.col("specialist").isin(X.CHANGE, X.FUSION) & F.col("rejection").isNull()
+    t = o["stages"].join(judged, "request", "left")
+    return t.select("request", "task", "rejection", "specialist", "state", *[F.when(ran, F.col(c)).alias(c) for c in ("status", "confidence", "tier")])
 
 
 @query("map24_token_confidence", "select vec_id, round(list_avg(list_transform([1, 17, 33, 49], lambda i: 1.0::double / list_sum(list_transform(embedding[i : i + 15], lambda z: exp(z::double - list_max(embedding[i : i + 15])::double))))), 6) as confidence from embeddings")
 def map24(spark, d):
-    """Mean over tokens of the largest softmax probability; a row's 64 numbers are the logits of four tokens."""
+    """A row's 64 numbers are the logits of four tokens."""
     logits = F.transform(F.array(*[F.lit(i) for i in (1, 17, 33, 49)]), lambda i: F.transform(F.slice("embedding", i, 16), lambda z: z.cast("double")))
-    top = F.transform(logits, lambda t: 1.0 / F.aggregate(F.transform(t, lambda z: F.exp(z - F.array_max(t))), F.lit(0.0), lambda s, z: s + z))
-    return V.table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(top, F.lit(0.0), lambda s, z: s + z) / 4.0, 6).alias("confidence"))
+    return V.table(spark, d, "embeddings").select("vec_id", F.round(PX.token_confidence(logits), 6).alias("confidence"))
 
 
 @query("agg21_bce_dice_loss", "select label, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) as bce, round(1 - (2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) as dice from (select label, (embedding[1]::double + 1) / 2 as p, (embedding[2] > 0)::int::double as y from embeddings) group by label")
 def agg21(spark, d):
     t = V.table(spark, d, "embeddings").select("label", ((F.get("embedding", F.lit(0)).cast("double") + 1) / 2).alias("p"), (F.get("embedding", F.lit(1)) > 0).cast("double").alias("y"))
-    bce = -F.avg(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))
-    return t.groupBy("label").agg(F.round(bce, 6).alias("bce"), F.round(1 - (2 * F.sum(F.col("p") * F.col("y")) + 1) / (F.sum("p") + F.sum("y") + 1), 6).alias("dice"))
-
-
-@query("cmp6_complementarity", "select label, struct_pack(optical := 'spectral', sar := 'structural').optical as optical, count(*) as n from embeddings group by label")
-def cmp6(spark, d):
-    t = V.table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return t.select("label", F.struct(F.lit("spectral").alias("optical"), F.lit("structural").alias("sar"))["optical"].alias("optical"), "n")
+    return S.bce_dice(t, "label")
 
 
 @query("str4_semantic_post_validation", "with o as (select o_orderkey as k, ['increased', 'shrunk', 'no_change', 'modified'][o_orderkey % 4 + 1] as d, (o_orderkey % 10) * 200 as px, ['water', 'lava', 'forest'][o_orderkey % 3 + 1] as f, ['forest', 'bare'][o_orderkey % 2 + 1] as t, (o_orderkey % 100) / 100.0::double as c from orders), v as (select k, case when d not in ('increased', 'decreased', 'no_change', 'modified') then 'modified' when d = 'no_change' and px > 500 then 'modified' else d end as direction, f not in ('water', 'forest', 'bare', 'building') or f = t as unc, c from o) select k, direction, unc as uncertain, case when unc then least(c, 0.60::double) else c end as confidence, round(1.0::double - case when unc then least(c, 0.60::double) else c end, 4) as uncertainty from v")
@@ -116,10 +154,8 @@ def str4(spark, d):
     k = F.col("o_orderkey")
     pick = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (k % len(vs) + 1).cast("int"))
     o = V.table(spark, d, "orders").select(k.alias("k"), pick(["increased", "shrunk", "no_change", "modified"]).alias("d"), (k % 10 * 200).alias("px"), pick(["water", "lava", "forest"]).alias("f"), pick(["forest", "bare"]).alias("t"), ((k % 100) / 100.0).alias("c"))
-    direction = F.when(~F.col("d").isin("increased", "decreased", "no_change", "modified") | ((F.col("d") == "no_change") & (F.col("px") > 500)), "modified").otherwise(F.col("d"))
-    unsure = ~F.col("f").isin("water", "forest", "bare", "building") | (F.col("f") == F.col("t"))
-    conf = F.when(unsure, F.least("c", F.lit(0.60))).otherwise(F.col("c"))
-    return o.select("k", direction.alias("direction"), unsure.alias("uncertain"), conf.alias("confidence"), F.round(1.0 - conf, 4).alias("uncertainty"))
+    v = T.semantic_validation(F.col("d"), F.col("px"), F.col("f"), F.col("t"), F.col("c"), ["water", "forest", "bare", "building"])
+    return o.select("k", v.alias("v")).select("k", "v.*")
 
 
 @query("str10_gate_answer_match", "with q as (select n_nationkey as k, lower(n_name) as p, lower(right(n_name, 2 + n_nationkey % 3)) as g from nation) select k, p = g or contains(p, g) as strict from q")

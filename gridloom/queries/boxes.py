@@ -41,19 +41,20 @@ def map10(spark, d):
     return V.boxes(spark, d).where(B.area(*_c()) > 0).select("image", "ord", B.ring(*_c(), t).alias("ring"))
 
 
-@query("map17_oriented_to_axis", _BX + """ select image, ord, round(least(greatest(least(x0, x1, y0, y1) / 512, 0), 1) * 512.0::double, 1) as lo, round(least(greatest(greatest(x0, x1, y0, y1) / 512, 0), 1) * 512.0::double, 1) as hi from bx""")
+@query("map17_oriented_to_axis", _BX + """, c as (select image, ord, [x0 / 512, (y0 + y1) / 1024, (x0 + x1) / 1024, y0 / 512, x1 / 512, (y0 + y1) / 1024, (x0 + x1) / 1024, y1 / 512] as v from bx), u as (select image, ord, list_transform(v, lambda z: least(greatest(z, 0), 1)) as v from c)
+select image, ord, round(least(v[1], v[3], v[5], v[7]) * 512.0::double, 1) as x0, round(least(v[2], v[4], v[6], v[8]) * 512.0::double, 1) as y0, round(greatest(v[1], v[3], v[5], v[7]) * 512.0::double, 1) as x1, round(greatest(v[2], v[4], v[6], v[8]) * 512.0::double, 1) as y1 from u""")
 def map17(spark, d):
-    corner = F.array(*_c())
-    unit = lambda v: F.round(F.least(F.greatest(v / 512.0, F.lit(0.0)), F.lit(1.0)) * 512.0, 1)
-    return V.boxes(spark, d).select("image", "ord", unit(F.array_min(corner)).alias("lo"), unit(F.array_max(corner)).alias("hi"))
+    """Boxes turned by half a right angle: their corners are the middles of the sides."""
+    x0, y0, x1, y1 = _c()
+    mx, my = (x0 + x1) / 1024.0, (y0 + y1) / 1024.0
+    box = B.oriented_to_axis(F.array(x0 / 512.0, my, mx, y0 / 512.0, x1 / 512.0, my, mx, y1 / 512.0), 512.0, 512.0)
+    return V.boxes(spark, d).select("image", "ord", *[F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 @query("map19_padded_crop", _BX + """, p as (select image, ord, greatest(0, x0 - greatest(10, 0.15::double * (x1 - x0))) as a, greatest(0, y0 - greatest(10, 0.15::double * (y1 - y0))) as b, least(512, x1 + greatest(10, 0.15::double * (x1 - x0))) as c, least(512, y1 + greatest(10, 0.15::double * (y1 - y0))) as e from bx) select image, ord, floor(a)::bigint as x0, floor(b)::bigint as y0, floor(c)::bigint as x1, floor(e)::bigint as y1 from p where floor(c) - floor(a) >= 10 and floor(e) - floor(b) >= 10""")
 def map19(spark, d):
-    pad = lambda lo, hi: F.greatest(F.lit(10.0), 0.15 * (hi - lo))
-    px, py = pad(_c()[0], _c()[2]), pad(_c()[1], _c()[3])
-    t = V.boxes(spark, d).select("image", "ord", F.floor(F.greatest(F.lit(0.0), _c()[0] - px)).alias("x0"), F.floor(F.greatest(F.lit(0.0), _c()[1] - py)).alias("y0"), F.floor(F.least(F.lit(512.0), _c()[2] + px)).alias("x1"), F.floor(F.least(F.lit(512.0), _c()[3] + py)).alias("y1"))
-    return t.where("x1 - x0 >= 10 and y1 - y0 >= 10")
+    *box, large = B.padded_crop(*_c(), 512, 512)
+    return V.boxes(spark, d).where(large).select("image", "ord", *[v.alias(n) for v, n in zip(box, ("x0", "y0", "x1", "y1"))])
 
 
 _IOU = """, pr as (select a.image, a.ord as i, b.ord as j, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as n, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as s from bx a join bx b on a.image = b.image and a.ord < b.ord)"""
@@ -111,10 +112,10 @@ def jn3(spark, d):
     return j.select("c_custkey", "s_suppkey", area.alias("area"), sa.alias("share_a"), sb.alias("share_b")).where("area > 0")
 
 
-@query("jn4_src12_catalogue_search", _RECT + " select s_suppkey, count(*) as hits from c, s where ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60 and s_suppkey % 2 = 0 group by s_suppkey")
+@query("jn4_src12_catalogue_search", _RECT + " select s_suppkey, count(*) as hits from c, s where ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60 group by s_suppkey")
 def jn4(spark, d):
-    """Bounds count as touching, unlike jn3; one satellite's products only."""
+    """Bounds count as touching, unlike jn3; every supplier's rectangle is a query."""
     c, s = _rects(spark, d)
-    j = _cells(c, "ax", "ay", 60).join(_cells(s.where("s_suppkey % 2 = 0"), "bx", "b_y", 77), ["cx", "cy"]).where("ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60")
+    j = _cells(c, "ax", "ay", 60).join(_cells(s, "bx", "b_y", 77), ["cx", "cy"]).where("ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60")
     j = j.where((F.floor(F.greatest("ax", "bx") / 100) == F.col("cx")) & (F.floor(F.greatest("ay", "b_y") / 100) == F.col("cy")))
     return j.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("hits"))

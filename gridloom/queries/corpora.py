@@ -118,7 +118,8 @@ def ben5(spark, d):
     """Each two of the candidates, of which there are a handful: the metrics' differences."""
     m = _docs(spark, d, "lang").join(V.table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     b = m.select(F.col("lang").alias("two"), F.col("q").alias("q2"), F.col("t").alias("t2"))
-    return m.join(b, m["lang"] < b["two"]).select(F.col("lang").alias("one"), "two", F.round(F.col("q") - F.col("q2"), 4).alias("dq"), F.round(F.col("t") - F.col("t2"), 4).alias("dt"))
+    # A row a candidate: a constant key, and the table of candidates is broadcast, being as long as the list of languages.
+    return m.join(F.broadcast(b), m["lang"] < b["two"]).select(F.col("lang").alias("one"), "two", F.round(F.col("q") - F.col("q2"), 4).alias("dq"), F.round(F.col("t") - F.col("t2"), 4).alias("dt"))
 
 
 @query("flt15_manifest_filters", "select source, count_if(l.quality is not null)::bigint as quantitative, count(*) as n from documents left join labels l using (doc_id) group by source")

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..functions import boxes as B
 from ..functions import pixels as P
+from ..operators import alignment as A
 from ..operators import change as CH
+from ..operators import fusion as U
 from . import query
 
 H, WIDTH = 50, 16
@@ -55,13 +58,31 @@ def map7(spark, d):
     return p.join(q, ["scene", "t"]).select("scene", "t", "y", "x", F.round(P.unit(F.col("v"), F.get("q", F.lit(0)), F.get("q", F.lit(1))), 9).alias("u"))
 
 
-@query("map9_nearest_resize", V.with_views("px") + """, g as (select y.y::int as y, x.x::int as x, floor((y.y + 0.5::double) * 50 / 25)::int as sy, floor((x.x + 0.5::double) * 16 / 32)::int as sx from (select unnest(range(25)) as y) y, (select unnest(range(32)) as x) x)
-select px.scene, g.y, g.x, px.bands[1] as v from g join px on px.y = g.sy and px.x = g.sx and px.t = 0""")
+_TRI = lambda n, m: f"(select i, s, greatest(0.0::double, 1.0::double - abs((s + 0.5::double - (i + 0.5::double) * {n / m}::double) / {max(1.0, n / m)}::double)) as k from (select unnest(range({m})) as i) a, (select unnest(range({n})) as s) b where s >= floor((i + 0.5::double) * {n / m}::double - {max(1.0, n / m)}::double + 0.5::double) and s < floor((i + 0.5::double) * {n / m}::double + {max(1.0, n / m)}::double + 0.5::double))"
+
+
+@query("map9_bilinear_resize", V.with_views("px") + f""", v as (select scene * 2 + t as scene, y, x, floor((bands[1] + 1.0::double) * 127.0::double) as v from px), wx as {_TRI(16, 40)}, wy as {_TRI(50, 20)},
+hz as (select scene, y, i as x, floor(round(sum(v * k) / sum(k), 9) + 0.5::double) as v from v join wx on wx.s = v.x group by scene, y, i)
+select scene, i::int as y, x::int as x, floor(round(sum(v * k) / sum(k), 9) + 0.5::double)::bigint as v from hz join wy on wy.s = hz.y group by scene, i, x""")
 def map9(spark, d):
-    """Each target pixel takes its source pixel: arithmetic and an equi-join, the grid being bounded by the image."""
+    """Both times of every scene from 50 x 16 to 20 x 40: one side smaller, one larger."""
+    v = V.pixels(spark, d).select((F.col("scene") * 2 + F.col("t")).alias("scene"), "y", "x", F.floor((_b(0) + 1.0) * 127.0).alias("v"))
+    return A.resize_bilinear(v, (H, WIDTH), (20, 40))
+
+
+@query("map9_nearest_mask_resize", V.with_views("px") + """, g as (select y.y::int as y, x.x::int as x, floor((y.y + 0.5::double) * 50 / 25)::int as sy, floor((x.x + 0.5::double) * 16 / 32)::int as sx from (select unnest(range(25)) as y) y, (select unnest(range(32)) as x) x)
+select px.scene, px.t, g.y, g.x, px.bands[1] > 0 as v from g join px on px.y = g.sy and px.x = g.sx""")
+def map9_nearest(spark, d):
+    """Masks: each target pixel takes its source pixel, by arithmetic and an equi-join, the grid being bounded by the image."""
     g = spark.range(25 * 32).select(F.floor(F.col("id") / 32).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"))
     g = g.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.floor((F.col("y") + 0.5) * 50 / 25).cast("int").alias("y"), F.floor((F.col("x") + 0.5) * 16 / 32).cast("int").alias("x"))
-    return V.pixels(spark, d).where("t = 0").join(g, ["y", "x"]).select("scene", F.col("ty").alias("y"), F.col("tx").alias("x"), _b(0).alias("v"))
+    return V.pixels(spark, d).join(g, ["y", "x"]).select("scene", "t", F.col("ty").alias("y"), F.col("tx").alias("x"), (_b(0) > 0).alias("v"))
+
+
+@query("map23_centre_crop", V.with_views("px") + " select scene, t, (y - 19)::int as y, (x - 2)::int as x, bands[1] as v from px where y >= 19 and y < 31 and x >= 2 and x < 14")
+def map23(spark, d):
+    inside, y, x = B.centre_crop(F.col("y"), F.col("x"), H, WIDTH, 12)
+    return V.pixels(spark, d).where(inside).select("scene", "t", y.alias("y"), x.alias("x"), _b(0).alias("v"))
 
 
 @query("map18_overlay", V.with_views("px") + " select scene, y, x, floor(least(greatest(bands[1], 0), 1) * 255.0::double * 0.5::double + 255.0::double * 0.5::double)::int as red from px where t = 0")
@@ -77,8 +98,14 @@ def jn1(spark, d):
     return p.where("t = 0").select("scene", "y", "x", _b(0).alias("a0")).join(q, ["scene", "y", "x"])
 
 
-_DIFF = V.with_views("pair") + """, m as (select scene, case when max(list_max(a)) > 1 then max(list_max(a)) else 1 end as ma, case when max(list_max(b)) > 1 then max(list_max(b)) else 1 end as mb from pair group by scene),
-dd as (select scene, y, x, sqrt((b[1]/mb-a[1]/ma)*(b[1]/mb-a[1]/ma) + (b[2]/mb-a[2]/ma)*(b[2]/mb-a[2]/ma) + (b[3]/mb-a[3]/ma)*(b[3]/mb-a[3]/ma) + (b[4]/mb-a[4]/ma)*(b[4]/mb-a[4]/ma)) as d from pair join m using (scene)),
+def difference_sql(pair: str, height: int, width: int, bands: int) -> str:
+    """The tables of change detection over one of aligned pairs: df (difference), st, th (threshold), rw (raw mask), cl (cleaned mask)."""
+    sum_ = " + ".join(f"(b[{i}]/mb-a[{i}]/ma)*(b[{i}]/mb-a[{i}]/ma)" for i in range(1, bands + 1))
+    return (_STEPS.replace("from pair", f"from {pair}").replace("[[sum]]", sum_).replace("[[h]]", str(height - 1)).replace("[[w]]", str(width - 1)))
+
+
+_STEPS = """, m as (select scene, case when max(list_max(a)) > 1 then max(list_max(a)) else 1 end as ma, case when max(list_max(b)) > 1 then max(list_max(b)) else 1 end as mb from pair group by scene),
+dd as (select scene, y, x, sqrt([[sum]]) as d from pair join m using (scene)),
 df as (select scene, y, x, d / greatest(max(d) over (partition by scene), 1e-6::double) as d from dd),
 st as (select scene, avg(d) as mu, stddev_pop(d) as sigma from df group by scene),
 hi as (select scene, least(floor(d * 128), 127)::bigint as bin, count(*) as n from df group by 1, 2),
@@ -89,11 +116,15 @@ th as (select st.scene, mu, sigma, greatest(0.15::double, least(0.65::double, ca
 rw as (select df.scene, df.y, df.x from df join th using (scene) where d >= threshold),
 nb as (select unnest([-1, 0, 1]) as k), n9 as (select a.k as dy, b.k as dx from nb a, nb b),
 e1 as (select scene, (y + dy)::int as y, (x + dx)::int as x from rw, n9 group by 1, 2, 3 having count(*) = 9),
-d1 as (select distinct scene, (y + dy)::int as y, (x + dx)::int as x from e1, n9 where y + dy between 0 and 49 and x + dx between 0 and 15),
-d2 as (select distinct scene, (y + dy)::int as y, (x + dx)::int as x from d1, n9 where y + dy between 0 and 49 and x + dx between 0 and 15),
+d1 as (select distinct scene, (y + dy)::int as y, (x + dx)::int as x from e1, n9 where y + dy between 0 and [[h]] and x + dx between 0 and [[w]]),
+d2 as (select distinct scene, (y + dy)::int as y, (x + dx)::int as x from d1, n9 where y + dy between 0 and [[h]] and x + dx between 0 and [[w]]),
 cl as (select scene, (y + dy)::int as y, (x + dx)::int as x from d2, n9 group by 1, 2, 3 having count(*) = 9)"""
 
 
+_DIFF = V.with_views("pair") + difference_sql("pair", H, WIDTH, 4)
+CHANGED = V.with_views("cpair") + difference_sql("cpair", H, WIDTH, 4)
+
+
 @query("agg6_agg7_thresholds", _DIFF + " select scene, round(mu, 6) as mu, round(sigma, 6) as sigma, round(threshold, 6) as threshold from th")
 def agg7(spark, d):
     t = CH.thresholds(CH.difference(V.pair(spark, d)))
@@ -106,29 +137,29 @@ def map21(spark, d):
     return CH.raw_mask(diff, CH.thresholds(diff)).select("scene", "y", "x")
 
 
-@query("cmp1_win2_cva_mask", _DIFF + " select scene, y, x from cl")
+@query("cmp1_win2_cva_mask", CHANGED + " select scene, y, x from cl")
 def cmp1(spark, d):
-    return CH.detect(V.pair(spark, d), H, WIDTH)["mask"]
+    return CH.detect(V.changed_pair(spark, d), H, WIDTH)["mask"]
 
 
-@query("cmp3_agg1_map22_zonal", _DIFF + """, tt as (select scene, count(*) as total from df group by scene), cc as (select scene, count(*) as changed from cl group by scene)
+@query("cmp3_agg1_map22_zonal", CHANGED + """, tt as (select scene, count(*) as total from df group by scene), cc as (select scene, count(*) as changed from cl group by scene)
 select scene, total, coalesce(changed, 0)::bigint as changed, round(coalesce(changed, 0)::double / total * 100.0::double, 4) as ratio_pct, round(coalesce(changed, 0) * 100.0::double, 2) as area_m2, round(coalesce(changed, 0) * 100.0::double / 10000.0::double, 4) as area_ha,
 case when coalesce(changed, 0) = 0 then 'no_change' when round(changed::double / total * 100.0::double, 4) >= 98 then 'full_image' when round(changed::double / total * 100.0::double, 4) >= 50 then 'extreme' end as warning from tt left join cc using (scene)""")
 def cmp3(spark, d):
-    return CH.detect(V.pair(spark, d), H, WIDTH)["zonal"]
+    return CH.detect(V.changed_pair(spark, d), H, WIDTH)["zonal"]
 
 
-@query("cmp2_cmp7_fallback_and_short_circuit", _DIFF + """, tt as (select scene, count(*) as total from df group by scene), r as (select scene, count(*) as n from rw group by scene), cc as (select scene, count(*) as n from cl group by scene)
+@query("cmp2_cmp7_fallback_and_short_circuit", CHANGED + """, tt as (select scene, count(*) as total from df group by scene), r as (select scene, count(*) as n from rw group by scene), cc as (select scene, count(*) as n from cl group by scene)
 select scene, coalesce(r.n, 0) >= 16 and coalesce(cc.n, 0) >= 16 as use_fallback, coalesce(cc.n, 0) = 0 as skip_interpretation from tt left join r using (scene) left join cc using (scene)""")
 def cmp2(spark, d):
     """With an empty neural mask: whether CVA stands in, and whether the interpreting model is skipped."""
-    o = CH.detect(V.pair(spark, d), H, WIDTH)
+    o = CH.detect(V.changed_pair(spark, d), H, WIDTH)
     n = lambda df, name: df.groupBy("scene").agg(F.count(F.lit(1)).alias(name))
     t = o["difference"].select("scene").distinct().join(n(o["raw"], "r"), "scene", "left").join(n(o["mask"], "c"), "scene", "left").fillna(0)
     return t.select("scene", ((F.col("r") >= 16) & (F.col("c") >= 16)).alias("use_fallback"), (F.col("c") == 0).alias("skip_interpretation"))
 
 
-_LABELS = """, fg as (select scene, y, x, y * 16 + x as id from rw), ed as (select a.scene, a.id as i, b.id as j from fg a join fg b on a.scene = b.scene and abs(a.y - b.y) + abs(a.x - b.x) = 1),
+LABELS = """, fg as (select scene, y, x, y * 16 + x as id from rw), ed as (select a.scene, a.id as i, b.id as j from fg a join fg b on a.scene = b.scene and abs(a.y - b.y) + abs(a.x - b.x) = 1),
 re(scene, i, j) as (select scene, id, id from fg union select re.scene, re.i, ed.j from re join ed on ed.scene = re.scene and ed.i = re.j),
 lb as (select scene, i, min(j) as root from re group by scene, i), la as (select scene, (i // 16)::int as y, (i % 16)::int as x, dense_rank() over (partition by scene order by root)::int as label from lb)"""
 
@@ -138,12 +169,12 @@ def _labelled(spark, d):
     return CH.components(CH.raw_mask(diff, CH.thresholds(diff)), WIDTH), diff
 
 
-@query("win4_components", _DIFF.replace("with px", "with recursive px", 1) + _LABELS + " select scene, y, x, label from la")
+@query("win4_components", _DIFF.replace("with px", "with recursive px", 1) + LABELS + " select scene, y, x, label from la")
 def win4(spark, d):
     return _labelled(spark, d)[0]
 
 
-@query("agg3_flt13_regions", _DIFF.replace("with px", "with recursive px", 1) + _LABELS + """, rg as (select scene, label, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1, count(*) as pixels from la group by scene, label),
+@query("agg3_flt13_regions", _DIFF.replace("with px", "with recursive px", 1) + LABELS + """, rg as (select scene, label, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1, count(*) as pixels from la group by scene, label),
 rk as (select *, row_number() over (partition by scene order by label) as k from rg), ok as (select * from rk where k <= 50 and pixels >= 4)
 select ok.scene, label, x0, y0, x1, y1, pixels, round(avg(d), 4) as mean_d from ok join df on df.scene = ok.scene and df.y >= y0 and df.y < y1 and df.x >= x0 and df.x < x1 group by ok.scene, label, x0, y0, x1, y1, pixels""")
 def agg3(spark, d):
@@ -151,35 +182,36 @@ def agg3(spark, d):
     return CH.regions(labelled, diff, least=4)
 
 
-@query("srt1_primary_region", _DIFF.replace("with px", "with recursive px", 1) + _LABELS + ", rg as (select scene, label, count(*) as pixels from la group by scene, label) select scene, first(label order by pixels desc, label) as label, max(pixels) as pixels from rg group by scene")
+@query("srt1_primary_region", _DIFF.replace("with px", "with recursive px", 1) + LABELS + ", rg as (select scene, label, count(*) as pixels from la group by scene, label) select scene, first(label order by pixels desc, label) as label, max(pixels) as pixels from rg group by scene")
 def srt1(spark, d):
     r = _labelled(spark, d)[0].groupBy("scene", "label").agg(F.count(F.lit(1)).alias("pixels"))
     return r.groupBy("scene").agg(F.max_by("label", F.struct("pixels", -F.col("label"))).alias("label"), F.max("pixels").alias("pixels"))
 
 
 _ROUGH = """, mx as (select i.i as i, case when i.i + k.k < 0 then -1 - i.i - k.k when i.i + k.k > {n} - 1 then 2 * {n} - 1 - i.i - k.k else i.i + k.k end as j from (select unnest(range({n})) as i) i, (select unnest([-2, -1, 0, 1, 2]) as k) k)"""
-_RO = V.with_views("os") + _ROUGH.format(n=16).replace("mx", "wx") + _ROUGH.format(n=50).replace("mx", "wy") + """, r1 as (select scene, y, wx.i as x, sum(sar) as s, sum(sar * sar) as q from os join wx on wx.j = os.x group by 1, 2, 3),
+_RO_STEPS = _ROUGH.format(n=16).replace("mx", "wx") + _ROUGH.format(n=50).replace("mx", "wy") + """, r1 as (select scene, y, wx.i as x, sum(sar) as s, sum(sar * sar) as q from os join wx on wx.j = os.x group by 1, 2, 3),
 r2 as (select scene, wy.i as y, x, sum(s) as s, sum(q) as q from r1 join wy on wy.j = r1.y group by 1, 2, 3), ro as (select scene, y::int as y, x::int as x, sqrt(greatest(0, q / 25.0::double - (s / 25.0::double) * (s / 25.0::double))) as rough from r2)"""
 
 
+_RO = V.with_views("os") + _RO_STEPS
+
+
 @query("win1_roughness", _RO + " select scene, y, x, round(rough, 6) as rough from ro")
 def win1(spark, d):
     return CH.roughness(V.optical_sar(spark, d), H, WIDTH).select("scene", "y", "x", F.round("rough", 6).alias("rough"))
 
 
-_CLS = _RO + """, f as (select os.*, round(rough, 6) as rough, (2.0::double * g - r - b) / greatest(2.0::double * g + r + b, 1e-6::double) as exg, greatest(r, g, b) as l, b / greatest(r + g + b, 1e-6::double) as br, r / greatest(r + g + b, 1e-6::double) as rr from os join ro using (scene, y, x)),
+CLASS_STEPS = _RO_STEPS + """, f as (select os.*, round(rough, 6) as rough, (2.0::double * g - r - b) / greatest(2.0::double * g + r + b, 1e-6::double) as exg, greatest(r, g, b) as l, b / greatest(r + g + b, 1e-6::double) as br, r / greatest(r + g + b, 1e-6::double) as rr from os join ro using (scene, y, x)),
 k as (select scene, y, x, r, g, b, sar, rough, case when (br >= 0.36 or l <= 0.25) and sar <= 0.20 and rough <= 0.08 then 'water_body' when exg < 0.06 and l >= 0.20 and (sar >= 0.50 or (sar >= 0.30 and rough >= 0.12)) then 'built_structure'
 when exg >= 0.06 and g > r and sar >= 0.15 and sar <= 0.75 then 'vegetation_or_cropland' when abs(r - g) < 0.08 and abs(g - b) < 0.08 and l >= 0.20 and l <= 0.85 and sar <= 0.25 and rough <= 0.08 then 'road_or_infrastructure'
 when r > g and g >= b and rr >= 0.34 and sar >= 0.15 and sar <= 0.50 and rough <= 0.12 then 'bare_ground_or_soil' else 'unknown' end as class from f)"""
 
 
+_CLS = V.with_views("os") + CLASS_STEPS
+
+
 def _classes(spark, d):
-    o = V.optical_sar(spark, d)
-    rough = CH.roughness(o, H, WIDTH).withColumn("rough", F.round("rough", 6))
-    t = o.join(rough, ["scene", "y", "x"])
-    i = P.indices(F.col("r"), F.col("g"), F.col("b"))
-    label, prob = P.classify(F.col("r"), F.col("g"), F.col("b"), i["exg"], i["lightness"], i["blue_ratio"], i["red_ratio"], F.col("sar"), F.col("rough"))
-    return t.withColumn("class", label).withColumn("prob", prob)
+    return U.classes(V.optical_sar(spark, d), H, WIDTH)
 
 
 @query("cmp4_classes", _CLS + " select scene, y, x, class from k")
@@ -221,15 +253,41 @@ def srt4(spark, d):
 
 @query("cmp5_fusion_confidence", _CLS + """, p as (select scene, case class when 'water_body' then 0.92 when 'built_structure' then 0.88 when 'vegetation_or_cropland' then 0.89 when 'road_or_infrastructure' then 0.82 when 'bare_ground_or_soil' then 0.85 else 0.5 end::double as p from k) select scene, round(least(greatest(avg(p), 0.60::double), 0.95::double), 4) as confidence from p group by scene""")
 def cmp5(spark, d):
-    return _classes(spark, d).groupBy("scene").agg(F.round(F.least(F.greatest(F.avg("prob"), F.lit(0.60)), F.lit(0.95)), 4).alias("confidence"))
+    return U.confidence(_classes(spark, d))
+
+
+@query("cmp6_complementarity", _CLS + """, n as (select scene, count_if(class = 'built_structure') as built, count_if(class = 'water_body') as water from k group by scene)
+select scene, built, water, printf('Both sensors together show %d pixels of buildings, by double bounce, and %d of open water, by its smooth surface.', built, water) as contrast, 'Optical:spectral,SAR:structural,Fused:cross_modal' as layers from n""")
+def cmp6(spark, d):
+    """The report by scene; the layers as text."""
+    c = U.complementarity(_classes(spark, d))
+    return c.withColumn("layers", F.concat_ws(",", F.transform("layers", lambda x: F.concat(x["name"], F.lit(":"), x["role"]))))
+
 
+_REGIONS = """, fg as (select scene, class, y, x, y * 16 + x as id from k where class <> 'unknown'), ed as (select a.scene, a.class, a.id as i, b.id as j from fg a join fg b on a.scene = b.scene and a.class = b.class and abs(a.y - b.y) + abs(a.x - b.x) = 1),
+re(scene, class, i, j) as (select scene, class, id, id from fg union select re.scene, re.class, re.i, ed.j from re join ed on ed.scene = re.scene and ed.class = re.class and ed.i = re.j),
+lb as (select scene, class, i, min(j) as root from re group by all), la as (select scene, class, (i // 16)::int as y, (i % 16)::int as x, dense_rank() over (partition by scene, class order by root)::int as label from lb),
+pk as (select k.*, case class when 'water_body' then 0.92 when 'built_structure' then 0.88 when 'vegetation_or_cropland' then 0.89 when 'road_or_infrastructure' then 0.82 else 0.85 end::double as prob from k)"""
 
-@query("win7_tiles_with_overlap", V.with_views("px") + """, t as (select unnest([0, 20, 30]) as o), m as (select scene, o, avg(bands[1]) as m from px, t where px.t = 0 and y >= o and y < o + 20 group by all) select px.scene, px.y, px.x, round(avg(m), 6) as v from px join t on px.y >= o and px.y < o + 20 join m on m.scene = px.scene and m.o = t.o where px.t = 0 group by all""")
+
+@query("agg4_region_evidence", _CLS.replace("with px", "with recursive px", 1) + _REGIONS + """ select la.scene, la.class, label, min(la.x) as x0, min(la.y) as y0, max(la.x) + 1 as x1, max(la.y) + 1 as y1, count(*) as pixels, round(avg(prob), 12) as confidence, round(avg(sar), 12) as sar, round(avg(rough), 12) as rough, round(count(*) / 800.0::double * 100.0::double, 3) as coverage_pct
+from la join pk on pk.scene = la.scene and pk.y = la.y and pk.x = la.x group by la.scene, la.class, label having count(*) >= 2""")
+def agg4_regions(spark, d):
+    """Regions of two pixels and more, as noise has few that are larger; all of them."""
+    r = U.class_regions(_classes(spark, d), H, WIDTH, least=2, most=H * WIDTH, digits=12)
+    return r.select("scene", "class", "label", "x0", "y0", "x1", "y1", "pixels", "confidence", "sar", "rough", "coverage_pct")
+
+
+@query("win7_tiles_with_overlap", V.with_views("px") + """, t as (select unnest([0, 20, 30]) as o), m as (select scene, px.t, o, avg(bands[1]) as m from px, t where y >= o and y < o + 20 group by all) select px.scene * 2 + px.t as scene, px.y, px.x, round(avg(bands[1] - m), 6) as v from px join t on px.y >= o and px.y < o + 20 join m on m.scene = px.scene and m.t = px.t and m.o = t.o group by all""")
 def win7(spark, d):
-    """Tiles of 20 lines, the last re-anchored to the edge; where tiles overlap their values are averaged."""
-    p = V.pixels(spark, d).where("t = 0").withColumn("tile", F.explode(F.filter(F.array(F.lit(0), F.lit(20), F.lit(30)), lambda o: (F.col("y") >= o) & (F.col("y") < o + 20))))
-    m = p.groupBy("scene", "tile").agg(F.avg(_b(0)).alias("m"))
-    return p.join(m, ["scene", "tile"]).groupBy("scene", "y", "x").agg(F.round(F.avg("m"), 6).alias("v"))
+    """Tiles of 20 x 20 (16 columns wide, as the image is), the last re-anchored to the edge; the model takes each tile's mean off its pixels."""
+    p = V.pixels(spark, d).select((F.col("scene") * 2 + F.col("t")).alias("scene"), "y", "x", _b(0).alias("u"))
+
+    def model(tiles):
+        key = ["scene", "ty", "tx"]
+        return tiles.join(tiles.groupBy(*key).agg(F.avg("u").alias("m")), key).withColumn("v", F.col("u") - F.col("m"))
+
+    return A.tiled(p, H, WIDTH, 20, model).withColumn("v", F.round("v", 6))
 
 
 @query("win8_whole_tiles", V.with_views("px") + " select scene, (y // 12)::bigint as ty, (x // 6)::bigint as tx, count(*) as n, round(max(bands[1]), 6) as top from px where t = 0 and y < 48 and x < 12 group by all")

@@ -51,32 +51,41 @@ def agg12(spark, d):
 _TAX = _TP + _EX + ", n as (select *, ['registration', 'illumination', 'shadow', 'seasonal_color', 'none'][substr(sample, 4)::int % 5 + 1] as nuisance, ['forest', 'agriculture', 'water', 'urban'][substr(sample, 4)::int % 4 + 1] as category, substr(sample, 4)::int % 3 <> 0 as q, tp + fp + 90 as pred from x)"
 
 
-@query("flt16_taxonomy", "with " + _TAX + """, k as (select *, case when not q and pred > 100 and nuisance = 'registration' then 'alignment_related_error' when not q and pred > 100 and nuisance in ('illumination', 'shadow') then 'shadow_false_positive' when not q and pred > 100 and nuisance = 'seasonal_color' then 'seasonal_variation_false_positive' when not q or (f1 >= 0.85 and fpr < 0.01) then null
+_KIND = """, k as (select *, case when not q and pred > 100 and nuisance = 'registration' then 'alignment_related_error' when not q and pred > 100 and nuisance in ('illumination', 'shadow') then 'shadow_false_positive' when not q and pred > 100 and nuisance = 'seasonal_color' then 'seasonal_variation_false_positive' when not q or (f1 >= 0.85 and fpr < 0.01) then null
 when nuisance = 'registration' and fpr > 0.005 then 'alignment_related_error' when nuisance in ('illumination', 'shadow') and fpr > 0.01 then 'shadow_false_positive' when nuisance = 'seasonal_color' and fpr > 0.01 then 'seasonal_variation_false_positive' when category = 'forest' and fpr > 0.02 then 'vegetation_error' when category = 'agriculture' and fpr > 0.02 then 'agriculture_error' when category = 'water' and fpr > 0.02 then 'water_error'
-when recall < 0.50 and precision >= 0.70 then case when tp < 1500 and fn > 0 then 'small_change_missed' else 'missed_change' end when precision < 0.50 and recall >= 0.70 then 'false_positive' when recall < 0.70 and precision < 0.70 and tp > 0 and (fp > 0.25 * tp or fn > 0.25 * tp) then 'boundary_error' else 'unclassified_failure' end as kind from n)
+when recall < 0.50 and precision >= 0.70 then case when tp < 1500 and fn > 0 then 'small_change_missed' else 'missed_change' end when precision < 0.50 and recall >= 0.70 then 'false_positive' when recall < 0.70 and precision < 0.70 and tp > 0 and (fp > 0.25 * tp or fn > 0.25 * tp) then 'boundary_error' else 'unclassified_failure' end as kind from n)"""
+
+
+@query("flt16_taxonomy", "with " + _TAX + _KIND + """
 select sample, kind, case when kind is null then null when not q then round(least(1, pred / 10000.0::double), 4) when kind in ('small_change_missed', 'missed_change') then round(1 - recall, 4) when kind = 'false_positive' then round(1 - precision, 4) else round(1 - f1, 4) end as severity from k""")
 def flt16(spark, d):
+    return _taxonomy(spark, d)[1].select("sample", "kind", "severity")
+
+
+def _taxonomy(spark, d):
+    """The sample's number, and its metrics with what is known of it and its failure."""
     i = F.substring("sample", 4, 9).cast("int")
     at = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), i % len(vs) + 1)
     m = S.metrics_explicit(_confusion(spark, d)).withColumns({"nuisance": at(["registration", "illumination", "shadow", "seasonal_color", "none"]), "category": at(["forest", "agriculture", "water", "urban"]), "q": i % 3 != 0, "pred": F.col("tp") + F.col("fp") + 90})
     kind, severity = S.failure(F.col("category"), F.col("nuisance"), F.col("q"), F.col("pred"))
-    return m.select("sample", kind.alias("kind"), severity.alias("severity"))
+    return i, m.withColumn("kind", kind).withColumn("severity", severity)
 
 
-@query("agg14_bench1_failure_distribution", "with " + _TAX + " select nuisance, count(*) as n, round(avg(f1), 7) as mean_f1 from n group by nuisance")
+@query("agg14_failure_distribution", "with " + _TAX + _KIND + """, n2 as (select kind, count(*) as n, min(substr(sample, 4)::int) as o from k where kind is not null group by kind) select kind, n, kind = first(kind) over (order by n desc, o) as "primary" from n2""")
 def agg14(spark, d):
-    i = F.substring("sample", 4, 9).cast("int")
-    at = F.element_at(F.array(*[F.lit(v) for v in ["registration", "illumination", "shadow", "seasonal_color", "none"]]), i % 5 + 1)
-    return S.metrics_explicit(_confusion(spark, d)).groupBy(at.alias("nuisance")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 7).alias("mean_f1"))
+    """Kinds of failure over the samples; of equally frequent ones the first by the sample's number is the primary one."""
+    i, m = _taxonomy(spark, d)
+    return S.failure_distribution(m.withColumn("ord", i), "kind", "ord")
+
+
+@query("agg14_failures_by_nuisance", "with " + _TAX + " select nuisance, count(*) as n, round(avg(f1), 7) as mean_f1 from n group by nuisance")
+def agg14_nuisance(spark, d):
+    return _taxonomy(spark, d)[1].groupBy("nuisance").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 7).alias("mean_f1"))
 
 
 @query("agg13_win12_latency", "with e as (select event_type, value, row_number() over (partition by event_type order by event_id) as k from events) select event_type, round(avg(value), 4) as mean, round(median(value), 4) as median, round(quantile_cont(value, 0.95), 4) as p95, min(value) as low, max(value) as high from e where k > 1 group by event_type")
 def agg13(spark, d):
-    """Each type's first sample, the cold start, is dropped: found by an aggregate, so that no type is one window."""
-    e = V.table(spark, d, "events")
-    cold = e.groupBy("event_type").agg(F.min("event_id").alias("event_id"))
-    e = e.join(F.broadcast(cold), ["event_type", "event_id"], "left_anti")
-    return e.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.round(F.percentile("value", F.lit(0.95)), 4).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return S.latencies(V.table(spark, d, "events"), "event_type", "value", "event_id")
 
 
 @query("agg19_calibration", "with b as (select least(floor(l_discount * 10 * 5), 4) as bin, l_discount * 10 as p, (l_returnflag = 'R')::int::double as y from lineitem), g as (select bin, count(*) as n, avg(p) as mp, avg(y) as my, sum((p - y) * (p - y)) as se from b group by bin) select round(sum(se) / sum(n), 6) as brier, round(sum(n * abs(mp - my)) / sum(n), 6) as ece, sum(n)::bigint as n from g")
@@ -85,10 +94,21 @@ def agg19(spark, d):
     return S.calibration(t)
 
 
-@query("flt17_scenario_verdict", "select l_orderkey, sum(l_quantity)::bigint as px, sum(l_quantity) / 10000.0::double * 100 >= 1.0 and sum(l_quantity) > 100 as changed from lineitem group by 1")
+@query("flt17_scenario_verdict", "with g as (select l_orderkey, sum(l_quantity)::bigint as px from lineitem group by 1) select l_orderkey, px, px / 10000.0::double * 100 >= 1.0 and px > 100 as changed from g")
 def flt17(spark, d):
-    g = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
-    return g.select("l_orderkey", F.col("q").cast("long").alias("px"), ((F.col("q") / 10000.0 * 100 >= 1.0) & (F.col("q") > 100)).alias("changed"))
+    g = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("px"))
+    return g.select("l_orderkey", "px", S.changed(F.col("px"), F.col("px") / 10000.0 * 100).alias("changed"))
+
+
+@query("con8_insufficient_evidence", """with o as (select o_orderkey as k, ['grounding', 'optical_sar_analysis', 'vqa'][o_orderkey % 3 + 1] as task, o_orderkey % 4 as regions, o_orderkey % 5 = 0 as deg, ['How large is the area?', 'Where is it?'][o_orderkey % 2 + 1] as q, o_orderkey % 7 = 0 as nocrs from orders)
+select k, case when task in ('grounding', 'optical_sar_analysis') and regions = 0 then 'C8_INSUFFICIENT_EVIDENCE' when task = 'grounding' and deg then 'C8_DEGENERATE_DETECTION' end as rule, case when task in ('grounding', 'optical_sar_analysis') and regions = 0 then 'insufficient_evidence' when task = 'grounding' and deg then 'partially_consistent' else 'consistent' end as status, q like '%area%' and nocrs as needs_grid from o""")
+def con8(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (k % len(vs) + 1).cast("int"))
+    rule, none = S.insufficient(pick(["grounding", "optical_sar_analysis", "vqa"]), k % 4, (k % 5 == 0).cast("int"))
+    status, _ = S.status(F.lit(0), rule.isNotNull().cast("int"), none)
+    grid = S.needs_grid(pick(["How large is the area?", "Where is it?"]), F.when(k % 7 != 0, "EPSG:32643"))
+    return V.table(spark, d, "orders").select(k.alias("k"), rule.alias("rule"), status.alias("status"), grid.alias("needs_grid"))
 
 
 @query("flt8_single_raster", "select p_partkey, concat_ws(',', case when p_size < 16 then 'too_small' end, case when p_partkey % 7 = 0 then 'no_bands' end) as errors, concat_ws(',', case when p_partkey % 3 = 0 then 'no_crs' end, case when p_partkey % 2 = 0 then 'unverified_modality' end) as warnings from part")
@@ -150,7 +170,7 @@ def agg20(spark, d):
     return _judged(spark, d).select("k", "critical", "warnings", "status", F.round("quality", 4).alias("quality"), S.gate(F.col("status")).alias("gate"))
 
 
-@query("con6_con8_sensor_conflicts", "select l_orderkey, l_linenumber, case when l_discount * 5 > 0.15 and l_tax * 12 > 0.75 and l_quantity / 100 > 0.20 then 'green_but_double_bounce' when l_linenumber % 4 = 0 and l_tax * 12 > 0.35 then 'water_but_rough' when l_linenumber % 4 = 1 and l_tax * 12 < 0.10 and l_quantity / 100 < 0.04 then 'built_but_smooth' when l_linenumber % 4 = 2 then 'unclassified' end as conflict from lineitem")
+@query("con6_sensor_conflicts", "select l_orderkey, l_linenumber, case when l_discount * 5 > 0.15 and l_tax * 12 > 0.75 and l_quantity / 100 > 0.20 then 'green_but_double_bounce' when l_linenumber % 4 = 0 and l_tax * 12 > 0.35 then 'water_but_rough' when l_linenumber % 4 = 1 and l_tax * 12 < 0.10 and l_quantity / 100 < 0.04 then 'built_but_smooth' when l_linenumber % 4 = 2 then 'unclassified' end as conflict from lineitem")
 def con6(spark, d):
     m = F.col("l_linenumber") % 4
     label = F.when(m == 0, "water_body").when(m == 1, "built_structure").when(m == 2, "unknown").otherwise("road_or_infrastructure")

@@ -36,22 +36,25 @@ def _requests(spark, d):
     return q.unionByName(c)
 
 
-_HIT = "fl as (select rq.*, lower(trim(query)) as low, coalesce(hint, '') as hh, " + ", ".join(f"regexp_matches(lower(trim(query)), '{R.any_of(b)}') as is_{k}" for k, b in R.BANKS.items()) + """,
+HIT = "fl as (select rq.*, lower(trim(query)) as low, coalesce(hint, '') as hh, " + ", ".join(f"regexp_matches(lower(trim(query)), '{R.any_of(b)}') as is_{k}" for k, b in R.BANKS.items()) + """,
 case when m2 is null then 'single_' || m1 when (m1 in ('optical', 'multispectral') and m2 = 'sar') or (m1 = 'sar' and m2 in ('optical', 'multispectral')) then 'cross_modal_optical_sar' when m1 in ('optical', 'multispectral') and m2 in ('optical', 'multispectral') then 'bitemporal_optical_pair' when m1 = 'sar' and m2 = 'sar' then 'bitemporal_sar_pair' else 'dual_' || m1 || '_' || m2 end as config from rq)"""
 
 
-@query("flt1_pattern_banks", "with " + _REQ + ", " + _HIT + " select " + ", ".join(f"sum(is_{k}::int)::bigint as {k}" for k in R.BANKS) + " from fl")
+@query("flt1_pattern_banks", "with " + _REQ + ", " + HIT + " select " + ", ".join(f"sum(is_{k}::int)::bigint as {k}" for k in R.BANKS) + " from fl")
 def flt1(spark, d):
     low = F.lower(F.trim("query"))
     return _requests(spark, d).agg(*[F.sum(low.rlike(R.any_of(b)).cast("long")).alias(k) for k, b in R.BANKS.items()])
 
 
-@query("flt2_flt6_route", "with " + _REQ + ", " + _HIT + """, g as (select *, hh not in ('', 'auto', 'none') as given, m2 is null as single, config = 'cross_modal_optical_sar' as crs, config in ('bitemporal_optical_pair', 'bitemporal_sar_pair') as twin, hh like '%fusion%' or hh like '%optical_sar%' or hh like '%cross_modal%' as hf, hh like '%change_vqa%' or hh like '%semantic%' as hs, hh like '%change_detection%' or hh in ('tinycd_raw', 'cva_raw') as hd,
+ROUTE_STEPS = """, g as (select *, hh not in ('', 'auto', 'none') as given, m2 is null as single, config = 'cross_modal_optical_sar' as crs, config in ('bitemporal_optical_pair', 'bitemporal_sar_pair') as twin, hh like '%fusion%' or hh like '%optical_sar%' or hh like '%cross_modal%' as hf, hh like '%change_vqa%' or hh like '%semantic%' as hs, hh like '%change_detection%' or hh in ('tinycd_raw', 'cva_raw') as hd,
 case when is_land_class then true when is_pure_change then false else is_change_words end as sem from fl), o as (select *, case when given and hf then case when single then 'a1' when not crs then 'a2' else 'a' end when given and hs then case when single then 'c1' else 'c' end when given and hd then case when single then 'd1' else 'd' end when given and hh like '%ground%' then 'g' when given and hh like '%caption%' then 'k' when given and hh like '%vqa%' and single then 'v'
-when single and (is_temporal or (low like '%change%' and low like '%image%')) then 'd3' when single and is_cross_modal then 'a4' when twin and is_cross_modal then 'a5' when crs and is_temporal and not is_cross_modal then 'd6' when crs then 'a' when not single and sem then 'c' when not single then 'd' when is_grounding then 'g' when is_caption then 'k' else 'v' end as r from g)
-select query, m1, m2, hint, config, case left(r, 1) when 'a' then 'optical_sar_analysis' when 'c' then 'change_vqa' when 'd' then 'change_detection' when 'g' then 'grounding' when 'k' then 'caption' else 'vqa' end as task,
+when single and (is_temporal or (low like '%change%' and low like '%image%')) then 'd3' when single and is_cross_modal then 'a4' when twin and is_cross_modal then 'a5' when crs and is_temporal and not is_cross_modal then 'd6' when crs then 'a' when not single and sem then 'c' when not single then 'd' when is_grounding then 'g' when is_caption then 'k' else 'v' end as r from g)"""
+ROUTED = """select query, m1, m2, hint, config, case left(r, 1) when 'a' then 'optical_sar_analysis' when 'c' then 'change_vqa' when 'd' then 'change_detection' when 'g' then 'grounding' when 'k' then 'caption' else 'vqa' end as task,
 case right(r, 1) when '1' then 'needs_two_images' when '2' then 'needs_optical_and_sar' when '3' then 'temporal_on_single' when '4' then 'cross_modal_on_single' when '5' then 'cross_modal_on_one_sensor' when '6' then 'temporal_on_two_sensors' end as rejection,
-case when len(r) > 1 then '' else case r when 'a' then 'OPTICAL_SAR_FUSION' when 'c' then 'CHANGE_DETECT,CHANGE_VQA' when 'd' then 'CHANGE_DETECT' when 'g' then 'RS_GROUND' when 'k' then 'RS_CAPTION' else 'RS_VQA' end end as specialists, r = 'c' as multi_stage from o""")
+case when len(r) > 1 then '' else case r when 'a' then 'OPTICAL_SAR_FUSION' when 'c' then 'CHANGE_DETECT,CHANGE_VQA' when 'd' then 'CHANGE_DETECT' when 'g' then 'RS_GROUND' when 'k' then 'RS_CAPTION' else 'RS_VQA' end end as specialists, r = 'c' as multi_stage from o"""
+
+
+@query("flt2_flt6_route", "with " + _REQ + ", " + HIT + ROUTE_STEPS + " " + ROUTED)
 def flt2(spark, d):
     return R.route(_requests(spark, d))
 
@@ -80,24 +83,13 @@ def str3(spark, d):
     return a.select("answer", T.json_answer(F.col("answer"), "direction string, confidence string", ["direction", "confidence"]).alias("j")).select("answer", "j.direction", "j.confidence")
 
 
-@query("src5_agg17_props", "select (props->>'$.k')::bigint % 10 as k, count(*) as n from events group by 1")
+@query("src5_request_batch", "with e as (select user_id, event_id, ts, event_type, (props->>'$.k')::bigint as k from events) select event_id as request, event_type as query, 't1_' || (k % 10)::varchar || '.tif' as t1, case when k % 2 = 0 then 't2_' || (k % 10)::varchar || '.tif' end as t2, case when k % 3 = 0 then 'cva_raw' end as hint from e")
 def src5(spark, d):
+    """Requests as a batch: two rasters or one, a query and a hint, read from each event's JSON."""
     e = V.table(spark, d, "events")
-    return e.groupBy((F.from_json("props", "k bigint")["k"] % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-
-
-_PAIRS = "qa as (select a.conv_id, a.turn, left(a.text, 40) as pred, left(b.text, 12) as truth from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1 where a.role = 'user')"
-
-
-@query("str11_str12_str13_answer_match", "with " + _PAIRS + """, l as (select *, lower(trim(pred)) as p, lower(trim(truth)) as g from qa), t as (select *, string_split_regex(trim(regexp_replace(g, '[^a-z0-9_\\s]', '', 'g')), '\\s+') as tk from l where regexp_matches(p || g, '^[\\x00-\\x7f]*$'))
-select conv_id, turn, contains(p, g) as contained, contains(p, g) or contains(g, p) or len(list_filter(tk, lambda w: len(w) > 4 and contains(p, w))) > 0 as either, contains(p, g) or len(list_filter(tk, lambda w: len(w) > 3 and contains(p, w))) > 0 as contained_relaxed from t""")
-def str11(spark, d):
-    c = V.table(spark, d, "conversations")
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 12).alias("truth"))
-    j = c.where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 40).alias("pred")).join(b, ["conv_id", "turn"])
-    j = j.where(F.concat(F.lower(F.trim("pred")), F.lower(F.trim("truth"))).rlike(r"^[\x00-\x7f]*$"))
-    m = T.answer_matches(F.col("pred"), F.col("truth"))
-    return j.select("conv_id", "turn", *[m[k].alias(k) for k in ("contained", "either", "contained_relaxed")])
+    k = F.from_json("props", "k bigint")["k"]
+    body = F.to_json(F.struct(F.col("event_id").alias("request"), F.col("event_type").alias("query"), F.format_string("t1_%d.tif", k % 10).alias("t1"), F.when(k % 2 == 0, F.format_string("t2_%d.tif", k % 10)).alias("t2"), F.when(k % 3 == 0, "cva_raw").alias("hint")))
+    return R.requests_of(e.select(body.alias("body")), "body")
 
 
 @query("str10_str11_str12_whole_answer_match")
@@ -135,22 +127,21 @@ def str16(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), T.stable_id("doc", F.col("source"), F.col("doc_id").cast("string")).alias("id"))
 
 
-@query("str14_narrative", "select l_orderkey, printf('%d px changed over %d parts (%.2f ha).', sum(l_quantity)::bigint, count(*), sum(l_quantity)::bigint * 100 / 10000.0::double) as t from lineitem group by 1")
+@query("str14_narrative", "with g as (select l_orderkey, sum(case when l_returnflag = 'R' then l_quantity else 0 end)::bigint as px, count(*) as n from lineitem group by 1) select l_orderkey, case when px = 0 then 'No change was found.' else printf('%d px changed over %d parts (%.2f ha).', px, n, px * 100 / 10000.0::double) end as t from g")
 def str14(spark, d):
-    g = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("px"), F.count(F.lit(1)).alias("n"))
-    return g.select("l_orderkey", F.format_string("%d px changed over %d parts (%.2f ha).", "px", "n", F.col("px") * 100 / 10000.0).alias("t"))
+    px = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).cast("long")
+    g = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(px.alias("px"), F.count(F.lit(1)).alias("n"))
+    return g.select("l_orderkey", T.change_narrative(F.col("px"), F.col("n"), 100.0).alias("t"))
 
 
-@query("str15_templated_questions", "select doc_id, unnest(['What is the language of scene ' || doc_id::varchar || '?', 'Is scene ' || doc_id::varchar || ' from ' || source || '?']) as q from documents")
+@query("str15_templated_questions", """with s as (select doc_id::varchar as s, case when doc_id % 7 = 0 then [] else [lang, source] end as kinds, case when doc_id % 3 = 0 then 'de' when doc_id % 3 = 1 then 'xx' end as absent, case when doc_id % 2 = 0 then 'EPSG:32643' end as crs from documents),
+q as (select 'scene' as family, 'What does scene ' || s || ' show?' as question, array_to_string(kinds, ', ') as answer from s where len(kinds) > 0 union all select 'inventory', 'How many kinds are there in scene ' || s || '?', len(kinds)::varchar from s where len(kinds) > 0
+union all select 'presence', 'Is there ' || kinds[1] || ' in scene ' || s || '?', 'yes' from s where len(kinds) > 0 union all select 'hard_negative', 'Is there ' || absent || ' in scene ' || s || '?', 'no' from s where absent is not null and not list_contains(kinds, absent) union all select 'crs', 'Which map grid has scene ' || s || '?', crs from s where crs is not null) select * from q""")
 def str15(spark, d):
-    t = V.table(spark, d, "documents")
-    return t.select("doc_id", F.explode(F.array(F.format_string("What is the language of scene %d?", "doc_id"), F.format_string("Is scene %d from %s?", "doc_id", "source"))).alias("q"))
-
-
-@query("str5_target_class", "select text, case when regexp_matches(lower(text), '\\b(is|was)\\b') then 'a' when regexp_matches(lower(text), '\\b(of|the)\\b') then 'b' end as first from benchmark")
-def str5(spark, d):
-    t, l = V.table(spark, d, "benchmark"), F.lower("text")  # noqa: E741
-    return t.select("text", F.when(l.rlike(r"\b(is|was)\b"), "a").when(l.rlike(r"\b(of|the)\b"), "b").alias("first"))
+    k = F.col("doc_id")
+    kinds = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source"))
+    t = V.table(spark, d, "documents").select(F.explode(T.scene_questions(k.cast("string"), kinds, F.when(k % 3 == 0, "de").when(k % 3 == 1, "xx"), F.when(k % 2 == 0, "EPSG:32643"))).alias("q"))
+    return t.select("q.*")
 
 
 @query("str5_target_classes_of_queries")
@@ -185,9 +176,11 @@ def flt7(spark, d):
     return n.select(F.col("n_nationkey").alias("k"), m.alias("m")).select("k", "m.modality", "m.confidence")
 
 
-@query("src3_src4_metadata_summary", "select s_suppkey, coalesce(case when s_suppkey % 2 = 0 then s_name end, case when s_suppkey % 3 = 0 then 'alt' end, 'unknown') || ', ' || coalesce(case when s_nationkey > 5 then 'EPSG:' || (32600 + s_nationkey)::varchar end, 'no CRS') as summary from supplier")
+@query("src3_src4_metadata_summary", "select s_suppkey, coalesce(case when s_suppkey % 2 = 0 then s_name end, case when s_suppkey % 3 = 0 then 'alt' end, 'unknown sensor') || ', ' || coalesce(case when s_nationkey > 5 then 'EPSG:' || (32600 + s_nationkey)::varchar end, 'no CRS') || ', ' || case when s_suppkey % 5 = 0 then 'size unknown' else (s_suppkey % 100)::varchar || ' x ' || (s_suppkey % 30)::varchar || ' px' end as summary from supplier")
 def src3(spark, d):
-    s = V.table(spark, d, "supplier")
-    tags = F.map_concat(F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("SENSOR_ID"), "s_name")).otherwise(F.create_map().cast("map<string,string>")), F.when(F.col("s_suppkey") % 3 == 0, F.create_map(F.lit("PLATFORM"), F.lit("alt"))).otherwise(F.create_map().cast("map<string,string>")))
+    s, k = V.table(spark, d, "supplier"), F.col("s_suppkey")
+    tags = F.map_concat(F.when(k % 2 == 0, F.create_map(F.lit("SENSOR_ID"), "s_name")).otherwise(F.create_map().cast("map<string,string>")), F.when(k % 3 == 0, F.create_map(F.lit("PLATFORM"), F.lit("alt"))).otherwise(F.create_map().cast("map<string,string>")))
     crs = F.when(F.col("s_nationkey") > 5, F.concat(F.lit("EPSG:"), (F.col("s_nationkey") + 32600).cast("string")))
-    return s.select("s_suppkey", F.concat_ws(", ", F.coalesce(F.element_at(tags, "SENSOR_ID"), F.element_at(tags, "PLATFORM"), F.lit("unknown")), F.coalesce(crs, F.lit("no CRS"))).alias("summary"))
+    sensor = F.coalesce(F.element_at(tags, "SENSOR_ID"), F.element_at(tags, "PLATFORM"))
+    side = lambda n: F.when(k % 5 != 0, k % n)
+    return s.select("s_suppkey", T.spatial_summary(sensor, crs, side(100), side(30)).alias("summary"))

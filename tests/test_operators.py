@@ -64,6 +64,28 @@ def test_morphology_and_components_like_numpy(spark):
     assert {(r["y"], r["x"], r["label"]) for r in CH.components(df, 20).collect()} == {(int(y), int(x), int(lab[y, x])) for y, x in zip(*np.nonzero(lab))}
 
 
+def test_morphology_across_words_like_numpy(spark):
+    """Widths below, at and above the number of pixels in a word, with runs over the seams and at the borders."""
+    r = np.random.default_rng(5)
+    for width in (1, 3, 63, 64, 65, 130):
+        m = r.random((9, width)) < 0.75
+        m[2:7, max(0, width - 70) :] = True
+        df = mask(spark, [(int(y), int(x)) for y, x in zip(*np.nonzero(m))])
+        assert points(CH.pixels_of(CH.words(df))) == {(int(y), int(x)) for y, x in zip(*np.nonzero(m))}
+        assert points(CH.opened_closed(df, 9, width)) == {(int(y), int(x)) for y, x in zip(*np.nonzero(opened_closed(m)))}, width
+
+
+def test_regions_over_cells(spark):
+    """Regions larger than a cell: the mean over the whole bounding box."""
+    h, w = 150, 140
+    diff = spark.range(h * w).select(F.lit(0).alias("scene"), F.floor(F.col("id") / w).cast("int").alias("y"), (F.col("id") % w).cast("int").alias("x"), (F.col("id") % 97 / 97).alias("d"))
+    box = lambda y0, y1, x0, x1: (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
+    found = CH.regions(CH.components(diff.where(box(3, 140, 60, 130) | box(0, 20, 5, 40)), w), diff).orderBy("label").collect()
+    d = (np.arange(h * w) % 97 / 97).reshape(h, w)
+    assert [(r["x0"], r["y0"], r["x1"], r["y1"], r["pixels"]) for r in found] == [(5, 0, 40, 20, 700), (60, 3, 130, 140, 137 * 70)]
+    assert all(abs(r["mean_d"] - round(d[r["y0"] : r["y1"], r["x0"] : r["x1"]].mean(), 4)) < 2e-4 for r in found)
+
+
 def test_snake_component(spark):
     """A spiral that no label crosses in a few steps."""
     path = [(0, x) for x in range(15)] + [(1, 14)] + [(2, x) for x in range(15)] + [(3, 0)] + [(4, x) for x in range(15)]
@@ -272,3 +294,133 @@ def test_change_answers_and_target_classes(spark):
              "the bare-soil area": (["bare_ground_or_soil"], "bare ground / soil"), "street": (["vegetation_or_cropland"], None), "élake": (["water_body"], None), "what is it": ([], None)}
     df = spark.createDataFrame([(q,) for q in asked], "q string")
     assert {r["q"]: (r["c"], r["f"]) for r in df.select("q", T.target_classes(F.col("q")).alias("c"), T.target_class(F.col("q")).alias("f")).collect()} == asked
+
+
+def test_suppression_in_rounds_like_the_fold(spark):
+    r = np.random.default_rng(8)
+    rows = [(i % 3, i, float(x), float(y), float(x + 40), float(y + 30), float(s)) for i, (x, y, s) in enumerate(zip(r.integers(0, 150, 240), r.integers(0, 120, 240), r.integers(0, 9, 240) / 8))]
+    df = spark.createDataFrame(rows, "image long, ord long, x0 double, y0 double, x1 double, y1 double, score double")
+    for threshold in (0.2, 0.5):
+        fold, rounds = (sorted(map(tuple, D.suppress(df, threshold, n).collect())) for n in (1000, 10))
+        assert fold == rounds and 3 < len(fold) < 240
+    want = []
+    for image in range(3):
+        kept = []
+        for b in sorted((x for x in rows if x[0] == image), key=lambda x: (-x[6], x[1])):
+            inter = lambda k: max(0, min(b[4], k[4]) - max(b[2], k[2])) * max(0, min(b[5], k[5]) - max(b[3], k[3]))  # noqa: E731, B023
+            if all(inter(k) / (2400 - inter(k)) < 0.5 for k in kept):
+                kept.append(b)
+        want += kept
+    assert fold == sorted(want)
+
+
+def test_processed_boxes_like_brute_force(spark):
+    """CMP8: clamped, small, unsound and degenerate boxes dropped, the rest suppressed."""
+    rows = [(0, 0, 10.0, 10.0, 60.0, 60.0, 0.9), (0, 1, 12.0, 11.0, 61.0, 60.0, 0.8), (0, 2, 500.0, 500.0, 700.0, 700.0, 0.7), (0, 3, 5.0, 5.0, 6.0, 6.0, 0.9), (0, 4, 50.0, 50.0, 10.0, 10.0, 0.9), (0, 5, 200.0, 200.0, 260.0, 240.0, 0.1)]
+    out = {r["ord"]: tuple(r)[2:6] for r in D.processed(spark.createDataFrame(rows, "image long, ord long, x0 double, y0 double, x1 double, y1 double, score double")).collect()}
+    assert out == {0: (10.0, 10.0, 60.0, 60.0), 2: (500.0, 500.0, 512.0, 512.0), 5: (200.0, 200.0, 260.0, 240.0)}
+
+
+def test_leaks_like_contains(spark, monkeypatch):
+    texts = ["the quick brown fox", "aabaab", "", None, "zz the quick", "Größe quick"]
+    passages = [(0, "quick"), (1, "aab"), (2, ""), (3, None), (4, "the quick brown"), (5, "öß"), (6, "quick"), (7, "not there")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frozen = spark.createDataFrame(passages, "item_id long, passage string")
+    want = {(i, k) for i, t in enumerate(texts) for k, p in passages if t is not None and p is not None and p in t}
+    for most in (20_000_000, 10):
+        monkeypatch.setattr(K, "MAX_PASSAGES", most)
+        out = [tuple(r) for r in K.leaks(docs, frozen).collect()]
+        assert len(out) == len(set(out)) and set(out) == want
+    assert K.leaks(docs.limit(0), frozen).count() == 0 and K.leaks(docs, frozen.limit(0)).count() == 0
+
+
+def test_bilinear_resize_by_hand(spark):
+    rows = [(0, y, x, float(v)) for y, line in enumerate([[0, 100], [200, 40]]) for x, v in enumerate(line)]
+    df = spark.createDataFrame(rows, "scene long, y int, x int, v double")
+    out = {(r["y"], r["x"]): r["v"] for r in A.resize_bilinear(df, (2, 2), (2, 4)).collect()}
+    # Centres at 0.25, 0.75, 1.25 and 1.75 source columns: 0, a quarter, three quarters, 1 of the way.
+    assert [out[0, x] for x in range(4)] == [0, 25, 75, 100] and [out[1, x] for x in range(4)] == [200, 160, 80, 40]
+    small = A.resize_bilinear(df, (2, 2), (1, 1)).first()["v"]
+    assert small == 85
+    assert sorted((r["y"], r["x"], r["v"]) for r in A.resize_bilinear(df, (2, 2), (2, 2)).collect()) == [(y, x, v) for _, y, x, v in rows]
+
+
+def test_tiles_end_at_the_edge():
+    assert A.tile_starts(50, 20) == [0, 20, 30] and A.tile_starts(16, 20) == [0] and A.tile_starts(40, 20) == [0, 20]
+
+
+def test_fixture_scenes(spark):
+    from gridloom.operators import benchmark as BE
+    from gridloom.operators import fusion as U
+    from gridloom.sources import fixtures as X
+
+    audit = {r["scene"]: r for r in BE.format_audit(X.pairs(spark), X.expected(spark), X.SIDE, X.SIDE).collect()}
+    assert len(audit) == len(X.PAIRS) and audit["00_core"]["changed"] == 6400 and audit["11_flood"]["changed"] == 128 * 128
+    assert audit["06_no_change"]["changed"] == 0 and audit["09_misalignment"]["correct"]
+    wrong = {s for s, r in audit.items() if not r["correct"]}
+    assert wrong <= {"07_seasonal", "08_compression"}  # CVA takes a shift of all colours for change
+    core = X.pairs(spark).where("scene = '00_core'")
+    o = CH.detect(core, X.SIDE, X.SIDE)
+    region = CH.regions(CH.components(o["mask"], X.SIDE), o["difference"]).collect()
+    assert [(r["x0"], r["y0"], r["x1"], r["y1"], r["pixels"]) for r in region] == [(90, 90, 170, 170, 6400)]
+    regions = {(r["scene"], r["class"]): r for r in U.class_regions(U.classes(X.optical_sar(spark), X.SIDE, X.SIDE), X.SIDE, X.SIDE).collect()}
+    built = regions["built", "built_structure"]
+    assert (built["x0"], built["y0"], built["x1"], built["y1"], built["pixels"], built["confidence"]) == (60, 60, 180, 180, 14400, 0.88)
+    assert ("smooth", "road_or_infrastructure") in regions and ("water", "water_body") in regions and ("vegetation", "vegetation_or_cropland") in regions
+
+
+def test_requests_are_executed(spark):
+    from gridloom.plans import executor as X
+    from gridloom.sources import fixtures as F14
+
+    asked = [
+        (1, "How much total area changed?", "optical", "optical", None, "00_core"), (2, "Is there any change?", "optical", "optical", None, "06_no_change"), (3, "Did the buildings increase over time?", "optical", "optical", None, "11_flood"),
+        (4, "dual-sensor view", "optical", "sar", None, "built"), (5, "Where is the water body?", "optical", None, None, "00_core"), (6, "What changed between these two dates?", "optical", None, None, "00_core"), (7, "Is there any change?", "optical", "optical", None, "nowhere"),
+    ]
+    q = spark.createDataFrame(asked, "request long, query string, m1 string, m2 string, hint string, scene string")
+    o = X.execute(q, F14.pairs(spark), F14.optical_sar(spark), F14.SIDE, F14.SIDE)
+    states = {(r["request"], r["specialist"]): r["state"] for r in o["stages"].collect()}
+    assert states == {(1, "CHANGE_DETECT"): "ok", (2, "CHANGE_DETECT"): "ok", (3, "CHANGE_DETECT"): "ok", (3, "CHANGE_VQA"): "unavailable", (4, "OPTICAL_SAR_FUSION"): "ok", (5, "RS_GROUND"): "unavailable", (6, ""): "rejected", (7, "CHANGE_DETECT"): "no_input"}
+    values = {(r["request"], r["type"], r["region"]): r["value"] for r in o["items"].collect()}
+    assert values[1, "statistic", None] == 6400.0 and values[1, "region", "changed_region_01"] == 6400.0 and values[2, "statistic", None] == 0.0
+    assert (4, "class", "built_structure") in values and not any(r in (5, 6, 7) for r, *_ in values)
+    judged = {r["request"]: r for r in o["judged"].collect()}
+    assert set(judged) == {1, 2, 3, 4} and judged[2]["confidence"] > judged[1]["confidence"] and judged[1]["tier"] == "HIGH"
+    report = {r["request"]: r for r in o["report"].collect()}
+    assert len(report) == len(asked) and report[6]["status"] == "insufficient_evidence" and report[1]["status"] == "consistent"
+    trace = {}
+    for r in X.trace(o["stages"]).orderBy("request", "step").collect():
+        trace.setdefault(r["request"], []).append((r["name"], r["state"]))
+    assert all(s == "ok" for _, s in trace[1]) and [n for n, _ in trace[1]] == P.STEPS["change_detection"]
+    assert trace[6][2] == ("route", "ok") and trace[6][-1][1] == "rejected" and trace[5][-1][1] == "unavailable"
+
+
+def test_semantic_answers_are_validated(spark):
+    rows = [("increased", 900, "bare", "water", 0.9), ("no_change", 900, "bare", "water", 0.9), ("odd", 0, "lava", "water", 0.9), (None, 0, "water", "water", 0.5)]
+    df = spark.createDataFrame(rows, "d string, px long, f string, t string, c double")
+    out = [tuple(r["v"]) for r in df.select(T.semantic_validation(F.col("d"), F.col("px"), F.col("f"), F.col("t"), F.col("c"), ["bare", "water"]).alias("v")).collect()]
+    assert out == [("increased", False, 0.9, 0.1), ("modified", False, 0.9, 0.1), ("modified", True, 0.6, 0.4), ("modified", True, 0.5, 0.5)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from gridloom import store
+
+    class Conf:
+        def __init__(self, **kv):
+            self.kv = kv
+
+        def get(self, key, default=None):
+            return self.kv.get(key.rsplit(".", 2)[-2] if key.startswith("spark.checkpoint") else "master", default)
+
+    class Session:
+        def __init__(self, **kv):
+            self.conf = Conf(**kv)
+
+    assert store.shared_dir(Session(checkpoint="hdfs://x/y/", master="yarn")) == "hdfs://x/y"
+    assert store.shared_dir(Session(master="local[8]")) == store.LOCAL_DIR
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]"):
+        try:
+            store.shared_dir(Session(master=master))
+        except RuntimeError:
+            continue
+        raise AssertionError(master)

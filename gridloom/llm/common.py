@@ -1,36 +1,19 @@
-"""What the operators of this package share: the shared folder, written tables, ordered blocks."""
+"""What the operators of this package share: written tables, ordered blocks."""
 
 from __future__ import annotations
 
 import math
-import uuid
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import fresh_path, written  # noqa: F401
+
 #: The white space that separates words, as a Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder (tests, a laptop).
-FALLBACK_DIR = "/tmp/checkpoints/gridloom"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, so that a lost
-    executor costs a re-read, and several readers share one computation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def texts(df: DataFrame, text_col: str = "text") -> Column:
@@ -44,15 +27,19 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
-def id_splits(df: DataFrame, key: str, rows_per_block: int, max_blocks: int) -> list[int]:
-    """Ascending keys that cut the rows into blocks of about rows_per_block rows, each key being one
-    that occurs. At most max_blocks - 1 numbers come to the driver, however large the input."""
+def _cuts(df: DataFrame, key: str, rows_per_block: int, max_blocks: int) -> list[int]:
     n = df.count()
     k = min(max(1, -(-n // rows_per_block)), max_blocks)
     if k == 1:
         return []
     cuts = df.select(F.percentile_approx(key, [i / k for i in range(1, k)], max(10_000, 20 * k)).alias("c")).first()["c"]
-    return sorted({int(c) for c in cuts or []})
+    return [int(c) for c in cuts or []]
+
+
+def id_splits(df: DataFrame, key: str, rows_per_block: int, max_blocks: int) -> list[int]:
+    """Ascending keys that cut the rows into blocks of about rows_per_block rows, each key being one
+    that occurs. At most max_blocks - 1 numbers come to the driver, however large the input."""
+    return sorted(set(_cuts(df, key, rows_per_block, max_blocks)))
 
 
 def block_of(key: Column, splits: list[int]) -> Column:
@@ -68,13 +55,18 @@ def block_of(key: Column, splits: list[int]) -> Column:
     return F.when(key.isNull() | (key < splits[0]), F.lit(0)).otherwise((coarse - 1) * step + fine)
 
 
-def with_prefix(rows: DataFrame, key: str, ties: tuple[str, ...], value: str, *, rows_per_block: int = 1_000, max_blocks: int = 20_000) -> DataFrame:
+def with_prefix(rows: DataFrame, key: str, ties: tuple[str, ...], value: str, *, spread: Column | None = None, rows_per_block: int = 1_000, max_blocks: int = 20_000) -> DataFrame:
     """rows with start (the sum of value over all rows before), rank (their number) and total (the sum of value),
     in ascending order of key, a null key first, then ties. rows is read several times: give a written table.
 
     Sums within blocks of consecutive keys plus the sums of the blocks before; the table of blocks has at most
-    max_blocks rows, so it is broadcast."""
-    rows = rows.withColumn("block", block_of(rows[key], id_splits(rows, key, rows_per_block, max_blocks)))
+    max_blocks rows but for hot keys, so it is broadcast. spread rises with the ties and cuts a key that fills several
+    blocks, and the rows without a key, into parts of their own; it takes few values, such as 256."""
+    cuts = _cuts(rows, key, rows_per_block, max_blocks)
+    splits, hot = sorted(set(cuts)), sorted(k for k, n in Counter(cuts).items() if n > 1)
+    part = F.lit(None) if spread is None else F.when(rows[key].isNull() | rows[key].isin(hot), spread)
+    # A hot key begins its block, as does a null one: its parts come before the rest.
+    rows = rows.withColumn("block", F.struct(block_of(rows[key], splits).alias("k"), part.isNull().alias("rest"), F.coalesce(part.cast("string"), F.lit("")).alias("part")))
     sums = rows.groupBy("block").agg(F.sum(value).alias("b"), F.count(F.lit(1)).alias("r"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("block", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.sum("b").over(W.partitionBy()).alias("total"))

@@ -56,7 +56,8 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, picks, next_text, next_picks: each document beside the one after it by (id, text), the last beside the first.
 
-    A null id comes first; rows with equal ids stand by text; one row alone is its own next; null text is empty.
+    A null id comes first; rows with equal ids, and those without one, stand by text, in one block, as ids are meant to
+    be a document's own; one row alone is its own next; null text is empty.
     Plan: blocks of consecutive ids hold a copy of the next block's first rows, so one shuffle of the texts brings
     neighbours together, whatever the ids are."""
     C.require(docs, id_col, text_col)

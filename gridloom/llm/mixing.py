@@ -51,7 +51,9 @@ def mix_counts(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights
     """Each document's number of copies: doc_id, source, size, source_size, target, rate, copies, taken and the columns in keep.
 
     Null text has size 0 and is never taken; a null source is a source of its own, the last. Repeated rows
-    each count and, having the same id, share one draw. An empty table gives no rows. Other columns are ignored.
+    each count and, having the same id, share one draw. A source's taken words miss its target by the draws' deviation,
+    the root of f (1 - f) times the sum of its sizes' squares, f being the rate's fraction: little where no document is
+    a large part of its source. An empty table gives no rows. Other columns are ignored.
     Plan: one pass over the texts writes (id, source, size); totals combine before their shuffle, so a source
     with most rows is one row a task; the small table of targets is broadcast below BROADCAST_SOURCES sources."""
     C.require(docs, id_col, text_col, source_col)

@@ -84,10 +84,14 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         ends = lists.offsets.to_numpy()
         crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:])]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file"), b.column("at"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "at", "n_tokens", "ids_crc32"])
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of what read_tokens gives; start is the number of ids of all documents before."""
-    rows = C.written(tokens.select("doc_id", "tokens").mapInArrow(_crc, "doc_id long, n_tokens long, ids_crc32 long"), "digests")
-    return C.with_prefix(rows, "doc_id", ("n_tokens", "ids_crc32"), "n_tokens").select("doc_id", "start", "n_tokens", "ids_crc32")
+    """doc_id, start, n_tokens, ids_crc32 of what read_tokens gives; start is the number of ids of all documents before
+    it in the files. Rows with one id stand as they do there: by file, in the order of the writers' numbers, and row."""
+    name = F.col("_metadata.file_name")
+    number = F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0")
+    rows = tokens.select("doc_id", "tokens", F.concat(number, name).alias("file"), F.col("_metadata.row_index").alias("at"))
+    rows = C.written(rows.mapInArrow(_crc, "doc_id long, file string, at long, n_tokens long, ids_crc32 long"), "digests")
+    return C.with_prefix(rows, "doc_id", ("file", "at"), "n_tokens", spread=F.col("file")).select("doc_id", "start", "n_tokens", "ids_crc32")

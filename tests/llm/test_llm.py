@@ -230,17 +230,22 @@ def winnowed(t, seed=42):
     return out
 
 
-def test_fingerprints(docs, empty):
-    df = docs.where("doc_id is not null and length(coalesce(text, '')) < 4000").dropDuplicates(["doc_id"])
-    rows = df.count(), FP.fingerprint_edits(df).withColumns({"f": FP.as_text(F.col("picks")), "g": FP.as_text(F.col("edited_picks"))}).orderBy("doc_id").collect()
-    texts = [t for _, t in sorted(pairs(df))]
-    assert rows[0] == len(rows[1]) == len(texts)
+def test_fingerprints(docs, empty, monkeypatch):
+    """All rows: without an id, with one id twice, long and empty ones; in one block, and in several."""
+    texts = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     show = lambda p: ",".join(f"{h:x}@{i}" for h, i in p)
-    for k, r in enumerate(rows[1]):
-        t, n = texts[k], texts[(k + 1) % len(texts)]
-        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        assert (r["n_chars"], r["edited"], r["f"], r["g"]) == (len(t), edited, show(winnowed(t)), show(winnowed(edited)))
-    assert FP.fingerprint_edits(empty).count() == 0 and FP.fingerprint_edits(docs.limit(1)).count() == 1 and FP.fingerprint_edits(docs).count() == docs.count()
+    want, picked = Counter(), {t: show(winnowed(t)) for _, t in texts}
+    for k, (i, t) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        if edited not in picked:
+            picked[edited] = show(winnowed(edited))
+        want[i, len(t), edited, picked[t], picked[edited]] += 1
+    for rows in (500, 4):
+        monkeypatch.setattr(FP, "ROWS_PER_BLOCK", rows)
+        out = FP.fingerprint_edits(docs).withColumns({"f": FP.as_text(F.col("picks")), "g": FP.as_text(F.col("edited_picks"))}).collect()
+        assert Counter((r["doc_id"], r["n_chars"], r["edited"], r["f"], r["g"]) for r in out) == want
+    assert FP.fingerprint_edits(empty).count() == 0 and FP.fingerprint_edits(docs.limit(1)).count() == 1
 
 
 def test_blocks_join_up(spark, monkeypatch):
@@ -269,6 +274,37 @@ def test_quality(spark, docs, empty):
     assert all(r["kept"] != r["base_failed"] for r in no)
 
 
+def test_quality_scores_like_brute_force(spark):
+    """Score, threshold and verdict of every document of the smallest table, word by word."""
+    import struct
+
+    import xxhash
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    hash_ = lambda *parts, seed=42: hash_(*parts[1:], seed=xxhash.xxh64(parts[0], seed=seed).intdigest()) if parts else seed
+    texts = pairs(docs)
+    words = [[w.encode() for w in WORD.findall(t)] for _, t in texts]
+    buckets = [[hash_(w) % Q.BUCKETS for w in ws] + [hash_(a, b) % Q.BUCKETS for a, b in zip(ws, ws[1:])] for ws in words]
+    fit = {r["doc_id"]: hash_(b"trusted", struct.pack("<q", r["doc_id"])) % 2 == 0 for r in labels.where("quality = 1").collect()}
+    raw, target = Counter(b for bs in buckets for b in bs), Counter(b for (i, _), bs in zip(texts, buckets) if fit.get(i) for b in bs)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    assert n_target
+
+    def weight(b):
+        x = (np.log((target[b] + 1) / (n_target + Q.BUCKETS)) - np.log((raw[b] + 1) / (n_raw + Q.BUCKETS))) * Q.UNIT
+        return int(np.sign(x) * np.floor(abs(x) + 0.5))
+
+    score = [sum(map(weight, bs)) / (len(bs) * Q.UNIT) if bs else 0.0 for bs in buckets]
+    held = sorted(np.floor(s * 1000) for (i, _), ws, s in zip(texts, words, score) if fit.get(i) is False and len(ws) >= 50)
+    limit = held[int(Q.SHORT * len(held))] / 1000 - Q.MARGIN
+    rows = {r["doc_id"]: r for r in Q.with_quality(docs, labels).drop("row").collect()}
+    assert len(rows) == len(texts)
+    for (i, _), s in zip(texts, score):
+        r = rows[i]
+        assert abs(r["score"] - s) < 3e-4 and (abs(s - limit) < 3e-4 or r["kept"] == (not r["base_failed"] and s >= limit)), i
+    assert {True, False} <= {r["kept"] for r in rows.values() if not r["base_failed"]} or min(score) > limit
+
+
 def test_quality_tells_junk_from_prose(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     t = Q.with_quality(docs, labels).drop("row").join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))
@@ -302,6 +338,50 @@ def test_token_files(spark, docs, empty):
     assert TK.encode_documents(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_files_are_laid_out_as_asked(spark, docs):
+    """Row groups, encodings and page indexes of the files; and rows with one id where the files have them."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    made = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(400).cast("long").alias("n_tokens"), F.transform(F.sequence(F.lit(1), F.lit(400)), lambda x: F.pmod(F.hash(x, "id"), F.lit(300))).alias("tokens")).coalesce(1)
+    for encoding, want in (("dictionary", {"PLAIN_DICTIONARY", "RLE_DICTIONARY"}), ("delta", {"DELTA_BINARY_PACKED"})):
+        path = C.fresh_path(spark, encoding)
+        TK.write_tokens(made, path, encoding=encoding, row_group_mb=1, page_kb=64, page_rows=500)
+        meta = pq.ParquetFile(glob.glob(f"{path}/part-*.parquet")[0]).metadata
+        assert meta.num_row_groups >= 2 and max(meta.row_group(g).total_byte_size for g in range(meta.num_row_groups)) < 2 << 20
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                chunk = meta.row_group(g).column(c)
+                assert chunk.has_offset_index and chunk.has_column_index and chunk.compression == "ZSTD"
+            assert want & set(meta.row_group(g).column(meta.num_columns - 1).encodings), encoding
+    # Twenty rows without an id, and thirty of one id, over several files.
+    rows = [(None, f"none {i}") for i in range(20)] + [(7, "same " * (i % 5 + 1) + str(i)) for i in range(30)] + [(i, "x " * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = C.fresh_path(spark, "repeated")
+    TK.write_tokens(TK.encode_documents(df, P.path("byte_bpe_50k.json")), path)
+    start, want = 0, Counter()
+    for name in sorted(glob.glob(f"{path}/part-*.parquet")):
+        for r in pq.read_table(name).to_pylist():
+            want[r["doc_id"], start, r["n_tokens"], zlib.crc32(np.array(r["tokens"], "<u4").tobytes())] += 1
+            start += r["n_tokens"]
+    assert Counter(tuple(r) for r in TK.digests(TK.read_tokens(spark, path)).collect()) == want
+
+
+def test_prefix_sums_with_hot_and_missing_keys(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(None, i, r.randrange(9)) for i in range(60)] + [(5, i, r.randrange(9)) for i in range(80)] + [(r.randrange(40), 1000 + i, r.randrange(9)) for i in range(150)]
+    df = C.written(spark.createDataFrame(rows, "k long, tie long, v long").repartition(3), "rows")
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want, start = {}, 0
+    for rank, (k, tie, v) in enumerate(order):
+        want[tie, k] = (start, rank)
+        start += v
+    for spread in (None, F.format_string("%06d", F.floor(F.col("tie") / 8))):
+        out = C.with_prefix(df, "k", ("tie",), "v", spread=spread, rows_per_block=10).collect()
+        assert {(x["tie"], x["k"]): (x["start"], x["rank"]) for x in out} == want and {x["total"] for x in out} == {start}
+
+
 def shingles(t):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(t)]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -439,12 +519,26 @@ def test_mixing(spark, docs, empty):
     assert MX.mix_counts(empty).count() == 0 and MX.mix_counts(docs.where("text is null")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_comes_near_its_targets(spark):
+    """Within four and a half deviations of the draws, for every source of a larger table."""
+    rows = MX.mix_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    for source, own in by.items():
+        f = own[0]["rate"] % 1
+        deviation = (f * (1 - f) * sum(r["size"] ** 2 for r in own)) ** 0.5
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4.5 * deviation + 1, source
+    assert abs(sum(r["taken"] for r in rows) / sum(s[0]["target"] for s in by.values()) - 1) < 0.1
+
+
 def test_toxicity(spark, docs, empty):
     table, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = TX.score_toxicity(table, labels).join(labels, "doc_id").where("held_out").collect()
     hit = [r for r in out if r["predicted"]]
     assert all((r["score"] >= 0.7) == bool(r["predicted"]) and (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     assert len(hit) >= 4 and sum(r["toxic"] for r in hit) / len(hit) > 0.8
+    assert sum(r["toxic"] for r in hit) / sum(r["toxic"] for r in out) > 0.7
     few = TX.score_toxicity(docs, labels).collect()
     assert len(few) == docs.count() and all(0 <= r["score"] <= 1 for r in few)
     assert TX.score_toxicity(empty, labels).count() == 0 and TX.score_toxicity(docs, labels.limit(0)).count() == docs.count()
@@ -631,6 +725,29 @@ def test_pipeline(spark):
     assert {c for _, _, c in linked(pairs(kept))} == {r["doc_id"] for r in one.select("doc_id").collect()}
 
 
+def test_pipeline_stages_on_odd_tables(spark, docs, empty):
+    """Nulls, empty and long texts, repeated rows, columns with the names that stages use inside; and no rows."""
+    import corpus_pipeline as CP
+
+    columns = docs.columns
+    for name, stage in CP.STAGES:
+        none = stage(spark, empty, SF)
+        assert none.count() == 0 and (name == "best_fit_packing" or none.columns == columns), name
+    rows = pairs(docs)
+    kept = CP.quality(spark, docs, SF)
+    assert kept.columns == columns and {t for _, t in pairs(kept)} <= {t for _, t in rows if len(WORD.findall(t)) >= 50}
+    one = C.written(CP.near_duplicates(spark, docs, SF), "one")
+    assert one.columns == columns and one.count() == len({c for _, n, c in linked(rows) if n}) + sum(n == 0 for _, n, _ in linked(rows))
+    hidden = CP.secrets(spark, docs, SF).collect()
+    assert len(hidden) == len(rows) and sum(r["text"] is None for r in hidden) == 1 and all(r["n_chars"] == len(r["text"]) for r in hidden if r["text"] is not None)
+    assert {r["key"] for r in hidden} == {4} and {r["kept"] for r in hidden} == {"no"}
+    mixed = Counter((r["doc_id"], r["text"]) for r in CP.mixing(spark, docs, SF).collect())
+    there = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert mixed and all(n <= 2 * there[k] for k, n in mixed.items()) and not any(not WORD.findall(t or "") for _, t in mixed)
+    packed = CP.packing(spark, docs, SF).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _ in rows) and max(r["offset"] + r["length"] for r in packed) <= 2048
+
+
 def test_hashes_of_queries(spark):
     """op1's base_sha256 is that of the comma-joined base spans."""
     from gridloom.llm.queries import op1_secret_scans

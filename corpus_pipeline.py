@@ -13,17 +13,22 @@ from gridloom.llm.secrets import without_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. One with null or empty text has too few words and goes; repeated rows are
+    judged alike and stay or go together; ties at the threshold stay; a null id is no trusted one; an empty table, or
+    one without trusted rows, leaves the base rules; columns of any name are carried along."""
     return with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links."""
+    """One document of each group that the n-gram Jaccard join links: that of the least id, a row without an id only where
+    its group has no other, of repeated rows one. Documents without words, null or empty, link with nothing and all stay. An empty
+    table stays empty; columns of any name are carried along."""
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their live-looking credentials masked; n_chars follows the text."""
+    """All documents, their live-looking credentials masked; n_chars follows the text. Null text stays null, empty text empty;
+    repeated rows are masked alike; a null owner is one owner; an empty table stays empty; columns of any name are carried along."""
     from pyspark.sql import functions as F
 
     out = without_secrets(docs)
@@ -31,12 +36,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target wants."""
+    """Documents as often as their source's target wants, copies being equal rows. One without words, null or empty, is
+    never taken; a null source is one source; rows of one id share one draw; an empty table stays empty; columns of any
+    name are carried along."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in the sequences."""
+    """Every piece's place in the sequences. Null or empty text is one piece, the end id; repeated rows are pieces of
+    their own, as the copies of the mixture are; an empty table gives no rows; other columns are ignored."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

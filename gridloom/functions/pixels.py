@@ -14,7 +14,7 @@ def rgb(bands: Column) -> Column:
 
 def stretch(v: Column, low: Column, high: Column) -> Column:
     """MAP2. 0..255 between the two percentiles, cut to whole numbers; a flat band is clipped as it is."""
-    scaled = F.floor((v - low) / (high - low) * 255.0)
+    scaled = F.floor(F.round((v - low) / (high - low) * 255.0, 9))
     return F.when(high > low, F.least(F.greatest(scaled, F.lit(0)), F.lit(255))).otherwise(F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))).cast("int")
 
 

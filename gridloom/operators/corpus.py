@@ -94,3 +94,36 @@ def repeated(df: DataFrame, times: int) -> DataFrame:
 def statistics(df: DataFrame, *dims: str) -> DataFrame:
     """AGG16, AGG18: counts by each dimension and in all, in one pass by grouping sets."""
     return df.groupingSets([[d] for d in dims] + [[]], *dims).agg(F.count(F.lit(1)).alias("n"))
+
+
+def build(samples: DataFrame, quarantined: DataFrame, frozen: DataFrame, *, per_stratum: int, n_val: int, seed: str) -> DataFrame:
+    """BEN3: an evaluation corpus of samples (doc_id, stratum, text): the first of equal texts, without those quarantined
+    (doc_id) and those that hold a frozen passage (item_id, passage), up to per_stratum of each stratum, n_val of them for validation:
+    doc_id, stratum, sha, split. Texts go no further than their hash."""
+    rows = samples.select("doc_id", "stratum", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    rows = first_of_each(rows, "sha", "doc_id")
+    rows = without(without(rows, quarantined, "doc_id"), leaks(samples.select("doc_id", "text"), frozen), "doc_id")
+    return split(capped(rows, "stratum", per_stratum, seed, "doc_id"), n_val, seed + "v", "doc_id").select("doc_id", "stratum", "sha", "split")
+
+
+def inventory(samples: DataFrame) -> DataFrame:
+    """BEN4: by dataset of samples (dataset, doc_id, text): rows, invalid (without text), bytes, duplicates (rows whose text another
+    row has too, in any dataset)."""
+    rows = samples.select("dataset", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), (F.coalesce(F.trim("text"), F.lit("")) == "").alias("invalid"))
+    by = rows.groupBy("dataset", "sha").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_if("invalid").alias("invalid"))
+    every = by.groupBy(F.col("sha").alias("of")).agg(F.sum("n").alias("copies"))
+    by = by.join(every, F.col("sha") == F.col("of"), "left")  # rows without a text have no copies
+    return by.groupBy("dataset").agg(F.sum("n").alias("rows"), F.sum("invalid").alias("invalid"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("copies") > 1, F.col("n")).otherwise(0)).alias("duplicates"))
+
+
+def manifest_subset(samples: DataFrame, *, category: str | None = None, quantitative: bool | None = None) -> DataFrame:
+    """FLT15: samples of a category, and those with or without a truth mask."""
+    out = samples
+    if category is not None:
+        out = out.where(F.lower("scene_category") == category.lower())
+    return out if quantitative is None else out.where(F.col("is_quantitative") == quantitative)
+
+
+def manifest_counts(samples: DataFrame) -> DataFrame:
+    """FLT15: by category, how many samples there are and how many are quantitative."""
+    return samples.groupBy("scene_category").agg(F.count_if("is_quantitative").alias("quantitative"), F.count(F.lit(1)).alias("n"))

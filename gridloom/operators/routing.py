@@ -164,3 +164,19 @@ REQUEST_TYPE = "request long, query string, t1 string, t2 string, hint string"
 def requests_of(df: DataFrame, body: str) -> DataFrame:
     """SRC5: request, query, t1, t2, hint of each JSON body, one row a request; t2 and hint may be missing."""
     return df.select(F.from_json(body, REQUEST_TYPE).alias("r")).select("r.*")
+
+
+def temporal_status(d1: Column, d2: Column) -> Column:
+    """FLT11. What is known of a pair's order in time."""
+    return F.when(d1.isNull() & d2.isNull(), "missing_dates").when(d1.isNull() | d2.isNull(), "unverified").when(d1 >= d2, "reversed").otherwise("valid")
+
+
+def validation_result(errors: Column, warnings: Column) -> Column:
+    """FLT11. struct(ok, status, errors, warnings) of lists of issues."""
+    status = F.when(F.size(errors) > 0, "invalid").when(F.size(warnings) > 0, "valid_with_warnings").otherwise("valid")
+    return F.struct((F.size(errors) == 0).alias("ok"), status.alias("status"), errors.alias("errors"), warnings.alias("warnings"))
+
+
+def pair_compatibility(error: Column, warnings: Column, share: Column, d1: Column, d2: Column) -> Column:
+    """FLT11. struct(compatible, reason, overlap_pct, temporal, warnings) of a pair's issues."""
+    return F.struct(error.isNull().alias("compatible"), error.alias("reason"), F.round(share * 100.0, 2).alias("overlap_pct"), temporal_status(d1, d2).alias("temporal"), warnings.alias("warnings"))

@@ -65,3 +65,10 @@ def plan(routed: DataFrame) -> DataFrame:
     """PLN1: the steps of each routed request (columns query, task): query, task, step, name."""
     table = F.create_map(*[x for k, v in STEPS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
     return routed.select("query", "task", F.posexplode(F.element_at(table, F.col("task"))).alias("step", "name")).withColumn("step", F.col("step") + 1)
+
+
+def status(spark: SparkSession, registry: Registry) -> DataFrame:
+    """SNK4: what can be asked for now: name, task, built_in, registered, state."""
+    here = F.col("name").isin(registry.names()) if registry.names() else F.lit(False)
+    state = F.when(here, "loaded").when(F.col("built_in"), "ready").otherwise("unavailable")
+    return capabilities(spark).select("name", "task", "built_in", here.alias("registered"), state.alias("state"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import corpus as K
+from ..operators import routing as R
+from ..plans import registry as P
 from . import query
 
 _docs = lambda spark, d, *c: V.table(spark, d, "documents").select("doc_id", *c)
@@ -122,7 +124,49 @@ def ben5(spark, d):
     return m.join(F.broadcast(b), m["lang"] < b["two"]).select(F.col("lang").alias("one"), "two", F.round(F.col("q") - F.col("q2"), 4).alias("dq"), F.round(F.col("t") - F.col("t2"), 4).alias("dt"))
 
 
-@query("flt15_manifest_filters", "select source, count_if(l.quality is not null)::bigint as quantitative, count(*) as n from documents left join labels l using (doc_id) group by source")
+@query("flt15_manifest_counts", "select source as scene_category, count_if(l.quality is not null)::bigint as quantitative, count(*) as n from documents left join labels l using (doc_id) group by source")
 def flt15(spark, d):
-    t = _docs(spark, d, "source").join(V.table(spark, d, "labels"), "doc_id", "left")
-    return t.groupBy("source").agg(F.count_if(F.col("quality").isNotNull()).alias("quantitative"), F.count(F.lit(1)).alias("n"))
+    t = _docs(spark, d, F.col("source").alias("scene_category")).join(V.table(spark, d, "labels"), "doc_id", "left")
+    return K.manifest_counts(t.withColumn("is_quantitative", F.col("quality").isNotNull()))
+
+
+@query("flt15_manifest_subset", "select doc_id from documents where lang = 'de' and doc_id in (select doc_id from labels)")
+def flt15_subset(spark, d):
+    t = _docs(spark, d, F.col("lang").alias("scene_category")).join(V.table(spark, d, "labels"), "doc_id", "left")
+    return K.manifest_subset(t.withColumn("is_quantitative", F.col("quality").isNotNull()), category="DE", quantitative=True).select("doc_id")
+
+
+_HASH = lambda seed: f"sha256('{seed}' || doc_id::varchar)"
+
+
+@query("ben3_build_corpus", f"""with f as (select sha256(text) as sha, min(doc_id) as doc_id from documents group by 1), l as (select distinct doc_id from documents join benchmark on contains(documents.text, benchmark.text)),
+s as (select doc_id, source as stratum, sha from f join documents using (doc_id) where doc_id not in (select doc_id from labels where toxic = 1) and doc_id not in (select doc_id from l)),
+k as (select *, row_number() over (partition by stratum order by {_HASH('c')}, doc_id) as n from s), c as (select * from k where n <= 7), t as (select max(h) as cut from (select {_HASH('cv')} as h from c order by h limit 40))
+select doc_id, stratum, sha, case when {_HASH('cv')} <= cut then 'val' else 'train' end as split from c, t""")
+def ben3(spark, d):
+    frozen = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    bad = V.table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return K.build(_docs(spark, d, F.col("source").alias("stratum"), "text"), bad, frozen, per_stratum=7, n_val=40, seed="c")
+
+
+@query("ben4_inventory", "with h as (select source as dataset, sha256(text) as sha, strlen(coalesce(text, '')) as b, trim(coalesce(text, '')) = '' as bad from documents), e as (select sha, count(*) as copies from h group by sha) select dataset, count(*) as rows, count_if(bad)::bigint as invalid, sum(b)::bigint as bytes, count_if(copies > 1)::bigint as duplicates from h left join e using (sha) group by dataset")
+def ben4_inventory(spark, d):
+    return K.inventory(_docs(spark, d, F.col("source").alias("dataset"), "text"))
+
+
+@query("flt11_pair_compatibility", """with o as (select o_orderkey as k, case when o_orderkey % 5 <> 0 then 'A' end as c1, case when o_orderkey % 11 = 0 then 'B' else 'A' end as c2, (o_orderkey % 101) / 100.0::double as share, case when o_orderkey % 6 <> 0 then o_orderdate end as d1, case when o_orderkey % 4 <> 0 then timestamp '1996-01-01' end as d2 from orders),
+e as (select *, case when c1 <> c2 and c1 is not null then 'crs_mismatch' when c1 is not null and share < 0.50 then 'low_overlap' end as reason from o)
+select k, reason is null as compatible, reason, round(share * 100.0::double, 2) as overlap_pct, case when d1 is null and d2 is null then 'missing_dates' when d1 is null or d2 is null then 'unverified' when d1 >= d2 then 'reversed' else 'valid' end as temporal from e""")
+def flt11(spark, d):
+    o, k = V.table(spark, d, "orders"), F.col("o_orderkey")
+    d1, d2 = F.when(k % 6 != 0, F.col("o_orderdate")), F.when(k % 4 != 0, F.lit("1996-01-01").cast("timestamp"))
+    share = (k % 101) / 100.0
+    e, w = R.pair_issues(F.when(k % 5 != 0, "A"), F.when(k % 11 == 0, "B").otherwise("A"), share, F.lit(10.0), F.lit(10.0), d1, d2, F.lit(1.0))
+    return o.select(k.alias("k"), R.pair_compatibility(e, w, share, d1, d2).alias("p")).select("k", "p.compatible", "p.reason", "p.overlap_pct", "p.temporal")
+
+
+@query("snk4_status", "select * from (values ('CHANGE_DETECT', 'change_detection', true, true, 'loaded'), ('CHANGE_VQA', 'change_vqa', false, false, 'unavailable'), ('OPTICAL_SAR_FUSION', 'optical_sar_analysis', true, false, 'ready'), ('RS_CAPTION', 'caption', false, false, 'unavailable'), ('RS_GROUND', 'grounding', false, false, 'unavailable'), ('RS_VQA', 'vqa', false, false, 'unavailable')) v(name, task, built_in, registered, state)")
+def snk4(spark, d):
+    r = P.Registry()
+    r.register("CHANGE_DETECT", lambda df: df)
+    return P.status(spark, r)

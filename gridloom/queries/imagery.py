@@ -11,6 +11,7 @@ from ..functions import pixels as P
 from ..operators import alignment as A
 from ..operators import change as CH
 from ..operators import fusion as U
+from ..operators import percentiles as PC
 from . import query
 
 H, WIDTH = 50, 16
@@ -23,12 +24,20 @@ def map1(spark: SparkSession, d: str) -> DataFrame:
     return p.select("scene", "t", "y", "x", *[F.get("rgb", F.lit(i)).alias(n) for i, n in enumerate("rgb")])
 
 
-@query("map2_stretch", V.with_views("px") + """, v as (select scene, t, y, x, bands[1] as v from px), q as (select scene, t, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from v group by scene, t)
-select scene, t, y, x, case when hi > lo then least(greatest(floor((v - lo) / (hi - lo) * 255.0::double), 0), 255) else floor(least(greatest(v, 0), 255)) end::int as u8 from v join q using (scene, t)""")
+_ALL = V.with_views("px") + ", v as (select scene, t, i.i as band, y, x, bands[i.i] as v from px, (select unnest([1, 2, 3, 4]) as i) i), q as (select scene, t, band, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from v group by scene, t, band)"
+
+
+def _stretched(spark, d):
+    """Every band's values beside its two percentiles."""
+    p = V.pixels(spark, d).select("scene", "t", "y", "x", F.posexplode("bands").alias("band", "v")).withColumn("band", F.col("band") + 1)
+    q = PC.exact_percentiles(p, ["scene", "t", "band"], "v", [0.02, 0.98])
+    return p.join(q, ["scene", "t", "band"]), F.get("q", F.lit(0)), F.get("q", F.lit(1))
+
+
+@query("map2_stretch", _ALL + " select scene, t, band, y, x, case when hi > lo then least(greatest(floor(round((v - lo) / (hi - lo) * 255.0::double, 9)), 0), 255) else floor(least(greatest(v, 0), 255)) end::int as u8 from v join q using (scene, t, band)")
 def map2(spark, d):
-    p = V.pixels(spark, d).select("scene", "t", "y", "x", _b(0).alias("v"))
-    q = p.groupBy("scene", "t").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    return p.join(q, ["scene", "t"]).select("scene", "t", "y", "x", P.stretch(F.col("v"), F.get("q", F.lit(0)), F.get("q", F.lit(1))).alias("u8"))
+    p, low, high = _stretched(spark, d)
+    return p.select("scene", "t", "band", "y", "x", P.stretch(F.col("v"), low, high).alias("u8"))
 
 
 @query("map3_map4_map5_normalised", V.with_views("px") + """, m as (select scene, t, max(list_max(bands)) as m from px group by scene, t), v as (select scene, t, y, x, bands[1] / case when m > 1 then m else 1 end as r, bands[2] / case when m > 1 then m else 1 end as g, bands[3] / case when m > 1 then m else 1 end as b from px join m using (scene, t))
@@ -50,12 +59,10 @@ def map6(spark, d):
     return p.select("scene", "y", "x", *[v.alias(k) for k, v in P.indices(F.col("r"), F.col("g"), F.col("b")).items()])
 
 
-@query("map7_map8_unit_range", V.with_views("px") + """, v as (select scene, t, y, x, bands[4] as v from px), q as (select scene, t, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from v group by scene, t)
-select scene, t, y, x, round(least(greatest(case when hi > lo then (v - lo) / (hi - lo) else v end, 0.0::double), 1.0::double), 9) as u from v join q using (scene, t)""")
+@query("map7_map8_unit_range", _ALL + " select scene, t, band, y, x, round(least(greatest(case when hi > lo then (v - lo) / (hi - lo) else v end, 0.0::double), 1.0::double), 9) as u from v join q using (scene, t, band)")
 def map7(spark, d):
-    p = V.pixels(spark, d).select("scene", "t", "y", "x", _b(3).alias("v"))
-    q = p.groupBy("scene", "t").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    return p.join(q, ["scene", "t"]).select("scene", "t", "y", "x", F.round(P.unit(F.col("v"), F.get("q", F.lit(0)), F.get("q", F.lit(1))), 9).alias("u"))
+    p, low, high = _stretched(spark, d)
+    return p.select("scene", "t", "band", "y", "x", F.round(P.unit(F.col("v"), low, high), 9).alias("u"))
 
 
 _TRI = lambda n, m: f"(select i, s, greatest(0.0::double, 1.0::double - abs((s + 0.5::double - (i + 0.5::double) * {n / m}::double) / {max(1.0, n / m)}::double)) as k from (select unnest(range({m})) as i) a, (select unnest(range({n})) as s) b where s >= floor((i + 0.5::double) * {n / m}::double - {max(1.0, n / m)}::double + 0.5::double) and s < floor((i + 0.5::double) * {n / m}::double + {max(1.0, n / m)}::double + 0.5::double))"

@@ -1,10 +1,11 @@
-"""Raster headers and samples from files: TIFF (strips, none or deflate), PNG and JPEG headers, own parsers.
+"""Raster headers and samples from files: TIFF (strips and tiles; none, deflate or LZW), PNG, and JPEG headers, own parsers.
 
 Every file gives a row; what can't be read has error_kind and never raises. JP2 and NITF are recognised and reported
 as unsupported."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-HEADER = "path string, driver string, width int, height int, n_bands int, dtype string, crs string, transform array<double>, nodata double, tags map<string,string>, error_kind string, error string"
+HEADER = "path string, driver string, width int, height int, n_bands int, dtype string, crs string, transform array<double>, bounds array<double>, resolution array<double>, descriptions array<string>, nodata double, tags map<string,string>, error_kind string, error string"
 SAMPLES = "path string, band int, y int, x int, value double"
 
 # TIFF field types (size, struct code), sample formats, and names of text tags.
@@ -65,7 +66,13 @@ def tiff_header(data: bytes) -> dict:
         sx, sy, i, j, x, y = *f[33550][:2], *f[33922][:2], *f[33922][3:5]
         transform = [sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy]
     nodata = one(42113)
-    return {"driver": "GTiff", "width": one(256), "height": one(257), "n_bands": one(277, 1), "dtype": DTYPES.get((one(339, 1), one(258, 1))), "crs": crs, "transform": transform, "nodata": float(nodata) if nodata not in (None, "") else None, "tags": tags}
+    w, h, n = one(256), one(257), one(277, 1)
+    bounds = resolution = None
+    if transform and w and h:
+        sx, _, x, _, sy, y = transform
+        bounds, resolution = [min(x, x + w * sx), min(y, y + h * sy), max(x, x + w * sx), max(y, y + h * sy)], [abs(sx), abs(sy)]
+    said = {int(k): v for k, v in re.findall(r'<Item name="DESCRIPTION" sample="(\d+)"[^>]*>([^<]*)<', str(one(42112, "")))}
+    return {"bounds": bounds, "resolution": resolution, "descriptions": [said.get(k, "") for k in range(n)] if said else None, "driver": "GTiff", "width": one(256), "height": one(257), "n_bands": one(277, 1), "dtype": DTYPES.get((one(339, 1), one(258, 1))), "crs": crs, "transform": transform, "nodata": float(nodata) if nodata not in (None, "") else None, "tags": tags}
 
 
 def header(data: bytes) -> dict:
@@ -113,21 +120,121 @@ def inspect(spark: SparkSession, path: str, pattern: str | None = None) -> DataF
     return _files(spark, path, pattern).mapInPandas(run, HEADER)
 
 
+def _lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, most significant first, the width growing one code early."""
+    out, table, width, last = [], [], 9, b""
+    bits = held = 0
+    for byte in data:
+        bits, held = bits << 8 | byte, held + 8
+        if held < width:
+            continue
+        held -= width
+        code, bits = bits >> held, bits & (1 << held) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if not last:
+            now = table[code]
+        else:
+            now = table[code] if code < len(table) else last + last[:1]
+            table.append(last + now[:1])
+        out.append(now)
+        last = now
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
 def tiff_array(data: bytes, bands: list[int] | None = None) -> np.ndarray:
-    """(bands, height, width) of a strip TIFF, uncompressed or deflated; the bands asked for, from 1."""
+    """(bands, height, width) of a TIFF in strips or tiles, uncompressed, deflated or LZW, with or without horizontal
+    differences; the bands asked for, from 1."""
     order, f = tiff_fields(data)
     h = tiff_header(data)
-    packed, planar = f.get(259, [1])[0], f.get(284, [1])[0]
-    if packed not in (1, 8, 32946) or f.get(317, [1])[0] != 1 or 273 not in f or not h["dtype"]:
-        raise ValueError(f"compression {packed} or layout isn't supported")
-    parts = [data[o : o + n] for o, n in zip(f[273], f[279])]
-    raw = b"".join(zlib.decompress(p) if packed != 1 else p for p in parts)
-    a = np.frombuffer(raw, np.dtype(h["dtype"]).newbyteorder(order))
-    shape = (h["n_bands"], h["height"], h["width"])
-    a = a.reshape(shape) if planar == 2 else np.moveaxis(a.reshape(shape[1], shape[2], shape[0]), 2, 0)
+    packed, planar, predictor = f.get(259, [1])[0], f.get(284, [1])[0], f.get(317, [1])[0]
+    unpack = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(packed)
+    kind = h["dtype"] and np.dtype(h["dtype"]).newbyteorder(order)
+    if unpack is None or predictor not in (1, 2) or predictor == 2 and kind is not None and kind.kind == "f" or not kind or not (273 in f or 324 in f):
+        raise ValueError(f"compression {packed}, predictor {predictor} or layout isn't supported")
+    n, height, width = h["n_bands"], h["height"], h["width"]
+    tiled = 324 in f
+    pw, ph = (f[322][0], f[323][0]) if tiled else (width, min(f.get(278, [height])[0], height))
+    across, down = -(-width // pw), -(-height // ph)
+    planes, deep = (n, 1) if planar == 2 else (1, n)
+    out = np.zeros((n, height, width), kind.newbyteorder("="))
+    starts, sizes = (f[324], f[325]) if tiled else (f[273], f[279])
+    if len(starts) < planes * across * down:
+        raise ValueError("parts are missing")
+    for k in range(planes * across * down):
+        plane, at = divmod(k, across * down)
+        y, x = at // across * ph, at % across * pw
+        lines = ph if tiled else min(ph, height - y)
+        part = np.frombuffer(unpack(data[starts[k] : starts[k] + sizes[k]]), kind, lines * pw * deep).reshape(lines, pw, deep).astype(kind.newbyteorder("="))
+        if predictor == 2:
+            part = np.cumsum(part, 1, part.dtype)
+        part = np.moveaxis(part[: height - y, : width - x], 2, 0)
+        out[plane if planar == 2 else slice(None), y : y + part.shape[1], x : x + part.shape[2]] = part[0] if planar == 2 else part
+    return out if bands is None else out[[b - 1 for b in bands]]
+
+
+def png_array(data: bytes, bands: list[int] | None = None) -> np.ndarray:
+    """(bands, height, width) of a PNG without interlacing, of 8 or 16 bits; a palette gives its three colours."""
+    at, parts, palette, head = 8, [], None, None
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if len(body) < size:
+            raise ValueError("cut off")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            parts.append(body)
+        at += 12 + size
+    if head is None or head[2] not in (8, 16) or head[6]:
+        raise ValueError("interlaced, or bits that aren't supported")
+    width, height, bits, colour = head[:4]
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    step = n * bits // 8
+    raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)[: height * (width * step + 1)].reshape(height, width * step + 1)
+    lines = np.zeros((height + 1, (width + 1) * step), np.uint8)  # a line above and a pixel on the left, of zeros
+    for y in range(height):
+        how, line, up, now = raw[y, 0], raw[y, 1:], lines[y], lines[y + 1]
+        if how == 0:
+            now[step:] = line
+        elif how == 1:
+            now[step:] = np.cumsum(line.reshape(width, step), 0, np.uint8).ravel()
+        elif how == 2:
+            now[step:] = line + up[step:]
+        else:
+            left, above, value = now.tolist(), up.tolist(), line.tolist()
+            for i in range(width * step):
+                a, b, c = left[i], above[i + step], above[i]
+                if how == 3:
+                    guess = (a + b) // 2
+                else:
+                    p = a + b - c
+                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                left[i + step] = (value[i] + guess) & 255
+            now[:] = left
+    flat = np.ascontiguousarray(lines[1:, step:])
+    a = (flat.view(">u2").astype(np.uint16) if bits == 16 else flat).reshape(height, width, n)
+    if colour == 3:
+        if palette is None:
+            raise ValueError("no palette")
+        a = palette[a[..., 0]]
+    a = np.moveaxis(a, 2, 0)
     return a if bands is None else a[[b - 1 for b in bands]]
 
 
+def array_of(data: bytes, bands: list[int] | None = None) -> np.ndarray:
+    """The samples of a TIFF or PNG; ValueError for others (a JPEG needs a codec)."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return png_array(data, bands)
+    return tiff_array(data, bands)
+
+
 def read_bands(spark: SparkSession, path: str, bands: list[int] | None = None, pattern: str | None = None) -> DataFrame:
     """SRC2: the samples of the files' bands as rows; files that can't be read give none (see inspect)."""
 
@@ -135,7 +242,7 @@ def read_bands(spark: SparkSession, path: str, bands: list[int] | None = None, p
         for b in batches:
             for p, c in zip(b["path"], b["content"]):
                 try:
-                    a = tiff_array(bytes(c), bands)
+                    a = array_of(bytes(c), bands)
                 except (ValueError, struct.error, zlib.error, IndexError):
                     continue
                 for k, plane in enumerate(a):

@@ -424,3 +424,162 @@ def test_a_cluster_needs_a_shared_folder(spark):
         except RuntimeError:
             continue
         raise AssertionError(master)
+
+
+def test_exact_percentiles_like_numpy(spark):
+    from gridloom.operators.percentiles import exact_percentiles
+
+    r = np.random.default_rng(4)
+    groups = {0: r.standard_normal(501), 1: np.full(40, 3.0), 2: np.concatenate([np.full(300, 1.0), [1e9, -1e9, 1.0000001]]), 3: np.array([7.0]), 4: r.integers(0, 5, 1000).astype(float)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(0, None)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(3)
+    for bins in (1024, 4):
+        out = {x["k"]: x["q"] for x in exact_percentiles(df, ["k"], "v", [0.02, 0.5, 0.98], bins).collect()}
+        for k, vs in groups.items():
+            assert np.allclose(out[k], np.percentile(vs, [2, 50, 98]), rtol=1e-12, atol=1e-12), (k, bins)
+    assert exact_percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def png(a, bits, colour, filters, palette=None):
+    """A PNG file of an array (height, width, samples), each line filtered by one of `filters` in turn."""
+    h, w, n = a.shape
+    raw = a.astype(">u2" if bits == 16 else np.uint8).tobytes()
+    step, size = n * bits // 8, w * n * bits // 8
+    lines, up = [], bytes(size)
+    for y in range(h):
+        line, how = raw[y * size : (y + 1) * size], filters[y % len(filters)]
+        out = bytearray()
+        for i, v in enumerate(line):
+            left, above, corner = (line[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+            p = left + above - corner
+            paeth = min((abs(p - left), 0, left), (abs(p - above), 1, above), (abs(p - corner), 2, corner))[2]
+            out.append((v - (0, left, above, (left + above) // 2, paeth)[how]) & 255)
+        lines.append(bytes([how]) + bytes(out))
+        up = line
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    body = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, colour, 0, 0, 0)) + (chunk(b"PLTE", palette.astype(np.uint8).tobytes()) if palette is not None else b"")
+    return b"\x89PNG\r\n\x1a\n" + body + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+def lzw(data):
+    """TIFF's LZW, written plainly."""
+    out, table, width, last = [(256, 9)], {bytes([i]): i for i in range(256)}, 9, b""
+    for v in data:
+        now = last + bytes([v])
+        if now in table:
+            last = now
+            continue
+        out.append((table[last], width))
+        table[now] = len(table) + 2
+        last = bytes([v])
+        size = len(table) + 2
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size >= 4094:
+            out.append((256, width))
+            table, width = {bytes([i]): i for i in range(256)}, 9
+    out += [(table[last], width)] if last else []
+    size = len(table) + 3
+    out.append((257, 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12))
+    bits = "".join(format(c, f"0{w}b") for c, w in out)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def tiff_parts(a, part, packed, predictor, planar, tiled):
+    """A little-endian TIFF of an array (bands, height, width) of uint16 in strips of `part` lines or tiles of part x part."""
+    n, h, w = a.shape
+    pack = {1: bytes, 5: lzw, 8: zlib.compress}[packed]
+    pw, ph = (part, part) if tiled else (w, part)
+    parts = []
+    for plane in [a[k : k + 1] for k in range(n)] if planar == 2 else [a]:
+        for y in range(0, h, ph):
+            for x in range(0, w, pw):
+                p = plane[:, y : y + ph, x : x + pw]
+                if tiled:
+                    p = np.pad(p, ((0, 0), (0, ph - p.shape[1]), (0, pw - p.shape[2])))
+                p = np.moveaxis(p, 0, 2).astype("<u2")
+                if predictor == 2:
+                    p = np.diff(p, axis=1, prepend=p[:, :1] * 0).astype("<u2")
+                parts.append(pack(np.ascontiguousarray(p).tobytes()))
+    starts, at = [], 8
+    for p in parts:
+        starts.append(at)
+        at += len(p)
+    fields = [(256, 4, [w]), (257, 4, [h]), (258, 3, [16] * n), (259, 3, [packed]), (277, 3, [n]), (284, 3, [planar]), (317, 3, [predictor]), (339, 3, [1] * n), (33550, 12, [10.0, 10.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 500.0, 900.0, 0.0])]
+    fields += [(322, 4, [pw]), (323, 4, [ph]), (324, 4, starts), (325, 4, [len(p) for p in parts])] if tiled else [(273, 4, starts), (278, 4, [ph]), (279, 4, [len(p) for p in parts])]
+    extra, entries = b"", []
+    base = at + 2 + 12 * len(fields) + 4
+    for tag, kind, v in sorted(fields):
+        raw = struct.pack("<" + f"{len(v)}" + {3: "H", 4: "I", 12: "d"}[kind], *v)
+        if len(raw) > 4:
+            entries.append(struct.pack("<HHII", tag, kind, len(v), base + len(extra)))
+            extra += raw
+        else:
+            entries.append(struct.pack("<HHI", tag, kind, len(v)) + raw.ljust(4, b"\0"))
+    return b"II*\0" + struct.pack("<I", at) + b"".join(parts) + struct.pack("<H", len(fields)) + b"".join(entries) + b"\0" * 4 + extra
+
+
+def test_png_samples(spark, tmp_path):
+    r = np.random.default_rng(1)
+    grey, rgb, deep, index = r.integers(0, 256, (7, 9, 1)), r.integers(0, 256, (7, 9, 3)), r.integers(0, 65536, (5, 4, 2)), r.integers(0, 4, (6, 5, 1))
+    colours = r.integers(0, 256, (4, 3))
+    for a, bits, colour, palette in ((grey, 8, 0, None), (rgb, 8, 2, None), (deep, 16, 4, None), (index, 8, 3, colours)):
+        want = np.moveaxis(colours[a[..., 0]] if palette is not None else a, 2, 0)
+        for filters in ([0], [1], [2], [3], [4], [4, 0, 3, 1, 2]):
+            assert np.array_equal(SR.array_of(png(a, bits, colour, filters, palette)), want), (bits, colour, filters)
+    (tmp_path / "a.png").write_bytes(png(rgb, 8, 2, [4, 1]))
+    (tmp_path / "b.png").write_bytes(png(rgb, 8, 2, [0])[:60])
+    rows = SR.read_bands(spark, str(tmp_path), [2]).collect()
+    assert {(x["y"], x["x"]): x["value"] for x in rows} == {(y, x): float(rgb[y, x, 1]) for y in range(7) for x in range(9)}
+
+
+def test_tiff_tiles_lzw_and_differences(spark, tmp_path):
+    a = np.random.default_rng(2).integers(0, 300, (3, 21, 37)).astype(np.uint16)
+    a[:, 5:9] = 7
+    for packed in (1, 5, 8):
+        for predictor in (1, 2):
+            for planar in (1, 2):
+                for tiled, part in ((False, 4), (False, 21), (True, 16)):
+                    assert np.array_equal(SR.array_of(tiff_parts(a, part, packed, predictor, planar, tiled)), a), (packed, predictor, planar, tiled)
+    big = np.random.default_rng(3).integers(0, 2**16, (1, 60, 90)).astype(np.uint16)
+    assert np.array_equal(SR.array_of(tiff_parts(big, 60, 5, 1, 1, False)), big)
+    (tmp_path / "a.tif").write_bytes(tiff_parts(a, 16, 5, 2, 1, True))
+    h = SR.inspect(spark, str(tmp_path)).first()
+    assert h["bounds"] == [500.0, 690.0, 870.0, 900.0] and h["resolution"] == [10.0, 10.0] and h["error_kind"] is None
+
+
+def test_settings(spark, tmp_path, monkeypatch):
+    from gridloom.session import Settings
+
+    (tmp_path / "env").write_text("# a comment\nGRIDLOOM_TILE='256'\nGRIDLOOM_LEAST_REGION=4\n")
+    monkeypatch.setenv("GRIDLOOM_LEAST_REGION", "8")
+    spark.conf.set("gridloom.iou_threshold", "0.5")
+    try:
+        assert Settings.of(spark, str(tmp_path / "env")) == Settings(tile=256, least_region=8, iou_threshold=0.5)
+    finally:
+        spark.conf.unset("gridloom.iou_threshold")
+    assert Settings.of(spark) == Settings(least_region=8)
+
+
+def test_shared_models():
+    from gridloom.plans import runtime as RT
+
+    loaded = []
+    load = lambda: loaded.append(1) or {"n": 1}
+    with RT.shared("m", load) as a, RT.shared("m", load) as b:
+        assert a is b and RT.users("m") == 2
+        RT.release()
+    with RT.shared("m", load) as c:
+        assert c is a and len(loaded) == 1
+    RT.release("m")
+    with RT.shared("m", load, keep=False):
+        pass
+    assert len(loaded) == 2 and RT.users("m") == 0
+    with RT.shared("m", load):
+        assert len(loaded) == 3
+    RT.release()
+
+
+def test_validation_results(spark):
+    df = spark.createDataFrame([(["a"], ["w"]), ([], ["w"]), ([], [])], "e array<string>, w array<string>")
+    assert [(r["v"]["ok"], r["v"]["status"]) for r in df.select(R.validation_result(F.col("e"), F.col("w")).alias("v")).collect()] == [(False, "invalid"), (True, "valid_with_warnings"), (True, "valid")]

@@ -74,23 +74,27 @@ ZONE_WEIGHT, UNMARKED_WEIGHT, LEAST_TEXT, LEAST_COUNT = 0.01, 0.3, 0.1, 0.3
 MAX_LINKS = 0.7
 #: The innermost element that holds so much of the text, each block's times its score's square, is the page's main one.
 MAIN_SHARE = 0.85
+WEAK, STRONG = 1, 2
 
 
 class Tree:
     """Nodes by number, each made after its parent; 0 is the root."""
 
     def __init__(self) -> None:
-        self.parent, self.step, self.zone, self.marked = [0], [""], [False], [False]
-        self.known: dict[tuple[int, str, bool], int] = {}
+        self.parent, self.step, self.zone, self.marked = [0], [""], [0], [False]
+        self.known: dict[tuple[int, str, int], int] = {}
 
-    def add(self, parent: int, step: str, zone: bool = False) -> int:
+    def add(self, parent: int, step: str, zone: int = 0) -> int:
+        marks = step.split(".")[0] in MARKS
+        around = self.zone[parent]
         self.parent.append(parent)
         self.step.append(step)
-        self.zone.append(zone or self.zone[parent])
-        self.marked.append(step.split(".")[0] in MARKS or self.marked[parent])
+        # An article in a form that holds the page is no part of a form.
+        self.zone.append(zone if marks and around == WEAK else max(zone, around))
+        self.marked.append(marks or self.marked[parent])
         return len(self.parent) - 1
 
-    def child(self, parent: int, step: str, zone: bool) -> int:
+    def child(self, parent: int, step: str, zone: int) -> int:
         """The parent's one child of that name."""
         key = (parent, step, zone)
         if key not in self.known:
@@ -117,8 +121,8 @@ class Block:
     text: str = ""
 
 
-def _reading(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """The element's step in its path, and whether it speaks against main text."""
+def _reading(tag: str, attrs: str, inside: bool) -> tuple[str, int]:
+    """The element's step in its path, and whether it speaks against main text (0, WEAK for a form, STRONG)."""
     zone = tag in ZONES or tag == "header" and not inside
     tokens: set[str] = set()
     for name, a, b, c in ATTR.findall(attrs or ""):
@@ -130,7 +134,7 @@ def _reading(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
         zone = name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES
         if name in ("class", "id"):
             zone = any(TELLING.fullmatch(t) or t in HEADERS and not inside for t in value.split())
-    return ".".join([tag, *sorted(tokens)]), zone
+    return ".".join([tag, *sorted(tokens)]), (WEAK if tag == "form" else STRONG) if zone else 0
 
 
 def blocks(page: str) -> tuple[list[Block], Tree, Tree]:
@@ -245,7 +249,7 @@ def path_scores(found: list[Block], paths: Tree) -> list[float]:
         smooth.append((text / n, punctuation / n) if nodes[i] and free[i] else (0.0, 0.0))
         for o, b in zip(outer, below):
             o[i] = 0.0 if i in outside else b[i] + (OUTER * o[paths.parent[i]] if i else 0.0)
-    most = [max(s[i] * (not z) for s, z in zip(smooth, paths.zone)) for i in (0, 1)]
+    most = [max(0.0 if z else s[i] for s, z in zip(smooth, paths.zone)) for i in (0, 1)]
     fused = [w * sum(min(1.0, v / m) for v, m in zip(s, most) if m) / 2 for s, w in zip(smooth, weight)]
     longest = LEAST_TEXT * max((c for c, z in zip(own[1], paths.zone) if not z), default=0.0)
     fused = [f * max(LEAST_COUNT, min(1.0, c / longest)) if f and longest else f for f, c in zip(fused, chars)]

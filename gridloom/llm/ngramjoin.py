@@ -223,9 +223,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for all ends of the links, by least neighbours' labels and
     labels of labels; every round is a written table. links is a written table."""
     edges = C.written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = edges.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label"))
+    labels = C.written(edges.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")), "labels")
     while True:
-        labels = C.written(labels, "labels")
         near = edges.join(labels.select(F.col("node").alias("other"), F.col("label").alias("o")), "other").groupBy("node").agg(F.min("o").alias("o"))
         new = C.written(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "o").alias("to")), "nearer")
         jump = new.join(new.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "was", "label")

@@ -135,6 +135,23 @@ class Network:
             g[f"U{k}"] = gu
         return logit, g, dx
 
+    def all_gradients(self, words: list[str], back: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The logits of windows whose places hold the words of numbers `back`, and all parameters' gradients."""
+        vec, (wid, tri, n) = self.vectors(words)
+        logit, g, dx = self.gradients(self.project(vec)[back], mask, y)
+        dx = dx * mask
+        flat = np.zeros((len(words), 6 * HIDDEN), dx.dtype)
+        np.add.at(flat, back.ravel(), dx.reshape(-1, 6 * HIDDEN))
+        dv = np.zeros_like(vec)
+        for k, part in (("f", flat[:, : 3 * HIDDEN]), ("b", flat[:, 3 * HIDDEN :])):
+            g[f"W{k}"], g[f"c{k}"] = vec.T @ part, part.sum(0)
+            dv += part @ self.p[f"W{k}"].T
+        g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
+        np.add.at(g["word"], wid, dv[:, :D_WORD])
+        g["word"][0] = 0
+        np.add.at(g["char"], tri, np.repeat(dv[:, D_WORD:] / n[:, None], n, axis=0))
+        return logit, g
+
     def windows(self, n: int) -> list[tuple[int, int]]:
         """First and last + 1 of the windows that cover n words."""
         return [(s, min(n, s + WINDOW)) for s in range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)]
@@ -151,7 +168,7 @@ def _layout(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int], *, rates: tuple[float, float] = (1.0, 1.0), epochs: int = 6, seed: int = 7) -> Network:
     """Multiple-instance learning: a toxic text's window with the strongest evidence is a positive example, a clean
     text's windows are negative ones. At first the evidence is the words' log odds between the two kinds of texts,
-    later the network's own logit. At last the logit of texts is calibrated. rates are the shares of all clean and of
+    which the first number of each known word's vector starts as, too (a third of them); later it is the network's own logit. At last the logit of texts is calibrated. rates are the shares of all clean and of
     all toxic rows that are given; calibration and prior weigh the rows by their inverse."""
     rng = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
@@ -207,21 +224,8 @@ def train(texts: list[str], labels: list[int], *, rates: tuple[float, float] = (
             pick = order[j : j + 64]
             at, mask = _layout([rows[x] for x in pick])
             used, back = np.unique(at, return_inverse=True)
-            back = back.reshape(at.shape)
             words = [every[u - 1] if u else "x" for u in used]
-            vec, (wid, tri, n) = net.vectors(words)
-            _, g, dx = net.gradients(net.project(vec)[back], mask, np.array([marks[x] for x in pick], np.float32))
-            dx *= mask
-            flat = np.zeros((len(used), 6 * HIDDEN), np.float32)
-            np.add.at(flat, back.ravel(), dx.reshape(-1, 6 * HIDDEN))
-            dv = np.zeros_like(vec)
-            for k, part in (("f", flat[:, : 3 * HIDDEN]), ("b", flat[:, 3 * HIDDEN :])):
-                g[f"W{k}"], g[f"c{k}"] = vec.T @ part, part.sum(0)
-                dv += part @ net.p[f"W{k}"].T
-            g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], wid, dv[:, :D_WORD])
-            g["word"][0] = 0
-            np.add.at(g["char"], tri, np.repeat(dv[:, D_WORD:] / n[:, None], n, axis=0))
+            _, g = net.all_gradients(words, back.reshape(at.shape), mask, np.array([marks[x] for x in pick], np.float32))
             step += 1
             for name, v in net.p.items():
                 m, s = moment[name]

@@ -592,6 +592,67 @@ def test_gradients():
     assert abs((up - loss()) / 2e-3 - dx[1, 0, 3]) < 2e-3
 
 
+def test_all_gradients():
+    """Every parameter against differences of the loss, in double precision."""
+    net = TX.Network({"abc": 1, "bcd": 2, "dog": 3})
+    r = np.random.default_rng(3)
+    net.p = {k: (v + 0.1 * r.standard_normal(v.shape)).astype(np.float64) for k, v in net.p.items()}
+    net.p["word"][0] = 0
+    words = ["abc", "dog", "unknown", "bcd"]
+    back, mask = np.array([[0, 1, 2], [3, 1, 0], [2, 0, 0]]), np.array([[1, 1, 1], [1, 1, 1], [1, 0, 0]], np.float64)[:, :, None]
+    y = np.array([1, 0, 1], np.float64)
+    whole = lambda ws: np.concatenate(TX.Network.vectors(net, ws)[:1], 1)
+
+    def loss():
+        z = net.forward(net.project(whole(words).astype(np.float64))[back], mask)
+        return -np.mean(np.where(y == 1, np.log(TX._sigmoid(z)), np.log(1 - TX._sigmoid(z))))
+
+    _, g = net.all_gradients(words, back, mask, y)
+    used = np.unique(TX.trigrams(words)[0])
+    for k, v in net.p.items():
+        places = [(int(used[i % len(used)]), i % TX.D_CHAR) for i in range(6)] if k == "char" else [(1 + i % 3, i) for i in range(6)] if k == "word" else [np.unravel_index(i * 7 % v.size, v.shape) for i in range(6)]
+        for at in places:
+            kept, ends = v[at], []
+            for e in (1e-3, -1e-3):
+                v[at] = kept + e
+                ends.append(loss())
+            v[at] = kept
+            assert abs((ends[0] - ends[1]) / 2e-3 - g[k][at]) < 2e-4 + 0.02 * abs(g[k][at]), (k, at)
+
+
+def test_scores_like_plain_loops(monkeypatch):
+    """A text's score from every window on its own, step by step, over the seams of the parts that long texts go in."""
+    monkeypatch.setattr(TX, "PART", 2 * TX.STRIDE)
+    monkeypatch.setattr(TX, "MEMORY", 90)
+    r = random.Random(8)
+    words = ["w%d" % i for i in range(40)]
+    net = TX.Network({w: i for i, w in enumerate(words[:25], 1)})
+    net.scale, net.shift, net.prior = 3.0, -0.5, 0.07
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (1, 2, 8, 9, 23, 24, 31, 32, 33, 55, 56, 57, 80, 130, 300)] + ["", "!!!"]
+    h, sigmoid = TX.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+
+    def window(ws):
+        x = net.vectors(ws)[0].astype(np.float64)
+        states = np.zeros((len(ws), 2 * h))
+        for d, order in (("f", range(len(ws))), ("b", range(len(ws) - 1, -1, -1))):
+            s = np.zeros(h)
+            for i in order:
+                a = x[i] @ net.p["W" + d] + net.p["c" + d]
+                reset, update = sigmoid(a[:h] + s @ net.p["U" + d][:, :h]), sigmoid(a[h : 2 * h] + s @ net.p["U" + d][:, h : 2 * h])
+                new = np.tanh(a[2 * h :] + (reset * s) @ net.p["U" + d][:, 2 * h :])
+                s = (1 - update) * s + update * new
+                states[i, (0 if d == "f" else h) : (h if d == "f" else 2 * h)] = s
+        e = np.exp(np.tanh(states @ net.p["attend"]) @ net.p["query"])
+        return float((e / e.sum()) @ states @ net.p["out"] + net.p["bias"][0])
+
+    want = []
+    for t in texts:
+        ws = TX.words_of(t)
+        starts = [s for s in range(0, max(1, len(ws)), TX.STRIDE) if s == 0 or s + TX.WINDOW - TX.STRIDE < len(ws)]
+        want.append(float(sigmoid(3.0 * max(window(ws[s : s + TX.WINDOW]) for s in starts) - 0.5)) if ws else 0.07)
+    assert np.allclose(TX.Scorer(net).scores(iter(texts)), want, atol=1e-5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="no-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav>
 <div id="sidebar"><p>Side text, with commas, and more.</p></div><!-- <p>no</p> --><article><header><h1>Title &amp; more</h1></header><p><b>One,\n two<br>three.<p>Next   para with <a href="x">a link</a>, and so on.</p>
 <ul><li>first point<li>second point</ul><div class="comments"><p>Nice post, really, thanks!</p></div><aside>by the way</aside><form><label>Name</label><input name=q></form></article><div class="ad">Buy, now!</div><footer>&copy; us</footer>"""
@@ -648,6 +709,12 @@ def test_html_by_structure_alone():
     assert H.main_text(flat).split("\n\n") == ["Title", "A long paragraph, with commas, and with more words, so that it is long.", "point one", "Another one, that is also long, and has some words in it."]
 
 
+def test_html_article_in_a_form_that_holds_the_page():
+    page = "<body><form id=aspnet><div>Menu</div><article><p>One, and more words.</p><form><label>Name</label></form><p>Two, and more words.</p></article></form>{}</body>"
+    assert H.main_text(page.format("")) == "One, and more words.\n\nTwo, and more words."
+    assert H.main_text("<form><p>Only a form, with words.</p></form>") == "" and H.main_text("<aside><article><p>A teaser, long enough.</p></article></aside>") == ""
+
+
 def test_html_names_count_as_whole_tokens():
     text = lambda name: H.main_text(f'<article><p>One.</p><div class="{name}"><p>Two.</p></div><p>Three.</p></article>')
     for name in ("share-prices", "legal-history", "noticeboard", "advent", "article-header", "no-sidebar", "x comments-on-it"):

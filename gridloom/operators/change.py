@@ -122,7 +122,6 @@ def components(mask: DataFrame, width: int) -> DataFrame:
     edges = _written(touch.union(touch.select("scene", F.col("uid").alias("id"), F.col("id").alias("uid"))), "edges")
     labels = runs.select("scene", "id", F.col("id").alias("label"))
     while True:
-        labels = _written(labels, "labels")
         near = edges.join(labels.select("scene", F.col("id").alias("uid"), F.col("label").alias("o")), ["scene", "uid"]).groupBy("scene", "id").agg(F.min("o").alias("o"))
         new = _written(labels.join(near, ["scene", "id"], "left").select("scene", "id", F.col("label").alias("was"), F.least("label", "o").alias("to")), "nearer")
         new = new.join(new.select("scene", F.col("id").alias("to"), F.col("to").alias("label")), ["scene", "to"]).select("scene", "id", "was", "label")

@@ -9,6 +9,7 @@ from ..operators import change as CH
 from ..operators import fusion as U
 from ..operators import scoring as S
 from ..sources import fixtures as X
+from ..store import written
 from . import query
 from .imagery import difference_sql
 
@@ -19,37 +20,46 @@ _VALUES = "ex as (select * from (values " + ", ".join(f"('{n}', '{p.formats}', {
 _ZONAL = ", tt as (select scene, count(*) as total from df group by scene), cc as (select scene, count(*) as n from cl group by scene), zo as (select scene, coalesce(n, 0)::bigint as changed, round(coalesce(n, 0)::double / total * 100.0::double, 4) as ratio_pct from tt left join cc using (scene))"
 
 
+def _pairs(spark):
+    """Made once, then read by whoever needs them."""
+    return written(X.pairs(spark), "pairs")
+
+
+def _optical_sar(spark):
+    return written(X.optical_sar(spark), "optical_sar")
+
+
 @query("src14_fixture_pairs", _FX + " select scene, count(*) as n, " + ", ".join(f"sum({t}[{k}]) as {t}{k}, sum({t}[{k}] * ((y * 31 + x * 17) % 101)) as {t}{k}_placed" for t in "ab" for k in (1, 2, 3)) + " from fx group by scene")
 def src14(spark, d):
     """Every scene's sums, plain and weighted by place."""
     at = (F.col("y") * 31 + F.col("x") * 17) % 101
     sums = [f(F.sum(F.get(t, F.lit(k - 1)) * w)).alias(f"{t}{k}{name}") for t in "ab" for k in (1, 2, 3) for f, w, name in ((lambda c: c, F.lit(1), ""), (lambda c: c, at, "_placed"))]
-    return X.pairs(spark).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return _pairs(spark).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
 @query("src14_fixture_optical_sar", _AT + "os as (" + X.sql("optical_sar") + ") select scene, count(*) as n, " + ", ".join(f"round(sum({c}), 4) as {c}, round(sum({c} * ((y * 31 + x * 17) % 101)), 4) as {c}_placed" for c in ("r", "g", "b", "sar")) + " from os group by scene")
 def src14_os(spark, d):
     at = (F.col("y") * 31 + F.col("x") * 17) % 101
-    return X.optical_sar(spark).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(c) * w), 4).alias(c + name) for c in ("r", "g", "b", "sar") for w, name in ((F.lit(1), ""), (at, "_placed"))])
+    return _optical_sar(spark).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(c) * w), 4).alias(c + name) for c in ("r", "g", "b", "sar") for w, name in ((F.lit(1), ""), (at, "_placed"))])
 
 
 @query("cmp1_win2_fixture_mask", _FOUND + " select scene, y, x from cl")
 def cmp1(spark, d):
-    return CH.detect(X.pairs(spark), X.SIDE, X.SIDE)["mask"]
+    return CH.detect(_pairs(spark), X.SIDE, X.SIDE)["mask"]
 
 
 @query("ben2_agg17_flt17_format_matrix", _FOUND + _ZONAL + ", " + _VALUES + """, ve as (select ex.*, ratio_pct >= 1.0 and changed > 100 as found from ex join zo using (scene) where change is not null)
 select formats, count(*) as n, count_if(found = change) as correct, count_if(found and not change) as false_positives, round(count_if(found = change)::double / count(*) * 100.0::double, 2) as accuracy_pct from ve group by formats""")
 def ben2(spark, d):
     """The scenes with an expectation of change; how well the pairs align has no SQL (see ben2_format_audit)."""
-    a = BE.format_audit(X.pairs(spark), X.expected(spark), X.SIDE, X.SIDE).where("change is not null")
+    a = BE.format_audit(_pairs(spark), X.expected(spark), X.SIDE, X.SIDE).where("change is not null")
     return S.format_matrix(a).drop("misaligned")
 
 
 @query("ben2_format_audit")
 def ben2_audit(spark, d):
     """Each scene's verdict, the shifted one's too: phase correlation isn't for SQL."""
-    return BE.format_audit(X.pairs(spark), X.expected(spark), X.SIDE, X.SIDE)
+    return BE.format_audit(_pairs(spark), X.expected(spark), X.SIDE, X.SIDE)
 
 
 _NUIS = ["none", "illumination", "shadow", "seasonal_color", "registration"]
@@ -62,7 +72,7 @@ pr as (select *, case when tp + fp + fn = 0 then 1 when tp + fp > 0 then tp::dou
 select scene, tp, fp, fn, tn, round(p, 4) as precision, round(r, 4) as recall, round(case when p + r > 0 then 2.0::double * p * r / (p + r) else 0 end, 4) as f1 from pr""")
 def ben1(spark, d):
     """CVA on every scene, against the pixels whose colours differ by 60 in all."""
-    p = X.pairs(spark)
+    p = _pairs(spark)
     gap = F.aggregate(F.zip_with("a", "b", lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v)
     i = F.substring("scene", 1, 2).cast("int")
     at = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), i % len(vs) + 1)
@@ -74,5 +84,5 @@ def ben1(spark, d):
 @query("agg4_fixture_regions")
 def agg4(spark, d):
     """Regions of the optical-SAR scenes, held against their shapes by a test; labelling 65,536 pixels by recursion is too slow in SQL."""
-    k = U.classes(X.optical_sar(spark), X.SIDE, X.SIDE)
+    k = U.classes(_optical_sar(spark), X.SIDE, X.SIDE)
     return U.class_regions(k, X.SIDE, X.SIDE).drop("r", "g", "b")

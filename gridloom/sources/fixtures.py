@@ -81,7 +81,7 @@ def values(p: Pair, band: int, time: int) -> str:
     if time and any(p.move):
         moved = {"y": f"((y + {SIDE - p.move[0]}) % {SIDE})", "x": f"((x + {SIDE - p.move[1]}) % {SIDE})"}
         shown = re.sub(r"\b[yx]\b", lambda m: moved[m[0]], shown)
-    if not time:
+    if not time or p.shift == (0, 0, 0) and p.step == 1:
         return shown
     return f"least(255, greatest(0, ({shown}) + {p.shift[band]} - (({shown}) + {p.shift[band]}) % {p.step}))"
 

@@ -103,20 +103,34 @@ def question_kind(q: Column) -> Column:
             .when(F.contains(l, F.lit("more")) | F.contains(l, F.lit("less")), "comparison").when(F.contains(l, F.lit("rural")) | F.contains(l, F.lit("urban")), "rural_urban").otherwise("other"))
 
 
-def scene_domain(path: Column, domains: list[str]) -> Column:
-    """STR9. The first of the domains that the text contains, else general."""
-    found = F.filter(F.array(*[F.lit(d) for d in domains]), lambda d: F.contains(F.lower(path), d))
-    return F.coalesce(F.get(found, F.lit(0)), F.lit("general"))
+# Words that tell a scene's domain, the first that occurs counts.
+DOMAINS = ["urban", "forest", "agri", "water", "infra", "coastal", "mining", "nuisance", "industrial"]
+
+
+def scene_domain(*texts: Column, domains: list[str] | None = None, other: str = "other") -> Column:
+    """STR9. The first of the domains that one of the texts contains, also within a word."""
+    holds = lambda d: F.exists(F.array(*[F.coalesce(F.lower(t), F.lit("")) for t in texts]), lambda t: F.contains(t, d))
+    found = F.filter(F.array(*[F.lit(d) for d in domains or DOMAINS]), holds)
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(other))
+
+
+# Tags that name the sensor, those that hold the date, and how dates are written.
+SENSOR_TAGS = ["SENSOR_ID", "SPACECRAFT_NAME", "PLATFORM", "MISSION"]
+DATE_TAGS = ["ACQUISITION_DATETIME", "TIFFTAG_DATETIME", "ACQUISITION_DATE", "DATE_ACQUIRED", "DATETIME", "date"]
+DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd"]
+
+
+def sensor(tags: Column) -> Column:
+    """SRC3. The first tag that names the sensor and isn't empty."""
+    return F.coalesce(*[F.nullif(F.element_at(tags, k), F.lit("")) for k in SENSOR_TAGS])
 
 
 def acquisition_date(tags: Column, filename: Column) -> Column:
     """STR6. The first readable date among tags, else one in the file's name, of the years 1970 to 2035."""
-    formats = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd"]
-    keys = ["ACQUISITION_DATETIME", "TIFFTAG_DATETIME", "ACQUISITION_DATE", "DATE_ACQUIRED", "DATETIME", "date"]
-    read = lambda v: F.coalesce(*[F.to_date(F.try_to_timestamp(F.substring(v, 1, 19), F.lit(f))) for f in formats])
+    read = lambda v: F.coalesce(*[F.to_date(F.try_to_timestamp(F.substring(v, 1, 19), F.lit(f))) for f in DATE_FORMATS])
     part = lambda i: F.regexp_extract(filename, r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})", i)
     named = F.to_date(F.try_to_timestamp(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-MM-dd")))
-    found = F.coalesce(*[read(F.element_at(tags, k)) for k in keys], named)
+    found = F.coalesce(*[read(F.element_at(tags, k)) for k in DATE_TAGS], named)
     return F.when(F.year(found).between(1970, 2035), found)
 
 

@@ -169,6 +169,30 @@ def detect(pair: DataFrame, height: int, width: int) -> dict[str, DataFrame]:
     return {"difference": diff, "thresholds": cuts, "raw": raw, "mask": clean, "zonal": zonal(diff, clean)}
 
 
+#: Pixels that a mask must have to count as a finding.
+FEW = 16
+
+
+def differing(pair: DataFrame) -> DataFrame:
+    """scene, n: pixels of which any band differs."""
+    return pair.where(F.col("a") != F.col("b")).groupBy("scene").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_fallback(neural: DataFrame, cva: DataFrame, pair: DataFrame) -> DataFrame:
+    """CMP2: scene, y, x, source: the neural mask; where that has few pixels, though FEW pixels or more differ, the CVA
+    mask, if that has them. Both are foreground only."""
+    n = lambda df, name: df.groupBy("scene").agg(F.count(F.lit(1)).alias(name))
+    use = differing(pair).where(F.col("n") >= FEW).join(n(cva, "cva"), "scene").join(n(neural, "own"), "scene", "left")
+    use = use.where((F.col("cva") >= FEW) & (F.coalesce("own", F.lit(0)) < FEW)).select("scene")
+    own = neural.join(use, "scene", "left_anti").select("scene", "y", "x", F.lit("neural").alias("source"))
+    return own.unionByName(cva.join(use, "scene", "left_semi").select("scene", "y", "x", F.lit("cva").alias("source")))
+
+
+def is_still(changed: Column, regions: Column) -> Column:
+    """CMP7. Whether there is nothing to interpret: no changed pixel, or no region."""
+    return (F.coalesce(changed, F.lit(0)) == 0) | (F.coalesce(regions, F.lit(0)) == 0)
+
+
 def roughness(img: DataFrame, height: int, width: int, value: str = "sar", radius: int = 2) -> DataFrame:
     """WIN1: local standard deviation in a square, mirrored at the border (the edge pixel counts twice). Each pixel goes
     to the windows that it counts in; sums combine before the shuffle."""

@@ -44,6 +44,10 @@ class Registry:
     def clear(self) -> None:
         self._all.clear()
 
+    def health(self) -> dict[str, bool]:
+        """By name, whether the pipeline is fit for use; one that can't say is."""
+        return {n: bool(getattr(f, "health_check", lambda: True)()) for n, f in sorted(self._all.items())}
+
     def run(self, name: str, df: DataFrame) -> DataFrame:
         """The pipeline's rows with status ok; without such a pipeline, the rows as they are, status unavailable. No output
         is ever made up."""

@@ -156,14 +156,15 @@ def cmp3(spark, d):
     return CH.detect(V.changed_pair(spark, d), H, WIDTH)["zonal"]
 
 
-@query("cmp2_cmp7_fallback_and_short_circuit", CHANGED + """, tt as (select scene, count(*) as total from df group by scene), r as (select scene, count(*) as n from rw group by scene), cc as (select scene, count(*) as n from cl group by scene)
-select scene, coalesce(r.n, 0) >= 16 and coalesce(cc.n, 0) >= 16 as use_fallback, coalesce(cc.n, 0) = 0 as skip_interpretation from tt left join r using (scene) left join cc using (scene)""")
+@query("cmp2_neural_fallback", CHANGED + """, ne as (select scene, y, x from df where scene % 2 = 1 and d >= 0.9), n1 as (select scene, count(*) as n from ne group by scene), n2 as (select scene, count(*) as n from cl group by scene), n3 as (select scene, count(*) as n from cpair where a <> b group by scene),
+us as (select n3.scene from n3 join n2 using (scene) left join n1 using (scene) where n3.n >= 16 and n2.n >= 16 and coalesce(n1.n, 0) < 16)
+select scene, y, x, 'neural' as source from ne where scene not in (select scene from us) union all select scene, y, x, 'cva' from cl where scene in (select scene from us)""")
 def cmp2(spark, d):
-    """With an empty neural mask: whether CVA stands in, and whether the interpreting model is skipped."""
-    o = CH.detect(V.changed_pair(spark, d), H, WIDTH)
-    n = lambda df, name: df.groupBy("scene").agg(F.count(F.lit(1)).alias(name))
-    t = o["difference"].select("scene").distinct().join(n(o["raw"], "r"), "scene", "left").join(n(o["mask"], "c"), "scene", "left").fillna(0)
-    return t.select("scene", ((F.col("r") >= 16) & (F.col("c") >= 16)).alias("use_fallback"), (F.col("c") == 0).alias("skip_interpretation"))
+    """A detector that sees only the strongest differences, and only in odd scenes, stands for the neural one."""
+    pair = V.changed_pair(spark, d)
+    o = CH.detect(pair, H, WIDTH)
+    neural = o["difference"].where("scene % 2 = 1 and d >= 0.9").select("scene", "y", "x")
+    return CH.with_fallback(neural, o["mask"], pair)
 
 
 LABELS = """, fg as (select scene, y, x, y * 16 + x as id from rw), ed as (select a.scene, a.id as i, b.id as j from fg a join fg b on a.scene = b.scene and abs(a.y - b.y) + abs(a.x - b.x) = 1),
@@ -176,6 +177,16 @@ def _labelled(spark, d):
     return CH.components(CH.raw_mask(diff, CH.thresholds(diff)), WIDTH), diff
 
 
+@query("cmp7_nothing_to_interpret", CHANGED.replace("with px", "with recursive px", 1) + LABELS.replace("from rw", "from cl") + """, rg as (select scene, count(*) as n from (select scene, label from la group by scene, label having count(*) >= 16) group by scene), cc as (select scene, count(*) as n from cl group by scene), tt as (select distinct scene from df)
+select scene, coalesce(cc.n, 0)::bigint as changed, coalesce(rg.n, 0)::bigint as regions, coalesce(cc.n, 0) = 0 or coalesce(rg.n, 0) = 0 as still from tt left join cc using (scene) left join rg using (scene)""")
+def cmp7(spark, d):
+    """Whether the interpreting model is skipped, from the cleaned mask and its regions."""
+    o = CH.detect(V.changed_pair(spark, d), H, WIDTH)
+    r = CH.regions(CH.components(o["mask"], WIDTH), o["difference"], most=H * WIDTH).groupBy("scene").agg(F.count(F.lit(1)).alias("regions"))
+    t = o["zonal"].select("scene", "changed").join(r, "scene", "left").fillna(0, ["regions"])
+    return t.withColumn("still", CH.is_still(F.col("changed"), F.col("regions")))
+
+
 @query("win4_components", _DIFF.replace("with px", "with recursive px", 1) + LABELS + " select scene, y, x, label from la")
 def win4(spark, d):
     return _labelled(spark, d)[0]

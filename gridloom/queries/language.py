@@ -73,7 +73,8 @@ ANSWERS = [
 
 @query("str2_boxes_in_text")
 def str2(spark, d):
-    a = spark.createDataFrame([(a,) for a in ANSWERS], "answer string")
+    """Answers of every grammar, and all texts of the conversations."""
+    a = spark.createDataFrame([(a,) for a in ANSWERS], "answer string").union(V.table(spark, d, "conversations").select("text"))
     return a.select("answer", T.boxes_in_text(F.col("answer"), F.lit(2000.0), F.lit(1000.0)).alias("boxes"))
 
 
@@ -105,7 +106,12 @@ def str10(spark, d):
 @query("str8_str9_kinds", "select page_id, case when contains(lower(url), 'en') then 'en' when contains(lower(url), 'fr') then 'fr' when contains(lower(url), 'de') then 'de' else 'general' end as domain, case when contains(lower(html), 'how many') or contains(lower(html), 'number of') then 'count' when contains(lower(html), 'is there') or contains(lower(html), 'are there') then 'presence' when contains(lower(html), 'more') or contains(lower(html), 'less') then 'comparison' when contains(lower(html), 'rural') or contains(lower(html), 'urban') then 'rural_urban' else 'other' end as kind from pages")
 def str8(spark, d):
     p = V.table(spark, d, "pages")
-    return p.select("page_id", T.scene_domain(F.col("url"), ["en", "fr", "de"]).alias("domain"), T.question_kind(F.col("html")).alias("kind"))
+    return p.select("page_id", T.scene_domain(F.col("url"), domains=["en", "fr", "de"], other="general").alias("domain"), T.question_kind(F.col("html")).alias("kind"))
+
+
+@query("str9_scene_domain", "select doc_id, case " + " ".join(f"when contains(lower(text), '{w}') or contains(lower(source), '{w}') then '{w}'" for w in T.DOMAINS) + " else 'other' end as domain from documents")
+def str9(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", T.scene_domain(F.col("text"), F.col("source")).alias("domain"))
 
 
 @query("str6_acquisition_date", "select o_orderkey, case when o_orderkey % 3 < 2 then strftime(o_orderdate, '%Y-%m-%d') end as d from orders")
@@ -181,6 +187,6 @@ def src3(spark, d):
     s, k = V.table(spark, d, "supplier"), F.col("s_suppkey")
     tags = F.map_concat(F.when(k % 2 == 0, F.create_map(F.lit("SENSOR_ID"), "s_name")).otherwise(F.create_map().cast("map<string,string>")), F.when(k % 3 == 0, F.create_map(F.lit("PLATFORM"), F.lit("alt"))).otherwise(F.create_map().cast("map<string,string>")))
     crs = F.when(F.col("s_nationkey") > 5, F.concat(F.lit("EPSG:"), (F.col("s_nationkey") + 32600).cast("string")))
-    sensor = F.coalesce(F.element_at(tags, "SENSOR_ID"), F.element_at(tags, "PLATFORM"))
+    sensor = T.sensor(tags)
     side = lambda n: F.when(k % 5 != 0, k % n)
     return s.select("s_suppkey", T.spatial_summary(sensor, crs, side(100), side(30)).alias("summary"))

@@ -583,3 +583,36 @@ def test_shared_models():
 def test_validation_results(spark):
     df = spark.createDataFrame([(["a"], ["w"]), ([], ["w"]), ([], [])], "e array<string>, w array<string>")
     assert [(r["v"]["ok"], r["v"]["status"]) for r in df.select(R.validation_result(F.col("e"), F.col("w")).alias("v")).collect()] == [(False, "invalid"), (True, "valid_with_warnings"), (True, "valid")]
+
+
+def test_specialists(spark):
+    from gridloom.plans import specialist as SP
+    from gridloom.sources import fixtures as X
+
+    r = P.Registry()
+    one = SP.ChangeDetector(X.SIDE, X.SIDE)
+    assert r.register(one.capability.name, one) and not one.is_loaded and r.health() == {"CHANGE_DETECT": True}
+    out = r.run("CHANGE_DETECT", X.pairs(spark).where("scene = '00_core'")).first()
+    assert one.is_loaded and (out["changed"], out["status"]) == (6400, "ok")
+    one.cleanup()
+    assert not one.is_loaded and not r.register("CHANGE_DETECT", SP.SensorFusion(8, 8)) and r.names() == ["CHANGE_DETECT"]
+    fused = SP.SensorFusion(X.SIDE, X.SIDE)(X.optical_sar(spark).where("scene = 'built'")).collect()
+    assert {x["class"]: x["pixels"] for x in fused}["built_structure"] == 14400 and abs(sum(x["pct"] for x in fused) - 100) < 0.05
+
+
+def test_fallback_and_stillness(spark):
+    rows = lambda scene, n: [(scene, i // 8, i % 8) for i in range(n)]
+    frame = lambda rs: spark.createDataFrame(rs, "scene long, y int, x int")
+    neural, cva = frame(rows(0, 20) + rows(1, 3) + rows(2, 3) + rows(3, 0)), frame(rows(0, 30) + rows(1, 30) + rows(2, 10) + rows(3, 30))
+    pair = spark.createDataFrame([(s, i // 8, i % 8, [0.0], [1.0 if i < n else 0.0]) for s, n in enumerate((40, 40, 40, 10)) for i in range(64)], "scene long, y int, x int, a array<double>, b array<double>")
+    out = CH.with_fallback(neural, cva, pair).groupBy("scene", "source").count().collect()
+    assert sorted(map(tuple, out)) == [(0, "neural", 20), (1, "cva", 30), (2, "neural", 3)]
+    still = spark.createDataFrame([(0, 0), (5, 0), (5, 1), (None, None)], "c long, r long").select(CH.is_still(F.col("c"), F.col("r")).alias("s"))
+    assert [x["s"] for x in still.collect()] == [True, True, False, True]
+
+
+def test_pair_scores(spark):
+    """WIN6: half overlap, half phase where the overlap is known; the score's grades."""
+    shift = spark.createDataFrame([(i, 0, 0, 0.0, 0.0, 0.0, 0.0, s) for i, s in enumerate((0.9, 0.9, 0.01, 0.4))], A.SHIFT)
+    share = spark.createDataFrame([(0, 1.0), (2, 0.05), (3, 1.0)], "scene long, share double")
+    assert [(r["scene"], r["score"], r["grade"]) for r in A.pair_score(shift, share).orderBy("scene").collect()] == [(0, 0.95, "excellent"), (1, 0.9, "excellent"), (2, 0.1, "poor"), (3, 0.7, "good")]

@@ -55,7 +55,16 @@ def block_of(key: Column, splits: list[int]) -> Column:
     return F.when(key.isNull() | (key < splits[0]), F.lit(0)).otherwise((coarse - 1) * step + fine)
 
 
-def with_prefix(rows: DataFrame, key: str, ties: tuple[str, ...], value: str, *, spread: Column | None = None, rows_per_block: int = 1_000, max_blocks: int = 20_000) -> DataFrame:
+def with_prefix(
+    rows: DataFrame,
+    key: str,
+    ties: tuple[str, ...],
+    value: str,
+    *,
+    spread: Column | None = None,
+    rows_per_block: int = 1_000,
+    max_blocks: int = 20_000,
+) -> DataFrame:
     """rows with start (the sum of value over all rows before), rank (their number) and total (the sum of value),
     in ascending order of key, a null key first, then ties. rows is read several times: give a written table.
 
@@ -66,11 +75,26 @@ def with_prefix(rows: DataFrame, key: str, ties: tuple[str, ...], value: str, *,
     splits, hot = sorted(set(cuts)), sorted(k for k, n in Counter(cuts).items() if n > 1)
     part = F.lit(None) if spread is None else F.when(rows[key].isNull() | rows[key].isin(hot), spread)
     # A hot key begins its block, as does a null one: its parts come before the rest.
-    rows = rows.withColumn("block", F.struct(block_of(rows[key], splits).alias("k"), part.isNull().alias("rest"), F.coalesce(part.cast("string"), F.lit("")).alias("part")))
+    rows = rows.withColumn(
+        "block",
+        F.struct(
+            block_of(rows[key], splits).alias("k"),
+            part.isNull().alias("rest"),
+            F.coalesce(part.cast("string"), F.lit("")).alias("part"),
+        ),
+    )
     sums = rows.groupBy("block").agg(F.sum(value).alias("b"), F.count(F.lit(1)).alias("r"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("block", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.sum("b").over(W.partitionBy()).alias("total"))
+    sums = sums.select(
+        "block",
+        F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
+        F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"),
+        F.sum("b").over(W.partitionBy()).alias("total"),
+    )
     inside = W.partitionBy("block").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(W.unboundedPreceding, -1)
-    at = rows.withColumn("start", F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn("rank", F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)))
+    at = rows.withColumn("start", F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn(
+        "rank",
+        F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)),
+    )
     at = at.join(F.broadcast(sums), "block").withColumns({"start": F.col("start") + F.col("b0"), "rank": F.col("rank") + F.col("r0")})
     return at.drop("block", "b0", "r0")

@@ -21,7 +21,9 @@ def picks(text: str, k: int = K, window: int = WINDOW) -> str:
     ones. A window's least comes from runs of twice the length at each step, the last two of them overlapping.
     A text of fewer than k code points is one gram; one of fewer than `window` grams is one window; an empty one has none."""
     raw = f"encode({text}, 'UTF-32')"
-    grams = (f"transform(sequence(0, greatest(length({text}) - {k}, 0)), i -> shiftleft(xxhash64(substring(raw, 4 * i + 1, {4 * k})) & 2147483647, 32) | (4294967295L - i))")
+    grams = (
+        f"transform(sequence(0, greatest(length({text}) - {k}, 0)), i -> shiftleft(xxhash64(substring(raw, 4 * i + 1, {4 * k})) & 2147483647, 32) | (4294967295L - i))"
+    )
     steps, run = [], 1
     while run < window:
         by = min(run, window - run)
@@ -38,7 +40,11 @@ def picks(text: str, k: int = K, window: int = WINDOW) -> str:
 
 def as_text(p: Column) -> Column:
     """hash@position of each pick, in hexadecimal and decimal, comma-joined."""
-    one = lambda x: F.concat(F.lower(F.hex(F.shiftright(x, 32))), F.lit("@"), (F.lit(4294967295) - x.bitwiseAND(F.lit(4294967295))).cast("string"))
+    one = lambda x: F.concat(
+        F.lower(F.hex(F.shiftright(x, 32))),
+        F.lit("@"),
+        (F.lit(4294967295) - x.bitwiseAND(F.lit(4294967295))).cast("string"),
+    )
     return F.concat_ws(",", F.transform(p, one))
 
 
@@ -69,12 +75,24 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("picks", F.expr(picks("text")))
     block = C.block_of(F.col("doc_id"), splits)
     home = F.struct(block.alias("block"), F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
-    before = F.when(F.col("doc_id").isin(splits), F.struct((block - 1).alias("block"), F.lit(0).alias("wrap"), F.lit(True).alias("guest"))) if splits else F.lit(None).cast("struct<block: int, wrap: int, guest: boolean>")
-    first = F.when(F.col("doc_id").eqNullSafe(F.lit(least_id)), F.struct(F.lit(len(splits)).alias("block"), F.lit(1).alias("wrap"), F.lit(True).alias("guest")))
+    before = F.when(
+        F.col("doc_id").isin(splits),
+        F.struct((block - 1).alias("block"), F.lit(0).alias("wrap"), F.lit(True).alias("guest")),
+    ) if splits else F.lit(None).cast("struct<block: int, wrap: int, guest: boolean>")
+    first = F.when(
+        F.col("doc_id").eqNullSafe(F.lit(least_id)),
+        F.struct(F.lit(len(splits)).alias("block"), F.lit(1).alias("wrap"), F.lit(True).alias("guest")),
+    )
     rows = rows.withColumn("at", F.explode(F.array_compact(F.array(home, before, first)))).select("doc_id", "text", "picks", "at.*")
     w = W.partitionBy("block").orderBy("wrap", F.col("doc_id").asc_nulls_first(), "text", "guest")
     after = F.lead(F.struct("text", "picks")).over(w)
-    return rows.withColumn("after", after).where("not guest").select("doc_id", "text", "picks", F.col("after.text").alias("next_text"), F.col("after.picks").alias("next_picks"))
+    return rows.withColumn("after", after).where("not guest").select(
+        "doc_id",
+        "text",
+        "picks",
+        F.col("after.text").alias("next_text"),
+        F.col("after.picks").alias("next_picks"),
+    )
 
 
 LOW = 4294967295
@@ -98,14 +116,41 @@ def fingerprint_edits(docs: DataFrame, **options) -> DataFrame:
     t = t.withColumn("n", F.length("text")).withColumn("h", F.floor(F.col("n") / 2).cast("int")).withColumn("a", F.col("n") - F.col("h"))
     t = t.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("a")), F.substring("next_text", F.lit(1), F.col("h"))))
     # Grams of the edited text and of what the next gives; the last own pick and the first and last of the next's that stay.
-    t = t.withColumn("m", F.length("edited")).withColumn("grams", F.greatest(F.col("m") - K + 1, F.lit(1))).withColumn("given", F.col("m") - F.col("a") - K + 1)
-    t = t.withColumn("own_to", F.col("a") - K + 1 - WINDOW).withColumn("next_from", F.col("a") + WINDOW - 1).withColumn("next_to", F.col("a") + F.col("given") - WINDOW)
+    t = t.withColumn("m", F.length("edited")).withColumn(
+        "grams",
+        F.greatest(F.col("m") - K + 1, F.lit(1)),
+    ).withColumn("given", F.col("m") - F.col("a") - K + 1)
+    t = t.withColumn("own_to", F.col("a") - K + 1 - WINDOW).withColumn("next_from", F.col("a") + WINDOW - 1).withColumn(
+        "next_to",
+        F.col("a") + F.col("given") - WINDOW,
+    )
     has = F.col("next_to") >= F.col("next_from")
-    t = t.withColumn("lo1", F.greatest(F.col("own_to") + 1, F.lit(0))).withColumn("hi1", F.when(has, F.col("next_from") - 1).otherwise(F.col("grams") - 1))
+    t = t.withColumn("lo1", F.greatest(F.col("own_to") + 1, F.lit(0))).withColumn(
+        "hi1",
+        F.when(has, F.col("next_from") - 1).otherwise(F.col("grams") - 1),
+    )
     t = t.withColumn("lo2", F.when(has, F.col("next_to") + 1).otherwise(F.col("grams"))).withColumn("hi2", F.col("grams") - 1)
     for z in "12":
         t = t.withColumn(f"s{z}", F.greatest(F.col(f"lo{z}") - (WINDOW - 1), F.lit(0)))
-        t = t.withColumn(f"seam{z}", F.when(F.col(f"lo{z}") <= F.col(f"hi{z}"), F.substring("edited", F.col(f"s{z}") + 1, F.col(f"hi{z}") - F.col(f"s{z}") + WINDOW - 1 + K)).otherwise(""))
+        t = t.withColumn(
+            f"seam{z}",
+            F.when(
+                F.col(f"lo{z}") <= F.col(f"hi{z}"),
+                F.substring("edited", F.col(f"s{z}") + 1, F.col(f"hi{z}") - F.col(f"s{z}") + WINDOW - 1 + K),
+            ).otherwise(""),
+        )
     t = t.withColumns({f"p{z}": F.expr(picks(f"seam{z}")) for z in "12"})
-    parts = [_moved("picks", "0", "0", "own_to"), _moved("p1", "s1", "lo1", "hi1"), _moved("next_picks", "a", "next_from", "next_to"), _moved("p2", "s2", "lo2", "hi2")]
-    return t.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited", "picks", F.expr(f"concat({', '.join(parts)})").alias("edited_picks"), "next_picks")
+    parts = [
+        _moved("picks", "0", "0", "own_to"),
+        _moved("p1", "s1", "lo1", "hi1"),
+        _moved("next_picks", "a", "next_from", "next_to"),
+        _moved("p2", "s2", "lo2", "hi2"),
+    ]
+    return t.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_chars"),
+        "edited",
+        "picks",
+        F.expr(f"concat({', '.join(parts)})").alias("edited_picks"),
+        "next_picks",
+    )

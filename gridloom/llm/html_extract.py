@@ -182,7 +182,11 @@ def blocks(page: str) -> tuple[list[Block], Tree, Tree]:
                     inline_zone.pop()
             elif tag == "a":
                 links += 1
-            elif inline_zone and tag == inline_zone[-1] or tag == "span" and m["attrs"] and _reading(tag, m["attrs"], open_["article"] + open_["main"] > 0)[1]:
+            elif inline_zone and tag == inline_zone[-1] or tag == "span" and m["attrs"] and _reading(
+                tag,
+                m["attrs"],
+                open_["article"] + open_["main"] > 0,
+            )[1]:
                 inline_zone.append(tag)
             continue
         links, inline_zone = 0, []
@@ -309,12 +313,19 @@ def main_text(page: str) -> str:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = [main_text(x.as_py() or "") for x in b.column("html")]
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
+            ["page_id", "url", "text", "n_chars"],
+        )
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page. Null html is empty and has no text; repeated rows give repeated
     rows; an empty table gives none; other columns are ignored. Each page is parsed whole and alone: no shuffle."""
     C.require(pages, id_col, url_col, html_col)
-    given = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
+    given = pages.select(
+        pages[id_col].cast("long").alias("page_id"),
+        pages[url_col].cast("string").alias("url"),
+        pages[html_col].cast("string").alias("html"),
+    )
     return given.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

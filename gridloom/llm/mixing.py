@@ -34,9 +34,15 @@ def targets(totals: DataFrame, share: float, cap: float, weights: tuple[int, ...
     t = t.withColumn("weight", F.element_at(F.lit([float(w) for w in weights]), (F.pmod("n", F.lit(len(weights))) + 1).cast("int")))
     everything = W.partitionBy()
     t = t.withColumn("cap", F.col("source_size") * F.lit(float(cap)))
-    t = t.withColumn("goal", F.sum("source_size").over(everything) * F.lit(float(share))).withColumn("all_w", F.sum("weight").over(everything))
+    t = t.withColumn(
+        "goal",
+        F.sum("source_size").over(everything) * F.lit(float(share)),
+    ).withColumn("all_w", F.sum("weight").over(everything))
     before = W.orderBy(F.col("cap") / F.col("weight"), "n").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("cap0", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("w0", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    t = t.withColumn("cap0", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn(
+        "w0",
+        F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
+    )
     t = t.withColumn("full", (F.col("goal") - F.col("cap0")) * F.col("weight") >= F.col("cap") * (F.col("all_w") - F.col("w0")))
     part = lambda c: F.coalesce(F.sum(F.when(F.col("full"), F.col(c))).over(everything), F.lit(0.0))
     t = t.withColumn("cap_full", part("cap")).withColumn("w_full", part("weight"))
@@ -57,7 +63,12 @@ def mix_counts(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights
     Plan: one pass over the texts writes (id, source, size); totals combine before their shuffle, so a source
     with most rows is one row a task; the small table of targets is broadcast below BROADCAST_SOURCES sources."""
     C.require(docs, id_col, text_col, source_col)
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    sizes = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col).cast("string")).alias("size"),
+        *[F.col(c).alias(f"kept_{c}") for c in keep],
+    )
     if not keep:
         sizes = C.written(sizes, "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -73,5 +84,8 @@ def mix_counts(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row floor(rate) times, plus once more where its draw falls below the fraction."""
     out = mix_counts(docs, keep=tuple(docs.columns), **options)
-    out = out.withColumn("copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>"))))
+    out = out.withColumn(
+        "copy",
+        F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.array().cast("array<int>"))),
+    )
     return out.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])

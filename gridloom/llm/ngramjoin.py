@@ -92,7 +92,10 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles, rarest first; at most MAX_FREQUENT numbers come to the driver."""
-    seen = C.written(docs.select("text").mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT), "frequent")
+    seen = C.written(
+        docs.select("text").mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT),
+        "frequent",
+    )
     # The least count that leaves MAX_FREQUENT at most; counts from 10,000 on are alike here.
     least, room = 10_001, MAX_FREQUENT
     for r in seen.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
@@ -128,10 +131,21 @@ def _summarize(last: np.ndarray):
                     with np.errstate(over="ignore"):
                         mixed = s * np.uint64(0xC2B2AE3D27D4EB4F)
                     mixed = np.sort(mixed ^ (mixed >> np.uint64(31)))[:ANCHORS]
-                    for c, v in zip(cols, (len(s), int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True), mixed.view(np.int64), s[order[:first]].view(np.int64))):
+                    for c, v in zip(
+                        cols,
+                        (
+                            len(s),
+                            int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True),
+                            mixed.view(np.int64),
+                            s[order[:first]].view(np.int64),
+                        ),
+                    ):
                         c.append(v)
                 lists = [pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:2]], *lists], ["row", "doc_id", "n", "uid", "anchors", "prefix"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:2]], *lists],
+                    ["row", "doc_id", "n", "uid", "anchors", "prefix"],
+                )
 
     return run
 
@@ -196,7 +210,10 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, v in zip(cols, (len(x), len(s), missing, len(s) - missing >= needed(len(x), len(s)), others.view(np.int64))):
                     c.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("b"), part.column("a"), *[pa.array(c, t) for c, t in zip(cols, types)]], ["hub", "uid", "n", "base", "missing", "tied", "others"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("b"), part.column("a"), *[pa.array(c, t) for c, t in zip(cols, types)]],
+                ["hub", "uid", "n", "base", "missing", "tied", "others"],
+            )
 
 
 def _few(df: DataFrame, most: int = 0) -> DataFrame:
@@ -225,7 +242,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = C.written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
     labels = C.written(edges.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), F.col("label").alias("o")), "other").groupBy("node").agg(F.min("o").alias("o"))
+        near = edges.join(
+            labels.select(F.col("node").alias("other"), F.col("label").alias("o")),
+            "other",
+        ).groupBy("node").agg(F.min("o").alias("o"))
         new = C.written(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "o").alias("to")), "nearer")
         jump = new.join(new.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "was", "label")
         jump = C.written(jump, "jumped")
@@ -237,10 +257,20 @@ def components(links: DataFrame) -> DataFrame:
 def _stars(entries: DataFrame, key: str, least: int) -> DataFrame:
     """Pairs of each entry with two entries of its key's list, those of the least and the largest id, where components
     differ and sizes allow a link. Only pairs that `least` lists give."""
-    ends = entries.groupBy(key).agg(F.min(F.struct("uid", "n", "comp")).alias("lo"), F.max(F.struct("uid", "n", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    ends = entries.groupBy(key).agg(
+        F.min(F.struct("uid", "n", "comp")).alias("lo"),
+        F.max(F.struct("uid", "n", "comp")).alias("hi"),
+        F.min("comp").alias("c0"),
+        F.max("comp").alias("c1"),
+    )
     ends = ends.where("c0 != c1").select(key, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end"))
-    pairs = entries.join(ends, key).where((F.col("comp") != F.col("end.comp")) & (F.least("n", "end.n") >= _needed(F.col("n"), F.col("end.n"))))
-    pairs = pairs.groupBy(F.least("uid", "end.uid").alias("a"), F.greatest("uid", "end.uid").alias("b")).agg(F.count_distinct(key).alias("k"))
+    pairs = entries.join(ends, key).where(
+        (F.col("comp") != F.col("end.comp")) & (F.least("n", "end.n") >= _needed(F.col("n"), F.col("end.n")))
+    )
+    pairs = pairs.groupBy(
+        F.least("uid", "end.uid").alias("a"),
+        F.greatest("uid", "end.uid").alias("b"),
+    ).agg(F.count_distinct(key).alias("k"))
     return pairs.where(F.col("k") >= least).select("a", "b")
 
 
@@ -277,7 +307,12 @@ def _marked(entries: DataFrame, long_list: float) -> DataFrame:
     the D of a partner that costs as much."""
     alike = F.when(F.col("tied"), F.col("own")).otherwise(F.greatest(F.lit(1), _over(2 * F.col("cost")) - F.col("base")))
     entries = entries.withColumn("index", F.col("at") <= F.col("d") - alike)
-    lists = entries.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k"), F.count_if("index").alias("i"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    lists = entries.groupBy("hub", "s").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.count_if("index").alias("i"),
+        F.min("comp").alias("c0"),
+        F.max("comp").alias("c1"),
+    ).where("c0 != c1")
     kind = F.when(F.col("k") <= F.lit(long_list), SHORT).when(F.col("i") <= F.lit(long_list), WIDE).otherwise(LONG)
     lists = C.written(lists.select("hub", "s", kind.alias("kind")), "lists")
     own = W.partitionBy("hub", "uid")
@@ -294,8 +329,17 @@ def _merged(marked: DataFrame) -> DataFrame:
     least = need - F.greatest("own", "own_b") + 1 - F.least("others", "others_b")
     fits = (F.col("comp") != F.col("comp_b")) & (F.least("n", "n_b") >= _needed(F.col("n"), F.col("n_b")))
     first = (F.struct("cost", "uid") < F.struct("cost_b", "uid_b")) & (F.least(F.col("d") - F.col("at"), F.col("d_b") - F.col("at_b")) >= need)
-    meet = lambda kind, mine, which: mine.where(F.col("kind") == kind).join(other.where(F.col("kind") == kind).drop("kind"), ["hub", "s"]).where(fits & which)
-    pick = lambda df, k: df.select("hub", F.least("uid", "uid_b").alias("a"), F.greatest("uid", "uid_b").alias("b"), least.alias("least"), F.lit(k).alias("k"))
+    meet = lambda kind, mine, which: mine.where(F.col("kind") == kind).join(
+        other.where(F.col("kind") == kind).drop("kind"),
+        ["hub", "s"],
+    ).where(fits & which)
+    pick = lambda df, k: df.select(
+        "hub",
+        F.least("uid", "uid_b").alias("a"),
+        F.greatest("uid", "uid_b").alias("b"),
+        least.alias("least"),
+        F.lit(k).alias("k"),
+    )
     found = pick(meet(SHORT, marked, F.col("uid") < F.col("uid_b")), 1).union(pick(meet(WIDE, marked.where("index"), first), 0))
     return found.groupBy("hub", "a", "b", "least").agg(F.sum("k").alias("k")).where("k >= least").select("a", "b").distinct()
 
@@ -311,8 +355,22 @@ def _hubs(marked: DataFrame) -> DataFrame:
 def _differences(rows: DataFrame, label) -> DataFrame:
     """Entries of the differences' prefixes; rows are _differ's. Elements that only one component has come first, as no
     pair that is looked for shares them, then the others, those of few differences first."""
-    each = label(rows).select("hub", "uid", "n", "base", "tied", (DEN * F.col("n") + UNIT * F.col("missing")).alias("cost"), F.size("others").cast("long").alias("d"), "comp", F.explode("others").alias("s"))
-    lists = each.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    each = label(rows).select(
+        "hub",
+        "uid",
+        "n",
+        "base",
+        "tied",
+        (DEN * F.col("n") + UNIT * F.col("missing")).alias("cost"),
+        F.size("others").cast("long").alias("d"),
+        "comp",
+        F.explode("others").alias("s"),
+    )
+    lists = each.groupBy("hub", "s").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.min("comp").alias("c0"),
+        F.max("comp").alias("c1"),
+    ).where("c0 != c1")
     each = _prefixed(each).join(C.written(lists.select("hub", "s", "k"), "lists"), ["hub", "s"])
     own = W.partitionBy("hub", "uid")
     at = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "s")) - 1
@@ -333,9 +391,17 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs with one row of each component, that with the least id; all rows without shingles stay."""
     rows = C.written(link_rows(docs, id_col=id_col, text_col=text_col).select("row", "doc_id", "root"), "linked").where("root is not null")
     # One of each root combines before its shuffle; rows meet it by their own key, so that no task gets a whole group.
-    keep = C.written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")).select("k.row").distinct(), "kept")
+    keep = C.written(
+        rows.groupBy("root").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")
+        ).select("k.row").distinct(),
+        "kept",
+    )
     gone = C.written(rows.select("row").distinct().join(keep, "row", "left_anti"), "gone")
-    again = C.written(rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row").join(gone, "row", "left_anti"), "again")
+    again = C.written(
+        rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row").join(gone, "row", "left_anti"),
+        "again",
+    )
     key = row_key(docs[id_col], C.texts(docs, text_col))
     name = "uid_" + "_".join(docs.columns)  # no column of docs has it
     left = docs.withColumn(name, key).join(_few(gone.withColumnRenamed("row", name)), name, "left_anti")
@@ -362,9 +428,26 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     near = full.select("uid", "n", F.col("uid").alias("comp"), F.explode("anchors").alias("anchor")).distinct()
     links = verified(C.written(_stars(near, "anchor", 2), "pairs"), sets, texts)
     labels = components(links)
-    label = lambda df: df.join(_few(labels), F.col("uid") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "uid")).drop("node", "label")
-    first = full.select(F.lit(0).cast("long").alias("hub"), "uid", "n", F.lit(0).cast("long").alias("base"), F.lit(False).alias("tied"), (DEN * F.col("n")).alias("cost"), F.col("n").alias("d"), F.ceil(DEN * F.col("n") / NUM).alias("own"), F.posexplode("prefix").alias("at", "s"))
-    open_ = label(first.select("uid", "s")).groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("s")
+    label = lambda df: df.join(
+        _few(labels),
+        F.col("uid") == F.col("node"),
+        "left",
+    ).withColumn("comp", F.coalesce("label", "uid")).drop("node", "label")
+    first = full.select(
+        F.lit(0).cast("long").alias("hub"),
+        "uid",
+        "n",
+        F.lit(0).cast("long").alias("base"),
+        F.lit(False).alias("tied"),
+        (DEN * F.col("n")).alias("cost"),
+        F.col("n").alias("d"),
+        F.ceil(DEN * F.col("n") / NUM).alias("own"),
+        F.posexplode("prefix").alias("at", "s"),
+    )
+    open_ = label(first.select("uid", "s")).groupBy("s").agg(
+        F.min("comp").alias("c0"),
+        F.max("comp").alias("c1"),
+    ).where("c0 != c1").select("s")
     entries = C.written(label(first).join(_few(C.written(open_, "open"), MAX_OPEN), "s", "left_semi").distinct(), "entries")
     for level in range(LEVELS):
         marked = _marked(entries, LONG_LIST if level < LEVELS - 1 else float("inf"))

@@ -210,7 +210,13 @@ def segments(plan: Plan) -> dict[int, np.ndarray]:
     return {s: np.array(rows, np.int64) for s, rows in out.items()}
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, *, size_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack_pieces(
+    pieces: DataFrame,
+    capacity: int,
+    *,
+    size_col: str = "length",
+    key_cols: tuple[str, ...] = ("doc_id", "piece"),
+) -> DataFrame:
     """pieces with sequence_id and offset. Sizes are from 1 to capacity. pieces is read twice: give a written table.
 
     Pieces of one size are alike, so the plan is made of the numbers of pieces by size, at most `capacity` rows,
@@ -224,7 +230,10 @@ def pack_pieces(pieces: DataFrame, capacity: int, *, size_col: str = "length", k
     groups = max(MIN_GROUPS, n // GROUP_ROWS)
     rows = pieces.withColumn("g", F.pmod(F.xxhash64(*key_cols), F.lit(groups)))
     counts = rows.groupBy(size_col, "g").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy(size_col).orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    counts = counts.withColumn(
+        "before",
+        F.coalesce(F.sum("n").over(W.partitionBy(size_col).orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    ).drop("n")
     inside = W.partitionBy(size_col, "g").orderBy(*[F.col(c) for c in pieces.columns])
     rows = rows.withColumn("rank", F.row_number().over(inside) - 1).join(counts, [size_col, "g"]).withColumn("rank", F.col("rank") + F.col("before"))
     rows = rows.select(*pieces.columns, F.col("rank").cast("long").alias("rank"))
@@ -240,7 +249,10 @@ def pack_pieces(pieces: DataFrame, capacity: int, *, size_col: str = "length", k
                 t = table[int(sizes[own[0]])]
                 k = np.searchsorted(t[:, 0], rank[own], "right") - 1
                 seq[own], at[own] = t[k, 1] + rank[own] - t[k, 0], t[k, 3]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(at)], [*b.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(seq), pa.array(at)],
+                [*b.schema.names[:-1], "sequence_id", "offset"],
+            )
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
     return rows.mapInArrow(place, schema)
@@ -263,12 +275,24 @@ def _cutting(kind: type[Encoder], path: str, end_id: int, capacity: int):
                     for col, v in zip(out, (i.as_py(), k, s // 4, len(part) // 4, zlib.crc32(part))):
                         col.append(v)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, types)],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, kind: type[Encoder] = WordEnd, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    tokenizer_path: str,
+    *,
+    capacity: int = 2048,
+    end_id: int = 0,
+    kind: type[Encoder] = WordEnd,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     A document is its ids, then end_id; one of more than capacity ids is cut into pieces of capacity. Null text has

@@ -18,11 +18,17 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = lambda yes: F.size(F.filter("found", lambda x: x["live"] if yes else ~x["live"])).cast("long")
     most = lambda what: F.coalesce(F.array_max(F.transform("found", lambda x: x[what])), F.lit(0)).cast("long")
     return out.select(
-        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
         F.sha2(F.concat_ws(",", "base").cast("binary"), 256).alias("base_sha256"),
         in_order(F.transform("found", lambda x: x["span"])).alias("spans"),
-        live(True).alias("n_live"), live(False).alias("n_copied"), most("owners").alias("most_owners"), most("repositories").alias("most_repositories"),
-    )
+        live(True).alias("n_live"),
+        live(False).alias("n_copied"),
+        most("owners").alias("most_owners"),
+        most("repositories").alias("most_repositories"),
+    )
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +78,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
     out = shard_by_bytes(_docs(spark, sf_dir), 40)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +136,16 @@ from d join p on d.source is not distinct from p.source
 """
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_quality_rules": op4_quality_rules, "op5_tokens": op5_tokens, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_html": op10_html}
+QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
+    "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_tokens": op5_tokens,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_html": op10_html,
+}
 SQL = {"op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}

@@ -78,7 +78,9 @@ def further_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
     for k, (kind, pattern) in enumerate(FURTHER.items(), 3):
         for m in pattern.finditer(text):
             value = m.group(m.lastindex or 0)
-            if kind == "mixed" and not (re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value) and _bits(value) >= MIN_BITS):
+            if kind == "mixed" and not (
+                re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value) and _bits(value) >= MIN_BITS
+            ):
                 continue
             if not taken.has(*m.span()):
                 taken.add(*m.span())
@@ -111,7 +113,11 @@ def ownership(scan: DataFrame) -> DataFrame:
     each = scan.select("owner", "repository", F.explode("value").alias("value"))
     by_repo = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_repo.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
-    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
+    return by_owner.groupBy("value").agg(
+        F.count(F.lit(1)).alias("owners"),
+        F.sum("repositories").alias("repositories"),
+        F.sum("n").alias("occurrences"),
+    )
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> F.Column:
@@ -122,19 +128,36 @@ def without_secrets(docs: DataFrame, *, mark: str = "[SECRET]", id_col: str = "d
     """docs with each live span of the texts replaced by `mark`; overlapping spans are replaced as one. Values that
     are widely copied stay, and so do all rows. Texts with spans are few, so the table of spans is broadcast where it
     has at most MAX_BROADCAST rows, and else joined by a shuffle."""
-    hits = scan_secrets(docs, id_col=id_col, text_col=text_col, **options).select("key", F.transform(F.filter("found", lambda x: x["live"]), lambda x: x["span"]).alias("spans")).where(F.size("spans") > 0)
+    hits = scan_secrets(docs, id_col=id_col, text_col=text_col, **options).select(
+        "key",
+        F.transform(F.filter("found", lambda x: x["live"]), lambda x: x["span"]).alias("spans"),
+    ).where(F.size("spans") > 0)
     part = lambda s, n: F.split_part(s, F.lit(":"), F.lit(n)).cast("int")
     cuts = F.sort_array(F.transform("spans", lambda s: F.struct(part(s, 2).alias("s"), part(s, 3).alias("e"))))
     whole = "aggregate(cuts, cast(array() as array<struct<s: int, e: int>>), (r, x) -> if(size(r) > 0 and x.s < element_at(r, -1).e, concat(slice(r, 1, size(r) - 1), array(struct(element_at(r, -1).s as s, greatest(element_at(r, -1).e, x.e) as e))), concat(r, array(struct(x.s as s, x.e as e)))))"
-    hits = C.written(hits.dropDuplicates(["key"]).select("key", cuts.alias("cuts")).select("key", F.reverse(F.expr(whole)).alias("cuts")), "spans")
+    hits = C.written(
+        hits.dropDuplicates(["key"]).select("key", cuts.alias("cuts")).select("key", F.reverse(F.expr(whole)).alias("cuts")),
+        "spans",
+    )
     small = hits.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _key(docs, id_col, text_col).alias("key")).join(F.broadcast(hits) if small else hits, "key", "left")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        _key(docs, id_col, text_col).alias("key"),
+    ).join(F.broadcast(hits) if small else hits, "key", "left")
     text = F.aggregate("cuts", F.col(f"row.`{text_col}`"), lambda t, x: F.overlay(t, F.lit(mark), x["s"] + 1, x["e"] - x["s"]))
     text = F.when(F.col("cuts").isNull(), F.col(f"row.`{text_col}`")).otherwise(text)
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner_col: str = "source",
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
+) -> DataFrame:
     """doc_id, key (hash of id and text), base (array of kind:start:end), found (array of struct span, value, owners, repositories, live, is_base).
 
     The owner is owner_col, the repository the document, an owner's equal texts being copies of one. Every text is
@@ -144,14 +167,33 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Plan: the texts are scanned once, to a table without them; values are counted by (value, owner, document), then
     joined back by value, which Spark splits where one value is hot, and gathered by row."""
     C.require(docs, id_col, text_col, owner_col)
-    given = docs.select(F.monotonically_increasing_id().alias("uid"), _key(docs, id_col, text_col).alias("key"), docs[id_col].cast("long").alias("doc_id"), docs[owner_col].cast("string").alias("owner"), F.xxhash64(C.texts(docs, text_col)).alias("repository"), C.texts(docs, text_col).alias("text"))
+    given = docs.select(
+        F.monotonically_increasing_id().alias("uid"),
+        _key(docs, id_col, text_col).alias("key"),
+        docs[id_col].cast("long").alias("doc_id"),
+        docs[owner_col].cast("string").alias("owner"),
+        F.xxhash64(C.texts(docs, text_col)).alias("repository"),
+        C.texts(docs, text_col).alias("text"),
+    )
     scan = C.written(given.mapInArrow(_scan, SCAN_TYPE), "scan")
     owned = ownership(scan.where(F.size("value") > 0))
-    each = scan.where(F.size("value") > 0).select("uid", F.posexplode(F.arrays_zip("value", "span", F.sequence(F.lit(1), F.size("value")).alias("at"))).alias("i", "c"), F.size("base").alias("n_base"))
-    each = each.select("uid", F.col("c.value").alias("value"), F.col("c.span").alias("span"), (F.col("i") < F.col("n_base")).alias("is_base"), "i")
+    each = scan.where(F.size("value") > 0).select(
+        "uid",
+        F.posexplode(F.arrays_zip("value", "span", F.sequence(F.lit(1), F.size("value")).alias("at"))).alias("i", "c"),
+        F.size("base").alias("n_base"),
+    )
+    each = each.select(
+        "uid",
+        F.col("c.value").alias("value"),
+        F.col("c.span").alias("span"),
+        (F.col("i") < F.col("n_base")).alias("is_base"),
+        "i",
+    )
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     each = each.join(owned, "value").where(F.col("is_base") | live)
-    found = each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("i", "span", "value", "owners", "repositories", live.alias("live"), "is_base"))).alias("found"))
+    found = each.groupBy("uid").agg(
+        F.sort_array(F.collect_list(F.struct("i", "span", "value", "owners", "repositories", live.alias("live"), "is_base"))).alias("found")
+    )
     out = scan.select("uid", "key", "doc_id", "base").join(found, "uid", "left")
     none = F.array().cast(found.schema["found"].dataType)
     return out.select("doc_id", "key", "base", F.coalesce("found", none).alias("found"))
@@ -160,5 +202,12 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def in_order(spans: F.Column) -> F.Column:
     """The spans comma-joined by start, then by kind as listed."""
     rank = F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (n, k)])
-    keyed = F.transform(spans, lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("long").alias("s"), F.element_at(rank, F.split_part(s, F.lit(":"), F.lit(1))).alias("k"), s.alias("t")))
+    keyed = F.transform(
+        spans,
+        lambda s: F.struct(
+            F.split_part(s, F.lit(":"), F.lit(2)).cast("long").alias("s"),
+            F.element_at(rank, F.split_part(s, F.lit(":"), F.lit(1))).alias("k"),
+            s.alias("t"),
+        ),
+    )
     return F.concat_ws(",", F.transform(F.sort_array(keyed), lambda x: x["t"]))

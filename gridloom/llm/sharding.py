@@ -21,11 +21,27 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, *, overhead: int = 16, i
     one that fills blocks, are cut by their crc. No text is shuffled."""
     C.require(docs, id_col, text_col)
     text = C.texts(docs, text_col)
-    rows = C.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "sizes")
+    rows = C.written(
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+        ),
+        "sizes",
+    )
     at = C.with_prefix(rows, "doc_id", ("text_crc32", "size"), "size", spread=F.format_string("%03d", F.shiftright("text_crc32", 24)))
     middle = 2 * F.col("start") + F.col("size")
     # Decimal, as bytes times shards may pass 2^63.
     shard = F.floor(middle.cast("decimal(38,0)") * F.lit(n_shards) / (2 * F.col("total")).cast("decimal(38,0)"))
-    at = C.written(at.select("doc_id", "size", "text_crc32", F.least(shard.cast("int"), F.lit(n_shards - 1)).alias("shard"), "rank"), "shards")
+    at = C.written(
+        at.select("doc_id", "size", "text_crc32", F.least(shard.cast("int"), F.lit(n_shards - 1)).alias("shard"), "rank"),
+        "shards",
+    )
     first = at.groupBy("shard").agg(F.min("rank").alias("first"))
-    return at.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot"))
+    return at.join(F.broadcast(first), "shard").select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "shard",
+        (F.col("rank") - F.col("first")).alias("slot"),
+    )

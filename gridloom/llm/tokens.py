@@ -30,7 +30,10 @@ def _encoding(kind: type[Encoder], path: str, end_id: int):
             lengths = np.array([len(b) // 4 for _, b in rows], np.int64)
             values = pa.array(np.frombuffer(b"".join(b for _, b in rows), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(lengths), lists], ["doc_id", "n_tokens", "tokens"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in rows], pa.int64()), pa.array(lengths), lists],
+                ["doc_id", "n_tokens", "tokens"],
+            )
 
         for b in batches:
             for i, text in zip(b.column("doc_id"), each_text(b.column("text"))):
@@ -45,30 +48,60 @@ def _encoding(kind: type[Encoder], path: str, end_id: int):
     return run
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, kind: type[Encoder] = ByteLevel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame,
+    tokenizer_path: str,
+    *,
+    end_id: int = 2,
+    kind: type[Encoder] = ByteLevel,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, n_tokens, tokens: the ids of each whole text, then end_id, in ascending (doc_id, hash of the text) order.
 
     Null text is empty and has end_id alone; a null id comes first; repeated rows are rows of their own; an empty
     table gives no rows; other columns are ignored. One shuffle, of the texts, by ranges of ids."""
     C.require(docs, id_col, text_col)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), C.texts(docs, text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(
+        docs[id_col].cast("long").alias("doc_id"),
+        C.texts(docs, text_col).alias("text"),
+    ).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return rows.select("doc_id", "text").mapInArrow(_encoding(kind, tokenizer_path, end_id), TOKENS_TYPE)
 
 
-def write_tokens(tokens: DataFrame, path: str, *, encoding: str = "dictionary", row_group_mb: int = 32, page_kb: int = 256, page_rows: int = 2_000) -> None:
+def write_tokens(
+    tokens: DataFrame,
+    path: str,
+    *,
+    encoding: str = "dictionary",
+    row_group_mb: int = 32,
+    page_kb: int = 256,
+    page_rows: int = 2_000,
+) -> None:
     """Parquet files with row groups of row_group_mb and pages of page_kb or page_rows rows at most, each with its
     entry in the page index, so that a few documents, or their metadata alone, are read without the rest."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
-    tokens.write.options(**{
-        "parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": page_rows,
-        "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0",
-        "compression": "zstd",
-    }).parquet(path)
-
-
-def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "n_tokens", "tokens"), first_id: int | None = None, last_id: int | None = None) -> DataFrame:
+    tokens.write.options(
+        **{
+            "parquet.block.size": row_group_mb << 20,
+            "parquet.page.size": page_kb << 10,
+            "parquet.page.row.count.limit": page_rows,
+            "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
+            "parquet.writer.version": "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0",
+            "compression": "zstd",
+        }
+    ).parquet(path)
+
+
+def read_tokens(
+    spark: SparkSession,
+    path: str,
+    columns: tuple[str, ...] = ("doc_id", "n_tokens", "tokens"),
+    first_id: int | None = None,
+    last_id: int | None = None,
+) -> DataFrame:
     """The asked columns of the documents from first_id to last_id; both go into the scan."""
     df = spark.read.schema(TOKENS_TYPE).parquet(path)
     if first_id is not None:
@@ -84,7 +117,10 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         ends = lists.offsets.to_numpy()
         crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:])]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file"), b.column("at"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "at", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("file"), b.column("at"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
+            ["doc_id", "file", "at", "n_tokens", "ids_crc32"],
+        )
 
 
 def digests(tokens: DataFrame) -> DataFrame:
@@ -94,4 +130,10 @@ def digests(tokens: DataFrame) -> DataFrame:
     number = F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0")
     rows = tokens.select("doc_id", "tokens", F.concat(number, name).alias("file"), F.col("_metadata.row_index").alias("at"))
     rows = C.written(rows.mapInArrow(_crc, "doc_id long, file string, at long, n_tokens long, ids_crc32 long"), "digests")
-    return C.with_prefix(rows, "doc_id", ("file", "at"), "n_tokens", spread=F.col("file")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return C.with_prefix(
+        rows,
+        "doc_id",
+        ("file", "at"),
+        "n_tokens",
+        spread=F.col("file"),
+    ).select("doc_id", "start", "n_tokens", "ids_crc32")

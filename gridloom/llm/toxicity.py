@@ -57,8 +57,14 @@ class Network:
         make = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.vocab = vocab
         d, h = D_WORD + D_CHAR, HIDDEN
-        self.p = {"word": (0.1 * rng.standard_normal((len(vocab) + 1, D_WORD))).astype(np.float32), "char": (0.1 * rng.standard_normal((TRIGRAMS, D_CHAR))).astype(np.float32),
-                  "attend": make(2 * h, D_ATTEND), "query": make(D_ATTEND), "out": make(2 * h), "bias": np.zeros(1, np.float32)}
+        self.p = {
+            "word": (0.1 * rng.standard_normal((len(vocab) + 1, D_WORD))).astype(np.float32),
+            "char": (0.1 * rng.standard_normal((TRIGRAMS, D_CHAR))).astype(np.float32),
+            "attend": make(2 * h, D_ATTEND),
+            "query": make(D_ATTEND),
+            "out": make(2 * h),
+            "bias": np.zeros(1, np.float32),
+        }
         for k in "fb":
             self.p |= {f"W{k}": make(d, 3 * h), f"U{k}": make(h, 3 * h), f"c{k}": np.zeros(3 * h, np.float32)}
         self.p["word"][0] = 0
@@ -135,7 +141,13 @@ class Network:
             g[f"U{k}"] = gu
         return logit, g, dx
 
-    def all_gradients(self, words: list[str], back: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    def all_gradients(
+        self,
+        words: list[str],
+        back: np.ndarray,
+        mask: np.ndarray,
+        y: np.ndarray,
+    ) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The logits of windows whose places hold the words of numbers `back`, and all parameters' gradients."""
         vec, (wid, tri, n) = self.vectors(words)
         logit, g, dx = self.gradients(self.project(vec)[back], mask, y)
@@ -303,10 +315,18 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], tuple[float, float]]:
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+) -> tuple[list[str], list[int], tuple[float, float]]:
     """Texts and labels of at most MAX_TOXIC + MAX_CLEAN rows that aren't held out, by the lowest hash of their id,
     and the shares of all such clean and toxic rows that they are."""
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
+    rows = labels.where(
+        F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))
+    ).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     rows = rows.withColumn("h", F.xxhash64(F.lit("toxic"), "k"))
     take = lambda y, n: rows.where(F.col("y") == y).orderBy("h", "k").limit(n)
     there = {int(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -317,7 +337,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return [r["text"] for r in got], [int(r["y"]) for r in got], rates
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    threshold: float = 0.7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, all windows of its whole text being scored.
 
     The network is fitted on the driver on a bounded sample (see MAX_TOXIC, MAX_CLEAN) of labelled rows whose
@@ -334,7 +361,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
             texts = b.column("text")
             for i in range(0, len(texts), 512):
                 got = scorer.scores(x.as_py() or "" for x in texts[i : i + 512])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i : i + 512], b.column("held_out")[i : i + 512], pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id")[i : i + 512],
+                        b.column("held_out")[i : i + 512],
+                        pa.array(got, pa.float64()),
+                        pa.array([int(s >= threshold) for s in got], pa.int32()),
+                    ],
+                    ["doc_id", "held_out", "score", "predicted"],
+                )
 
     given = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), C.texts(docs, text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -32,11 +32,32 @@ rng = random.Random(5)
 VOCAB = [w for a in "bdfgkl" for b in "aeiou" for w in (a + b, a + b + "n", b + a + "st")]
 LONG = " ".join(rng.choice(VOCAB) for _ in range(6000))
 BASE = [" ".join(rng.choice(VOCAB) for _ in range(rng.randrange(1, 90))) for _ in range(14)]
-NEAR = [" ".join(("zz%d" % i if k == 30 else w) for k, w in enumerate((BASE[0] + " " + BASE[1] + " " + LONG[:600]).split())) for i in range(6)]
+NEAR = [
+    " ".join(("zz%d" % i if k == 30 else w) for k, w in enumerate((BASE[0] + " " + BASE[1] + " " + LONG[:600]).split()))
+    for i in range(6)
+]
 TEXTS = [
-    *BASE, *NEAR, None, "", " \n\t ", "one two", "one two", BASE[3], LONG, LONG + " tail", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x', "AKIA" + "A1B2" * 5 + " password: hunter22 API_KEY='ab'",
-    'secret="24be64439e3e49cf46b2d7c90f3602a3d0b907ff" héé ' + "0123456789abcdef" * 2, "Größe １２ ​ 漢字テスト don't", "a\nb\na\n\nb c", "<|endoftext|> x", "x" * 3000, "key aB3dE5gH7jK9mN1pQ3sT5v here", "key aB3dE5gH7jK9mN1pQ3sT5v there", "key aB3dE5gH7jK9mN1pQ3sT5v again",
-]
+    *BASE,
+    *NEAR,
+    None,
+    "",
+    " \n\t ",
+    "one two",
+    "one two",
+    BASE[3],
+    LONG,
+    LONG + " tail",
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x',
+    "AKIA" + "A1B2" * 5 + " password: hunter22 API_KEY='ab'",
+    'secret="24be64439e3e49cf46b2d7c90f3602a3d0b907ff" héé ' + "0123456789abcdef" * 2,
+    "Größe １２ ​ 漢字テスト don't",
+    "a\nb\na\n\nb c",
+    "<|endoftext|> x",
+    "x" * 3000,
+    "key aB3dE5gH7jK9mN1pQ3sT5v here",
+    "key aB3dE5gH7jK9mN1pQ3sT5v there",
+    "key aB3dE5gH7jK9mN1pQ3sT5v again",
+]
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +66,17 @@ def docs(spark):
     rows = [(i * 3, t, "en", f"src{i % 4}" if i % 7 else None, len(t or "")) for i, t in enumerate(TEXTS)]
     rows += [(None, "without an id", "en", "src1", 13), rows[2]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    return df.withColumns({"score": F.lit("mine"), "uid": F.lit(1), "row": F.lit(2), "size": F.lit(3), "key": F.lit(4), "block": F.lit(5), "kept": F.lit("no")})
+    return df.withColumns(
+        {
+            "score": F.lit("mine"),
+            "uid": F.lit(1),
+            "row": F.lit(2),
+            "size": F.lit(3),
+            "key": F.lit(4),
+            "block": F.lit(5),
+            "kept": F.lit("no"),
+        }
+    )
 
 
 @pytest.fixture(scope="module")
@@ -59,7 +90,13 @@ def pairs(df):
 
 def test_secrets(docs, empty):
     def base(t):
-        found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+        found = [
+            ("assign", m.start(), m.end())
+            for m in re.finditer(
+                r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                t,
+            ) if len(m[2]) >= 6
+        ]
         found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         return [f"{k}:{s}:{e}" for k, s, e in sorted(found, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))]
@@ -265,8 +302,19 @@ def test_quality(spark, docs, empty):
         tri = Counter(zip(w, w[1:], w[2:]))
         rep = {k + j for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for j in range(3)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        want[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)] += 1
-    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows) == want
+        want[
+            i,
+            len(w),
+            sum(map(len, w)),
+            sum(c in "#*$%&|<>" for c in t),
+            len(lines) - len(set(lines)),
+            len(rep),
+            len(w) < 50 or 100 * len(rep) > 50 * len(w),
+        ] += 1
+    assert Counter(
+        (r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"])
+        for r in rows
+    ) == want
     assert not any(r["kept"] and r["base_failed"] for r in rows)
     assert Q.with_quality(docs, labels).where("kept").select("row.*").columns == docs.columns
     assert Q.with_quality(empty, labels).count() == 0
@@ -329,7 +377,10 @@ def test_token_files(spark, docs, empty):
         path = C.fresh_path(spark, "tokens")
         TK.write_tokens(TK.encode_documents(docs, P.path("byte_bpe_50k.json")), path, encoding=encoding)
         back = TK.read_tokens(spark, path)
-        assert Counter((r["doc_id"], tuple(r["tokens"])) for r in back.collect()) == Counter((i, (*tok.encode(t, add_special_tokens=False).ids, 2)) for i, t in pairs(docs))
+        assert Counter((r["doc_id"], tuple(r["tokens"])) for r in back.collect()) == Counter(
+            (i, (*tok.encode(t, add_special_tokens=False).ids, 2))
+            for i, t in pairs(docs)
+        )
         start = 0
         for r in sorted(TK.digests(back).collect(), key=lambda r: (r["start"], r["n_tokens"])):
             assert r["start"] == start
@@ -344,7 +395,11 @@ def test_token_files_are_laid_out_as_asked(spark, docs):
 
     import pyarrow.parquet as pq
 
-    made = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(400).cast("long").alias("n_tokens"), F.transform(F.sequence(F.lit(1), F.lit(400)), lambda x: F.pmod(F.hash(x, "id"), F.lit(300))).alias("tokens")).coalesce(1)
+    made = spark.range(9000).select(
+        F.col("id").alias("doc_id"),
+        F.lit(400).cast("long").alias("n_tokens"),
+        F.transform(F.sequence(F.lit(1), F.lit(400)), lambda x: F.pmod(F.hash(x, "id"), F.lit(300))).alias("tokens"),
+    ).coalesce(1)
     for encoding, want in (("dictionary", {"PLAIN_DICTIONARY", "RLE_DICTIONARY"}), ("delta", {"DELTA_BINARY_PACKED"})):
         path = C.fresh_path(spark, encoding)
         TK.write_tokens(made, path, encoding=encoding, row_group_mb=1, page_kb=64, page_rows=500)
@@ -356,7 +411,10 @@ def test_token_files_are_laid_out_as_asked(spark, docs):
                 assert chunk.has_offset_index and chunk.has_column_index and chunk.compression == "ZSTD"
             assert want & set(meta.row_group(g).column(meta.num_columns - 1).encodings), encoding
     # Twenty rows without an id, and thirty of one id, over several files.
-    rows = [(None, f"none {i}") for i in range(20)] + [(7, "same " * (i % 5 + 1) + str(i)) for i in range(30)] + [(i, "x " * i) for i in range(20)]
+    rows = [(None, f"none {i}") for i in range(20)] + [
+        (7, "same " * (i % 5 + 1) + str(i))
+        for i in range(30)
+    ] + [(i, "x " * i) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     path = C.fresh_path(spark, "repeated")
     TK.write_tokens(TK.encode_documents(df, P.path("byte_bpe_50k.json")), path)
@@ -370,7 +428,10 @@ def test_token_files_are_laid_out_as_asked(spark, docs):
 
 def test_prefix_sums_with_hot_and_missing_keys(spark, monkeypatch):
     r = random.Random(12)
-    rows = [(None, i, r.randrange(9)) for i in range(60)] + [(5, i, r.randrange(9)) for i in range(80)] + [(r.randrange(40), 1000 + i, r.randrange(9)) for i in range(150)]
+    rows = [(None, i, r.randrange(9)) for i in range(60)] + [(5, i, r.randrange(9)) for i in range(80)] + [
+        (r.randrange(40), 1000 + i, r.randrange(9))
+        for i in range(150)
+    ]
     df = C.written(spark.createDataFrame(rows, "k long, tie long, v long").repartition(3), "rows")
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     want, start = {}, 0
@@ -477,7 +538,10 @@ def test_divide_skip_like_intersections():
     r = np.random.default_rng(2)
     for _ in range(40):
         q = np.unique(r.integers(0, 60, 40).astype(np.uint64))
-        sets = [np.unique(np.concatenate([r.choice(q, max(1, len(q) - k)), r.integers(60, 90, k).astype(np.uint64)])) for k in r.integers(0, 25, 30)]
+        sets = [
+            np.unique(np.concatenate([r.choice(q, max(1, len(q) - k)), r.integers(60, 90, k).astype(np.uint64)]))
+            for k in r.integers(0, 25, 30)
+        ]
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 75 * len(np.union1d(q, s))]
         assert NJ.divide_skip(q, sets) == want
 
@@ -487,7 +551,10 @@ def test_sharding(docs, empty):
     sizes = Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows)
     assert sizes == Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in pairs(docs))
     order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
-    assert [r["doc_id"] is not None and r["doc_id"] or -1 for r in order] == sorted(r["doc_id"] is not None and r["doc_id"] or -1 for r in rows)
+    assert [
+        r["doc_id"] is not None and r["doc_id"] or -1
+        for r in order
+    ] == sorted(r["doc_id"] is not None and r["doc_id"] or -1 for r in rows)
     for s in {r["shard"] for r in rows}:
         own = [r for r in rows if r["shard"] == s]
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
@@ -514,7 +581,10 @@ def test_mixing(spark, docs, empty):
     assert len(rows) == docs.count()
     for r in rows:
         assert abs(r["target"] - target[r["source"]]) < 1e-6 and r["source_size"] == size[r["source"]] and r["taken"] <= 2 * r["size"] and r["taken"] in (0, r["size"], 2 * r["size"])
-    assert sorted((str(r["doc_id"]), r["taken"]) for r in rows) == sorted((str(r["doc_id"]), r["taken"]) for r in MX.mix_counts(docs.repartition(5)).collect())
+    assert sorted((str(r["doc_id"]), r["taken"]) for r in rows) == sorted(
+        (str(r["doc_id"]), r["taken"])
+        for r in MX.mix_counts(docs.repartition(5)).collect()
+    )
     assert MX.mix(docs).columns == docs.columns and MX.mix(docs).count() == sum(r["copies"] for r in rows)
     assert MX.mix_counts(empty).count() == 0 and MX.mix_counts(docs.where("text is null")).agg(F.sum("taken")).first()[0] == 0
 
@@ -558,7 +628,10 @@ def test_toxicity_is_calibrated_to_all_labels(spark, monkeypatch):
     monkeypatch.setattr(TX, "MAX_CLEAN", 200)
     used = [y for i, _, y in rows[:-1] if zlib.crc32(str(i).encode()) % 3 != 1]
     natural = sum(used) / len(used)
-    out = TX.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("toxic is not null")).join(df.select("doc_id", "toxic"), "doc_id").collect()
+    out = TX.score_toxicity(
+        df.select("doc_id", "text"),
+        df.select("doc_id", "toxic").where("toxic is not null"),
+    ).join(df.select("doc_id", "toxic"), "doc_id").collect()
     assert abs(next(x["score"] for x in out if x["doc_id"] == 3000) - natural) < 1e-3
     mean = sum(x["score"] for x in out if x["doc_id"] < 3000) / 3000
     assert abs(mean - natural) < 0.05, (mean, natural)
@@ -610,7 +683,10 @@ def test_all_gradients():
     _, g = net.all_gradients(words, back, mask, y)
     used = np.unique(TX.trigrams(words)[0])
     for k, v in net.p.items():
-        places = [(int(used[i % len(used)]), i % TX.D_CHAR) for i in range(6)] if k == "char" else [(1 + i % 3, i) for i in range(6)] if k == "word" else [np.unravel_index(i * 7 % v.size, v.shape) for i in range(6)]
+        places = [
+            (int(used[i % len(used)]), i % TX.D_CHAR)
+            for i in range(6)
+        ] if k == "char" else [(1 + i % 3, i) for i in range(6)] if k == "word" else [np.unravel_index(i * 7 % v.size, v.shape) for i in range(6)]
         for at in places:
             kept, ends = v[at], []
             for e in (1e-3, -1e-3):
@@ -660,7 +736,18 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_html(spark):
     want = "Title & more\n\nOne, two three.\n\nNext para with a link, and so on.\n\nfirst point\n\nsecond point"
-    df = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (4, "u", "plain words only"), (5, "u", "<p>a < b & c</p><nav>x</nav>"), (6, "u", "<nav>menu</nav>"), (None, "u", "<p>x" * 3)], "page_id long, url string, html string")
+    df = spark.createDataFrame(
+        [
+            (1, "u", PAGE),
+            (2, "u", None),
+            (3, None, ""),
+            (4, "u", "plain words only"),
+            (5, "u", "<p>a < b & c</p><nav>x</nav>"),
+            (6, "u", "<nav>menu</nav>"),
+            (None, "u", "<p>x" * 3),
+        ],
+        "page_id long, url string, html string",
+    )
     out = {r["page_id"]: r for r in H.extract_pages(df).collect()}
     assert out[1]["text"] == want and out[1]["n_chars"] == len(want)
     assert [out[k]["text"] for k in (2, 3, 4, 5, 6, None)] == ["", "", "plain words only", "a < b & c", "", "x\n\nx\n\nx"]
@@ -670,7 +757,15 @@ def test_html(spark):
 def test_html_drops_nothing_for_values_and_empty_drawings():
     text = lambda attrs: H.main_text(f"<article><p>One.</p><div {attrs}><p>Two.</p></div><p>Three.</p></article>")
     whole, cut = "One.\n\nTwo.\n\nThree.", "One.\n\nThree."
-    for attrs in ('style="overflow:hidden"', "style=overflow:hidden", "style='a: b; visibility: hidden'", 'data-id="ad"', 'data-x=\'class="ad"\'', 'title="the role=menu"', 'aria-hidden="false"'):
+    for attrs in (
+        'style="overflow:hidden"',
+        "style=overflow:hidden",
+        "style='a: b; visibility: hidden'",
+        'data-id="ad"',
+        'data-x=\'class="ad"\'',
+        'title="the role=menu"',
+        'aria-hidden="false"',
+    ):
         assert text(attrs) == whole, attrs
     for attrs in ("hidden", 'style="x" hidden', 'HIDDEN=""', "class=ad", 'data-id="x" id = "ad"', "role='menu'", 'aria-hidden="true"'):
         assert text(attrs) == cut, attrs
@@ -703,10 +798,25 @@ BARE = """<html><body><div><div><ul><li><a href=/>Home</a></li><li><a href=/n>Ne
 
 
 def test_html_by_structure_alone():
-    want = ["Title", "A long paragraph, with commas, and with some more words so that it is long enough.", "Another one, that is also long, and has some words in it, as paragraphs do.", "point one", "point two", "1", "2", "Next", "The last one, short."]
+    want = [
+        "Title",
+        "A long paragraph, with commas, and with some more words so that it is long enough.",
+        "Another one, that is also long, and has some words in it, as paragraphs do.",
+        "point one",
+        "point two",
+        "1",
+        "2",
+        "Next",
+        "The last one, short.",
+    ]
     assert H.main_text(BARE).split("\n\n") == want
     flat = "<div><a href=/>Home</a> <a href=/n>News</a></div><h1>Title</h1><p>A long paragraph, with commas, and with more words, so that it is long.</p><ul><li>point one</li></ul><p>Another one, that is also long, and has some words in it.</p><div>About us</div>"
-    assert H.main_text(flat).split("\n\n") == ["Title", "A long paragraph, with commas, and with more words, so that it is long.", "point one", "Another one, that is also long, and has some words in it."]
+    assert H.main_text(flat).split("\n\n") == [
+        "Title",
+        "A long paragraph, with commas, and with more words, so that it is long.",
+        "point one",
+        "Another one, that is also long, and has some words in it.",
+    ]
 
 
 def test_html_article_in_a_form_that_holds_the_page():
@@ -728,7 +838,25 @@ def test_path_scores_like_brute_force():
     """Sums over prefixes of paths as tuples, all against all."""
     r = random.Random(4)
     for _ in range(60):
-        page = "".join(r.choice(["<div>", "<div class=x>", "<section>", "</div>", "</section>", "<p>one, two.", "<p>longer text, with words, and marks!</p>", "<ul><li>a<li>b, c</ul>", "<a href=/>link text</a>", "plain ", "<nav>menu, long</nav>", "<article>"]) for _ in range(40))
+        page = "".join(
+            r.choice(
+                [
+                    "<div>",
+                    "<div class=x>",
+                    "<section>",
+                    "</div>",
+                    "</section>",
+                    "<p>one, two.",
+                    "<p>longer text, with words, and marks!</p>",
+                    "<ul><li>a<li>b, c</ul>",
+                    "<a href=/>link text</a>",
+                    "plain ",
+                    "<nav>menu, long</nav>",
+                    "<article>",
+                ]
+            )
+            for _ in range(40)
+        )
         found, paths, _ = H.blocks(page)
 
         def steps(i):
@@ -758,7 +886,13 @@ def test_path_scores_like_brute_force():
             smooth[p] = (t[1] / t[0], t[2] / t[0]) if free[p] else (0.0, 0.0)
         most = [max((s[k] for p, s in smooth.items() if not paths.zone[p]), default=0) for k in (0, 1)]
         longest = 0.1 * max((s[1] for p, s in sums.items() if not paths.zone[p]), default=0)
-        want = {p: weight[p] * sum(min(1.0, v / m) for v, m in zip(s, most) if m) / 2 * (max(0.3, min(1.0, stats[p][1] / longest)) if longest else 1) for p, s in smooth.items()}
+        want = {
+            p: weight[p] * sum(
+                min(1.0, v / m)
+                for v, m in zip(s, most) if m
+            ) / 2 * (max(0.3, min(1.0, stats[p][1] / longest)) if longest else 1)
+            for p, s in smooth.items()
+        }
         best = max(want.values(), default=1) if any(most) else 1.0
         scores = H.path_scores(found, paths)
         for p, v in want.items():
@@ -772,7 +906,12 @@ def test_html_long_deep_repeated_and_clashing(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("z"))
     out = H.extract_pages(df).collect()
     assert [r.asDict().keys() for r in out] == [{"page_id", "url", "text", "n_chars"}] * 4
-    assert sorted((r["page_id"], r["text"][:18], r["text"].count("\n\n"), r["n_chars"] == len(r["text"])) for r in out) == [(1, "in the deep, there", 0, True), (2, "Paragraph 0, with ", 2999, True), (2, "Paragraph 0, with ", 2999, True), (3, "Title\n\nA long para", 8, True)]
+    assert sorted((r["page_id"], r["text"][:18], r["text"].count("\n\n"), r["n_chars"] == len(r["text"])) for r in out) == [
+        (1, "in the deep, there", 0, True),
+        (2, "Paragraph 0, with ", 2999, True),
+        (2, "Paragraph 0, with ", 2999, True),
+        (3, "Title\n\nA long para", 8, True),
+    ]
 
 
 def test_pipeline(spark):
@@ -806,13 +945,19 @@ def test_pipeline_stages_on_odd_tables(spark, docs, empty):
     one = C.written(CP.near_duplicates(spark, docs, SF), "one")
     assert one.columns == columns and one.count() == len({c for _, n, c in linked(rows) if n}) + sum(n == 0 for _, n, _ in linked(rows))
     hidden = CP.secrets(spark, docs, SF).collect()
-    assert len(hidden) == len(rows) and sum(r["text"] is None for r in hidden) == 1 and all(r["n_chars"] == len(r["text"]) for r in hidden if r["text"] is not None)
+    assert len(hidden) == len(rows) and sum(r["text"] is None for r in hidden) == 1 and all(
+        r["n_chars"] == len(r["text"])
+        for r in hidden if r["text"] is not None
+    )
     assert {r["key"] for r in hidden} == {4} and {r["kept"] for r in hidden} == {"no"}
     mixed = Counter((r["doc_id"], r["text"]) for r in CP.mixing(spark, docs, SF).collect())
     there = Counter((r["doc_id"], r["text"]) for r in docs.collect())
     assert mixed and all(n <= 2 * there[k] for k, n in mixed.items()) and not any(not WORD.findall(t or "") for _, t in mixed)
     packed = CP.packing(spark, docs, SF).collect()
-    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _ in rows) and max(r["offset"] + r["length"] for r in packed) <= 2048
+    assert Counter(
+        r["doc_id"]
+        for r in packed if r["piece"] == 0
+    ) == Counter(i for i, _ in rows) and max(r["offset"] + r["length"] for r in packed) <= 2048
 
 
 def test_hashes_of_queries(spark):

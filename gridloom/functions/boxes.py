@@ -26,9 +26,12 @@ def valid(x0, y0, x1, y1, w, h) -> Column:
 def degeneracy(x0, y0, x1, y1, w, h) -> Column:
     """MAP14. Why a box says nothing, the first reason that holds; null for a sound one."""
     share = area(x0, y0, x1, y1) / (w * h)
-    return (F.when(~finite(x0, y0, x1, y1), "non_finite").when((x1 < x0) | (y1 < y0), "inverted").when(area(x0, y0, x1, y1) <= 0, "zero_area")
-            .when(share >= 0.98, F.concat(F.lit("full_image_coverage_"), F.floor(share * 100).cast("string"), F.lit("pct")))
-            .when(((x1 - x0) >= 0.99 * w) & ((y1 - y0) >= 0.99 * h), "full_image_fallback"))
+    return (
+        F.when(~finite(x0, y0, x1, y1), "non_finite").when((x1 < x0) | (y1 < y0), "inverted").when(area(x0, y0, x1, y1) <= 0, "zero_area") .when(
+            share >= 0.98,
+            F.concat(F.lit("full_image_coverage_"), F.floor(share * 100).cast("string"), F.lit("pct")),
+        ) .when(((x1 - x0) >= 0.99 * w) & ((y1 - y0) >= 0.99 * h), "full_image_fallback")
+    )
 
 
 def clamped(x0, y0, x1, y1, w, h) -> tuple[Column, ...]:
@@ -67,7 +70,16 @@ def oriented_to_axis(corners: Column, w: float, h: float) -> Column:
     return F.array(*[F.round(f(c) * size, 1) for f in (F.array_min, F.array_max) for c, size in ((xs, w), (ys, h))])
 
 
-def padded_crop(x0: Column, y0: Column, x1: Column, y1: Column, w: int, h: int, share: float = 0.15, least: float = 10.0) -> tuple[Column, Column, Column, Column, Column]:
+def padded_crop(
+    x0: Column,
+    y0: Column,
+    x1: Column,
+    y1: Column,
+    w: int,
+    h: int,
+    share: float = 0.15,
+    least: float = 10.0,
+) -> tuple[Column, Column, Column, Column, Column]:
     """MAP19. The box with `share` of its sides added, `least` pixels at least, in the image; and whether it is large enough."""
     px, py = F.greatest(F.lit(least), share * (x1 - x0)), F.greatest(F.lit(least), share * (y1 - y0))
     a, b = F.floor(F.greatest(F.lit(0.0), x0 - px)), F.floor(F.greatest(F.lit(0.0), y0 - py))

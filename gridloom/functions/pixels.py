@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 def rgb(bands: Column) -> Column:
     """MAP1. Three or more bands: the first three; two: both and their difference; one: it thrice; none: null."""
     b = lambda i: F.get(bands, F.lit(i))
-    return F.when(F.size(bands) >= 3, F.slice(bands, 1, 3)).when(F.size(bands) == 2, F.array(b(0), b(1), b(0) - b(1))).when(F.size(bands) == 1, F.array(b(0), b(0), b(0)))
+    return F.when(F.size(bands) >= 3, F.slice(bands, 1, 3)).when(
+        F.size(bands) == 2,
+        F.array(b(0), b(1), b(0) - b(1)),
+    ).when(F.size(bands) == 1, F.array(b(0), b(0), b(0)))
 
 
 def stretch(v: Column, low: Column, high: Column) -> Column:
     """MAP2. 0..255 between the two percentiles, cut to whole numbers; a flat band is clipped as it is."""
     scaled = F.floor(F.round((v - low) / (high - low) * 255.0, 9))
-    return F.when(high > low, F.least(F.greatest(scaled, F.lit(0)), F.lit(255))).otherwise(F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))).cast("int")
+    return F.when(
+        high > low,
+        F.least(F.greatest(scaled, F.lit(0)), F.lit(255)),
+    ).otherwise(F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))).cast("int")
 
 
 def unit(v: Column, low: Column, high: Column) -> Column:
@@ -50,7 +56,12 @@ def grey_luma(r: Column, g: Column, b: Column) -> Column:
 def indices(r: Column, g: Column, b: Column) -> dict[str, Column]:
     """MAP6. Excess green, lightness, and the shares of blue and red."""
     total = F.greatest(r + g + b, F.lit(1e-6))
-    return {"exg": (2.0 * g - r - b) / F.greatest(2.0 * g + r + b, F.lit(1e-6)), "lightness": F.greatest(r, g, b), "blue_ratio": b / total, "red_ratio": r / total}
+    return {
+        "exg": (2.0 * g - r - b) / F.greatest(2.0 * g + r + b, F.lit(1e-6)),
+        "lightness": F.greatest(r, g, b),
+        "blue_ratio": b / total,
+        "red_ratio": r / total,
+    }
 
 
 def blend(base: Column, over: float, alpha: float) -> Column:
@@ -70,7 +81,13 @@ def classify(r, g, b, exg, lightness, blue_ratio, red_ratio, sar, rough) -> tupl
     veg = (exg >= 0.06) & (g > r) & (sar >= 0.15) & (sar <= 0.75)
     road = (F.abs(r - g) < 0.08) & (F.abs(g - b) < 0.08) & (lightness >= 0.20) & (lightness <= 0.85) & (sar <= 0.25) & (rough <= 0.08)
     soil = (r > g) & (g >= b) & (red_ratio >= 0.34) & (sar >= 0.15) & (sar <= 0.50) & (rough <= 0.12)
-    rules = [(water, "water_body", 0.92), (built, "built_structure", 0.88), (veg, "vegetation_or_cropland", 0.89), (road, "road_or_infrastructure", 0.82), (soil, "bare_ground_or_soil", 0.85)]
+    rules = [
+        (water, "water_body", 0.92),
+        (built, "built_structure", 0.88),
+        (veg, "vegetation_or_cropland", 0.89),
+        (road, "road_or_infrastructure", 0.82),
+        (soil, "bare_ground_or_soil", 0.85),
+    ]
     label, prob = F.lit("unknown"), F.lit(0.50)
     for cond, name, p in reversed(rules):
         label, prob = F.when(cond, name).otherwise(label), F.when(cond, p).otherwise(prob)
@@ -79,5 +96,8 @@ def classify(r, g, b, exg, lightness, blue_ratio, red_ratio, sar, rough) -> tupl
 
 def token_confidence(logits: Column) -> Column:
     """MAP24. Mean over tokens of the largest softmax probability; logits is an array of arrays."""
-    top = F.transform(logits, lambda t: 1.0 / F.aggregate(F.transform(t, lambda z: F.exp(z - F.array_max(t))), F.lit(0.0), lambda s, z: s + z))
+    top = F.transform(
+        logits,
+        lambda t: 1.0 / F.aggregate(F.transform(t, lambda z: F.exp(z - F.array_max(t))), F.lit(0.0), lambda s, z: s + z),
+    )
     return F.aggregate(top, F.lit(0.0), lambda s, z: s + z) / F.size(top)

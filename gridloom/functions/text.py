@@ -7,10 +7,39 @@ from pyspark.sql import functions as F
 
 # Prefixes of referring queries.
 PREFIXES = [
-    "where is the", "where are the", "where is a", "where is an", "where are", "where is", "locate the", "locate a", "locate an", "locate",
-    "find the", "find a", "find an", "find", "highlight the", "highlight a", "highlight an", "highlight", "detect the", "detect a", "detect an", "detect",
-    "identify the", "identify a", "identify an", "identify", "show me the", "show me a", "show me", "can you find the", "can you locate the", "can you highlight the",
-]
+    "where is the",
+    "where are the",
+    "where is a",
+    "where is an",
+    "where are",
+    "where is",
+    "locate the",
+    "locate a",
+    "locate an",
+    "locate",
+    "find the",
+    "find a",
+    "find an",
+    "find",
+    "highlight the",
+    "highlight a",
+    "highlight an",
+    "highlight",
+    "detect the",
+    "detect a",
+    "detect an",
+    "detect",
+    "identify the",
+    "identify a",
+    "identify an",
+    "identify",
+    "show me the",
+    "show me a",
+    "show me",
+    "can you find the",
+    "can you locate the",
+    "can you highlight the",
+]
 PREFIX_PATTERN = "(?i)^(" + "|".join(sorted(PREFIXES, key=len, reverse=True)) + ")"
 
 
@@ -32,7 +61,10 @@ def boxes_in_text(answer: Column, w: Column, h: Column) -> Column:
 
     def numbers(pattern: str) -> Column:
         parts = [F.regexp_extract_all(answer, F.lit(pattern), F.lit(i)) for i in range(1, 5)]
-        return F.transform(F.arrays_zip(*[p.alias(f"n{i}") for i, p in enumerate(parts)]), lambda x: F.array(*[x[f"n{i}"].cast("double") for i in range(4)]))
+        return F.transform(
+            F.arrays_zip(*[p.alias(f"n{i}") for i, p in enumerate(parts)]),
+            lambda x: F.array(*[x[f"n{i}"].cast("double") for i in range(4)]),
+        )
 
     thousand = lambda x, order: F.array(*[F.get(x, F.lit(i)) / 1000.0 * (w if k % 2 == 0 else h) for k, i in enumerate(order)])
 
@@ -63,27 +95,41 @@ def answer_matches(pred: Column, truth: Column) -> dict[str, Column]:
     tokens = lambda c: F.split(bare(c), r"(?U)\s+")
     long_in = lambda n: F.exists(tokens(g), lambda w: (F.length(w) > n) & F.contains(p, w))
     strict = (bare(p) == bare(g)) | ((F.size(tokens(g)) == 1) & F.array_contains(tokens(p), bare(g))) | F.contains(bare(p), bare(g))
-    return {"strict": strict, "relaxed": strict | long_in(3), "either": F.contains(p, g) | F.contains(g, p) | long_in(4), "contained": F.contains(p, g), "contained_relaxed": F.contains(p, g) | long_in(3)}
+    return {
+        "strict": strict,
+        "relaxed": strict | long_in(3),
+        "either": F.contains(p, g) | F.contains(g, p) | long_in(4),
+        "contained": F.contains(p, g),
+        "contained_relaxed": F.contains(p, g) | long_in(3),
+    }
 
 
 def change_answer_correct(answer: Column, direction: Column, truth: Column, truth_direction: Column) -> Column:
     """STR13. A yes or no against the predicted direction or else the answer's text; any other truth by its direction."""
     g, d = F.lower(F.coalesce(truth, F.lit(""))), F.coalesce(F.nullif(F.lower(direction), F.lit("")), F.lit("unknown"))
-    said = ((g == "yes") & d.isin("increased", "modified", "decreased")) | ((g == "no") & (d == "no_change")) | F.contains(F.lower(F.coalesce(answer, F.lit(""))), g)
+    said = ((g == "yes") & d.isin("increased", "modified", "decreased")) | ((g == "no") & (d == "no_change")) | F.contains(
+        F.lower(F.coalesce(answer, F.lit(""))),
+        g,
+    )
     return F.when(g.isin("yes", "no"), said).otherwise(F.coalesce(d == F.nullif(F.lower(truth_direction), F.lit("")), F.lit(False)))
 
 
 # Words of each class, as parts of words, and patterns of whole words, of which the first match counts.
 CLASS_WORDS = {
-    "built_structure": ["built", "building", "urban", "structure", "construction", "roof"], "water_body": ["water", "aquatic", "lake", "river", "reservoir", "flood"],
-    "vegetation_or_cropland": ["vegetation", "crop", "cropland", "agriculture", "forest", "tree"], "bare_ground_or_soil": ["bare", "soil", "ground", "dirt", "cleared"],
+    "built_structure": ["built", "building", "urban", "structure", "construction", "roof"],
+    "water_body": ["water", "aquatic", "lake", "river", "reservoir", "flood"],
+    "vegetation_or_cropland": ["vegetation", "crop", "cropland", "agriculture", "forest", "tree"],
+    "bare_ground_or_soil": ["bare", "soil", "ground", "dirt", "cleared"],
     "road_or_infrastructure": ["road", "highway", "infrastructure", "pavement", "runway"],
-}
+}
 CLASS_PATTERNS = {
-    "built-up / building": "buildings?|structures?|houses?|settlements?|residential|commercial|industrial|urban|built[- ]up", "vegetation / cropland": "vegetation|crops?|cropland|farmland|pasture|grassland|agricultural",
-    "forest / canopy": "forests?|trees?|woodlands?|deforestation|timber", "water body": "water(?:[- ]body)?|lakes?|rivers?|reservoirs?|ponds?|floods?|flooding|wetlands?",
-    "bare ground / soil": "bare[- ]ground|bare[- ]soil|soils?|dirt|sand|cleared[- ]land|unpaved", "road / infrastructure": "roads?|highways?|runways?|bridges?|infrastructure|pavement",
-}
+    "built-up / building": "buildings?|structures?|houses?|settlements?|residential|commercial|industrial|urban|built[- ]up",
+    "vegetation / cropland": "vegetation|crops?|cropland|farmland|pasture|grassland|agricultural",
+    "forest / canopy": "forests?|trees?|woodlands?|deforestation|timber",
+    "water body": "water(?:[- ]body)?|lakes?|rivers?|reservoirs?|ponds?|floods?|flooding|wetlands?",
+    "bare ground / soil": "bare[- ]ground|bare[- ]soil|soils?|dirt|sand|cleared[- ]land|unpaved",
+    "road / infrastructure": "roads?|highways?|runways?|bridges?|infrastructure|pavement",
+}
 
 
 def target_classes(q: Column) -> Column:
@@ -99,8 +145,15 @@ def target_class(q: Column) -> Column:
 def question_kind(q: Column) -> Column:
     """STR8. The kind of a question by its words, first match."""
     l = F.lower(q)  # noqa: E741
-    return (F.when(F.contains(l, F.lit("how many")) | F.contains(l, F.lit("number of")), "count").when(F.contains(l, F.lit("is there")) | F.contains(l, F.lit("are there")), "presence")
-            .when(F.contains(l, F.lit("more")) | F.contains(l, F.lit("less")), "comparison").when(F.contains(l, F.lit("rural")) | F.contains(l, F.lit("urban")), "rural_urban").otherwise("other"))
+    return (
+        F.when(F.contains(l, F.lit("how many")) | F.contains(l, F.lit("number of")), "count").when(
+            F.contains(l, F.lit("is there")) | F.contains(l, F.lit("are there")),
+            "presence",
+        ) .when(F.contains(l, F.lit("more")) | F.contains(l, F.lit("less")), "comparison").when(
+            F.contains(l, F.lit("rural")) | F.contains(l, F.lit("urban")),
+            "rural_urban",
+        ).otherwise("other")
+    )
 
 
 # Words that tell a scene's domain, the first that occurs counts.
@@ -156,7 +209,10 @@ DIRECTIONS = ["increased", "decreased", "no_change", "modified"]
 def semantic_validation(direction: Column, changed_px: Column, from_: Column, to: Column, confidence: Column, classes: list[str]) -> Column:
     """STR4. struct(direction, uncertain, confidence, uncertainty): a direction that isn't known, or no change beside many
     changed pixels, is `modified`; an unknown class or one that stays the same is uncertain, which caps the confidence."""
-    ok = F.when(~direction.isin(DIRECTIONS) | direction.isNull() | ((direction == "no_change") & (changed_px > 500)), "modified").otherwise(direction)
+    ok = F.when(
+        ~direction.isin(DIRECTIONS) | direction.isNull() | ((direction == "no_change") & (changed_px > 500)),
+        "modified",
+    ).otherwise(direction)
     unsure = F.coalesce(~from_.isin(classes) | (from_ == to), F.lit(True))
     sure = F.when(unsure, F.least(confidence, F.lit(0.60))).otherwise(confidence)
     return F.struct(ok.alias("direction"), unsure.alias("uncertain"), sure.alias("confidence"), F.round(1.0 - sure, 4).alias("uncertainty"))
@@ -178,15 +234,32 @@ def scene_questions(scene: Column, kinds: Column, absent: Column, crs: Column) -
     An array of struct(family, question, answer); those without an annotation are left out."""
     qa = lambda family, q, a, cond: F.when(cond, F.struct(F.lit(family).alias("family"), q.alias("question"), a.alias("answer")))
     first = F.get(kinds, F.lit(0))
-    return F.array_compact(F.array(
-        qa("scene", F.format_string("What does scene %s show?", scene), F.concat_ws(", ", kinds), F.size(kinds) > 0),
-        qa("inventory", F.format_string("How many kinds are there in scene %s?", scene), F.size(kinds).cast("string"), F.size(kinds) > 0),
-        qa("presence", F.format_string("Is there %s in scene %s?", first, scene), F.lit("yes"), F.size(kinds) > 0),
-        qa("hard_negative", F.format_string("Is there %s in scene %s?", absent, scene), F.lit("no"), absent.isNotNull() & ~F.array_contains(kinds, absent)),
-        qa("crs", F.format_string("Which map grid has scene %s?", scene), crs, crs.isNotNull()),
-    ))
+    return F.array_compact(
+        F.array(
+            qa("scene", F.format_string("What does scene %s show?", scene), F.concat_ws(", ", kinds), F.size(kinds) > 0),
+            qa(
+                "inventory",
+                F.format_string("How many kinds are there in scene %s?", scene),
+                F.size(kinds).cast("string"),
+                F.size(kinds) > 0,
+            ),
+            qa("presence", F.format_string("Is there %s in scene %s?", first, scene), F.lit("yes"), F.size(kinds) > 0),
+            qa(
+                "hard_negative",
+                F.format_string("Is there %s in scene %s?", absent, scene),
+                F.lit("no"),
+                absent.isNotNull() & ~F.array_contains(kinds, absent),
+            ),
+            qa("crs", F.format_string("Which map grid has scene %s?", scene), crs, crs.isNotNull()),
+        )
+    )
 
 
 def spatial_summary(sensor: Column, crs: Column, width: Column, height: Column) -> Column:
     """SRC4. A raster in a line, with words for what is missing."""
-    return F.concat_ws(", ", F.coalesce(sensor, F.lit("unknown sensor")), F.coalesce(crs, F.lit("no CRS")), F.when(width.isNotNull() & height.isNotNull(), F.format_string("%d x %d px", width, height)).otherwise("size unknown"))
+    return F.concat_ws(
+        ", ",
+        F.coalesce(sensor, F.lit("unknown sensor")),
+        F.coalesce(crs, F.lit("no CRS")),
+        F.when(width.isNotNull() & height.isNotNull(), F.format_string("%d x %d px", width, height)).otherwise("size unknown"),
+    )

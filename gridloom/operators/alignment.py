@@ -33,7 +33,15 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> dict:
     score = 0.55 * min(1.0, max(peak / 0.65, psr / 60.0)) + 0.35 * consensus + 0.10 * max(0.0, ncc)
     if abs(dy) > 0.1 * h or abs(dx) > 0.1 * w:
         score *= 0.5
-    return {"dy": dy, "dx": dx, "peak": peak, "psr": psr, "ncc": ncc, "consensus": consensus, "score": round(min(0.999, max(0.001, score)), 4)}
+    return {
+        "dy": dy,
+        "dx": dx,
+        "peak": peak,
+        "psr": psr,
+        "ncc": ncc,
+        "consensus": consensus,
+        "score": round(min(0.999, max(0.001, score)), 4),
+    }
 
 
 def correlate(pairs: DataFrame, height: int, width: int) -> DataFrame:
@@ -50,7 +58,10 @@ def correlate(pairs: DataFrame, height: int, width: int) -> DataFrame:
 def pair_score(shift: DataFrame, overlap: DataFrame) -> DataFrame:
     """WIN6: with overlap known, half of each; else the phase score. overlap: scene, share (null: no map grid)."""
     s = shift.join(overlap, "scene", "left")
-    score = F.when(F.col("share").isNotNull(), F.greatest(F.lit(0.10), 0.5 * F.col("score") + 0.5 * F.col("share"))).otherwise(F.col("score"))
+    score = F.when(
+        F.col("share").isNotNull(),
+        F.greatest(F.lit(0.10), 0.5 * F.col("score") + 0.5 * F.col("share")),
+    ).otherwise(F.col("score"))
     grade = F.when(score >= 0.85, "excellent").when(score >= 0.70, "good").when(score >= 0.35, "moderate").otherwise("poor")
     return s.select("scene", "dy", "dx", F.round(score, 4).alias("score"), grade.alias("grade"))
 
@@ -72,7 +83,11 @@ def resize_bilinear(img: DataFrame, size: tuple[int, int], target: tuple[int, in
     spark = img.sparkSession
     rows = img.select("scene", "y", "x", "v")
     for axis, other, n, m in (("x", "y", size[1], target[1]), ("y", "x", size[0], target[0])):
-        table = spark.range(m).select(F.col("id").cast("int").alias("i")).select("i", F.explode(_weights(n, m)).alias("w")).select("i", F.col("w.s").alias(axis), F.col("w.k").alias("k"))
+        table = spark.range(m).select(F.col("id").cast("int").alias("i")).select("i", F.explode(_weights(n, m)).alias("w")).select(
+            "i",
+            F.col("w.s").alias(axis),
+            F.col("w.k").alias("k"),
+        )
         rows = rows.join(F.broadcast(table), axis).groupBy("scene", other, "i").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("v"))
         rows = rows.select("scene", other, F.col("i").alias(axis), F.floor(F.round("v", 9) + 0.5).alias("v"))
     return rows.select("scene", "y", "x", "v")

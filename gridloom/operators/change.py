@@ -17,7 +17,15 @@ BITS, CELL = 64, 64
 def difference(pair: DataFrame) -> DataFrame:
     """MAP3 and the distance of CMP1: scene, y, x, d in 0..1. Two small aggregates a scene, joined back by scene."""
     most = pair.groupBy("scene").agg(F.max(F.array_max("a")).alias("ma"), F.max(F.array_max("b")).alias("mb"))
-    d = pair.join(most, "scene").select("scene", "y", "x", P.cva_distance(F.transform("a", lambda v: P.by_scene_max(v, F.col("ma"))), F.transform("b", lambda v: P.by_scene_max(v, F.col("mb")))).alias("d"))
+    d = pair.join(most, "scene").select(
+        "scene",
+        "y",
+        "x",
+        P.cva_distance(
+            F.transform("a", lambda v: P.by_scene_max(v, F.col("ma"))),
+            F.transform("b", lambda v: P.by_scene_max(v, F.col("mb"))),
+        ).alias("d"),
+    )
     top = d.groupBy("scene").agg(F.max("d").alias("top"))
     return d.join(top, "scene").select("scene", "y", "x", (F.col("d") / F.greatest("top", F.lit(1e-6))).alias("d"))
 
@@ -28,14 +36,26 @@ def thresholds(diff: DataFrame, *, sigmas: float = 1.5, least: float = 0.15, mos
     stats = diff.groupBy("scene").agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sigma"))
     hist = diff.groupBy("scene", F.least(F.floor(F.col("d") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     run, all_ = W.partitionBy("scene").orderBy("bin"), W.partitionBy("scene")
-    h = hist.select("scene", "bin", F.sum("n").over(run).alias("w0"), F.sum(F.col("bin") * F.col("n")).over(run).alias("s0"), F.sum("n").over(all_).alias("w"), F.sum(F.col("bin") * F.col("n")).over(all_).alias("s"))
+    h = hist.select(
+        "scene",
+        "bin",
+        F.sum("n").over(run).alias("w0"),
+        F.sum(F.col("bin") * F.col("n")).over(run).alias("s0"),
+        F.sum("n").over(all_).alias("w"),
+        F.sum(F.col("bin") * F.col("n")).over(all_).alias("s"),
+    )
     w1 = F.col("w") - F.col("w0")
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1
     h = h.where("w0 < w").withColumn("between", F.col("w0") * w1 * gap * gap)
     otsu = h.groupBy("scene").agg(F.max_by("bin", F.struct("between", -F.col("bin"))).alias("bin"))
     cut = F.coalesce((F.col("bin") + 0.5) / bins, F.lit(0.35))
     raw = F.when((F.col("mu") > 0.10) & (F.col("sigma") > 0.08), cut).otherwise(F.col("mu") + sigmas * F.col("sigma"))
-    return stats.join(otsu, "scene", "left").select("scene", "mu", "sigma", F.greatest(F.lit(least), F.least(F.lit(most), raw)).alias("threshold"))
+    return stats.join(otsu, "scene", "left").select(
+        "scene",
+        "mu",
+        "sigma",
+        F.greatest(F.lit(least), F.least(F.lit(most), raw)).alias("threshold"),
+    )
 
 
 def raw_mask(diff: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -66,7 +86,10 @@ def words(mask: DataFrame) -> DataFrame:
 
 def pixels_of(w: DataFrame) -> DataFrame:
     """scene, y, x of the bits that are set."""
-    set_ = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.expr("b").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    set_ = F.filter(
+        F.sequence(F.lit(0), F.lit(BITS - 1)),
+        lambda i: F.expr("b").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0,
+    )
     return w.select("scene", "y", F.explode(F.transform(set_, lambda i: (F.col("w") * BITS + i).cast("int"))).alias("x"))
 
 
@@ -74,11 +97,26 @@ def _square(w: DataFrame, height: int, width: int, grow: bool) -> DataFrame:
     """The 3 x 3 erosion or dilation of words. Each number goes to the lines above and below, and the bits at its ends
     to the numbers beside it: nine rows for BITS pixels, combined before the one shuffle. What lies outside is not in the mask."""
     last = (width - 1) // BITS
-    parts = [F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw"), F.expr(bits).alias("v")) for dy in (-1, 0, 1) for dw, bits in ((-1, f"shiftleft(b, {BITS - 1})"), (0, "b"), (1, f"shiftrightunsigned(b, {BITS - 1})"))]
+    parts = [
+        F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw"), F.expr(bits).alias("v"))
+        for dy in (-1, 0, 1)
+        for dw, bits in ((-1, f"shiftleft(b, {BITS - 1})"), (0, "b"), (1, f"shiftrightunsigned(b, {BITS - 1})"))
+    ]
     rows = w.select("scene", "y", "w", F.explode(F.array(*parts)).alias("p")).where("p.v != 0")
-    rows = rows.select("scene", (F.col("y") + F.col("p.dy")).cast("int").alias("y"), (F.col("w") + F.col("p.dw")).cast("int").alias("w"), "p.*")
+    rows = rows.select(
+        "scene",
+        (F.col("y") + F.col("p.dy")).cast("int").alias("y"),
+        (F.col("w") + F.col("p.dw")).cast("int").alias("w"),
+        "p.*",
+    )
     rows = rows.where(F.col("y").between(0, height - 1) & F.col("w").between(0, last))
-    found = rows.groupBy("scene", "y", "w").agg(*[F.coalesce(F.bit_or(F.when((F.col("dy") == dy) & (F.col("dw") == dw), F.col("v"))), F.lit(0).cast("long")).alias(f"v{i}{j}") for i, dy in enumerate((-1, 0, 1)) for j, dw in enumerate((-1, 0, 1))])
+    found = rows.groupBy("scene", "y", "w").agg(
+        *[
+            F.coalesce(F.bit_or(F.when((F.col("dy") == dy) & (F.col("dw") == dw), F.col("v"))), F.lit(0).cast("long")).alias(f"v{i}{j}")
+            for i, dy in enumerate((-1, 0, 1))
+            for j, dw in enumerate((-1, 0, 1))
+        ]
+    )
 
     def line(i: int) -> Column:
         # From the number on the left came its last bit, which stands at 0 here; from the one on the right its first, at the end.
@@ -116,21 +154,44 @@ def components(mask: DataFrame, width: int) -> DataFrame:
     number grows with the logarithm of a component's extent in lines for most shapes."""
     w = W.partitionBy("scene", "y").orderBy("x")
     runs = mask.select("scene", "y", "x").withColumn("g", F.col("x") - F.row_number().over(w))
-    runs = _written(runs.groupBy("scene", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("id", (F.col("y") * width + F.col("x0")).cast("long")), "runs")
+    runs = _written(
+        runs.groupBy("scene", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn(
+            "id",
+            (F.col("y") * width + F.col("x0")).cast("long"),
+        ),
+        "runs",
+    )
     up = runs.select("scene", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("uid"))
     touch = runs.join(up, ["scene", "y"]).where("x0 <= u1 and u0 <= x1").select("scene", "id", "uid")
     edges = _written(touch.union(touch.select("scene", F.col("uid").alias("id"), F.col("id").alias("uid"))), "edges")
     labels = runs.select("scene", "id", F.col("id").alias("label"))
     while True:
-        near = edges.join(labels.select("scene", F.col("id").alias("uid"), F.col("label").alias("o")), ["scene", "uid"]).groupBy("scene", "id").agg(F.min("o").alias("o"))
-        new = _written(labels.join(near, ["scene", "id"], "left").select("scene", "id", F.col("label").alias("was"), F.least("label", "o").alias("to")), "nearer")
-        new = new.join(new.select("scene", F.col("id").alias("to"), F.col("to").alias("label")), ["scene", "to"]).select("scene", "id", "was", "label")
+        near = edges.join(
+            labels.select("scene", F.col("id").alias("uid"), F.col("label").alias("o")),
+            ["scene", "uid"],
+        ).groupBy("scene", "id").agg(F.min("o").alias("o"))
+        new = _written(
+            labels.join(near, ["scene", "id"], "left").select(
+                "scene",
+                "id",
+                F.col("label").alias("was"),
+                F.least("label", "o").alias("to"),
+            ),
+            "nearer",
+        )
+        new = new.join(
+            new.select("scene", F.col("id").alias("to"), F.col("to").alias("label")),
+            ["scene", "to"],
+        ).select("scene", "id", "was", "label")
         new = _written(new, "jumped")
         labels = new.select("scene", "id", "label")
         if new.where("was != label").limit(1).count() == 0:
             break
     # Numbers go to the labels alone, of which there are as many as components.
-    numbers = _written(labels.select("scene", "label").distinct().withColumn("number", F.row_number().over(W.partitionBy("scene").orderBy("label"))), "numbers")
+    numbers = _written(
+        labels.select("scene", "label").distinct().withColumn("number", F.row_number().over(W.partitionBy("scene").orderBy("label"))),
+        "numbers",
+    )
     out = runs.join(labels, ["scene", "id"]).join(numbers, ["scene", "label"]).withColumn("label", F.col("number"))
     return out.select("scene", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
 
@@ -138,13 +199,28 @@ def components(mask: DataFrame, width: int) -> DataFrame:
 def regions(labelled: DataFrame, diff: DataFrame, *, least: int = 16, most: int = 50, by_area: bool = False) -> DataFrame:
     """AGG3, FLT13, SRT1: scene, label, half-open bounding box, pixels, mean difference over the bounding box. Of the
     first `most` labels (or of the largest, by_area) those with `least` pixels."""
-    r = labelled.groupBy("scene", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.count(F.lit(1)).alias("pixels"))
+    r = labelled.groupBy("scene", "label").agg(
+        F.min("x").alias("x0"),
+        F.min("y").alias("y0"),
+        (F.max("x") + 1).alias("x1"),
+        (F.max("y") + 1).alias("y1"),
+        F.count(F.lit(1)).alias("pixels"),
+    )
     order = [F.desc("pixels"), F.col("label")] if by_area else [F.col("label")]
-    r = r.withColumn("rank", F.row_number().over(W.partitionBy("scene").orderBy(*order))).where((F.col("rank") <= most) & (F.col("pixels") >= least))
+    r = r.withColumn(
+        "rank",
+        F.row_number().over(W.partitionBy("scene").orderBy(*order)),
+    ).where((F.col("rank") <= most) & (F.col("pixels") >= least))
     # Regions and pixels meet in coarse cells, so a pixel sees the regions near it only.
     cut = lambda c: F.floor(F.col(c) / CELL)
-    cells = r.withColumn("cy", F.explode(F.sequence(cut("y0"), F.floor((F.col("y1") - 1) / CELL)))).withColumn("cx", F.explode(F.sequence(cut("x0"), F.floor((F.col("x1") - 1) / CELL))))
-    inside = cells.join(diff.select("scene", "y", "x", "d", cut("y").alias("cy"), cut("x").alias("cx")), ["scene", "cy", "cx"]).where("y >= y0 and y < y1 and x >= x0 and x < x1")
+    cells = r.withColumn(
+        "cy",
+        F.explode(F.sequence(cut("y0"), F.floor((F.col("y1") - 1) / CELL))),
+    ).withColumn("cx", F.explode(F.sequence(cut("x0"), F.floor((F.col("x1") - 1) / CELL))))
+    inside = cells.join(
+        diff.select("scene", "y", "x", "d", cut("y").alias("cy"), cut("x").alias("cx")),
+        ["scene", "cy", "cx"],
+    ).where("y >= y0 and y < y1 and x >= x0 and x < x1")
     mean = inside.groupBy("scene", "label").agg(F.round(F.avg("d"), 4).alias("mean_d"))
     return r.drop("rank").join(mean, ["scene", "label"])
 
@@ -197,8 +273,25 @@ def roughness(img: DataFrame, height: int, width: int, value: str = "sar", radiu
     """WIN1: local standard deviation in a square, mirrored at the border (the edge pixel counts twice). Each pixel goes
     to the windows that it counts in; sums combine before the shuffle."""
     rows = img.select("scene", "y", "x", F.col(value).alias("v"))
-    span = lambda c, n: F.filter(F.flatten(F.transform(F.array(F.col(c), -1 - F.col(c), 2 * n - 1 - F.col(c)), lambda q: F.sequence(q - radius, q + radius))), lambda q: (q >= 0) & (q < n))
-    wide = rows.select("scene", "y", F.explode(span("x", width)).alias("x"), "v").groupBy("scene", "y", "x").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    both = wide.select("scene", F.explode(span("y", height)).alias("y"), "x", "s", "q").groupBy("scene", "y", "x").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    span = lambda c, n: F.filter(
+        F.flatten(F.transform(F.array(F.col(c), -1 - F.col(c), 2 * n - 1 - F.col(c)), lambda q: F.sequence(q - radius, q + radius))),
+        lambda q: (q >= 0) & (q < n),
+    )
+    wide = rows.select("scene", "y", F.explode(span("x", width)).alias("x"), "v").groupBy("scene", "y", "x").agg(
+        F.sum("v").alias("s"),
+        F.sum(F.col("v") * F.col("v")).alias("q"),
+    )
+    both = wide.select(
+        "scene",
+        F.explode(span("y", height)).alias("y"),
+        "x",
+        "s",
+        "q",
+    ).groupBy("scene", "y", "x").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
     n = float((2 * radius + 1) ** 2)
-    return both.select("scene", "y", "x", F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - (F.col("s") / n) * (F.col("s") / n))).alias("rough"))
+    return both.select(
+        "scene",
+        "y",
+        "x",
+        F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - (F.col("s") / n) * (F.col("s") / n))).alias("rough"),
+    )

@@ -35,7 +35,10 @@ def split(df: DataFrame, n_val: int, seed: str, key: str) -> DataFrame:
     global window holds all rows."""
     cut = df.select(hash_order(seed, F.col(key)).alias("h")).orderBy("h").limit(n_val).agg(F.max("h").alias("cut"))
     # The cut is one row; a constant key joins it to all.
-    return df.join(F.broadcast(cut), F.lit(True)).withColumn("split", F.when(hash_order(seed, F.col(key)) <= F.col("cut"), "val").otherwise("train")).drop("cut")
+    return df.join(F.broadcast(cut), F.lit(True)).withColumn(
+        "split",
+        F.when(hash_order(seed, F.col(key)) <= F.col("cut"), "val").otherwise("train"),
+    ).drop("cut")
 
 
 #: Code points of passages in one automaton.
@@ -103,17 +106,36 @@ def build(samples: DataFrame, quarantined: DataFrame, frozen: DataFrame, *, per_
     rows = samples.select("doc_id", "stratum", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     rows = first_of_each(rows, "sha", "doc_id")
     rows = without(without(rows, quarantined, "doc_id"), leaks(samples.select("doc_id", "text"), frozen), "doc_id")
-    return split(capped(rows, "stratum", per_stratum, seed, "doc_id"), n_val, seed + "v", "doc_id").select("doc_id", "stratum", "sha", "split")
+    return split(
+        capped(rows, "stratum", per_stratum, seed, "doc_id"),
+        n_val,
+        seed + "v",
+        "doc_id",
+    ).select("doc_id", "stratum", "sha", "split")
 
 
 def inventory(samples: DataFrame) -> DataFrame:
     """BEN4: by dataset of samples (dataset, doc_id, text): rows, invalid (without text), bytes, duplicates (rows whose text another
     row has too, in any dataset)."""
-    rows = samples.select("dataset", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), (F.coalesce(F.trim("text"), F.lit("")) == "").alias("invalid"))
-    by = rows.groupBy("dataset", "sha").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_if("invalid").alias("invalid"))
+    rows = samples.select(
+        "dataset",
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
+        (F.coalesce(F.trim("text"), F.lit("")) == "").alias("invalid"),
+    )
+    by = rows.groupBy("dataset", "sha").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("bytes").alias("bytes"),
+        F.count_if("invalid").alias("invalid"),
+    )
     every = by.groupBy(F.col("sha").alias("of")).agg(F.sum("n").alias("copies"))
     by = by.join(every, F.col("sha") == F.col("of"), "left")  # rows without a text have no copies
-    return by.groupBy("dataset").agg(F.sum("n").alias("rows"), F.sum("invalid").alias("invalid"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("copies") > 1, F.col("n")).otherwise(0)).alias("duplicates"))
+    return by.groupBy("dataset").agg(
+        F.sum("n").alias("rows"),
+        F.sum("invalid").alias("invalid"),
+        F.sum("bytes").alias("bytes"),
+        F.sum(F.when(F.col("copies") > 1, F.col("n")).otherwise(0)).alias("duplicates"),
+    )
 
 
 def manifest_subset(samples: DataFrame, *, category: str | None = None, quantitative: bool | None = None) -> DataFrame:

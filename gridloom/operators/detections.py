@@ -16,7 +16,10 @@ def pair_iou(boxes: DataFrame) -> DataFrame:
     a pair is emitted in the one cell that holds the corner of its intersection."""
     cell = 128
     cut = lambda c: F.floor(F.col(c) / cell)
-    cells = boxes.withColumn("cx", F.explode(F.sequence(cut("x0"), cut("x1")))).withColumn("cy", F.explode(F.sequence(cut("y0"), cut("y1"))))
+    cells = boxes.withColumn(
+        "cx",
+        F.explode(F.sequence(cut("x0"), cut("x1"))),
+    ).withColumn("cy", F.explode(F.sequence(cut("y0"), cut("y1"))))
     other = cells.select("image", "cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("ord", "x0", "y0", "x1", "y1")])
     j = cells.join(other, ["image", "cx", "cy"]).where("ord < ord_b")
     j = j.where((F.floor(F.greatest("x0", "x0_b") / cell) == F.col("cx")) & (F.floor(F.greatest("y0", "y0_b") / cell) == F.col("cy")))
@@ -37,13 +40,20 @@ def suppress(boxes: DataFrame, threshold: float = 0.70, max_boxes: int = MAX_BOX
     if not many.limit(1).count():
         return _suppress_in_place(rows, threshold)
     many = written(many, "many")
-    return _suppress_in_place(rows.join(many, "image", "left_anti"), threshold).union(_suppress_in_rounds(rows.join(many, "image", "left_semi"), threshold))
+    return _suppress_in_place(
+        rows.join(many, "image", "left_anti"),
+        threshold,
+    ).union(_suppress_in_rounds(rows.join(many, "image", "left_semi"), threshold))
 
 
 def _suppress_in_place(boxes: DataFrame, threshold: float) -> DataFrame:
     item = F.struct((-F.col("score")).alias("k"), "ord", "x0", "y0", "x1", "y1", "score")
     sorted_ = boxes.groupBy("image").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda acc, b: F.when(F.exists(acc, lambda k: B.iou(_xy(b), _xy(k)) >= threshold), acc).otherwise(F.concat(acc, F.array(b))))
+    kept = F.aggregate(
+        "all",
+        F.filter("all", lambda x: F.lit(False)),
+        lambda acc, b: F.when(F.exists(acc, lambda k: B.iou(_xy(b), _xy(k)) >= threshold), acc).otherwise(F.concat(acc, F.array(b))),
+    )
     return sorted_.select("image", F.explode(kept).alias("b")).select("image", "b.ord", "b.x0", "b.y0", "b.x1", "b.y1", "b.score")
 
 
@@ -54,7 +64,14 @@ def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
     rank = boxes.select("image", "ord", F.struct(-F.col("score"), F.col("ord")).alias("r"))
     pairs = pair_iou(boxes).where(F.col("iou") >= threshold).select("image", "i", "j")
     pairs = pairs.join(rank.toDF("image", "i", "ri"), ["image", "i"]).join(rank.toDF("image", "j", "rj"), ["image", "j"])
-    better = written(pairs.select("image", F.when(F.col("ri") < F.col("rj"), F.col("i")).otherwise(F.col("j")).alias("up"), F.when(F.col("ri") < F.col("rj"), F.col("j")).otherwise(F.col("i")).alias("ord")), "better")
+    better = written(
+        pairs.select(
+            "image",
+            F.when(F.col("ri") < F.col("rj"), F.col("i")).otherwise(F.col("j")).alias("up"),
+            F.when(F.col("ri") < F.col("rj"), F.col("j")).otherwise(F.col("i")).alias("ord"),
+        ),
+        "better",
+    )
     left, kept = boxes.select("image", "ord"), boxes.select("image", "ord").limit(0)
     while True:
         open_ = better.join(left, ["image", "ord"], "left_semi").join(left.withColumnRenamed("ord", "up"), ["image", "up"], "left_semi")
@@ -78,5 +95,10 @@ def processed(boxes: DataFrame, w: float = 512.0, h: float = 512.0, least: float
 
 def grounding_metrics(best: DataFrame) -> DataFrame:
     """AGG15 over image, iou (null: no prediction), degenerate: mean and median over predictions, shares over all."""
-    return best.agg(F.round(F.avg("iou"), 4).alias("mean_iou"), F.round(F.median("iou"), 4).alias("median_iou"), F.round(F.avg((F.coalesce("iou", F.lit(0.0)) >= 0.5).cast("double")) * 100.0, 2).alias("success_pct"),
-                    F.round(F.avg(F.col("iou").isNull().cast("double")) * 100.0, 2).alias("empty_pct"), F.round(F.avg(F.col("degenerate").cast("double")) * 100.0, 2).alias("degenerate_pct"))
+    return best.agg(
+        F.round(F.avg("iou"), 4).alias("mean_iou"),
+        F.round(F.median("iou"), 4).alias("median_iou"),
+        F.round(F.avg((F.coalesce("iou", F.lit(0.0)) >= 0.5).cast("double")) * 100.0, 2).alias("success_pct"),
+        F.round(F.avg(F.col("iou").isNull().cast("double")) * 100.0, 2).alias("empty_pct"),
+        F.round(F.avg(F.col("degenerate").cast("double")) * 100.0, 2).alias("degenerate_pct"),
+    )

@@ -13,7 +13,16 @@ ITEM = ["item_id", "request", "specialist", "type", "region", "value", "confiden
 
 def _item(df: DataFrame, specialist: str, kind: str, region, value, confidence, uncertain) -> DataFrame:
     key = stable_id("ev", F.lit(specialist), F.col("request").cast("string"), F.lit(kind), F.coalesce(region, F.lit("")))
-    return df.select(key.alias("item_id"), F.col("request"), F.lit(specialist).alias("specialist"), F.lit(kind).alias("type"), region.alias("region"), value.alias("value"), confidence.alias("confidence"), uncertain.alias("is_uncertain"))
+    return df.select(
+        key.alias("item_id"),
+        F.col("request"),
+        F.lit(specialist).alias("specialist"),
+        F.lit(kind).alias("type"),
+        region.alias("region"),
+        value.alias("value"),
+        confidence.alias("confidence"),
+        uncertain.alias("is_uncertain"),
+    )
 
 
 def from_change(zonal: DataFrame, regions: DataFrame) -> DataFrame:
@@ -39,7 +48,15 @@ def from_classes(classes: DataFrame) -> DataFrame:
 
 def from_answers(answers: DataFrame, specialist: str) -> DataFrame:
     """EVD1, EVD4: an item an answer: request, answer, confidence. An empty answer is uncertain."""
-    return _item(answers, specialist, "answer", F.lit(None).cast("string"), F.length("answer").cast("double"), F.col("confidence"), F.trim("answer") == "")
+    return _item(
+        answers,
+        specialist,
+        "answer",
+        F.lit(None).cast("string"),
+        F.length("answer").cast("double"),
+        F.col("confidence"),
+        F.trim("answer") == "",
+    )
 
 
 def fused(*items: DataFrame) -> DataFrame:
@@ -47,14 +64,34 @@ def fused(*items: DataFrame) -> DataFrame:
     every = items[0]
     for i in items[1:]:
         every = every.unionByName(i)
-    return first_of_each(every.withColumn("o", F.concat_ws(":", "specialist", "type", F.coalesce("region", F.lit("")))), "item_id", "o").drop("o")
+    return first_of_each(
+        every.withColumn("o", F.concat_ws(":", "specialist", "type", F.coalesce("region", F.lit("")))),
+        "item_id",
+        "o",
+    ).drop("o")
 
 
 def report(requests: DataFrame, items: DataFrame, judged: DataFrame) -> DataFrame:
     """RPT1, AGG23: request, title, answer, status, confidence, tier, findings. requests: request, query; judged: request,
     status, confidence, tier. A request without evidence says so."""
-    found = items.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_uncertain").alias("unsure"), F.max("confidence").alias("best"),
-                                         F.sort_array(F.collect_list(F.format_string("%s %s: %.2f", "specialist", F.coalesce("region", F.col("type")), "value"))).alias("findings"))
+    found = items.groupBy("request").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("is_uncertain").alias("unsure"),
+        F.max("confidence").alias("best"),
+        F.sort_array(
+            F.collect_list(F.format_string("%s %s: %.2f", "specialist", F.coalesce("region", F.col("type")), "value"))
+        ).alias("findings"),
+    )
     r = requests.join(found, "request", "left").join(judged, "request", "left")
-    answer = F.when(F.col("n").isNull(), "No evidence was found.").when(F.col("status") == "contradictory", "The evidence contradicts itself.").otherwise(F.format_string("%d findings, %d of them uncertain.", F.col("n"), F.col("unsure")))
-    return r.select("request", F.col("query").alias("title"), answer.alias("answer"), F.coalesce("status", F.lit("insufficient_evidence")).alias("status"), F.coalesce("confidence", F.lit(0.05)).alias("confidence"), F.coalesce("tier", F.lit("UNSUPPORTED")).alias("tier"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"))
+    answer = F.when(F.col("n").isNull(), "No evidence was found.").when(F.col("status") == "contradictory", "The evidence contradicts itself.").otherwise(
+        F.format_string("%d findings, %d of them uncertain.", F.col("n"), F.col("unsure"))
+    )
+    return r.select(
+        "request",
+        F.col("query").alias("title"),
+        answer.alias("answer"),
+        F.coalesce("status", F.lit("insufficient_evidence")).alias("status"),
+        F.coalesce("confidence", F.lit(0.05)).alias("confidence"),
+        F.coalesce("tier", F.lit("UNSUPPORTED")).alias("tier"),
+        F.coalesce("findings", F.array().cast("array<string>")).alias("findings"),
+    )

@@ -18,7 +18,17 @@ def classes(img: DataFrame, height: int, width: int) -> DataFrame:
     rough = CH.roughness(img, height, width).withColumn("rough", F.round("rough", 6))
     t = img.join(rough, ["scene", "y", "x"])
     i = P.indices(F.col("r"), F.col("g"), F.col("b"))
-    label, prob = P.classify(F.col("r"), F.col("g"), F.col("b"), i["exg"], i["lightness"], i["blue_ratio"], i["red_ratio"], F.col("sar"), F.col("rough"))
+    label, prob = P.classify(
+        F.col("r"),
+        F.col("g"),
+        F.col("b"),
+        i["exg"],
+        i["lightness"],
+        i["blue_ratio"],
+        i["red_ratio"],
+        F.col("sar"),
+        F.col("rough"),
+    )
     return t.withColumn("class", label).withColumn("prob", prob)
 
 
@@ -33,9 +43,14 @@ def class_regions(k: DataFrame, height: int, width: int, *, least: int = 16, mos
     total = height * width
     mean = lambda c: F.round(F.avg(c), digits)
     r = labelled.join(k.drop("class"), ["scene", "y", "x"]).groupBy("scene", "class", "label").agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.count(F.lit(1)).alias("pixels"),
-        mean("prob").alias("confidence"), *[mean(c).alias(c) for c in ("r", "g", "b", "sar", "rough")],
-    )
+        F.min("x").alias("x0"),
+        F.min("y").alias("y0"),
+        (F.max("x") + 1).alias("x1"),
+        (F.max("y") + 1).alias("y1"),
+        F.count(F.lit(1)).alias("pixels"),
+        mean("prob").alias("confidence"),
+        *[mean(c).alias(c) for c in ("r", "g", "b", "sar", "rough")],
+    )
     return r.where(F.col("pixels") >= least).withColumn("coverage_pct", F.round(F.col("pixels") / total * 100.0, 3))
 
 
@@ -56,6 +71,9 @@ LAYERS = [("Optical", "spectral"), ("SAR", "structural"), ("Fused", "cross_modal
 
 def complementarity(k: DataFrame) -> DataFrame:
     """CMP6: scene, built, water, contrast (what the two sensors show together) and layers."""
-    n = k.groupBy("scene").agg(F.count_if(F.col("class") == "built_structure").alias("built"), F.count_if(F.col("class") == "water_body").alias("water"))
+    n = k.groupBy("scene").agg(
+        F.count_if(F.col("class") == "built_structure").alias("built"),
+        F.count_if(F.col("class") == "water_body").alias("water"),
+    )
     layers = F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("role")) for a, b in LAYERS])
     return n.select("scene", "built", "water", T.fusion_narrative(F.col("built"), F.col("water")).alias("contrast"), layers.alias("layers"))

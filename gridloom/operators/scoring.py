@@ -11,14 +11,26 @@ _zero = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
 def confusion(joined: DataFrame, *keys: str, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """JN7: keys, tp, fp, fn, tn of two boolean columns; combined before the shuffle."""
     t, p = F.col(truth), F.col(pred)
-    return joined.groupBy(*keys).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
+    return joined.groupBy(*keys).agg(
+        F.count_if(t & p).alias("tp"),
+        F.count_if(~t & p).alias("fp"),
+        F.count_if(t & ~p).alias("fn"),
+        F.count_if(~t & ~p).alias("tn"),
+    )
 
 
 def metrics_eps(c: DataFrame, eps: float = 1e-8) -> DataFrame:
     """AGG8: small divisors; nothing there gives 0."""
     p, r = F.col("tp") / (F.col("tp") + F.col("fp") + eps), F.col("tp") / (F.col("tp") + F.col("fn") + eps)
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    out = {"precision": p, "recall": r, "f1": 2.0 * p * r / (p + r + eps), "iou": F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn") + eps), "fpr": F.col("fp") / (F.col("fp") + F.col("tn") + eps), "changed_ratio": (F.col("tp") + F.col("fp")) / n}
+    out = {
+        "precision": p,
+        "recall": r,
+        "f1": 2.0 * p * r / (p + r + eps),
+        "iou": F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn") + eps),
+        "fpr": F.col("fp") / (F.col("fp") + F.col("tn") + eps),
+        "changed_ratio": (F.col("tp") + F.col("fp")) / n,
+    }
     return c.withColumns({k: F.round(v, 4) for k, v in out.items()})
 
 
@@ -29,7 +41,18 @@ def metrics_explicit(c: DataFrame) -> DataFrame:
     p, r = _zero(tp, tp + fp), _zero(tp, tp + fn)
     ratio = (tp + fp) / (tp + fp + fn + tn)
     one = lambda v, e: F.round(F.when(empty, e).otherwise(v), 4)
-    return c.withColumns({"precision": one(p, 1.0), "recall": one(r, 1.0), "f1": one(_zero(2.0 * p * r, p + r), 1.0), "iou": one(_zero(tp, tp + fp + fn), 1.0), "fpr": one(_zero(fp, fp + tn), 0.0), "changed_ratio": one(ratio, 0.0), "is_empty": tp + fp == 0, "is_full": ~empty & (F.round(ratio, 10) >= 0.98)})
+    return c.withColumns(
+        {
+            "precision": one(p, 1.0),
+            "recall": one(r, 1.0),
+            "f1": one(_zero(2.0 * p * r, p + r), 1.0),
+            "iou": one(_zero(tp, tp + fp + fn), 1.0),
+            "fpr": one(_zero(fp, fp + tn), 0.0),
+            "changed_ratio": one(ratio, 0.0),
+            "is_empty": tp + fp == 0,
+            "is_full": ~empty & (F.round(ratio, 10) >= 0.98),
+        }
+    )
 
 
 def metrics_bench(c: DataFrame, smooth: float = 1e-6, tolerance: int = 25) -> DataFrame:
@@ -39,15 +62,26 @@ def metrics_bench(c: DataFrame, smooth: float = 1e-6, tolerance: int = 25) -> Da
     right = F.when(fp < tolerance, 1.0).otherwise(0.0)
     v = lambda x: F.round(F.when(none, right).otherwise(x), 4)
     p, r = (tp + smooth) / (tp + fp + smooth), (tp + smooth) / (tp + fn + smooth)
-    return c.withColumns({"precision": v(p), "recall": v(r), "f1": v(2.0 * p * r / (p + r)), "iou": v((tp + smooth) / (tp + fp + fn + smooth))})
+    return c.withColumns(
+        {"precision": v(p), "recall": v(r), "f1": v(2.0 * p * r / (p + r)), "iou": v((tp + smooth) / (tp + fp + fn + smooth))}
+    )
 
 
 def macro(m: DataFrame, digits: int = 4) -> DataFrame:
     """AGG11: statistics over samples of their rounded metrics."""
     cols = []
     for k in ("iou", "precision", "recall", "f1"):
-        cols += [F.round(f(k), digits).alias(f"{n}_{k}") for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
-    return m.agg(F.count(F.lit(1)).alias("samples"), *cols, F.round(F.avg("fpr"), digits).alias("mean_fpr"), F.round(F.avg(F.col("is_empty").cast("double")), digits).alias("empty_rate"), F.round(F.avg(F.col("is_full").cast("double")), digits).alias("full_rate"))
+        cols += [
+            F.round(f(k), digits).alias(f"{n}_{k}")
+            for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))
+        ]
+    return m.agg(
+        F.count(F.lit(1)).alias("samples"),
+        *cols,
+        F.round(F.avg("fpr"), digits).alias("mean_fpr"),
+        F.round(F.avg(F.col("is_empty").cast("double")), digits).alias("empty_rate"),
+        F.round(F.avg(F.col("is_full").cast("double")), digits).alias("full_rate"),
+    )
 
 
 def micro(c: DataFrame) -> DataFrame:
@@ -62,13 +96,21 @@ def failure(category: Column, nuisance: Column, quantitative: Column, pred: Colu
     q, n = quantitative, ~quantitative & (pred > 100)
     none = F.lit(None).cast("string")
     rules = [
-        (n & (nuisance == "registration"), "alignment_related_error", mild), (n & nuisance.isin("illumination", "shadow"), "shadow_false_positive", mild), (n & (nuisance == "seasonal_color"), "seasonal_variation_false_positive", mild),
+        (n & (nuisance == "registration"), "alignment_related_error", mild),
+        (n & nuisance.isin("illumination", "shadow"), "shadow_false_positive", mild),
+        (n & (nuisance == "seasonal_color"), "seasonal_variation_false_positive", mild),
         (~q | ((f1 >= 0.85) & (fpr < 0.01)), none, F.lit(None).cast("double")),
-        ((nuisance == "registration") & (fpr > 0.005), "alignment_related_error", loss), (nuisance.isin("illumination", "shadow") & (fpr > 0.01), "shadow_false_positive", loss), ((nuisance == "seasonal_color") & (fpr > 0.01), "seasonal_variation_false_positive", loss),
-        ((category == "forest") & (fpr > 0.02), "vegetation_error", loss), ((category == "agriculture") & (fpr > 0.02), "agriculture_error", loss), ((category == "water") & (fpr > 0.02), "water_error", loss),
-        ((r < 0.50) & (p >= 0.70) & (tp < 1500) & (fn > 0), "small_change_missed", 1.0 - r), ((r < 0.50) & (p >= 0.70), "missed_change", 1.0 - r), ((p < 0.50) & (r >= 0.70), "false_positive", 1.0 - p),
+        ((nuisance == "registration") & (fpr > 0.005), "alignment_related_error", loss),
+        (nuisance.isin("illumination", "shadow") & (fpr > 0.01), "shadow_false_positive", loss),
+        ((nuisance == "seasonal_color") & (fpr > 0.01), "seasonal_variation_false_positive", loss),
+        ((category == "forest") & (fpr > 0.02), "vegetation_error", loss),
+        ((category == "agriculture") & (fpr > 0.02), "agriculture_error", loss),
+        ((category == "water") & (fpr > 0.02), "water_error", loss),
+        ((r < 0.50) & (p >= 0.70) & (tp < 1500) & (fn > 0), "small_change_missed", 1.0 - r),
+        ((r < 0.50) & (p >= 0.70), "missed_change", 1.0 - r),
+        ((p < 0.50) & (r >= 0.70), "false_positive", 1.0 - p),
         ((r < 0.70) & (p < 0.70) & (tp > 0) & ((fp > 0.25 * tp) | (fn > 0.25 * tp)), "boundary_error", loss),
-    ]
+    ]
     kind, severity = F.lit("unclassified_failure"), loss
     for cond, k, s in reversed(rules):
         cond = F.coalesce(cond, F.lit(False))
@@ -82,27 +124,44 @@ def change_conflicts(e: DataFrame) -> DataFrame:
     region, claimed_ha)."""
     px, t, d = F.col("changed_px"), F.col("transitions"), F.lower("direction")
     told = d.isNotNull()
-    c = lambda rule, severity, cond: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
+    c = lambda rule, severity, cond: F.when(
+        F.coalesce(cond, F.lit(False)),
+        F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")),
+    )
     active = d.isin("increased", "decreased", "modified") | F.exists(t, lambda x: (x["from"] != "none") & (x["to"] != "none"))
     c1 = told & (px == 0) & active
     gain = F.exists(t, lambda x: F.lower(x["to"]).rlike("construction|built") | F.lower(x["description"]).rlike("expansion|new"))
     fall = F.forall(t, lambda x: F.contains(F.lower(x["to"]), F.lit("bare")) | F.lower(x["description"]).rlike("loss|clearing"))
-    each = lambda rule, cond: F.transform(F.filter(t, lambda x: F.coalesce(told & cond(x), F.lit(False))), lambda x: F.struct(F.lit(rule).alias("rule"), F.lit("warning").alias("severity")))
-    once = F.array_compact(F.array(
-        c("C1_ZERO_CHANGE_CONTRADICTION", "critical", c1), c("C3_NONZERO_CHANGE_SUPPORT", "critical", told & (F.size(t) > 0) & (px <= 0) & ~c1),
-        c("C5_TEMPORAL_CHRONOLOGY_INVALID", "critical", F.col("ordering").isin("reversed", "invalid", "negative_delta")), c("C5_TEMPORAL_DIRECTION_CONFLICT", "critical", (d == "no_change") & (px > 500)),
-        c("C5_TEMPORAL_DIRECTION_CONFLICT", "warning", (d == "increased") & ~gain & (px > 0) & (F.size(t) > 0) & fall),
-    ))
+    each = lambda rule, cond: F.transform(
+        F.filter(t, lambda x: F.coalesce(told & cond(x), F.lit(False))),
+        lambda x: F.struct(F.lit(rule).alias("rule"), F.lit("warning").alias("severity")),
+    )
+    once = F.array_compact(
+        F.array(
+            c("C1_ZERO_CHANGE_CONTRADICTION", "critical", c1),
+            c("C3_NONZERO_CHANGE_SUPPORT", "critical", told & (F.size(t) > 0) & (px <= 0) & ~c1),
+            c("C5_TEMPORAL_CHRONOLOGY_INVALID", "critical", F.col("ordering").isin("reversed", "invalid", "negative_delta")),
+            c("C5_TEMPORAL_DIRECTION_CONFLICT", "critical", (d == "no_change") & (px > 500)),
+            c("C5_TEMPORAL_DIRECTION_CONFLICT", "warning", (d == "increased") & ~gain & (px > 0) & (F.size(t) > 0) & fall),
+        )
+    )
     c2 = each("C2_UNSUPPORTED_REGION", lambda x: x["region"].isNotNull() & ~F.array_contains("regions", x["region"]))
-    c4 = each("C4_AREA_CONSISTENCY", lambda x: x["claimed_ha"].isNotNull() & (F.col("measured_ha") > 0) & (F.abs(x["claimed_ha"] - F.col("measured_ha")) / F.col("measured_ha") > 0.10))
+    c4 = each(
+        "C4_AREA_CONSISTENCY",
+        lambda x: x["claimed_ha"].isNotNull() & (F.col("measured_ha") > 0) & (F.abs(x["claimed_ha"] - F.col("measured_ha")) / F.col("measured_ha") > 0.10),
+    )
     c7 = each("C7_CLASS_TRANSITION_CONFLICT", lambda x: (x["from"] == "water") & F.contains(x["to"], F.lit("building")) & (px < 50))
     return e.withColumn("conflicts", F.concat(once, c2, c4, c7))
 
 
 def sensor_conflict(label: Column, exg: Column, backscatter: Column, rough: Column) -> Column:
     """CON6: why the sensors disagree on a region, the first case that holds; null where they don't."""
-    return (F.when((exg > 0.15) & (backscatter > 0.75) & (rough > 0.20), "green_but_double_bounce").when((label == "water_body") & (backscatter > 0.35), "water_but_rough")
-            .when((label == "built_structure") & (backscatter < 0.10) & (rough < 0.04), "built_but_smooth").when(label == "unknown", "unclassified"))
+    return (
+        F.when((exg > 0.15) & (backscatter > 0.75) & (rough > 0.20), "green_but_double_bounce").when((label == "water_body") & (backscatter > 0.35), "water_but_rough") .when(
+            (label == "built_structure") & (backscatter < 0.10) & (rough < 0.04),
+            "built_but_smooth",
+        ).when(label == "unknown", "unclassified")
+    )
 
 
 def status(critical: Column, warnings: Column, insufficient: Column) -> tuple[Column, Column]:
@@ -115,19 +174,45 @@ def status(critical: Column, warnings: Column, insufficient: Column) -> tuple[Co
 
 def gate(status_: Column) -> Column:
     """CON9: what may be done with the answer."""
-    return F.when(status_ == "contradictory", "flag_contradiction").when(status_ == "insufficient_evidence", "state_insufficient").when(status_.isin("partially_consistent", "uncertain"), "qualify").otherwise("allow")
+    return F.when(status_ == "contradictory", "flag_contradiction").when(status_ == "insufficient_evidence", "state_insufficient").when(
+        status_.isin("partially_consistent", "uncertain"),
+        "qualify",
+    ).otherwise("allow")
 
 
 # By status, the cap of confidence, its factor and its penalty.
-STATUS = {"consistent": (0.99, 1.00, 0.00), "partially_consistent": (0.75, 0.85, 0.12), "uncertain": (0.60, 0.70, 0.20), "insufficient_evidence": (0.40, 0.45, 0.35), "contradictory": (0.35, 0.30, 0.50)}
+STATUS = {
+    "consistent": (0.99, 1.00, 0.00),
+    "partially_consistent": (0.75, 0.85, 0.12),
+    "uncertain": (0.60, 0.70, 0.20),
+    "insufficient_evidence": (0.40, 0.45, 0.35),
+    "contradictory": (0.35, 0.30, 0.50),
+}
 WEIGHTS = {"input": 0.15, "align": 0.15, "model": 0.50, "evidence": 0.20}
 
 
-def confidence(q_input: Column, q_align: Column, s_model: Column, q_evidence: Column, status_: Column, conflicts: Column, critical: Column) -> Column:
+def confidence(
+    q_input: Column,
+    q_align: Column,
+    s_model: Column,
+    q_evidence: Column,
+    status_: Column,
+    conflicts: Column,
+    critical: Column,
+) -> Column:
     """CNF1: the weighted score, scaled and reduced by the status, capped, at least 0.05, four decimals."""
     by = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in STATUS.items() for x in (k, v[i])]), status_)
-    base = WEIGHTS["input"] * F.least(F.greatest(q_input, F.lit(0.2)), F.lit(1.0)) + WEIGHTS["align"] * F.least(F.greatest(q_align, F.lit(0.0)), F.lit(1.0)) + WEIGHTS["model"] * s_model + WEIGHTS["evidence"] * q_evidence
-    more = F.when((status_ == "partially_consistent"), F.least(F.lit(0.30), by(2) + 0.03 * F.greatest(F.lit(0), conflicts - 1))).otherwise(by(2))
+    base = WEIGHTS["input"] * F.least(
+        F.greatest(q_input, F.lit(0.2)),
+        F.lit(1.0),
+    ) + WEIGHTS["align"] * F.least(
+        F.greatest(q_align, F.lit(0.0)),
+        F.lit(1.0),
+    ) + WEIGHTS["model"] * s_model + WEIGHTS["evidence"] * q_evidence
+    more = F.when(
+        (status_ == "partially_consistent"),
+        F.least(F.lit(0.30), by(2) + 0.03 * F.greatest(F.lit(0), conflicts - 1)),
+    ).otherwise(by(2))
     penalty, cap = F.when(critical, F.greatest(more, F.lit(0.45))).otherwise(more), F.when(critical, F.least(by(0), F.lit(0.35))).otherwise(by(0))
     return F.greatest(F.lit(0.05), F.least(cap, F.round(base * by(1) - penalty, 4)))
 
@@ -135,8 +220,12 @@ def confidence(q_input: Column, q_align: Column, s_model: Column, q_evidence: Co
 def specialist_signal(kind: Column, s: Column, uncertainty: Column, unknown_pct: Column, n_boxes: Column, degenerate: Column) -> Column:
     """CNF2: cascade, optical_sar, grounding or a single model's confidence, in 0.10 to 0.99."""
     clip = lambda v: F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.10), v)), 4)
-    return (F.when(kind == "cascade", clip(s * (0.35 + 0.65 * (1.0 - uncertainty * 0.5)))).when(kind == "optical_sar", clip(F.when(unknown_pct > 25.0, F.greatest(F.lit(0.20), s * 0.75)).otherwise(s)))
-            .when((kind == "grounding") & (n_boxes == 0), 0.25).when((kind == "grounding") & degenerate, 0.30).otherwise(clip(s)))
+    return (
+        F.when(kind == "cascade", clip(s * (0.35 + 0.65 * (1.0 - uncertainty * 0.5)))).when(
+            kind == "optical_sar",
+            clip(F.when(unknown_pct > 25.0, F.greatest(F.lit(0.20), s * 0.75)).otherwise(s)),
+        ) .when((kind == "grounding") & (n_boxes == 0), 0.25).when((kind == "grounding") & degenerate, 0.30).otherwise(clip(s))
+    )
 
 
 def tier(c: Column) -> Column:
@@ -146,8 +235,17 @@ def tier(c: Column) -> Column:
 
 def calibration(df: DataFrame, p: str = "p", y: str = "y", bins: int = 5) -> DataFrame:
     """AGG19: Brier score and the measured expected calibration error over equal bins."""
-    b = df.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my"), F.sum((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("se"))
-    return b.agg(F.round(F.sum("se") / F.sum("n"), 6).alias("brier"), F.round(F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
+    b = df.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(p).alias("mp"),
+        F.avg(y).alias("my"),
+        F.sum((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("se"),
+    )
+    return b.agg(
+        F.round(F.sum("se") / F.sum("n"), 6).alias("brier"),
+        F.round(F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n"), 6).alias("ece"),
+        F.sum("n").alias("n"),
+    )
 
 
 def changed(px: Column, ratio_pct: Column) -> Column:
@@ -173,7 +271,13 @@ def latencies(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     first one is found by an aggregate, so that no key is one window; keys are few, and their table is broadcast."""
     cold = df.groupBy(key).agg(F.min(order).alias(order))
     warm = df.join(F.broadcast(cold), [key, order], "left_anti")
-    return warm.groupBy(key).agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.median(value), 4).alias("median"), F.round(F.percentile(value, F.lit(0.95)), 4).alias("p95"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return warm.groupBy(key).agg(
+        F.round(F.avg(value), 4).alias("mean"),
+        F.round(F.median(value), 4).alias("median"),
+        F.round(F.percentile(value, F.lit(0.95)), 4).alias("p95"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+    )
 
 
 def failure_distribution(df: DataFrame, kind: str, order: str) -> DataFrame:
@@ -185,11 +289,19 @@ def failure_distribution(df: DataFrame, kind: str, order: str) -> DataFrame:
 
 def format_matrix(df: DataFrame) -> DataFrame:
     """AGG17 over formats, correct, misaligned, false_positive: counts and accuracy by format."""
-    out = df.groupBy("formats").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("correct"), F.count_if("misaligned").alias("misaligned"), F.count_if("false_positive").alias("false_positives"))
+    out = df.groupBy("formats").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("correct").alias("correct"),
+        F.count_if("misaligned").alias("misaligned"),
+        F.count_if("false_positive").alias("false_positives"),
+    )
     return out.withColumn("accuracy_pct", F.round(F.col("correct") / F.col("n") * 100.0, 2))
 
 
 def bce_dice(df: DataFrame, *keys: str, p: str = "p", y: str = "y") -> DataFrame:
     """AGG21: binary cross entropy and soft Dice loss of probabilities against 0 or 1."""
     bce = -F.avg(F.col(y) * F.ln(p) + (1 - F.col(y)) * F.ln(1 - F.col(p)))
-    return df.groupBy(*keys).agg(F.round(bce, 6).alias("bce"), F.round(1 - (2 * F.sum(F.col(p) * F.col(y)) + 1) / (F.sum(p) + F.sum(y) + 1), 6).alias("dice"))
+    return df.groupBy(*keys).agg(
+        F.round(bce, 6).alias("bce"),
+        F.round(1 - (2 * F.sum(F.col(p) * F.col(y)) + 1) / (F.sum(p) + F.sum(y) + 1), 6).alias("dice"),
+    )

@@ -60,16 +60,30 @@ def execute(requests: DataFrame, pairs: DataFrame, optical_sar: DataFrame, heigh
     zonal, regions, classes = asked(CHANGE, change["zonal"]), asked(CHANGE, change["regions"]), asked(FUSION, fusion["classes"])
     items = written(E.fused(E.from_change(zonal, regions), E.from_classes(classes)), "items")
 
-    seen = zonal.select("request", F.lit(CHANGE).alias("specialist")).union(asked(FUSION, fusion["confidence"]).select("request", F.lit(FUSION)))
+    seen = zonal.select(
+        "request",
+        F.lit(CHANGE).alias("specialist"),
+    ).union(asked(FUSION, fusion["confidence"]).select("request", F.lit(FUSION)))
     done = staged.join(seen.withColumn("ran", F.lit(True)), ["request", "specialist"], "left")
-    done = done.withColumn("state", F.when(F.col("state") != "ready", F.col("state")).when(F.col("ran"), "ok").otherwise("no_input")).drop("ran")
+    done = done.withColumn(
+        "state",
+        F.when(F.col("state") != "ready", F.col("state")).when(F.col("ran"), "ok").otherwise("no_input"),
+    ).drop("ran")
 
     judged = written(_change_judged(zonal).unionByName(_fusion_judged(classes, asked(FUSION, fusion["confidence"]))), "judged")
     head = requests.select("request", "query")
     return {"stages": done, "items": items, "judged": judged, "report": E.report(head, items, judged)}
 
 
-def _conclusion(df: DataFrame, critical: Column, warnings: Column, insufficient: Column, kind: str, s: Column, unknown_pct: Column) -> DataFrame:
+def _conclusion(
+    df: DataFrame,
+    critical: Column,
+    warnings: Column,
+    insufficient: Column,
+    kind: str,
+    s: Column,
+    unknown_pct: Column,
+) -> DataFrame:
     status, quality = S.status(critical, warnings, insufficient)
     signal = S.specialist_signal(F.lit(kind), s, F.lit(0.0), unknown_pct, F.lit(1), F.lit(False))
     c = S.confidence(F.lit(INPUT_QUALITY), F.lit(ALIGNMENT), signal, quality, status, critical + warnings, critical > 0)
@@ -78,7 +92,18 @@ def _conclusion(df: DataFrame, critical: Column, warnings: Column, insufficient:
 
 def _change_judged(zonal: DataFrame) -> DataFrame:
     """CON1 to CON5 without an interpretation leave the statistics' own warnings; CMP7: nothing changed is sure."""
-    e = S.change_conflicts(zonal.select("request", "warning", F.col("changed").alias("changed_px"), F.col("area_ha").alias("measured_ha"), F.lit("valid").alias("ordering"), F.lit(None).cast("string").alias("direction"), F.array().cast("array<string>").alias("regions"), F.array().cast("array<struct<from:string,to:string,description:string,region:string,claimed_ha:double>>").alias("transitions")))
+    e = S.change_conflicts(
+        zonal.select(
+            "request",
+            "warning",
+            F.col("changed").alias("changed_px"),
+            F.col("area_ha").alias("measured_ha"),
+            F.lit("valid").alias("ordering"),
+            F.lit(None).cast("string").alias("direction"),
+            F.array().cast("array<string>").alias("regions"),
+            F.array().cast("array<struct<from:string,to:string,description:string,region:string,claimed_ha:double>>").alias("transitions"),
+        )
+    )
     n = lambda s: F.size(F.filter("conflicts", lambda x: x["severity"] == s))
     doubtful = F.col("warning").isin("full_image", "extreme").cast("int")
     s = F.when(F.col("changed_px") == 0, SURE_OF_NONE).otherwise(SURE_OF_CHANGE)
@@ -87,7 +112,10 @@ def _change_judged(zonal: DataFrame) -> DataFrame:
 
 def _fusion_judged(classes: DataFrame, sure: DataFrame) -> DataFrame:
     """CON8: without a class of LEAST pixels the evidence is insufficient."""
-    n = classes.groupBy("request").agg(F.count_if((F.col("class") != U.UNKNOWN) & (F.col("pixels") >= LEAST)).alias("regions"), F.coalesce(F.max(F.when(F.col("class") == U.UNKNOWN, F.col("pct"))), F.lit(0.0)).alias("unknown"))
+    n = classes.groupBy("request").agg(
+        F.count_if((F.col("class") != U.UNKNOWN) & (F.col("pixels") >= LEAST)).alias("regions"),
+        F.coalesce(F.max(F.when(F.col("class") == U.UNKNOWN, F.col("pct"))), F.lit(0.0)).alias("unknown"),
+    )
     rule, none = S.insufficient(F.lit("optical_sar_analysis"), F.col("regions"), F.lit(0))
     e = n.join(sure.select("request", F.col("confidence").alias("s")), "request")
     return _conclusion(e, F.lit(0), rule.isNotNull().cast("int"), none, "optical_sar", F.col("s"), F.col("unknown"))
@@ -96,8 +124,16 @@ def _fusion_judged(classes: DataFrame, sure: DataFrame) -> DataFrame:
 def trace(done: DataFrame) -> DataFrame:
     """The steps of each request's plan in order: request, step, name, state. Steps before the specialist's are `ok` but
     for a rejected request, which ends at its validation; a specialist that didn't run leaves its step and later ones as it is."""
-    worst = F.when(F.array_contains(F.col("states"), "rejected"), "rejected").when(F.array_contains(F.col("states"), "unavailable"), "unavailable").when(F.array_contains(F.col("states"), "no_input"), "no_input").otherwise("ok")
+    worst = F.when(F.array_contains(F.col("states"), "rejected"), "rejected").when(
+        F.array_contains(F.col("states"), "unavailable"),
+        "unavailable",
+    ).when(F.array_contains(F.col("states"), "no_input"), "no_input").otherwise("ok")
     one = done.groupBy("request").agg(F.first("task").alias("task"), F.collect_set("state").alias("states")).withColumn("end", worst)
     steps = P.plan(one.select(F.col("request").alias("query"), "task")).withColumnRenamed("query", "request").join(one.select("request", "end"), "request")
     last = F.when(F.col("end") == "rejected", 3).when(F.col("end") == "unavailable", 4).when(F.col("end") == "no_input", 4)
-    return steps.select("request", "step", "name", F.when(last.isNull() | (F.col("step") <= last), "ok").otherwise(F.col("end")).alias("state"))
+    return steps.select(
+        "request",
+        "step",
+        "name",
+        F.when(last.isNull() | (F.col("step") <= last), "ok").otherwise(F.col("end")).alias("state"),
+    )

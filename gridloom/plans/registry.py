@@ -9,15 +9,62 @@ from pyspark.sql import functions as F
 
 # Specialists, their tasks, modalities and numbers of inputs, and which are built in.
 SPECIALISTS = [
-    ("RS_VQA", "vqa", ["optical", "multispectral", "sar"], [1], False), ("RS_GROUND", "grounding", ["optical", "multispectral"], [1], False), ("RS_CAPTION", "caption", ["optical", "multispectral"], [1], False),
-    ("CHANGE_DETECT", "change_detection", ["optical", "multispectral", "sar"], [2], True), ("CHANGE_VQA", "change_vqa", ["optical", "multispectral"], [2], False), ("OPTICAL_SAR_FUSION", "optical_sar_analysis", ["optical", "sar"], [2], True),
-]
+    ("RS_VQA", "vqa", ["optical", "multispectral", "sar"], [1], False),
+    ("RS_GROUND", "grounding", ["optical", "multispectral"], [1], False),
+    ("RS_CAPTION", "caption", ["optical", "multispectral"], [1], False),
+    ("CHANGE_DETECT", "change_detection", ["optical", "multispectral", "sar"], [2], True),
+    ("CHANGE_VQA", "change_vqa", ["optical", "multispectral"], [2], False),
+    ("OPTICAL_SAR_FUSION", "optical_sar_analysis", ["optical", "sar"], [2], True),
+]
 STEPS = {
-    "vqa": ["receive", "inspect", "route", "validate", "infer", "evidence", "confidence", "report"], "grounding": ["receive", "inspect", "route", "validate", "normalise_phrase", "infer", "boxes", "report"],
-    "caption": ["receive", "inspect", "route", "infer", "report"], "change_detection": ["receive", "inspect", "route", "validate_pair", "align", "difference", "threshold", "morphology", "regions", "zonal", "confidence", "report"],
-    "change_vqa": ["receive", "inspect", "route", "validate_pair", "align", "difference", "threshold", "morphology", "regions", "zonal", "interpret", "consistency", "report"],
-    "optical_sar_analysis": ["receive", "inspect", "route", "validate_pair", "align", "normalise_optical", "normalise_sar", "indices", "roughness", "classify", "regions", "consistency", "report"],
-}
+    "vqa": ["receive", "inspect", "route", "validate", "infer", "evidence", "confidence", "report"],
+    "grounding": ["receive", "inspect", "route", "validate", "normalise_phrase", "infer", "boxes", "report"],
+    "caption": ["receive", "inspect", "route", "infer", "report"],
+    "change_detection": [
+        "receive",
+        "inspect",
+        "route",
+        "validate_pair",
+        "align",
+        "difference",
+        "threshold",
+        "morphology",
+        "regions",
+        "zonal",
+        "confidence",
+        "report",
+    ],
+    "change_vqa": [
+        "receive",
+        "inspect",
+        "route",
+        "validate_pair",
+        "align",
+        "difference",
+        "threshold",
+        "morphology",
+        "regions",
+        "zonal",
+        "interpret",
+        "consistency",
+        "report",
+    ],
+    "optical_sar_analysis": [
+        "receive",
+        "inspect",
+        "route",
+        "validate_pair",
+        "align",
+        "normalise_optical",
+        "normalise_sar",
+        "indices",
+        "roughness",
+        "classify",
+        "regions",
+        "consistency",
+        "report",
+    ],
+}
 
 
 class Registry:
@@ -62,13 +109,19 @@ def capabilities(spark: SparkSession) -> DataFrame:
 
 def find(spark: SparkSession, task: str, modality: str, inputs: int) -> DataFrame:
     """FLT14."""
-    return capabilities(spark).where((F.col("task") == task) & F.array_contains("modalities", modality) & F.array_contains("inputs", inputs)).select("name")
+    return capabilities(spark).where(
+        (F.col("task") == task) & F.array_contains("modalities", modality) & F.array_contains("inputs", inputs)
+    ).select("name")
 
 
 def plan(routed: DataFrame) -> DataFrame:
     """PLN1: the steps of each routed request (columns query, task): query, task, step, name."""
     table = F.create_map(*[x for k, v in STEPS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-    return routed.select("query", "task", F.posexplode(F.element_at(table, F.col("task"))).alias("step", "name")).withColumn("step", F.col("step") + 1)
+    return routed.select(
+        "query",
+        "task",
+        F.posexplode(F.element_at(table, F.col("task"))).alias("step", "name"),
+    ).withColumn("step", F.col("step") + 1)
 
 
 def status(spark: SparkSession, registry: Registry) -> DataFrame:

@@ -17,10 +17,16 @@ from . import language as L
 from . import query
 from .language import QUESTIONS
 
-_CAPS = "with c as (select * from (values " + ", ".join(f"('{n}', '{t}', {m!r}, {i!r}, {str(b).lower()})" for n, t, m, i, b in P.SPECIALISTS) + ") v(name, task, modalities, inputs, built_in))"
+_CAPS = "with c as (select * from (values " + ", ".join(
+    f"('{n}', '{t}', {m!r}, {i!r}, {str(b).lower()})"
+    for n, t, m, i, b in P.SPECIALISTS
+) + ") v(name, task, modalities, inputs, built_in))"
 
 
-@query("udf2_udf3_flt14_capability_search", _CAPS + " select name, task, built_in from c where list_contains(modalities, 'sar') and list_contains(inputs, 2)")
+@query(
+    "udf2_udf3_flt14_capability_search",
+    _CAPS + " select name, task, built_in from c where list_contains(modalities, 'sar') and list_contains(inputs, 2)",
+)
 def flt14(spark, d):
     c = P.capabilities(spark)
     return c.where(F.array_contains("modalities", "sar") & F.array_contains("inputs", 2)).select("name", "task", "built_in")
@@ -48,7 +54,12 @@ def udf5(spark, d):
     out = None
     for name, of, *_ in P.SPECIALISTS:
         one = registry.run(name, o.where(F.col("task") == of))
-        one = one.select("request", F.lit(name).alias("specialist"), "status", (F.col("answer") if "answer" in one.columns else F.lit(None).cast("double")).alias("answer"))
+        one = one.select(
+            "request",
+            F.lit(name).alias("specialist"),
+            "status",
+            (F.col("answer") if "answer" in one.columns else F.lit(None).cast("double")).alias("answer"),
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -68,7 +79,10 @@ def evd2(spark, d):
 
 @query("evd1_evd4_answer_evidence", "select conv_id as request, case role when 'user' then 'RS_VQA' else 'CHANGE_VQA' end as specialist, max(len(text))::double as value, false as is_uncertain from conversations where role in ('user', 'assistant') group by all")
 def evd1(spark, d):
-    c = V.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("request"), "role").agg(F.max_by("text", F.length("text")).alias("answer"), F.lit(0.8).alias("confidence"))
+    c = V.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("request"), "role").agg(
+        F.max_by("text", F.length("text")).alias("answer"),
+        F.lit(0.8).alias("confidence"),
+    )
     a = E.fused(E.from_answers(c.where("role = 'user'"), "RS_VQA"), E.from_answers(c.where("role = 'assistant'"), "CHANGE_VQA"))
     return a.select("request", "specialist", "value", "is_uncertain")
 
@@ -96,7 +110,12 @@ def evd3(spark, d):
 def rpt1(spark, d):
     requests, boxes = _items(spark, d)
     items = E.fused(E.from_boxes(requests, boxes))
-    judged = boxes.groupBy("request").agg(F.max("score").alias("s")).select("request", F.lit("consistent").alias("status"), F.lit(0.8).alias("confidence"), S.tier(F.lit(0.8)).alias("tier"))
+    judged = boxes.groupBy("request").agg(F.max("score").alias("s")).select(
+        "request",
+        F.lit("consistent").alias("status"),
+        F.lit(0.8).alias("confidence"),
+        S.tier(F.lit(0.8)).alias("tier"),
+    )
     return E.report(requests.withColumn("query", F.lit("where?")), items, judged).select("request", "answer", "status")
 
 
@@ -109,7 +128,10 @@ def win5(spark, d):
 
 
 _ASKED = [(q, m1, m2, None) for q in QUESTIONS for m1, m2 in (("optical", "optical"), ("optical", None), ("optical", "sar"))]
-_RQ = "rq as (select i as request, i % 5 as scene, query, m1, m2, hint from (values " + ", ".join(f"({i}, '{q}', '{m1}', {repr(m2) if m2 else 'null'}, null::varchar)" for i, (q, m1, m2, _) in enumerate(_ASKED)) + ") v(i, query, m1, m2, hint))"
+_RQ = "rq as (select i as request, i % 5 as scene, query, m1, m2, hint from (values " + ", ".join(
+    f"({i}, '{q}', '{m1}', {repr(m2) if m2 else 'null'}, null::varchar)"
+    for i, (q, m1, m2, _) in enumerate(_ASKED)
+) + ") v(i, query, m1, m2, hint))"
 _ROUTED = L.HIT + L.ROUTE_STEPS + ", rt as (" + L.ROUTED.replace("select query,", "select request, scene, query,", 1) + ")"
 
 
@@ -132,19 +154,33 @@ def pln2(spark, d):
     judged = o["judged"].select("request", "status", F.round("confidence", 4).alias("confidence"), "tier")
     ran = F.col("specialist").isin(X.CHANGE, X.FUSION) & F.col("rejection").isNull()
     t = o["stages"].join(judged, "request", "left")
-    return t.select("request", "task", "rejection", "specialist", "state", *[F.when(ran, F.col(c)).alias(c) for c in ("status", "confidence", "tier")])
+    return t.select(
+        "request",
+        "task",
+        "rejection",
+        "specialist",
+        "state",
+        *[F.when(ran, F.col(c)).alias(c) for c in ("status", "confidence", "tier")],
+    )
 
 
 @query("map24_token_confidence", "select vec_id, round(list_avg(list_transform([1, 17, 33, 49], lambda i: 1.0::double / list_sum(list_transform(embedding[i : i + 15], lambda z: exp(z::double - list_max(embedding[i : i + 15])::double))))), 6) as confidence from embeddings")
 def map24(spark, d):
     """A row's 64 numbers are the logits of four tokens."""
-    logits = F.transform(F.array(*[F.lit(i) for i in (1, 17, 33, 49)]), lambda i: F.transform(F.slice("embedding", i, 16), lambda z: z.cast("double")))
+    logits = F.transform(
+        F.array(*[F.lit(i) for i in (1, 17, 33, 49)]),
+        lambda i: F.transform(F.slice("embedding", i, 16), lambda z: z.cast("double")),
+    )
     return V.table(spark, d, "embeddings").select("vec_id", F.round(PX.token_confidence(logits), 6).alias("confidence"))
 
 
 @query("agg21_bce_dice_loss", "select label, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) as bce, round(1 - (2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) as dice from (select label, (embedding[1]::double + 1) / 2 as p, (embedding[2] > 0)::int::double as y from embeddings) group by label")
 def agg21(spark, d):
-    t = V.table(spark, d, "embeddings").select("label", ((F.get("embedding", F.lit(0)).cast("double") + 1) / 2).alias("p"), (F.get("embedding", F.lit(1)) > 0).cast("double").alias("y"))
+    t = V.table(spark, d, "embeddings").select(
+        "label",
+        ((F.get("embedding", F.lit(0)).cast("double") + 1) / 2).alias("p"),
+        (F.get("embedding", F.lit(1)) > 0).cast("double").alias("y"),
+    )
     return S.bce_dice(t, "label")
 
 
@@ -153,7 +189,14 @@ def str4(spark, d):
     """Direction and classes held against what is allowed; an unsure transition's confidence is capped."""
     k = F.col("o_orderkey")
     pick = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (k % len(vs) + 1).cast("int"))
-    o = V.table(spark, d, "orders").select(k.alias("k"), pick(["increased", "shrunk", "no_change", "modified"]).alias("d"), (k % 10 * 200).alias("px"), pick(["water", "lava", "forest"]).alias("f"), pick(["forest", "bare"]).alias("t"), ((k % 100) / 100.0).alias("c"))
+    o = V.table(spark, d, "orders").select(
+        k.alias("k"),
+        pick(["increased", "shrunk", "no_change", "modified"]).alias("d"),
+        (k % 10 * 200).alias("px"),
+        pick(["water", "lava", "forest"]).alias("f"),
+        pick(["forest", "bare"]).alias("t"),
+        ((k % 100) / 100.0).alias("c"),
+    )
     v = T.semantic_validation(F.col("d"), F.col("px"), F.col("f"), F.col("t"), F.col("c"), ["water", "forest", "bare", "building"])
     return o.select("k", v.alias("v")).select("k", "v.*")
 
@@ -162,5 +205,9 @@ def str4(spark, d):
 def str10(spark, d):
     from ..functions.text import answer_matches
 
-    n = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("p"), F.expr("right(n_name, 2 + n_nationkey % 3)").alias("g"))
+    n = V.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("k"),
+        F.col("n_name").alias("p"),
+        F.expr("right(n_name, 2 + n_nationkey % 3)").alias("g"),
+    )
     return n.select("k", answer_matches(F.col("p"), F.col("g"))["strict"].alias("strict"))

@@ -19,14 +19,25 @@ _BX = V.with_views("bx")
 
 @query("map12_map13_map16_box_facts", _BX + """ select image, ord, case when x1 > x0 and y1 > y0 then (x1 - x0) * (y1 - y0) else 0.0::double end as area, x0 >= 0 and y0 >= 0 and x1 <= 512 and y1 <= 512 and x0 < x1 and y0 < y1 as valid, round(x0 / 512.0::double, 4) as n0, round(y1 / 512.0::double, 4) as n3 from bx""")
 def map12(spark, d):
-    return V.boxes(spark, d).select("image", "ord", B.area(*_c()).alias("area"), B.valid(*_c(), F.lit(512.0), F.lit(512.0)).alias("valid"), F.round(_c()[0] / 512.0, 4).alias("n0"), F.round(_c()[3] / 512.0, 4).alias("n3"))
+    return V.boxes(spark, d).select(
+        "image",
+        "ord",
+        B.area(*_c()).alias("area"),
+        B.valid(*_c(), F.lit(512.0), F.lit(512.0)).alias("valid"),
+        F.round(_c()[0] / 512.0, 4).alias("n0"),
+        F.round(_c()[3] / 512.0, 4).alias("n3"),
+    )
 
 
 @query("map14_degenerate", _BX + """, s as (select image, ord, x0 * 0 as a0, y0 * 0 as b0, x1 - x0 as w, (y1 - y0) as h from bx) select image, ord, case when w * h <= 0 then 'zero_area' when w * h / (200.0::double * 150.0::double) >= 0.98 then 'full_image_coverage_' || floor(w * h / (200.0::double * 150.0::double) * 100)::bigint::varchar || 'pct' when w >= 0.99 * 200 and h >= 0.99 * 150 then 'full_image_fallback' end as reason from s""")
 def map14(spark, d):
     """Boxes moved to the origin of an image of 200 x 150."""
     z = F.lit(0.0)
-    return V.boxes(spark, d).select("image", "ord", B.degeneracy(z, z, _c()[2] - _c()[0], _c()[3] - _c()[1], F.lit(200.0), F.lit(150.0)).alias("reason"))
+    return V.boxes(spark, d).select(
+        "image",
+        "ord",
+        B.degeneracy(z, z, _c()[2] - _c()[0], _c()[3] - _c()[1], F.lit(200.0), F.lit(150.0)).alias("reason"),
+    )
 
 
 @query("map15_clamped", _BX + """, c as (select image, ord, greatest(0.0::double, least(x0 - 40, 511.0::double)) as a, greatest(0.0::double, least(y0 - 40, 511.0::double)) as b, x1, y1 from bx) select image, ord, round(a, 2) as x0, round(b, 2) as y0, round(greatest(a + 1, least(x1, 512.0::double)), 2) as x1, round(greatest(b + 1, least(y1, 512.0::double)), 2) as y1 from c""")
@@ -83,13 +94,24 @@ select round(avg(iou), 4) as mean_iou, round(median(iou), 4) as median_iou, roun
 def agg15(spark, d):
     b = V.boxes(spark, d)
     second = b.where("ord = 2").select("image", *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
-    best = b.where("ord = 1").join(second, "image", "left").select("image", F.when(F.col("x0_b").isNotNull(), B.iou(_c(), tuple(F.col(f"{c}_b") for c in ("x0", "y0", "x1", "y1")))).alias("iou"))
+    best = b.where("ord = 1").join(second, "image", "left").select(
+        "image",
+        F.when(F.col("x0_b").isNotNull(), B.iou(_c(), tuple(F.col(f"{c}_b") for c in ("x0", "y0", "x1", "y1")))).alias("iou"),
+    )
     return D.grounding_metrics(best.groupBy("image").agg(F.max("iou").alias("iou"), F.lit(False).alias("degenerate")))
 
 
 def _rects(spark, d):
-    c = V.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 13 % 900).cast("double").alias("ax"), (F.col("c_custkey") * 29 % 900).cast("double").alias("ay"))
-    s = V.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 17 % 900).cast("double").alias("bx"), (F.col("s_suppkey") * 31 % 900).cast("double").alias("b_y"))
+    c = V.table(spark, d, "customer").select(
+        "c_custkey",
+        (F.col("c_custkey") * 13 % 900).cast("double").alias("ax"),
+        (F.col("c_custkey") * 29 % 900).cast("double").alias("ay"),
+    )
+    s = V.table(spark, d, "supplier").select(
+        "s_suppkey",
+        (F.col("s_suppkey") * 17 % 900).cast("double").alias("bx"),
+        (F.col("s_suppkey") * 31 % 900).cast("double").alias("b_y"),
+    )
     return c, s
 
 
@@ -97,7 +119,10 @@ _RECT = "with c as (select c_custkey, (c_custkey * 13 % 900)::double as ax, (c_c
 
 
 def _cells(df, x, y, side, cell=100):
-    return df.withColumn("cx", F.explode(F.sequence(F.floor(F.col(x) / cell), F.floor((F.col(x) + side) / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col(y) / cell), F.floor((F.col(y) + side) / cell))))
+    return df.withColumn(
+        "cx",
+        F.explode(F.sequence(F.floor(F.col(x) / cell), F.floor((F.col(x) + side) / cell))),
+    ).withColumn("cy", F.explode(F.sequence(F.floor(F.col(y) / cell), F.floor((F.col(y) + side) / cell))))
 
 
 @query("jn3_rectangle_overlap", _RECT + ", o as (select c_custkey, s_suppkey, (least(ax + 60, bx + 77) - greatest(ax, bx)) as w, (least(ay + 60, b_y + 77) - greatest(ay, b_y)) as h from c, s) select c_custkey, s_suppkey, w * h as area, round(w * h / 3600.0::double, 4) as share_a, round(w * h / 5929.0::double, 4) as share_b from o where w > 0 and h > 0")
@@ -116,6 +141,9 @@ def jn3(spark, d):
 def jn4(spark, d):
     """Bounds count as touching, unlike jn3; every supplier's rectangle is a query."""
     c, s = _rects(spark, d)
-    j = _cells(c, "ax", "ay", 60).join(_cells(s, "bx", "b_y", 77), ["cx", "cy"]).where("ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60")
+    j = _cells(c, "ax", "ay", 60).join(
+        _cells(s, "bx", "b_y", 77),
+        ["cx", "cy"],
+    ).where("ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60")
     j = j.where((F.floor(F.greatest("ax", "bx") / 100) == F.col("cx")) & (F.floor(F.greatest("ay", "b_y") / 100) == F.col("cy")))
     return j.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("hits"))

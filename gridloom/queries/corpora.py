@@ -43,12 +43,18 @@ def jn9(spark, d):
 
 @query("jn13_provenance", "select doc_id, coalesce(quality, -1) as quality from documents left join labels using (doc_id)")
 def jn13(spark, d):
-    return _docs(spark, d).join(V.table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    return _docs(spark, d).join(V.table(spark, d, "labels"), "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("quality", F.lit(-1)).alias("quality"),
+    )
 
 
 @query("jn15_split_lookup", "select c_custkey, case n_regionkey % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split from customer join nation on c_nationkey = n_nationkey")
 def jn15(spark, d):
-    n = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("n_regionkey") % 3 + 1).alias("split"))
+    n = V.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"),
+        F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("n_regionkey") % 3 + 1).alias("split"),
+    )
     return V.table(spark, d, "customer").join(n, "c_nationkey").select("c_custkey", "split")
 
 
@@ -106,7 +112,10 @@ def agg16(spark, d):
 
 @query("agg18_split_scenes", "select lang, array_to_string(list_sort(list(distinct source)), ',') as sources, count(*) as n from documents group by lang")
 def agg18(spark, d):
-    return _docs(spark, d, "lang", "source").groupBy("lang").agg(F.concat_ws(",", F.sort_array(F.collect_set("source"))).alias("sources"), F.count(F.lit(1)).alias("n"))
+    return _docs(spark, d, "lang", "source").groupBy("lang").agg(
+        F.concat_ws(",", F.sort_array(F.collect_set("source"))).alias("sources"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
 @query("ben4_duplicates", "select sha256(text) as sha, count(*) as n from documents group by 1 having count(*) > 1")
@@ -118,10 +127,18 @@ def ben4(spark, d):
 @query("ben5_deltas", "with a as (select lang, avg(quality) as q, avg(toxic) as t from documents join labels using (doc_id) group by lang) select a.lang as one, b.lang as two, round(a.q - b.q, 4) as dq, round(a.t - b.t, 4) as dt from a join a b on a.lang < b.lang")
 def ben5(spark, d):
     """Each two of the candidates, of which there are a handful: the metrics' differences."""
-    m = _docs(spark, d, "lang").join(V.table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
+    m = _docs(spark, d, "lang").join(V.table(spark, d, "labels"), "doc_id").groupBy("lang").agg(
+        F.avg("quality").alias("q"),
+        F.avg("toxic").alias("t"),
+    )
     b = m.select(F.col("lang").alias("two"), F.col("q").alias("q2"), F.col("t").alias("t2"))
     # A row a candidate: a constant key, and the table of candidates is broadcast, being as long as the list of languages.
-    return m.join(F.broadcast(b), m["lang"] < b["two"]).select(F.col("lang").alias("one"), "two", F.round(F.col("q") - F.col("q2"), 4).alias("dq"), F.round(F.col("t") - F.col("t2"), 4).alias("dt"))
+    return m.join(F.broadcast(b), m["lang"] < b["two"]).select(
+        F.col("lang").alias("one"),
+        "two",
+        F.round(F.col("q") - F.col("q2"), 4).alias("dq"),
+        F.round(F.col("t") - F.col("t2"), 4).alias("dt"),
+    )
 
 
 @query("flt15_manifest_counts", "select source as scene_category, count_if(l.quality is not null)::bigint as quantitative, count(*) as n from documents left join labels l using (doc_id) group by source")
@@ -133,7 +150,11 @@ def flt15(spark, d):
 @query("flt15_manifest_subset", "select doc_id from documents where lang = 'de' and doc_id in (select doc_id from labels)")
 def flt15_subset(spark, d):
     t = _docs(spark, d, F.col("lang").alias("scene_category")).join(V.table(spark, d, "labels"), "doc_id", "left")
-    return K.manifest_subset(t.withColumn("is_quantitative", F.col("quality").isNotNull()), category="DE", quantitative=True).select("doc_id")
+    return K.manifest_subset(
+        t.withColumn("is_quantitative", F.col("quality").isNotNull()),
+        category="DE",
+        quantitative=True,
+    ).select("doc_id")
 
 
 _HASH = lambda seed: f"sha256('{seed}' || doc_id::varchar)"
@@ -161,8 +182,20 @@ def flt11(spark, d):
     o, k = V.table(spark, d, "orders"), F.col("o_orderkey")
     d1, d2 = F.when(k % 6 != 0, F.col("o_orderdate")), F.when(k % 4 != 0, F.lit("1996-01-01").cast("timestamp"))
     share = (k % 101) / 100.0
-    e, w = R.pair_issues(F.when(k % 5 != 0, "A"), F.when(k % 11 == 0, "B").otherwise("A"), share, F.lit(10.0), F.lit(10.0), d1, d2, F.lit(1.0))
-    return o.select(k.alias("k"), R.pair_compatibility(e, w, share, d1, d2).alias("p")).select("k", "p.compatible", "p.reason", "p.overlap_pct", "p.temporal")
+    e, w = R.pair_issues(
+        F.when(k % 5 != 0, "A"),
+        F.when(k % 11 == 0, "B").otherwise("A"),
+        share,
+        F.lit(10.0),
+        F.lit(10.0),
+        d1,
+        d2,
+        F.lit(1.0),
+    )
+    return o.select(
+        k.alias("k"),
+        R.pair_compatibility(e, w, share, d1, d2).alias("p"),
+    ).select("k", "p.compatible", "p.reason", "p.overlap_pct", "p.temporal")
 
 
 @query("snk4_status", "select * from (values ('CHANGE_DETECT', 'change_detection', true, true, 'loaded'), ('CHANGE_VQA', 'change_vqa', false, false, 'unavailable'), ('OPTICAL_SAR_FUSION', 'optical_sar_analysis', true, false, 'ready'), ('RS_CAPTION', 'caption', false, false, 'unavailable'), ('RS_GROUND', 'grounding', false, false, 'unavailable'), ('RS_VQA', 'vqa', false, false, 'unavailable')) v(name, task, built_in, registered, state)")

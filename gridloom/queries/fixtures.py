@@ -16,7 +16,10 @@ from .imagery import difference_sql
 _AT = f"with gr as (select (i // {X.SIDE})::int as y, (i % {X.SIDE})::int as x from range({X.SIDE * X.SIDE}) r(i)), "
 _FX = _AT + "fx as (" + X.sql("pairs") + ")"
 _FOUND = _FX + difference_sql("fx", X.SIDE, X.SIDE, 3)
-_VALUES = "ex as (select * from (values " + ", ".join(f"('{n}', '{p.formats}', {str(p.change).lower().replace('none', 'null')})" for n, p in X.PAIRS.items()) + ") v(scene, formats, change))"
+_VALUES = "ex as (select * from (values " + ", ".join(
+    f"('{n}', '{p.formats}', {str(p.change).lower().replace('none', 'null')})"
+    for n, p in X.PAIRS.items()
+) + ") v(scene, formats, change))"
 _ZONAL = ", tt as (select scene, count(*) as total from df group by scene), cc as (select scene, count(*) as n from cl group by scene), zo as (select scene, coalesce(n, 0)::bigint as changed, round(coalesce(n, 0)::double / total * 100.0::double, 4) as ratio_pct from tt left join cc using (scene))"
 
 
@@ -29,18 +32,39 @@ def _optical_sar(spark):
     return written(X.optical_sar(spark), "optical_sar")
 
 
-@query("src14_fixture_pairs", _FX + " select scene, count(*) as n, " + ", ".join(f"sum({t}[{k}]) as {t}{k}, sum({t}[{k}] * ((y * 31 + x * 17) % 101)) as {t}{k}_placed" for t in "ab" for k in (1, 2, 3)) + " from fx group by scene")
+@query(
+    "src14_fixture_pairs",
+    _FX + " select scene, count(*) as n, " + ", ".join(
+        f"sum({t}[{k}]) as {t}{k}, sum({t}[{k}] * ((y * 31 + x * 17) % 101)) as {t}{k}_placed"
+        for t in "ab"
+        for k in (1, 2, 3)
+    ) + " from fx group by scene",
+)
 def src14(spark, d):
     """Every scene's sums, plain and weighted by place."""
     at = (F.col("y") * 31 + F.col("x") * 17) % 101
-    sums = [f(F.sum(F.get(t, F.lit(k - 1)) * w)).alias(f"{t}{k}{name}") for t in "ab" for k in (1, 2, 3) for f, w, name in ((lambda c: c, F.lit(1), ""), (lambda c: c, at, "_placed"))]
+    sums = [
+        f(F.sum(F.get(t, F.lit(k - 1)) * w)).alias(f"{t}{k}{name}")
+        for t in "ab"
+        for k in (1, 2, 3)
+        for f, w, name in ((lambda c: c, F.lit(1), ""), (lambda c: c, at, "_placed"))
+    ]
     return _pairs(spark).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-@query("src14_fixture_optical_sar", _AT + "os as (" + X.sql("optical_sar") + ") select scene, count(*) as n, " + ", ".join(f"round(sum({c}), 4) as {c}, round(sum({c} * ((y * 31 + x * 17) % 101)), 4) as {c}_placed" for c in ("r", "g", "b", "sar")) + " from os group by scene")
+@query(
+    "src14_fixture_optical_sar",
+    _AT + "os as (" + X.sql("optical_sar") + ") select scene, count(*) as n, " + ", ".join(
+        f"round(sum({c}), 4) as {c}, round(sum({c} * ((y * 31 + x * 17) % 101)), 4) as {c}_placed"
+        for c in ("r", "g", "b", "sar")
+    ) + " from os group by scene",
+)
 def src14_os(spark, d):
     at = (F.col("y") * 31 + F.col("x") * 17) % 101
-    return _optical_sar(spark).groupBy("scene").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(c) * w), 4).alias(c + name) for c in ("r", "g", "b", "sar") for w, name in ((F.lit(1), ""), (at, "_placed"))])
+    return _optical_sar(spark).groupBy("scene").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.round(F.sum(F.col(c) * w), 4).alias(c + name) for c in ("r", "g", "b", "sar") for w, name in ((F.lit(1), ""), (at, "_placed"))],
+    )
 
 
 @query("cmp1_win2_fixture_mask", _FOUND + " select scene, y, x from cl")
@@ -76,7 +100,14 @@ def ben1(spark, d):
     gap = F.aggregate(F.zip_with("a", "b", lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, v: s + v)
     i = F.substring("scene", 1, 2).cast("int")
     at = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), i % len(vs) + 1)
-    samples = X.expected(spark).select("scene", F.lit(X.SIDE * X.SIDE).cast("long").alias("pixels"), at(_CATS).alias("category"), at(_NUIS).alias("nuisance"), (i % 3 != 0).alias("quantitative"), i.alias("ord"))
+    samples = X.expected(spark).select(
+        "scene",
+        F.lit(X.SIDE * X.SIDE).cast("long").alias("pixels"),
+        at(_CATS).alias("category"),
+        at(_NUIS).alias("nuisance"),
+        (i % 3 != 0).alias("quantitative"),
+        i.alias("ord"),
+    )
     out = BE.change_benchmark(CH.detect(p, X.SIDE, X.SIDE)["mask"], p.where(gap > 60), samples)["samples"]
     return out.select("scene", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
 

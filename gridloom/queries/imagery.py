@@ -47,7 +47,15 @@ def map3(spark, d):
     m = p.groupBy("scene", "t").agg(F.max(F.array_max("bands")).alias("m"))
     p = p.join(m, ["scene", "t"]).select("scene", "t", "y", "x", *[P.by_scene_max(_b(i), F.col("m")).alias(n) for i, n in enumerate("rgb")])
     c = [F.col(n) for n in "rgb"]
-    return p.select("scene", "t", "y", "x", *[F.round(P.standardized(c[i], i), 9).alias(n) for i, n in enumerate("rgb")], F.round(P.grey_mean(*c), 9).alias("grey"), F.round(P.grey_luma(*c), 9).alias("luma"))
+    return p.select(
+        "scene",
+        "t",
+        "y",
+        "x",
+        *[F.round(P.standardized(c[i], i), 9).alias(n) for i, n in enumerate("rgb")],
+        F.round(P.grey_mean(*c), 9).alias("grey"),
+        F.round(P.grey_luma(*c), 9).alias("luma"),
+    )
 
 
 _IX = "case when {g} * 2.0::double + r + b > 1e-6::double then {g} * 2.0::double + r + b else 1e-6::double end"
@@ -82,8 +90,19 @@ select px.scene, px.t, g.y, g.x, px.bands[1] > 0 as v from g join px on px.y = g
 def map9_nearest(spark, d):
     """Masks: each target pixel takes its source pixel, by arithmetic and an equi-join, the grid being bounded by the image."""
     g = spark.range(25 * 32).select(F.floor(F.col("id") / 32).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"))
-    g = g.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.floor((F.col("y") + 0.5) * 50 / 25).cast("int").alias("y"), F.floor((F.col("x") + 0.5) * 16 / 32).cast("int").alias("x"))
-    return V.pixels(spark, d).join(g, ["y", "x"]).select("scene", "t", F.col("ty").alias("y"), F.col("tx").alias("x"), (_b(0) > 0).alias("v"))
+    g = g.select(
+        F.col("y").alias("ty"),
+        F.col("x").alias("tx"),
+        F.floor((F.col("y") + 0.5) * 50 / 25).cast("int").alias("y"),
+        F.floor((F.col("x") + 0.5) * 16 / 32).cast("int").alias("x"),
+    )
+    return V.pixels(spark, d).join(g, ["y", "x"]).select(
+        "scene",
+        "t",
+        F.col("ty").alias("y"),
+        F.col("tx").alias("x"),
+        (_b(0) > 0).alias("v"),
+    )
 
 
 @query("map23_centre_crop", V.with_views("px") + " select scene, t, (y - 19)::int as y, (x - 2)::int as x, bands[1] as v from px where y >= 19 and y < 31 and x >= 2 and x < 14")
@@ -94,7 +113,12 @@ def map23(spark, d):
 
 @query("map18_overlay", V.with_views("px") + " select scene, y, x, floor(least(greatest(bands[1], 0), 1) * 255.0::double * 0.5::double + 255.0::double * 0.5::double)::int as red from px where t = 0")
 def map18(spark, d):
-    return V.pixels(spark, d).where("t = 0").select("scene", "y", "x", P.blend(F.least(F.greatest(_b(0), F.lit(0.0)), F.lit(1.0)) * 255.0, 255.0, 0.5).alias("red"))
+    return V.pixels(spark, d).where("t = 0").select(
+        "scene",
+        "y",
+        "x",
+        P.blend(F.least(F.greatest(_b(0), F.lit(0.0)), F.lit(1.0)) * 255.0, 255.0, 0.5).alias("red"),
+    )
 
 
 @query("jn1_jn2_aligned_grid", V.with_views("px") + """ select p.scene, p.y, p.x, p.bands[1] as a0, q.bands[1] as b0 from px p join px q on p.scene = q.scene and p.y = q.y + 3 and p.x = q.x + 2 where p.t = 0 and q.t = 1""")
@@ -108,7 +132,9 @@ def jn1(spark, d):
 def difference_sql(pair: str, height: int, width: int, bands: int) -> str:
     """The tables of change detection over one of aligned pairs: df (difference), st, th (threshold), rw (raw mask), cl (cleaned mask)."""
     sum_ = " + ".join(f"(b[{i}]/mb-a[{i}]/ma)*(b[{i}]/mb-a[{i}]/ma)" for i in range(1, bands + 1))
-    return (_STEPS.replace("from pair", f"from {pair}").replace("[[sum]]", sum_).replace("[[h]]", str(height - 1)).replace("[[w]]", str(width - 1)))
+    return (
+        _STEPS.replace("from pair", f"from {pair}").replace("[[sum]]", sum_).replace("[[h]]", str(height - 1)).replace("[[w]]", str(width - 1))
+    )
 
 
 _STEPS = """, m as (select scene, case when max(list_max(a)) > 1 then max(list_max(a)) else 1 end as ma, case when max(list_max(b)) > 1 then max(list_max(b)) else 1 end as mb from pair group by scene),
@@ -132,7 +158,10 @@ _DIFF = V.with_views("pair") + difference_sql("pair", H, WIDTH, 4)
 CHANGED = V.with_views("cpair") + difference_sql("cpair", H, WIDTH, 4)
 
 
-@query("agg6_agg7_thresholds", _DIFF + " select scene, round(mu, 6) as mu, round(sigma, 6) as sigma, round(threshold, 6) as threshold from th")
+@query(
+    "agg6_agg7_thresholds",
+    _DIFF + " select scene, round(mu, 6) as mu, round(sigma, 6) as sigma, round(threshold, 6) as threshold from th",
+)
 def agg7(spark, d):
     t = CH.thresholds(CH.difference(V.pair(spark, d)))
     return t.select("scene", *[F.round(c, 6).alias(c) for c in ("mu", "sigma", "threshold")])
@@ -182,7 +211,11 @@ select scene, coalesce(cc.n, 0)::bigint as changed, coalesce(rg.n, 0)::bigint as
 def cmp7(spark, d):
     """Whether the interpreting model is skipped, from the cleaned mask and its regions."""
     o = CH.detect(V.changed_pair(spark, d), H, WIDTH)
-    r = CH.regions(CH.components(o["mask"], WIDTH), o["difference"], most=H * WIDTH).groupBy("scene").agg(F.count(F.lit(1)).alias("regions"))
+    r = CH.regions(
+        CH.components(o["mask"], WIDTH),
+        o["difference"],
+        most=H * WIDTH,
+    ).groupBy("scene").agg(F.count(F.lit(1)).alias("regions"))
     t = o["zonal"].select("scene", "changed").join(r, "scene", "left").fillna(0, ["regions"])
     return t.withColumn("still", CH.is_still(F.col("changed"), F.col("regions")))
 
@@ -245,7 +278,12 @@ def win3(spark, d):
     k = _classes(spark, d).select("scene", "y", "x", "class")
     key = k.where("class <> 'unknown'").withColumn("scene", F.struct("scene", "class"))
     kept = CH.opened_2x2(key, H, WIDTH).select("scene.scene", F.col("scene.class").alias("kept"), "y", "x")
-    return k.join(kept, ["scene", "y", "x"], "left").select("scene", "y", "x", F.when(F.col("kept") == F.col("class"), F.col("class")).otherwise("unknown").alias("class"))
+    return k.join(kept, ["scene", "y", "x"], "left").select(
+        "scene",
+        "y",
+        "x",
+        F.when(F.col("kept") == F.col("class"), F.col("class")).otherwise("unknown").alias("class"),
+    )
 
 
 @query("agg2_class_histogram", _CLS + """, dim as (select unnest(['water_body', 'built_structure', 'vegetation_or_cropland', 'road_or_infrastructure', 'bare_ground_or_soil', 'unknown']) as class), sc as (select scene, count(*) as total from k group by scene), n as (select scene, class, count(*) as n from k group by all)
@@ -253,14 +291,30 @@ select sc.scene, dim.class, coalesce(n, 0)::bigint as pixels, round(coalesce(n,
 def agg2(spark, d):
     """All six classes of each scene, by a pivot with its values given: one shuffle."""
     names = ["water_body", "built_structure", "vegetation_or_cropland", "road_or_infrastructure", "bare_ground_or_soil", "unknown"]
-    wide = _classes(spark, d).groupBy("scene").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("class") == n).alias(n) for n in names])
-    rows = wide.select("scene", "total", F.explode(F.array(*[F.struct(F.lit(n).alias("class"), F.col(n).alias("pixels")) for n in names])).alias("c"))
-    return rows.select("scene", "c.class", "c.pixels", F.round(F.col("c.pixels") / F.col("total") * 100.0, 2).alias("pct"), F.round(F.col("c.pixels") * 100.0, 1).alias("area_m2"))
+    wide = _classes(spark, d).groupBy("scene").agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.col("class") == n).alias(n) for n in names],
+    )
+    rows = wide.select(
+        "scene",
+        "total",
+        F.explode(F.array(*[F.struct(F.lit(n).alias("class"), F.col(n).alias("pixels")) for n in names])).alias("c"),
+    )
+    return rows.select(
+        "scene",
+        "c.class",
+        "c.pixels",
+        F.round(F.col("c.pixels") / F.col("total") * 100.0, 2).alias("pct"),
+        F.round(F.col("c.pixels") * 100.0, 1).alias("area_m2"),
+    )
 
 
 @query("agg4_agg5_srt3_class_evidence", _CLS + " select scene, class, count(*) as pixels, round(avg(r), 4) as r, round(avg(g), 4) as g, round(avg(b), 4) as b, round(avg(sar), 4) as sar, round(avg(rough), 4) as rough from k where class <> 'unknown' group by all")
 def agg4(spark, d):
-    return _classes(spark, d).where("class <> 'unknown'").groupBy("scene", "class").agg(F.count(F.lit(1)).alias("pixels"), *[F.round(F.avg(c), 4).alias(c) for c in ("r", "g", "b", "sar", "rough")])
+    return _classes(spark, d).where("class <> 'unknown'").groupBy("scene", "class").agg(
+        F.count(F.lit(1)).alias("pixels"),
+        *[F.round(F.avg(c), 4).alias(c) for c in ("r", "g", "b", "sar", "rough")],
+    )
 
 
 @query("srt4_predominant_class", _CLS + ", n as (select scene, class, count(*) as n from k group by all) select scene, first(class order by n desc, class) as class from n group by scene")
@@ -312,4 +366,8 @@ def win7(spark, d):
 def win8(spark, d):
     """Tiles that don't overlap; what is left over at the edges is dropped."""
     p = V.pixels(spark, d).where("t = 0 and y < 48 and x < 12")
-    return p.groupBy("scene", F.floor(F.col("y") / 12).alias("ty"), F.floor(F.col("x") / 6).alias("tx")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(_b(0)), 6).alias("top"))
+    return p.groupBy(
+        "scene",
+        F.floor(F.col("y") / 12).alias("ty"),
+        F.floor(F.col("x") / 6).alias("tx"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(_b(0)), 6).alias("top"))

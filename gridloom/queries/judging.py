@@ -66,7 +66,14 @@ def _taxonomy(spark, d):
     """The sample's number, and its metrics with what is known of it and its failure."""
     i = F.substring("sample", 4, 9).cast("int")
     at = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), i % len(vs) + 1)
-    m = S.metrics_explicit(_confusion(spark, d)).withColumns({"nuisance": at(["registration", "illumination", "shadow", "seasonal_color", "none"]), "category": at(["forest", "agriculture", "water", "urban"]), "q": i % 3 != 0, "pred": F.col("tp") + F.col("fp") + 90})
+    m = S.metrics_explicit(_confusion(spark, d)).withColumns(
+        {
+            "nuisance": at(["registration", "illumination", "shadow", "seasonal_color", "none"]),
+            "category": at(["forest", "agriculture", "water", "urban"]),
+            "q": i % 3 != 0,
+            "pred": F.col("tp") + F.col("fp") + 90,
+        }
+    )
     kind, severity = S.failure(F.col("category"), F.col("nuisance"), F.col("q"), F.col("pred"))
     return i, m.withColumn("kind", kind).withColumn("severity", severity)
 
@@ -78,7 +85,10 @@ def agg14(spark, d):
     return S.failure_distribution(m.withColumn("ord", i), "kind", "ord")
 
 
-@query("agg14_failures_by_nuisance", "with " + _TAX + " select nuisance, count(*) as n, round(avg(f1), 7) as mean_f1 from n group by nuisance")
+@query(
+    "agg14_failures_by_nuisance",
+    "with " + _TAX + " select nuisance, count(*) as n, round(avg(f1), 7) as mean_f1 from n group by nuisance",
+)
 def agg14_nuisance(spark, d):
     return _taxonomy(spark, d)[1].groupBy("nuisance").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 7).alias("mean_f1"))
 
@@ -90,7 +100,10 @@ def agg13(spark, d):
 
 @query("agg19_calibration", "with b as (select least(floor(l_discount * 10 * 5), 4) as bin, l_discount * 10 as p, (l_returnflag = 'R')::int::double as y from lineitem), g as (select bin, count(*) as n, avg(p) as mp, avg(y) as my, sum((p - y) * (p - y)) as se from b group by bin) select round(sum(se) / sum(n), 6) as brier, round(sum(n * abs(mp - my)) / sum(n), 6) as ece, sum(n)::bigint as n from g")
 def agg19(spark, d):
-    t = V.table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    t = V.table(spark, d, "lineitem").select(
+        (F.col("l_discount") * 10).alias("p"),
+        (F.col("l_returnflag") == "R").cast("double").alias("y"),
+    )
     return S.calibration(t)
 
 
@@ -122,7 +135,16 @@ def flt8(spark, d):
 select k, case when c1 <> c2 and c1 is not null then 'crs_mismatch' when c1 is not null and share < 0.50 then 'low_overlap' when c1 is null and score < 0.15 then 'low_alignment' end as error, concat_ws(',', case when c1 is not null and share < 0.95 then 'partial_overlap' end, case when abs(10 - r2) / greatest(10, r2) > 0.10 then 'resolution_mismatch' end, case when d1 is null then 'missing_date' when d1 >= d2 then 'reversed_dates' end) as warnings from o""")
 def flt9(spark, d):
     o, k = V.table(spark, d, "orders"), F.col("o_orderkey")
-    e, w = R.pair_issues(F.when(k % 5 != 0, "A"), F.when(k % 11 == 0, "B").otherwise("A"), (k % 101) / 100.0, F.lit(10.0), F.when(k % 4 == 0, 12.0).otherwise(10.0), F.when(k % 6 != 0, F.col("o_orderdate")), F.lit("1996-01-01").cast("timestamp"), (k % 50) / 100.0)
+    e, w = R.pair_issues(
+        F.when(k % 5 != 0, "A"),
+        F.when(k % 11 == 0, "B").otherwise("A"),
+        (k % 101) / 100.0,
+        F.lit(10.0),
+        F.when(k % 4 == 0, 12.0).otherwise(10.0),
+        F.when(k % 6 != 0, F.col("o_orderdate")),
+        F.lit("1996-01-01").cast("timestamp"),
+        (k % 50) / 100.0,
+    )
     return o.select(k.alias("k"), e.alias("error"), F.concat_ws(",", w).alias("warnings"))
 
 
@@ -137,10 +159,25 @@ def flt10(spark, d):
 def _evidence(spark, d):
     k = F.col("o_orderkey")
     pick = lambda vs, m: F.element_at(F.array(*[F.lit(v) for v in vs]), (k % m + 1).cast("int"))
-    t = F.struct(pick(["water", "forest", "none", "bare"], 4).alias("from"), pick(["building", "bare_ground", "none"], 3).alias("to"), pick(["vegetation loss", "new roof", "clearing", ""], 4).alias("description"),
-                 F.when(k % 5 == 0, "r9").when(k % 5 == 1, "r1").alias("region"), F.when(k % 9 == 0, F.lit(5.0)).alias("claimed_ha"))
-    return V.table(spark, d, "orders").select(k.alias("k"), pick([0, 40, 300, 900], 4).cast("long").alias("changed_px"), F.lit(4.0).alias("measured_ha"), F.when(k % 17 == 0, "reversed").otherwise("valid").alias("ordering"),
-                                              F.when(k % 13 != 0, pick(["increased", "decreased", "no_change", "modified", "uncertain"], 5)).alias("direction"), F.array(F.lit("r1"), F.lit("r2")).alias("regions"), F.when(k % 8 == 0, F.array().cast("array<struct<from:string,to:string,description:string,region:string,claimed_ha:double>>")).otherwise(F.array(t)).alias("transitions"))
+    t = F.struct(
+        pick(["water", "forest", "none", "bare"], 4).alias("from"),
+        pick(["building", "bare_ground", "none"], 3).alias("to"),
+        pick(["vegetation loss", "new roof", "clearing", ""], 4).alias("description"),
+        F.when(k % 5 == 0, "r9").when(k % 5 == 1, "r1").alias("region"),
+        F.when(k % 9 == 0, F.lit(5.0)).alias("claimed_ha"),
+    )
+    return V.table(spark, d, "orders").select(
+        k.alias("k"),
+        pick([0, 40, 300, 900], 4).cast("long").alias("changed_px"),
+        F.lit(4.0).alias("measured_ha"),
+        F.when(k % 17 == 0, "reversed").otherwise("valid").alias("ordering"),
+        F.when(k % 13 != 0, pick(["increased", "decreased", "no_change", "modified", "uncertain"], 5)).alias("direction"),
+        F.array(F.lit("r1"), F.lit("r2")).alias("regions"),
+        F.when(
+            k % 8 == 0,
+            F.array().cast("array<struct<from:string,to:string,description:string,region:string,claimed_ha:double>>"),
+        ).otherwise(F.array(t)).alias("transitions"),
+    )
 
 
 _EV = """ev as (select o_orderkey as k, [0, 40, 300, 900][o_orderkey % 4 + 1] as px, o_orderkey % 17 = 0 as rev, case when o_orderkey % 13 <> 0 then ['increased', 'decreased', 'no_change', 'modified', 'uncertain'][o_orderkey % 5 + 1] end as dir, o_orderkey % 8 <> 0 as has,
@@ -162,19 +199,33 @@ def _judged(spark, d):
 
 @query("con1_con5_con7_jn14_conflicts", "with " + _EV + " select k, concat_ws(',', case when c1 then 'C1_ZERO_CHANGE_CONTRADICTION' end, case when c3 then 'C3_NONZERO_CHANGE_SUPPORT' end, case when c5a then 'C5_TEMPORAL_CHRONOLOGY_INVALID' end, case when c5b or c5c then 'C5_TEMPORAL_DIRECTION_CONFLICT' end, case when c2 then 'C2_UNSUPPORTED_REGION' end, case when c4 then 'C4_AREA_CONSISTENCY' end, case when c7 then 'C7_CLASS_TRANSITION_CONFLICT' end) as rules from cf")
 def con1(spark, d):
-    return S.change_conflicts(_evidence(spark, d)).select("k", F.concat_ws(",", F.transform("conflicts", lambda x: x["rule"])).alias("rules"))
+    return S.change_conflicts(_evidence(spark, d)).select(
+        "k",
+        F.concat_ws(",", F.transform("conflicts", lambda x: x["rule"])).alias("rules"),
+    )
 
 
 @query("agg20_con9_status", "with " + _EV + " select k, critical, warnings, status, round(quality, 4) as quality, case status when 'contradictory' then 'flag_contradiction' when 'consistent' then 'allow' else 'qualify' end as gate from sq")
 def agg20(spark, d):
-    return _judged(spark, d).select("k", "critical", "warnings", "status", F.round("quality", 4).alias("quality"), S.gate(F.col("status")).alias("gate"))
+    return _judged(spark, d).select(
+        "k",
+        "critical",
+        "warnings",
+        "status",
+        F.round("quality", 4).alias("quality"),
+        S.gate(F.col("status")).alias("gate"),
+    )
 
 
 @query("con6_sensor_conflicts", "select l_orderkey, l_linenumber, case when l_discount * 5 > 0.15 and l_tax * 12 > 0.75 and l_quantity / 100 > 0.20 then 'green_but_double_bounce' when l_linenumber % 4 = 0 and l_tax * 12 > 0.35 then 'water_but_rough' when l_linenumber % 4 = 1 and l_tax * 12 < 0.10 and l_quantity / 100 < 0.04 then 'built_but_smooth' when l_linenumber % 4 = 2 then 'unclassified' end as conflict from lineitem")
 def con6(spark, d):
     m = F.col("l_linenumber") % 4
     label = F.when(m == 0, "water_body").when(m == 1, "built_structure").when(m == 2, "unknown").otherwise("road_or_infrastructure")
-    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.sensor_conflict(label, F.col("l_discount") * 5, F.col("l_tax") * 12, F.col("l_quantity") / 100).alias("conflict"))
+    return V.table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        S.sensor_conflict(label, F.col("l_discount") * 5, F.col("l_tax") * 12, F.col("l_quantity") / 100).alias("conflict"),
+    )
 
 
 @query("cnf1_cnf3_confidence", "with " + _EV + """, p as (select k, status, quality, critical, warnings, case status when 'consistent' then 1.0 when 'partially_consistent' then 0.85 when 'uncertain' then 0.70 else 0.30 end::double as f, case status when 'consistent' then 0.0 when 'partially_consistent' then 0.12 when 'uncertain' then 0.20 else 0.50 end::double as pen, case status when 'consistent' then 0.99 when 'partially_consistent' then 0.75 when 'uncertain' then 0.60 else 0.35 end::double as cap,
@@ -184,12 +235,30 @@ def cnf1(spark, d):
     """CNF1 to CNF3 over the judged evidence; the signal is that of a cascade."""
     j, k = _judged(spark, d), F.col("k")
     s = S.specialist_signal(F.lit("cascade"), 0.500037 + (k % 50) / 100.0, (k % 4) / 4.0, F.lit(0.0), F.lit(1), F.lit(False))
-    c = F.round(S.confidence(F.lit(1.0), F.lit(0.90013), s, F.col("quality"), F.col("status"), F.col("critical") + F.col("warnings"), F.col("critical") > 0), 4)
+    c = F.round(
+        S.confidence(
+            F.lit(1.0),
+            F.lit(0.90013),
+            s,
+            F.col("quality"),
+            F.col("status"),
+            F.col("critical") + F.col("warnings"),
+            F.col("critical") > 0,
+        ),
+        4,
+    )
     return j.select("k", c.alias("confidence")).withColumn("tier", S.tier(F.col("confidence")))
 
 
 @query("cnf2_specialist_signal", "with x as (select l_orderkey, l_linenumber, ['cascade', 'optical_sar', 'grounding', 'vqa'][l_linenumber % 4 + 1] as kind, l_quantity / 50 + 0.000013::double as s, l_discount * 5 as unc, l_tax * 600 as unk, l_suppkey % 3 as nb, l_partkey % 5 = 0 as deg from lineitem) select l_orderkey, l_linenumber, case when kind = 'grounding' and nb = 0 then 0.25::double when kind = 'grounding' and deg then 0.30::double else round(least(0.99::double, greatest(0.10::double, case kind when 'cascade' then s * (0.35::double + 0.65::double * (1.0::double - unc * 0.5::double)) when 'optical_sar' then case when unk > 25 then greatest(0.20::double, s * 0.75::double) else s end else s end)), 4) end as signal from x")
 def cnf2(spark, d):
     kind = F.element_at(F.array(*[F.lit(v) for v in ("cascade", "optical_sar", "grounding", "vqa")]), F.col("l_linenumber") % 4 + 1)
-    s = S.specialist_signal(kind, F.col("l_quantity") / 50 + 0.000013, F.col("l_discount") * 5, F.col("l_tax") * 600, F.col("l_suppkey") % 3, F.col("l_partkey") % 5 == 0)
+    s = S.specialist_signal(
+        kind,
+        F.col("l_quantity") / 50 + 0.000013,
+        F.col("l_discount") * 5,
+        F.col("l_tax") * 600,
+        F.col("l_suppkey") % 3,
+        F.col("l_partkey") % 5 == 0,
+    )
     return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.alias("signal"))

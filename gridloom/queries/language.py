@@ -11,12 +11,46 @@ from . import query
 
 #: Questions of every route; the conversations' own texts follow the default one.
 QUESTIONS = [
-    "What changed between these two dates?", "How much total area changed?", "Where is the water body?", "Describe the scene", "Generate a caption", "Did the buildings increase over time?",
-    "Use optical and SAR together to identify flooded land", "sar backscatter over the lake", "Is there any change?", "Locate the runway.", "Find the road.", "Explain the nature of change", "Which land cover dominates?",
-    "overall change", "has the forest changed", "between two images, what was demolished", "How many ships are there?", "show me where the trees were cleared", "radar and optical joint analysis", "segment the ponds",
-    "give an overview of the image", "Detect changes", "bi-temporal change detection of cropland", "Has the scene changed?", "change in this image", "dual-sensor view", "What does the image show?", "highlight the built-up area", "the", "Where are the ?!",
-]
-MODES = [("optical", None), ("optical", "optical"), ("sar", None), ("optical", "sar"), ("sar", "sar"), ("multispectral", "optical"), ("unknown", "optical")]
+    "What changed between these two dates?",
+    "How much total area changed?",
+    "Where is the water body?",
+    "Describe the scene",
+    "Generate a caption",
+    "Did the buildings increase over time?",
+    "Use optical and SAR together to identify flooded land",
+    "sar backscatter over the lake",
+    "Is there any change?",
+    "Locate the runway.",
+    "Find the road.",
+    "Explain the nature of change",
+    "Which land cover dominates?",
+    "overall change",
+    "has the forest changed",
+    "between two images, what was demolished",
+    "How many ships are there?",
+    "show me where the trees were cleared",
+    "radar and optical joint analysis",
+    "segment the ponds",
+    "give an overview of the image",
+    "Detect changes",
+    "bi-temporal change detection of cropland",
+    "Has the scene changed?",
+    "change in this image",
+    "dual-sensor view",
+    "What does the image show?",
+    "highlight the built-up area",
+    "the",
+    "Where are the ?!",
+]
+MODES = [
+    ("optical", None),
+    ("optical", "optical"),
+    ("sar", None),
+    ("optical", "sar"),
+    ("sar", "sar"),
+    ("multispectral", "optical"),
+    ("unknown", "optical"),
+]
 HINTS = [None, "auto", "fusion", "semantic change_vqa", "cva_raw", "ground", "caption", "vqa"]
 
 
@@ -32,7 +66,12 @@ _REQ = f"rq as (select q.query, m.m1, m.m2, h.hint from {_Q.replace(' t(', ' q('
 def _requests(spark, d):
     pick = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     q = pick([(q, m1, m2, h) for q in QUESTIONS for m1, m2 in MODES for h in HINTS], ("query", "m1", "m2", "hint"))
-    c = V.table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("query"), F.lit("optical").alias("m1"), F.lit(None).cast("string").alias("m2"), F.lit(None).cast("string").alias("hint"))
+    c = V.table(spark, d, "conversations").where("role = 'user'").select(
+        F.col("text").alias("query"),
+        F.lit("optical").alias("m1"),
+        F.lit(None).cast("string").alias("m2"),
+        F.lit(None).cast("string").alias("hint"),
+    )
     return q.unionByName(c)
 
 
@@ -40,7 +79,10 @@ HIT = "fl as (select rq.*, lower(trim(query)) as low, coalesce(hint, '') as hh,
 case when m2 is null then 'single_' || m1 when (m1 in ('optical', 'multispectral') and m2 = 'sar') or (m1 = 'sar' and m2 in ('optical', 'multispectral')) then 'cross_modal_optical_sar' when m1 in ('optical', 'multispectral') and m2 in ('optical', 'multispectral') then 'bitemporal_optical_pair' when m1 = 'sar' and m2 = 'sar' then 'bitemporal_sar_pair' else 'dual_' || m1 || '_' || m2 end as config from rq)"""
 
 
-@query("flt1_pattern_banks", "with " + _REQ + ", " + HIT + " select " + ", ".join(f"sum(is_{k}::int)::bigint as {k}" for k in R.BANKS) + " from fl")
+@query(
+    "flt1_pattern_banks",
+    "with " + _REQ + ", " + HIT + " select " + ", ".join(f"sum(is_{k}::int)::bigint as {k}" for k in R.BANKS) + " from fl",
+)
 def flt1(spark, d):
     low = F.lower(F.trim("query"))
     return _requests(spark, d).agg(*[F.sum(low.rlike(R.any_of(b)).cast("long")).alias(k) for k, b in R.BANKS.items()])
@@ -66,9 +108,17 @@ def str1(spark, d):
 
 
 ANSWERS = [
-    '{"box_2d": [100, 200, 300, 400]} and more', "<|box_start|>(10,20),(30,40)<|box_end|>", "at [0.1, 0.2, 0.5, 0.6] and [0.5,0.5,1.0,1.0]", "[100, 200, 900, 950]", "[1200, 30, 1500, 600]", "nothing here", '{"direction": "increased", "confidence": 0.8}',
-    'so {"direction": "lost", "confidence": "high"} ok', 'broken "direction": "modified", "confidence": 0.4', "",
-]
+    '{"box_2d": [100, 200, 300, 400]} and more',
+    "<|box_start|>(10,20),(30,40)<|box_end|>",
+    "at [0.1, 0.2, 0.5, 0.6] and [0.5,0.5,1.0,1.0]",
+    "[100, 200, 900, 950]",
+    "[1200, 30, 1500, 600]",
+    "nothing here",
+    '{"direction": "increased", "confidence": 0.8}',
+    'so {"direction": "lost", "confidence": "high"} ok',
+    'broken "direction": "modified", "confidence": 0.4',
+    "",
+]
 
 
 @query("str2_boxes_in_text")
@@ -78,10 +128,16 @@ def str2(spark, d):
     return a.select("answer", T.boxes_in_text(F.col("answer"), F.lit(2000.0), F.lit(1000.0)).alias("boxes"))
 
 
-@query("str3_tolerant_json", f"with a as (select answer from {_values([(a,) for a in ANSWERS], 'answer')}) select answer, nullif(trim(regexp_extract(answer, '\"direction\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as direction, nullif(trim(regexp_extract(answer, '\"confidence\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as confidence from a")
+@query(
+    "str3_tolerant_json",
+    f"with a as (select answer from {_values([(a,) for a in ANSWERS], 'answer')}) select answer, nullif(trim(regexp_extract(answer, '\"direction\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as direction, nullif(trim(regexp_extract(answer, '\"confidence\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as confidence from a",
+)
 def str3(spark, d):
     a = spark.createDataFrame([(a,) for a in ANSWERS], "answer string")
-    return a.select("answer", T.json_answer(F.col("answer"), "direction string, confidence string", ["direction", "confidence"]).alias("j")).select("answer", "j.direction", "j.confidence")
+    return a.select(
+        "answer",
+        T.json_answer(F.col("answer"), "direction string, confidence string", ["direction", "confidence"]).alias("j"),
+    ).select("answer", "j.direction", "j.confidence")
 
 
 @query("src5_request_batch", "with e as (select user_id, event_id, ts, event_type, (props->>'$.k')::bigint as k from events) select event_id as request, event_type as query, 't1_' || (k % 10)::varchar || '.tif' as t1, case when k % 2 = 0 then 't2_' || (k % 10)::varchar || '.tif' end as t2, case when k % 3 = 0 then 'cva_raw' end as hint from e")
@@ -89,7 +145,15 @@ def src5(spark, d):
     """Requests as a batch: two rasters or one, a query and a hint, read from each event's JSON."""
     e = V.table(spark, d, "events")
     k = F.from_json("props", "k bigint")["k"]
-    body = F.to_json(F.struct(F.col("event_id").alias("request"), F.col("event_type").alias("query"), F.format_string("t1_%d.tif", k % 10).alias("t1"), F.when(k % 2 == 0, F.format_string("t2_%d.tif", k % 10)).alias("t2"), F.when(k % 3 == 0, "cva_raw").alias("hint")))
+    body = F.to_json(
+        F.struct(
+            F.col("event_id").alias("request"),
+            F.col("event_type").alias("query"),
+            F.format_string("t1_%d.tif", k % 10).alias("t1"),
+            F.when(k % 2 == 0, F.format_string("t2_%d.tif", k % 10)).alias("t2"),
+            F.when(k % 3 == 0, "cva_raw").alias("hint"),
+        )
+    )
     return R.requests_of(e.select(body.alias("body")), "body")
 
 
@@ -106,31 +170,54 @@ def str10(spark, d):
 @query("str8_str9_kinds", "select page_id, case when contains(lower(url), 'en') then 'en' when contains(lower(url), 'fr') then 'fr' when contains(lower(url), 'de') then 'de' else 'general' end as domain, case when contains(lower(html), 'how many') or contains(lower(html), 'number of') then 'count' when contains(lower(html), 'is there') or contains(lower(html), 'are there') then 'presence' when contains(lower(html), 'more') or contains(lower(html), 'less') then 'comparison' when contains(lower(html), 'rural') or contains(lower(html), 'urban') then 'rural_urban' else 'other' end as kind from pages")
 def str8(spark, d):
     p = V.table(spark, d, "pages")
-    return p.select("page_id", T.scene_domain(F.col("url"), domains=["en", "fr", "de"], other="general").alias("domain"), T.question_kind(F.col("html")).alias("kind"))
-
-
-@query("str9_scene_domain", "select doc_id, case " + " ".join(f"when contains(lower(text), '{w}') or contains(lower(source), '{w}') then '{w}'" for w in T.DOMAINS) + " else 'other' end as domain from documents")
+    return p.select(
+        "page_id",
+        T.scene_domain(F.col("url"), domains=["en", "fr", "de"], other="general").alias("domain"),
+        T.question_kind(F.col("html")).alias("kind"),
+    )
+
+
+@query(
+    "str9_scene_domain",
+    "select doc_id, case " + " ".join(
+        f"when contains(lower(text), '{w}') or contains(lower(source), '{w}') then '{w}'"
+        for w in T.DOMAINS
+    ) + " else 'other' end as domain from documents",
+)
 def str9(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.scene_domain(F.col("text"), F.col("source")).alias("domain"))
 
 
-@query("str6_acquisition_date", "select o_orderkey, case when o_orderkey % 3 < 2 then strftime(o_orderdate, '%Y-%m-%d') end as d from orders")
+@query(
+    "str6_acquisition_date",
+    "select o_orderkey, case when o_orderkey % 3 < 2 then strftime(o_orderdate, '%Y-%m-%d') end as d from orders",
+)
 def str6(spark, d):
     """A third of the orders have the date as a tag, a third in the file's name, a third none."""
     o, k = V.table(spark, d, "orders"), F.col("o_orderkey") % 3
-    tags = F.when(k == 0, F.create_map(F.lit("TIFFTAG_DATETIME"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))).otherwise(F.create_map(F.lit("none"), F.lit("")))
+    tags = F.when(
+        k == 0,
+        F.create_map(F.lit("TIFFTAG_DATETIME"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")),
+    ).otherwise(F.create_map(F.lit("none"), F.lit("")))
     name = F.when(k == 1, F.concat(F.lit("scene_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(".tif"))).otherwise("scene.tif")
     return o.select("o_orderkey", T.acquisition_date(tags, name).cast("string").alias("d"))
 
 
 @query("str7_paths", "select doc_id, regexp_replace('/tmp/' || source || '.tif and /home/a/b', '/(?:tmp|home|var)/[^\\s''\"]+', '<path>', 'g') as t from documents")
 def str7(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.without_paths(F.concat(F.lit("/tmp/"), "source", F.lit(".tif and /home/a/b"))).alias("t"))
+    return V.table(spark, d, "documents").select(
+        "doc_id",
+        T.without_paths(F.concat(F.lit("/tmp/"), "source", F.lit(".tif and /home/a/b"))).alias("t"),
+    )
 
 
 @query("str16_str17_hashes", "select doc_id, sha256(text) as sha, 'doc_' || left(sha256(source || ':' || doc_id::varchar), 8) as id from documents")
 def str16(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), T.stable_id("doc", F.col("source"), F.col("doc_id").cast("string")).alias("id"))
+    return V.table(spark, d, "documents").select(
+        "doc_id",
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
+        T.stable_id("doc", F.col("source"), F.col("doc_id").cast("string")).alias("id"),
+    )
 
 
 @query("str14_narrative", "with g as (select l_orderkey, sum(case when l_returnflag = 'R' then l_quantity else 0 end)::bigint as px, count(*) as n from lineitem group by 1) select l_orderkey, case when px = 0 then 'No change was found.' else printf('%d px changed over %d parts (%.2f ha).', px, n, px * 100 / 10000.0::double) end as t from g")
@@ -146,18 +233,35 @@ union all select 'presence', 'Is there ' || kinds[1] || ' in scene ' || s || '?'
 def str15(spark, d):
     k = F.col("doc_id")
     kinds = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source"))
-    t = V.table(spark, d, "documents").select(F.explode(T.scene_questions(k.cast("string"), kinds, F.when(k % 3 == 0, "de").when(k % 3 == 1, "xx"), F.when(k % 2 == 0, "EPSG:32643"))).alias("q"))
+    t = V.table(spark, d, "documents").select(
+        F.explode(
+            T.scene_questions(k.cast("string"), kinds, F.when(k % 3 == 0, "de").when(k % 3 == 1, "xx"), F.when(k % 2 == 0, "EPSG:32643"))
+        ).alias("q")
+    )
     return t.select("q.*")
 
 
 @query("str5_target_classes_of_queries")
 def str5_queries(spark, d):
     """Every text of the conversations, and the questions. No SQL: DuckDB's \\b knows ASCII only."""
-    t = spark.createDataFrame([(q,) for q in QUESTIONS], "query string").unionByName(V.table(spark, d, "conversations").select(F.col("text").alias("query")))
-    return t.select("query", F.concat_ws(",", T.target_classes(F.col("query"))).alias("classes"), T.target_class(F.col("query")).alias("first"))
-
-
-_DIRS, _TRUE = ["increased", "no_change", "Decreased", None, "modified", "lost"], [("yes", None), ("No", "increased"), ("more water", "decreased"), ("", ""), (None, "lost")]
+    t = spark.createDataFrame(
+        [(q,) for q in QUESTIONS],
+        "query string",
+    ).unionByName(V.table(spark, d, "conversations").select(F.col("text").alias("query")))
+    return t.select(
+        "query",
+        F.concat_ws(",", T.target_classes(F.col("query"))).alias("classes"),
+        T.target_class(F.col("query")).alias("first"),
+    )
+
+
+_DIRS, _TRUE = ["increased", "no_change", "Decreased", None, "modified", "lost"], [
+    ("yes", None),
+    ("No", "increased"),
+    ("more water", "decreased"),
+    ("", ""),
+    (None, "lost"),
+]
 
 
 @query("str13_change_answer", f"with o as (select o_orderkey as k, o_orderpriority as a, {str(_DIRS).replace('None', 'null')}[o_orderkey % 6 + 1] as d, {str([t for t, _ in _TRUE]).replace('None', 'null')}[o_orderkey % 5 + 1] as t, {str([x for _, x in _TRUE]).replace('None', 'null')}[o_orderkey % 5 + 1] as td from orders) select k, case when lower(t) = 'yes' then coalesce(lower(d) in ('increased', 'modified', 'decreased'), false) or contains(lower(a), 'yes') when lower(t) = 'no' then coalesce(lower(d) = 'no_change', false) or contains(lower(a), 'no') else coalesce(coalesce(lower(d), 'unknown') = lower(td), false) end as correct from o")
@@ -165,7 +269,15 @@ def str13(spark, d):
     k = F.col("o_orderkey")
     pick = lambda vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (k % len(vs) + 1).cast("int"))
     o = V.table(spark, d, "orders")
-    return o.select(k.alias("k"), T.change_answer_correct(F.col("o_orderpriority"), pick(_DIRS), pick([t for t, _ in _TRUE]), pick([x for _, x in _TRUE])).alias("correct"))
+    return o.select(
+        k.alias("k"),
+        T.change_answer_correct(
+            F.col("o_orderpriority"),
+            pick(_DIRS),
+            pick([t for t, _ in _TRUE]),
+            pick([x for _, x in _TRUE]),
+        ).alias("correct"),
+    )
 
 
 _SENS = ["Sentinel-1 GRD", "S2 MSI", "gas1 none", "Landsat 8", "", "ALOS PALSAR", "spotted"]
@@ -177,15 +289,28 @@ when len(bands) > 0 and len(list_filter(bands, lambda b: regexp_matches(lower(b)
 case when not ok then 0.0 when regexp_matches(lower(sensor), '(^|[^a-z0-9])(sentinel-1|s1|alos|sentinel-2|s2|landsat|spot)($|[^a-z0-9])') then 0.99 when len(bands) > 0 and len(list_filter(bands, lambda b: regexp_matches(lower(b), 'vv|vh|hh|hv'))) = len(bands) then 0.95 when name <> 'x.tif' then 0.85 when nb in (3, 4) and dt in ('uint8', 'uint16') then 0.75 when nb in (1, 2) and dt = 'float32' then 0.68 when nb >= 8 and dt in ('uint16', 'float32') then 0.70 else 0.30 end::double as confidence from x""")
 def flt7(spark, d):
     n, at = V.table(spark, d, "nation"), lambda vs, m: F.element_at(F.array(*[F.lit(v) for v in vs]), (F.col("n_nationkey") % m + 1))
-    bands = F.when(F.col("n_nationkey") % 5 == 0, F.array(F.lit("VV"), F.lit("VH"))).when(F.col("n_nationkey") % 5 == 1, F.array(F.lit("red"), F.lit("VV"))).otherwise(F.array().cast("array<string>"))
-    m = R.modality(at(_SENS, 7), bands, at(["a_s1_b.tif", "optical.tif", "x.tif"], 3), F.col("n_regionkey") * 2 + 1, at(["uint8", "float32", "uint16"], 3), F.col("n_nationkey") != 7)
+    bands = F.when(F.col("n_nationkey") % 5 == 0, F.array(F.lit("VV"), F.lit("VH"))).when(
+        F.col("n_nationkey") % 5 == 1,
+        F.array(F.lit("red"), F.lit("VV")),
+    ).otherwise(F.array().cast("array<string>"))
+    m = R.modality(
+        at(_SENS, 7),
+        bands,
+        at(["a_s1_b.tif", "optical.tif", "x.tif"], 3),
+        F.col("n_regionkey") * 2 + 1,
+        at(["uint8", "float32", "uint16"], 3),
+        F.col("n_nationkey") != 7,
+    )
     return n.select(F.col("n_nationkey").alias("k"), m.alias("m")).select("k", "m.modality", "m.confidence")
 
 
 @query("src3_src4_metadata_summary", "select s_suppkey, coalesce(case when s_suppkey % 2 = 0 then s_name end, case when s_suppkey % 3 = 0 then 'alt' end, 'unknown sensor') || ', ' || coalesce(case when s_nationkey > 5 then 'EPSG:' || (32600 + s_nationkey)::varchar end, 'no CRS') || ', ' || case when s_suppkey % 5 = 0 then 'size unknown' else (s_suppkey % 100)::varchar || ' x ' || (s_suppkey % 30)::varchar || ' px' end as summary from supplier")
 def src3(spark, d):
     s, k = V.table(spark, d, "supplier"), F.col("s_suppkey")
-    tags = F.map_concat(F.when(k % 2 == 0, F.create_map(F.lit("SENSOR_ID"), "s_name")).otherwise(F.create_map().cast("map<string,string>")), F.when(k % 3 == 0, F.create_map(F.lit("PLATFORM"), F.lit("alt"))).otherwise(F.create_map().cast("map<string,string>")))
+    tags = F.map_concat(
+        F.when(k % 2 == 0, F.create_map(F.lit("SENSOR_ID"), "s_name")).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(k % 3 == 0, F.create_map(F.lit("PLATFORM"), F.lit("alt"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
     crs = F.when(F.col("s_nationkey") > 5, F.concat(F.lit("EPSG:"), (F.col("s_nationkey") + 32600).cast("string")))
     sensor = T.sensor(tags)
     side = lambda n: F.when(k % 5 != 0, k % n)

@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "gridloom", **conf) -> SparkSession:
-    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(
+        "spark.sql.adaptive.skewJoin.enabled",
+        "true",
+    )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()

@@ -17,10 +17,20 @@ SAMPLE = "sample_id string, dataset string, split string, scene_category string,
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """SRC10: a JSON list of samples, or an object with `samples`; missing categories are urban, and a sample with a truth
     mask counts as quantitative."""
-    lists = spark.read.schema(SAMPLE + f", samples array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in SAMPLE.split(', '))}>>").json(path, multiLine=True)
+    lists = spark.read.schema(
+        SAMPLE + f", samples array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in SAMPLE.split(', '))}>>"
+    ).json(path, multiLine=True)
     names = [c.split()[0] for c in SAMPLE.split(", ")]
-    one = lists.withColumn("s", F.explode(F.when(F.col("samples").isNotNull(), F.col("samples")).otherwise(F.array(F.struct(*names))))).select("s.*")
-    return one.withColumns({"scene_category": F.coalesce("scene_category", F.lit("urban")), "is_quantitative": F.coalesce("is_quantitative", F.col("gt_mask_path").isNotNull())})
+    one = lists.withColumn(
+        "s",
+        F.explode(F.when(F.col("samples").isNotNull(), F.col("samples")).otherwise(F.array(F.struct(*names)))),
+    ).select("s.*")
+    return one.withColumns(
+        {
+            "scene_category": F.coalesce("scene_category", F.lit("urban")),
+            "is_quantitative": F.coalesce("is_quantitative", F.col("gt_mask_path").isNotNull()),
+        }
+    )
 
 
 def read_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -56,7 +66,11 @@ def pair_files(spark: SparkSession, path: str) -> DataFrame:
     name, folder = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
     side = F.when(name.rlike(r"^t1\."), "t1").when(name.rlike(r"^t2\."), "t2").when(folder.rlike("/A$"), "t1").when(folder.rlike("/B$"), "t2")
     sample = F.when(name.rlike(r"^t[12]\."), folder).otherwise(F.concat(F.regexp_replace(folder, "/[AB]$", "/"), name))
-    return f.select(sample.alias("sample"), side.alias("side"), "path").where("side is not null").groupBy("sample").pivot("side", ["t1", "t2"]).agg(F.min("path")).where("t1 is not null and t2 is not null")
+    return f.select(
+        sample.alias("sample"),
+        side.alias("side"),
+        "path",
+    ).where("side is not null").groupBy("sample").pivot("side", ["t1", "t2"]).agg(F.min("path")).where("t1 is not null and t2 is not null")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -66,6 +80,15 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def markdown(report: DataFrame) -> DataFrame:
     """SNK2: report rows (title, answer, status, confidence, tier, findings array<string>) as Markdown text."""
-    lines = F.concat(F.array(F.concat(F.lit("# "), F.col("title")), F.lit(""), F.col("answer"), F.lit(""), F.concat(F.lit("Status: "), F.col("status")),
-                             F.concat(F.lit("Confidence: "), F.format_string("%.2f", F.col("confidence")), F.lit(" ("), F.col("tier"), F.lit(")"))), F.transform("findings", lambda x: F.concat(F.lit("- "), x)))
+    lines = F.concat(
+        F.array(
+            F.concat(F.lit("# "), F.col("title")),
+            F.lit(""),
+            F.col("answer"),
+            F.lit(""),
+            F.concat(F.lit("Status: "), F.col("status")),
+            F.concat(F.lit("Confidence: "), F.format_string("%.2f", F.col("confidence")), F.lit(" ("), F.col("tier"), F.lit(")")),
+        ),
+        F.transform("findings", lambda x: F.concat(F.lit("- "), x)),
+    )
     return report.select(F.concat_ws("\n", lines).alias("value"))

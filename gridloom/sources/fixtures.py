@@ -44,7 +44,10 @@ def houses(places: list[tuple[int, int]], h: int, w: int, shade: int, roof: tupl
 _STATIC = houses([(30, 30), (30, 150), (150, 30), (150, 150)], 45, 55, 7, (200, 200, 210), (40, 40, 45))
 PAIRS = {
     "00_core": Pair((70, 140, 60), second=(block(90, 170, 90, 170, (210, 215, 220)),), formats="TIFF -> TIFF"),
-    "01_building": Pair((140, 130, 115), second=houses([(40, 40), (40, 140), (140, 40), (140, 140)], 50, 60, 10, (210, 215, 220), (40, 40, 45))),
+    "01_building": Pair(
+        (140, 130, 115),
+        second=houses([(40, 40), (40, 140), (140, 40), (140, 140)], 50, 60, 10, (210, 215, 220), (40, 40, 45)),
+    ),
     "02_vegetation": Pair((35, 95, 40), second=(("(y - 128) * (y - 128) + (x - 128) * (x - 128) <= 4225", (175, 140, 95)),)),
     "03_water": Pair((160, 145, 120), second=(("y >= 110", (25, 65, 125)),)),
     "04_roads": Pair((110, 130, 90), second=(("y >= x - 6 and y < x + 6", (55, 55, 60)),)),
@@ -56,17 +59,26 @@ PAIRS = {
     "10_cross_format": Pair((110, 125, 95), second=(block(70, 180, 70, 180, (215, 220, 225)),), formats="PNG -> TIFF"),
     "11_flood": Pair((150, 115, 75), second=(block(64, 192, 64, 192, (25, 65, 135)),), formats="TIFF -> TIFF"),
     "12_harvest": Pair((60, 150, 50), second=(block(50, 200, 50, 200, (150, 115, 75)),), formats="JPEG -> TIFF"),
-}
+}
 
 #: Optical colour and backscatter, 0 to 255 and 0 to 1: T1's shapes over both.
 OPTICAL_SAR = {
-    "standard": ((160, 150, 130), "0.28", (block(0, 80, 0, 80, (25, 65, 135, "0.03")), block(30, 90, 120, 200, (170, 170, 175, "case when y % 3 = 0 then 0.40 else 0.85 end")),
-                                           block(120, 180, 120, 200, (170, 170, 175, "case when y % 3 = 0 then 0.40 else 0.85 end")), block(100, 200, 10, 100, (40, 120, 45, "0.42")), block(200, 250, 120, 240, (185, 150, 100, "0.26")))),
+    "standard": (
+        (160, 150, 130),
+        "0.28",
+        (
+            block(0, 80, 0, 80, (25, 65, 135, "0.03")),
+            block(30, 90, 120, 200, (170, 170, 175, "case when y % 3 = 0 then 0.40 else 0.85 end")),
+            block(120, 180, 120, 200, (170, 170, 175, "case when y % 3 = 0 then 0.40 else 0.85 end")),
+            block(100, 200, 10, 100, (40, 120, 45, "0.42")),
+            block(200, 250, 120, 240, (185, 150, 100, "0.26")),
+        ),
+    ),
     "built": ((160, 150, 130), "0.28", (block(60, 180, 60, 180, (150, 150, 150, "case when y % 2 = 0 then 0.82 else 0.35 end")),)),
     "smooth": ((160, 150, 130), "0.28", (block(60, 180, 60, 180, (150, 150, 150, "0.10")),)),
     "water": ((160, 150, 130), "0.18", (block(60, 180, 60, 180, (25, 65, 135, "0.18")),)),
     "vegetation": ((160, 150, 130), "0.18", (block(60, 180, 60, 180, (40, 120, 45, "0.18")),)),
-}
+}
 
 
 def _painted(base: str, shapes: tuple[Shape, ...], band: int) -> str:
@@ -124,4 +136,7 @@ def sql(kind: str) -> str:
     if kind == "pairs":
         band = lambda p, t: "[" + ", ".join(f"cast({values(p, k, t)} as double)" for k in range(3)) + "]"
         return " union all ".join(f"select '{n}' as scene, y, x, {band(p, 0)} as a, {band(p, 1)} as b from gr" for n, p in PAIRS.items())
-    return " union all ".join(f"select '{n}' as scene, y, x, " + ", ".join(f"{v} as {c}" for c, v in optical_sar_values(n).items()) + " from gr" for n in OPTICAL_SAR)
+    return " union all ".join(
+        f"select '{n}' as scene, y, x, " + ", ".join(f"{v} as {c}" for c, v in optical_sar_values(n).items()) + " from gr"
+        for n in OPTICAL_SAR
+    )

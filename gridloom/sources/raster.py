@@ -18,8 +18,29 @@ HEADER = "path string, driver string, width int, height int, n_bands int, dtype
 SAMPLES = "path string, band int, y int, x int, value double"
 
 # TIFF field types (size, struct code), sample formats, and names of text tags.
-FIELD = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
-DTYPES = {(1, 8): "uint8", (1, 16): "uint16", (1, 32): "uint32", (2, 8): "int8", (2, 16): "int16", (2, 32): "int32", (3, 32): "float32", (3, 64): "float64"}
+FIELD = {
+    1: (1, "B"),
+    2: (1, "s"),
+    3: (2, "H"),
+    4: (4, "I"),
+    5: (8, "II"),
+    6: (1, "b"),
+    8: (2, "h"),
+    9: (4, "i"),
+    11: (4, "f"),
+    12: (8, "d"),
+    16: (8, "Q"),
+}
+DTYPES = {
+    (1, 8): "uint8",
+    (1, 16): "uint16",
+    (1, 32): "uint32",
+    (2, 8): "int8",
+    (2, 16): "int16",
+    (2, 32): "int32",
+    (3, 32): "float32",
+    (3, 64): "float64",
+}
 TEXT_TAGS = {270: "TIFFTAG_IMAGEDESCRIPTION", 271: "TIFFTAG_MAKE", 305: "TIFFTAG_SOFTWARE", 306: "TIFFTAG_DATETIME"}
 
 
@@ -72,7 +93,20 @@ def tiff_header(data: bytes) -> dict:
         sx, _, x, _, sy, y = transform
         bounds, resolution = [min(x, x + w * sx), min(y, y + h * sy), max(x, x + w * sx), max(y, y + h * sy)], [abs(sx), abs(sy)]
     said = {int(k): v for k, v in re.findall(r'<Item name="DESCRIPTION" sample="(\d+)"[^>]*>([^<]*)<', str(one(42112, "")))}
-    return {"bounds": bounds, "resolution": resolution, "descriptions": [said.get(k, "") for k in range(n)] if said else None, "driver": "GTiff", "width": one(256), "height": one(257), "n_bands": one(277, 1), "dtype": DTYPES.get((one(339, 1), one(258, 1))), "crs": crs, "transform": transform, "nodata": float(nodata) if nodata not in (None, "") else None, "tags": tags}
+    return {
+        "bounds": bounds,
+        "resolution": resolution,
+        "descriptions": [said.get(k, "") for k in range(n)] if said else None,
+        "driver": "GTiff",
+        "width": one(256),
+        "height": one(257),
+        "n_bands": one(277, 1),
+        "dtype": DTYPES.get((one(339, 1), one(258, 1))),
+        "crs": crs,
+        "transform": transform,
+        "nodata": float(nodata) if nodata not in (None, "") else None,
+        "tags": tags,
+    }
 
 
 def header(data: bytes) -> dict:
@@ -87,7 +121,14 @@ def header(data: bytes) -> dict:
             if len(data) < 26:
                 return {"error_kind": "corrupted", "error": "cut off"}
             w, h, bits, colour = struct.unpack(">IIBB", data[16:26])
-            return {"driver": "PNG", "width": w, "height": h, "n_bands": {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour, 0), "dtype": "uint16" if bits == 16 else "uint8", "tags": {}}
+            return {
+                "driver": "PNG",
+                "width": w,
+                "height": h,
+                "n_bands": {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour, 0),
+                "dtype": "uint16" if bits == 16 else "uint8",
+                "tags": {},
+            }
         if data[:3] == b"\xff\xd8\xff":
             at = 2
             while at + 9 < len(data) and data[at] == 0xFF:
@@ -169,7 +210,11 @@ def tiff_array(data: bytes, bands: list[int] | None = None) -> np.ndarray:
         plane, at = divmod(k, across * down)
         y, x = at // across * ph, at % across * pw
         lines = ph if tiled else min(ph, height - y)
-        part = np.frombuffer(unpack(data[starts[k] : starts[k] + sizes[k]]), kind, lines * pw * deep).reshape(lines, pw, deep).astype(kind.newbyteorder("="))
+        part = np.frombuffer(
+            unpack(data[starts[k] : starts[k] + sizes[k]]),
+            kind,
+            lines * pw * deep,
+        ).reshape(lines, pw, deep).astype(kind.newbyteorder("="))
         if predictor == 2:
             part = np.cumsum(part, 1, part.dtype)
         part = np.moveaxis(part[: height - y, : width - x], 2, 0)
@@ -247,6 +292,14 @@ def read_bands(spark: SparkSession, path: str, bands: list[int] | None = None, p
                     continue
                 for k, plane in enumerate(a):
                     y, x = np.indices(plane.shape)
-                    yield pd.DataFrame({"path": p, "band": (bands[k] if bands else k + 1), "y": y.ravel(), "x": x.ravel(), "value": plane.ravel().astype(float)})
+                    yield pd.DataFrame(
+                        {
+                            "path": p,
+                            "band": (bands[k] if bands else k + 1),
+                            "y": y.ravel(),
+                            "x": x.ravel(),
+                            "value": plane.ravel().astype(float),
+                        }
+                    )
 
     return _files(spark, path, pattern).mapInPandas(run, SAMPLES)

@@ -17,14 +17,30 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene, t, y, x, bands."""
     e = table(spark, sf_dir, "embeddings")
     v = F.transform("embedding", lambda z: z.cast("double"))
-    rows = e.select(F.floor(F.col("vec_id") / 100).alias("scene"), (F.col("vec_id") % 2).cast("int").alias("t"), (F.floor(F.col("vec_id") / 2) % 50).cast("int").alias("y"), v.alias("v"))
-    return rows.select("scene", "t", "y", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"), "v").select("scene", "t", "y", "x", F.slice("v", F.col("x") * 4 + 1, 4).alias("bands"))
+    rows = e.select(
+        F.floor(F.col("vec_id") / 100).alias("scene"),
+        (F.col("vec_id") % 2).cast("int").alias("t"),
+        (F.floor(F.col("vec_id") / 2) % 50).cast("int").alias("y"),
+        v.alias("v"),
+    )
+    return rows.select(
+        "scene",
+        "t",
+        "y",
+        F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"),
+        "v",
+    ).select("scene", "t", "y", "x", F.slice("v", F.col("x") * 4 + 1, 4).alias("bands"))
 
 
 def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene, y, x, a, b: both times of a pixel, aligned on the grid (JN1)."""
     p = pixels(spark, sf_dir)
-    one, two = p.where("t = 0").select("scene", "y", "x", F.col("bands").alias("a")), p.where("t = 1").select("scene", "y", "x", F.col("bands").alias("b"))
+    one, two = p.where("t = 0").select(
+        "scene",
+        "y",
+        "x",
+        F.col("bands").alias("a"),
+    ), p.where("t = 1").select("scene", "y", "x", F.col("bands").alias("b"))
     return one.join(two, ["scene", "y", "x"])
 
 
@@ -38,14 +54,30 @@ def changed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optical_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene, y, x, r, g, b, sar in 0..1: bands 0 to 2 and 3 of time 0, rescaled."""
     u = lambda i: (F.get("bands", F.lit(i)) + 1.0) / 2.0
-    return pixels(spark, sf_dir).where("t = 0").select("scene", "y", "x", u(0).alias("r"), u(1).alias("g"), u(2).alias("b"), u(3).alias("sar"))
+    return pixels(spark, sf_dir).where("t = 0").select(
+        "scene",
+        "y",
+        "x",
+        u(0).alias("r"),
+        u(1).alias("g"),
+        u(2).alias("b"),
+        u(3).alias("sar"),
+    )
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, ord, x0, y0, x1, y1, score in a 512 x 512 image: an order's lines."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     x0, y0 = (F.col("l_partkey") % 400).cast("double"), (F.col("l_suppkey") * 37 % 400).cast("double")
-    return l.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("ord"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 4).alias("x1"), (y0 + F.col("l_quantity") * 3).alias("y1"), F.col("l_discount").alias("score"))
+    return l.select(
+        F.col("l_orderkey").alias("image"),
+        F.col("l_linenumber").alias("ord"),
+        x0.alias("x0"),
+        y0.alias("y0"),
+        (x0 + F.col("l_quantity") * 4).alias("x1"),
+        (y0 + F.col("l_quantity") * 3).alias("y1"),
+        F.col("l_discount").alias("score"),
+    )
 
 
 SQL = {

@@ -61,7 +61,10 @@ def test_morphology_and_components_like_numpy(spark):
     want = opened_closed(m.astype(int))
     assert points(CH.opened_closed(df, 24, 20)) == {(int(y), int(x)) for y, x in zip(*np.nonzero(want))}
     lab = labels_of(m)
-    assert {(r["y"], r["x"], r["label"]) for r in CH.components(df, 20).collect()} == {(int(y), int(x), int(lab[y, x])) for y, x in zip(*np.nonzero(lab))}
+    assert {
+        (r["y"], r["x"], r["label"])
+        for r in CH.components(df, 20).collect()
+    } == {(int(y), int(x), int(lab[y, x])) for y, x in zip(*np.nonzero(lab))}
 
 
 def test_morphology_across_words_like_numpy(spark):
@@ -78,7 +81,12 @@ def test_morphology_across_words_like_numpy(spark):
 def test_regions_over_cells(spark):
     """Regions larger than a cell: the mean over the whole bounding box."""
     h, w = 150, 140
-    diff = spark.range(h * w).select(F.lit(0).alias("scene"), F.floor(F.col("id") / w).cast("int").alias("y"), (F.col("id") % w).cast("int").alias("x"), (F.col("id") % 97 / 97).alias("d"))
+    diff = spark.range(h * w).select(
+        F.lit(0).alias("scene"),
+        F.floor(F.col("id") / w).cast("int").alias("y"),
+        (F.col("id") % w).cast("int").alias("x"),
+        (F.col("id") % 97 / 97).alias("d"),
+    )
     box = lambda y0, y1, x0, x1: (F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)
     found = CH.regions(CH.components(diff.where(box(3, 140, 60, 130) | box(0, 20, 5, 40)), w), diff).orderBy("label").collect()
     d = (np.arange(h * w) % 97 / 97).reshape(h, w)
@@ -93,14 +101,28 @@ def test_snake_component(spark):
 
 
 def test_two_by_two_opening_keeps_squares_only(spark):
-    assert points(CH.opened_2x2(mask(spark, [(0, 0), (0, 1), (1, 0), (1, 1), (5, 5), (7, 7), (7, 8)]), 10, 10)) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert points(
+        CH.opened_2x2(mask(spark, [(0, 0), (0, 1), (1, 0), (1, 1), (5, 5), (7, 7), (7, 8)]), 10, 10)
+    ) == {(0, 0), (0, 1), (1, 0), (1, 1)}
 
 
 def test_injected_block_is_found_and_equal_images_are_not(spark):
-    px = [(0, y, x, [70.0, 140.0, 60.0], [210.0, 215.0, 220.0] if 10 <= y < 20 and 10 <= x < 20 else [70.0, 140.0, 60.0]) for y in range(30) for x in range(30)]
+    px = [
+        (0, y, x, [70.0, 140.0, 60.0], [210.0, 215.0, 220.0] if 10 <= y < 20 and 10 <= x < 20 else [70.0, 140.0, 60.0])
+        for y in range(30)
+        for x in range(30)
+    ]
     pair = spark.createDataFrame(px, "scene long, y int, x int, a array<double>, b array<double>")
     o = CH.detect(pair, 30, 30)
-    assert o["zonal"].first().asDict() == {"scene": 0, "total": 900, "changed": 100, "ratio_pct": 11.1111, "area_m2": 10000.0, "area_ha": 1.0, "warning": None}
+    assert o["zonal"].first().asDict() == {
+        "scene": 0,
+        "total": 900,
+        "changed": 100,
+        "ratio_pct": 11.1111,
+        "area_m2": 10000.0,
+        "area_ha": 1.0,
+        "warning": None,
+    }
     same = CH.detect(pair.withColumn("b", F.col("a")), 30, 30)["zonal"].first()
     assert (same["changed"], same["warning"]) == (0, "no_change")
 
@@ -119,7 +141,10 @@ box = st.tuples(*[st.integers(0, 40)] * 4).map(lambda t: (min(t[0], t[2]), min(t
 @settings(max_examples=3, deadline=None)
 @given(st.lists(box, min_size=1, max_size=12))
 def test_suppression_is_idempotent_and_iou_symmetric(spark, found):
-    df = spark.createDataFrame([(1, i, *map(float, b), round(1 - i / 20, 2)) for i, b in enumerate(found)], "image long, ord int, x0 double, y0 double, x1 double, y1 double, score double")
+    df = spark.createDataFrame(
+        [(1, i, *map(float, b), round(1 - i / 20, 2)) for i, b in enumerate(found)],
+        "image long, ord int, x0 double, y0 double, x1 double, y1 double, score double",
+    )
     once = D.suppress(df, 0.5)
     assert {r["ord"] for r in D.suppress(once, 0.5).collect()} == {r["ord"] for r in once.collect()}
     a, b = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.lit(v) for v in (3.0, 3.0, 20.0, 21.0))
@@ -127,9 +152,16 @@ def test_suppression_is_idempotent_and_iou_symmetric(spark, found):
 
 
 def test_box_facts(spark):
-    df = spark.createDataFrame([(0.0, 0.0, 100.0, 100.0), (float("nan"), 0.0, 1.0, 1.0), (5.0, 5.0, 5.0, 9.0), (9.0, 0.0, 1.0, 1.0), (-5.0, 3.0, 300.0, 40.0)], "x0 double, y0 double, x1 double, y1 double")
+    df = spark.createDataFrame(
+        [(0.0, 0.0, 100.0, 100.0), (float("nan"), 0.0, 1.0, 1.0), (5.0, 5.0, 5.0, 9.0), (9.0, 0.0, 1.0, 1.0), (-5.0, 3.0, 300.0, 40.0)],
+        "x0 double, y0 double, x1 double, y1 double",
+    )
     c = tuple(F.col(n) for n in df.columns)
-    out = df.select(B.degeneracy(*c, F.lit(100.0), F.lit(100.0)).alias("d"), B.area(*c).alias("a"), F.array(*B.clamped(*c, F.lit(100.0), F.lit(100.0))).alias("c")).collect()
+    out = df.select(
+        B.degeneracy(*c, F.lit(100.0), F.lit(100.0)).alias("d"),
+        B.area(*c).alias("a"),
+        F.array(*B.clamped(*c, F.lit(100.0), F.lit(100.0))).alias("c"),
+    ).collect()
     assert [r["d"] for r in out] == ["full_image_coverage_100pct", "non_finite", "zero_area", "inverted", "full_image_coverage_112pct"]
     assert [r["a"] for r in out] == [10000.0, 0.0, 0.0, 0.0, 305.0 * 37]
     assert out[4]["c"] == [0.0, 3.0, 100.0, 40.0]
@@ -152,21 +184,59 @@ def test_empty_masks_differ_by_variant(spark):
 
 
 def test_routes(spark):
-    rows = [("What changed between these two dates?", "optical", "optical", None), ("Did buildings increase?", "optical", "optical", None), ("Where is the lake?", "optical", None, None),
-            ("what changed over time?", "optical", None, None), ("land cover?", "optical", "sar", None), ("anything", "optical", None, "fusion"), ("Generate a caption", "optical", None, None)]
-    got = [(r["task"], r["rejection"]) for r in R.route(spark.createDataFrame(rows, "query string, m1 string, m2 string, hint string")).collect()]
-    assert got == [("change_detection", None), ("change_vqa", None), ("grounding", None), ("change_detection", "temporal_on_single"), ("optical_sar_analysis", None), ("optical_sar_analysis", "needs_two_images"), ("caption", None)]
+    rows = [
+        ("What changed between these two dates?", "optical", "optical", None),
+        ("Did buildings increase?", "optical", "optical", None),
+        ("Where is the lake?", "optical", None, None),
+        ("what changed over time?", "optical", None, None),
+        ("land cover?", "optical", "sar", None),
+        ("anything", "optical", None, "fusion"),
+        ("Generate a caption", "optical", None, None),
+    ]
+    got = [
+        (r["task"], r["rejection"])
+        for r in R.route(spark.createDataFrame(rows, "query string, m1 string, m2 string, hint string")).collect()
+    ]
+    assert got == [
+        ("change_detection", None),
+        ("change_vqa", None),
+        ("grounding", None),
+        ("change_detection", "temporal_on_single"),
+        ("optical_sar_analysis", None),
+        ("optical_sar_analysis", "needs_two_images"),
+        ("caption", None),
+    ]
 
 
 def test_boxes_in_answers(spark):
-    rows = [('{"box_2d": [100, 200, 300, 400]}',), ("<|box_start|>(10,20),(30,40)<|box_end|>",), ("[0.1, 0.2, 0.5, 0.6]",), ("[100, 200, 900, 950]",), ("[1200, 30, 1500, 600]",), ("no",)]
-    out = [r["b"] for r in spark.createDataFrame(rows, "a string").select(T.boxes_in_text(F.col("a"), F.lit(2000.0), F.lit(1000.0)).alias("b")).collect()]
-    assert out == [[[400.0, 100.0, 800.0, 300.0]], [[20.0, 20.0, 60.0, 40.0]], [[200.0, 200.0, 1000.0, 600.0]], [[400.0, 100.0, 1900.0, 900.0]], [[1200.0, 30.0, 1500.0, 600.0]], []]
+    rows = [
+        ('{"box_2d": [100, 200, 300, 400]}',),
+        ("<|box_start|>(10,20),(30,40)<|box_end|>",),
+        ("[0.1, 0.2, 0.5, 0.6]",),
+        ("[100, 200, 900, 950]",),
+        ("[1200, 30, 1500, 600]",),
+        ("no",),
+    ]
+    out = [
+        r["b"]
+        for r in spark.createDataFrame(rows, "a string").select(T.boxes_in_text(F.col("a"), F.lit(2000.0), F.lit(1000.0)).alias("b")).collect()
+    ]
+    assert out == [
+        [[400.0, 100.0, 800.0, 300.0]],
+        [[20.0, 20.0, 60.0, 40.0]],
+        [[200.0, 200.0, 1000.0, 600.0]],
+        [[400.0, 100.0, 1900.0, 900.0]],
+        [[1200.0, 30.0, 1500.0, 600.0]],
+        [],
+    ]
 
 
 def test_confidence_is_capped_by_status(spark):
     one = F.lit(1.0)
-    rows = spark.createDataFrame([("consistent", False), ("contradictory", True), ("uncertain", False)], "s string, c boolean").select(S.confidence(one, one, F.lit(0.95), one, F.col("s"), F.lit(1), F.col("c")).alias("v"))
+    rows = spark.createDataFrame(
+        [("consistent", False), ("contradictory", True), ("uncertain", False)],
+        "s string, c boolean",
+    ).select(S.confidence(one, one, F.lit(0.95), one, F.col("s"), F.lit(1), F.col("c")).alias("v"))
     v = [r["v"] for r in rows.collect()]
     assert v == [0.975, 0.05, 0.4825]
 
@@ -192,8 +262,20 @@ def tiff(arr: np.ndarray, deflate: bool = False) -> bytes:
     extra = struct.pack("<3d", 10.0, 10.0, 0.0) + struct.pack("<6d", 0, 0, 0, 725000.0, 3130000.0, 0) + struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, 32643)
     kind = {"f": 3, "u": 1}[arr.dtype.kind]
     at = 8 + len(body)
-    tags = [(256, 4, 1, arr.shape[1]), (257, 4, 1, arr.shape[0]), (258, 3, 1, arr.itemsize * 8), (259, 3, 1, 8 if deflate else 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, arr.shape[0]), (279, 4, 1, len(body)), (339, 3, 1, kind),
-            (33550, 12, 3, at), (33922, 12, 6, at + 24), (34735, 3, 8, at + 72)]
+    tags = [
+        (256, 4, 1, arr.shape[1]),
+        (257, 4, 1, arr.shape[0]),
+        (258, 3, 1, arr.itemsize * 8),
+        (259, 3, 1, 8 if deflate else 1),
+        (273, 4, 1, 8),
+        (277, 3, 1, 1),
+        (278, 4, 1, arr.shape[0]),
+        (279, 4, 1, len(body)),
+        (339, 3, 1, kind),
+        (33550, 12, 3, at),
+        (33922, 12, 6, at + 24),
+        (34735, 3, 8, at + 72),
+    ]
     ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
     return struct.pack("<2sHI", b"II", 42, at + len(extra)) + body + extra + ifd
 
@@ -206,7 +288,12 @@ def test_raster_files(spark, tmp_path):
     (tmp_path / "d.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 5, 6, 8, 2, 0, 0, 0))
     (tmp_path / "e.txt").write_bytes(b"hello")
     h = {r["path"][-5:]: r for r in SR.inspect(spark, str(tmp_path)).collect()}
-    assert (h["a.tif"]["width"], h["a.tif"]["dtype"], h["a.tif"]["crs"], list(h["a.tif"]["transform"])) == (4, "float32", "EPSG:32643", [10.0, 0.0, 725000.0, 0.0, -10.0, 3130000.0])
+    assert (
+        h["a.tif"]["width"],
+        h["a.tif"]["dtype"],
+        h["a.tif"]["crs"],
+        list(h["a.tif"]["transform"]),
+    ) == (4, "float32", "EPSG:32643", [10.0, 0.0, 725000.0, 0.0, -10.0, 3130000.0])
     assert (h["d.png"]["width"], h["d.png"]["n_bands"]) == (5, 3)
     assert (h["c.tif"]["error_kind"], h["e.txt"]["error_kind"]) == ("corrupted", "unreadable")
     got = {(r["path"][-5:], r["y"], r["x"]): r["value"] for r in SR.read_bands(spark, str(tmp_path), pattern="*.tif").collect()}
@@ -218,7 +305,10 @@ def test_manifests_and_archives(spark, tmp_path):
     import tarfile
 
     (tmp_path / "m.json").write_text('[{"sample_id": "a", "gt_mask_path": "g.png"}, {"sample_id": "b", "scene_category": "water"}]')
-    rows = {r["sample_id"]: (r["scene_category"], r["is_quantitative"]) for r in SD.read_manifest(spark, str(tmp_path / "m.json")).collect()}
+    rows = {
+        r["sample_id"]: (r["scene_category"], r["is_quantitative"])
+        for r in SD.read_manifest(spark, str(tmp_path / "m.json")).collect()
+    }
     assert rows == {"a": ("urban", True), "b": ("water", False)}
     with tarfile.open(tmp_path / "s.tar", "w") as t:
         for n in ("x.0.img", "x.json"):
@@ -271,14 +361,25 @@ def test_whole_answers_like_brute_force(spark, tmp_path):
         text = {}
         for r in rows:
             text.setdefault((r["conv_id"], r["turn"]), []).append(r["text"])
-        want = [(r["conv_id"], r["turn"], *matches(r["text"], t)) for r in rows if r["role"] == "user" for t in text.get((r["conv_id"], r["turn"] + 1), [])]
+        want = [
+            (r["conv_id"], r["turn"], *matches(r["text"], t))
+            for r in rows if r["role"] == "user"
+            for t in text.get((r["conv_id"], r["turn"] + 1), [])
+        ]
         got = [tuple(r) for r in str10(spark, d).collect()]
         assert want and sorted(got) == sorted(want)
         return {r[:2]: r[2:] for r in got}
 
     check("/root/testdata/sf0.01")
     far = "word " * 20 + "harbour"
-    rows = [(1, 1, "user", far), (1, 2, "assistant", "the new one, near the harbour"), (2, 1, "user", "漢字"), (2, 2, "assistant", "かな"), (3, 1, "user", "Größe"), (3, 2, "assistant", "größe!")]
+    rows = [
+        (1, 1, "user", far),
+        (1, 2, "assistant", "the new one, near the harbour"),
+        (2, 1, "user", "漢字"),
+        (2, 2, "assistant", "かな"),
+        (3, 1, "user", "Größe"),
+        (3, 2, "assistant", "größe!"),
+    ]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = check(str(tmp_path))
     # A word after the 40th character counts, and letters outside ASCII are letters.
@@ -286,19 +387,48 @@ def test_whole_answers_like_brute_force(spark, tmp_path):
 
 
 def test_change_answers_and_target_classes(spark):
-    rows = [("", "Increased", "Yes", None, True), ("", "no_change", "yes", "no_change", False), ("Yes, it did", None, "yes", None, True), (None, "no_change", "no", None, True), ("none", "lost", "No", None, True),
-            (None, None, "no", None, False), ("x", "lost", "forest lost", "Lost", True), ("forest lost", "modified", "forest lost", "lost", False), ("x", None, None, None, False), ("x", None, "", "", False), ("x", "", "y", "unknown", True)]
+    rows = [
+        ("", "Increased", "Yes", None, True),
+        ("", "no_change", "yes", "no_change", False),
+        ("Yes, it did", None, "yes", None, True),
+        (None, "no_change", "no", None, True),
+        ("none", "lost", "No", None, True),
+        (None, None, "no", None, False),
+        ("x", "lost", "forest lost", "Lost", True),
+        ("forest lost", "modified", "forest lost", "lost", False),
+        ("x", None, None, None, False),
+        ("x", None, "", "", False),
+        ("x", "", "y", "unknown", True),
+    ]
     df = spark.createDataFrame(rows, "a string, d string, t string, td string, want boolean")
-    assert [r for r in df.select("*", T.change_answer_correct(*[F.col(c) for c in ("a", "d", "t", "td")]).alias("got")).collect() if r["got"] is not r["want"]] == []
-    asked = {"Did the Buildings near the lake change?": (["built_structure", "water_body"], "built-up / building"), "rebuilt waterfront roads": (["built_structure", "water_body", "road_or_infrastructure"], "road / infrastructure"),
-             "the bare-soil area": (["bare_ground_or_soil"], "bare ground / soil"), "street": (["vegetation_or_cropland"], None), "élake": (["water_body"], None), "what is it": ([], None)}
+    assert [
+        r
+        for r in df.select(
+            "*",
+            T.change_answer_correct(*[F.col(c) for c in ("a", "d", "t", "td")]).alias("got"),
+        ).collect() if r["got"] is not r["want"]
+    ] == []
+    asked = {
+        "Did the Buildings near the lake change?": (["built_structure", "water_body"], "built-up / building"),
+        "rebuilt waterfront roads": (["built_structure", "water_body", "road_or_infrastructure"], "road / infrastructure"),
+        "the bare-soil area": (["bare_ground_or_soil"], "bare ground / soil"),
+        "street": (["vegetation_or_cropland"], None),
+        "élake": (["water_body"], None),
+        "what is it": ([], None),
+    }
     df = spark.createDataFrame([(q,) for q in asked], "q string")
-    assert {r["q"]: (r["c"], r["f"]) for r in df.select("q", T.target_classes(F.col("q")).alias("c"), T.target_class(F.col("q")).alias("f")).collect()} == asked
+    assert {
+        r["q"]: (r["c"], r["f"])
+        for r in df.select("q", T.target_classes(F.col("q")).alias("c"), T.target_class(F.col("q")).alias("f")).collect()
+    } == asked
 
 
 def test_suppression_in_rounds_like_the_fold(spark):
     r = np.random.default_rng(8)
-    rows = [(i % 3, i, float(x), float(y), float(x + 40), float(y + 30), float(s)) for i, (x, y, s) in enumerate(zip(r.integers(0, 150, 240), r.integers(0, 120, 240), r.integers(0, 9, 240) / 8))]
+    rows = [
+        (i % 3, i, float(x), float(y), float(x + 40), float(y + 30), float(s))
+        for i, (x, y, s) in enumerate(zip(r.integers(0, 150, 240), r.integers(0, 120, 240), r.integers(0, 9, 240) / 8))
+    ]
     df = spark.createDataFrame(rows, "image long, ord long, x0 double, y0 double, x1 double, y1 double, score double")
     for threshold in (0.2, 0.5):
         fold, rounds = (sorted(map(tuple, D.suppress(df, threshold, n).collect())) for n in (1000, 10))
@@ -316,8 +446,20 @@ def test_suppression_in_rounds_like_the_fold(spark):
 
 def test_processed_boxes_like_brute_force(spark):
     """CMP8: clamped, small, unsound and degenerate boxes dropped, the rest suppressed."""
-    rows = [(0, 0, 10.0, 10.0, 60.0, 60.0, 0.9), (0, 1, 12.0, 11.0, 61.0, 60.0, 0.8), (0, 2, 500.0, 500.0, 700.0, 700.0, 0.7), (0, 3, 5.0, 5.0, 6.0, 6.0, 0.9), (0, 4, 50.0, 50.0, 10.0, 10.0, 0.9), (0, 5, 200.0, 200.0, 260.0, 240.0, 0.1)]
-    out = {r["ord"]: tuple(r)[2:6] for r in D.processed(spark.createDataFrame(rows, "image long, ord long, x0 double, y0 double, x1 double, y1 double, score double")).collect()}
+    rows = [
+        (0, 0, 10.0, 10.0, 60.0, 60.0, 0.9),
+        (0, 1, 12.0, 11.0, 61.0, 60.0, 0.8),
+        (0, 2, 500.0, 500.0, 700.0, 700.0, 0.7),
+        (0, 3, 5.0, 5.0, 6.0, 6.0, 0.9),
+        (0, 4, 50.0, 50.0, 10.0, 10.0, 0.9),
+        (0, 5, 200.0, 200.0, 260.0, 240.0, 0.1),
+    ]
+    out = {
+        r["ord"]: tuple(r)[2:6]
+        for r in D.processed(
+            spark.createDataFrame(rows, "image long, ord long, x0 double, y0 double, x1 double, y1 double, score double")
+        ).collect()
+    }
     assert out == {0: (10.0, 10.0, 60.0, 60.0), 2: (500.0, 500.0, 512.0, 512.0), 5: (200.0, 200.0, 260.0, 240.0)}
 
 
@@ -363,7 +505,10 @@ def test_fixture_scenes(spark):
     o = CH.detect(core, X.SIDE, X.SIDE)
     region = CH.regions(CH.components(o["mask"], X.SIDE), o["difference"]).collect()
     assert [(r["x0"], r["y0"], r["x1"], r["y1"], r["pixels"]) for r in region] == [(90, 90, 170, 170, 6400)]
-    regions = {(r["scene"], r["class"]): r for r in U.class_regions(U.classes(X.optical_sar(spark), X.SIDE, X.SIDE), X.SIDE, X.SIDE).collect()}
+    regions = {
+        (r["scene"], r["class"]): r
+        for r in U.class_regions(U.classes(X.optical_sar(spark), X.SIDE, X.SIDE), X.SIDE, X.SIDE).collect()
+    }
     built = regions["built", "built_structure"]
     assert (built["x0"], built["y0"], built["x1"], built["y1"], built["pixels"], built["confidence"]) == (60, 60, 180, 180, 14400, 0.88)
     assert ("smooth", "road_or_infrastructure") in regions and ("water", "water_body") in regions and ("vegetation", "vegetation_or_cropland") in regions
@@ -374,13 +519,27 @@ def test_requests_are_executed(spark):
     from gridloom.sources import fixtures as F14
 
     asked = [
-        (1, "How much total area changed?", "optical", "optical", None, "00_core"), (2, "Is there any change?", "optical", "optical", None, "06_no_change"), (3, "Did the buildings increase over time?", "optical", "optical", None, "11_flood"),
-        (4, "dual-sensor view", "optical", "sar", None, "built"), (5, "Where is the water body?", "optical", None, None, "00_core"), (6, "What changed between these two dates?", "optical", None, None, "00_core"), (7, "Is there any change?", "optical", "optical", None, "nowhere"),
-    ]
+        (1, "How much total area changed?", "optical", "optical", None, "00_core"),
+        (2, "Is there any change?", "optical", "optical", None, "06_no_change"),
+        (3, "Did the buildings increase over time?", "optical", "optical", None, "11_flood"),
+        (4, "dual-sensor view", "optical", "sar", None, "built"),
+        (5, "Where is the water body?", "optical", None, None, "00_core"),
+        (6, "What changed between these two dates?", "optical", None, None, "00_core"),
+        (7, "Is there any change?", "optical", "optical", None, "nowhere"),
+    ]
     q = spark.createDataFrame(asked, "request long, query string, m1 string, m2 string, hint string, scene string")
     o = X.execute(q, F14.pairs(spark), F14.optical_sar(spark), F14.SIDE, F14.SIDE)
     states = {(r["request"], r["specialist"]): r["state"] for r in o["stages"].collect()}
-    assert states == {(1, "CHANGE_DETECT"): "ok", (2, "CHANGE_DETECT"): "ok", (3, "CHANGE_DETECT"): "ok", (3, "CHANGE_VQA"): "unavailable", (4, "OPTICAL_SAR_FUSION"): "ok", (5, "RS_GROUND"): "unavailable", (6, ""): "rejected", (7, "CHANGE_DETECT"): "no_input"}
+    assert states == {
+        (1, "CHANGE_DETECT"): "ok",
+        (2, "CHANGE_DETECT"): "ok",
+        (3, "CHANGE_DETECT"): "ok",
+        (3, "CHANGE_VQA"): "unavailable",
+        (4, "OPTICAL_SAR_FUSION"): "ok",
+        (5, "RS_GROUND"): "unavailable",
+        (6, ""): "rejected",
+        (7, "CHANGE_DETECT"): "no_input",
+    }
     values = {(r["request"], r["type"], r["region"]): r["value"] for r in o["items"].collect()}
     assert values[1, "statistic", None] == 6400.0 and values[1, "region", "changed_region_01"] == 6400.0 and values[2, "statistic", None] == 0.0
     assert (4, "class", "built_structure") in values and not any(r in (5, 6, 7) for r, *_ in values)
@@ -396,10 +555,25 @@ def test_requests_are_executed(spark):
 
 
 def test_semantic_answers_are_validated(spark):
-    rows = [("increased", 900, "bare", "water", 0.9), ("no_change", 900, "bare", "water", 0.9), ("odd", 0, "lava", "water", 0.9), (None, 0, "water", "water", 0.5)]
+    rows = [
+        ("increased", 900, "bare", "water", 0.9),
+        ("no_change", 900, "bare", "water", 0.9),
+        ("odd", 0, "lava", "water", 0.9),
+        (None, 0, "water", "water", 0.5),
+    ]
     df = spark.createDataFrame(rows, "d string, px long, f string, t string, c double")
-    out = [tuple(r["v"]) for r in df.select(T.semantic_validation(F.col("d"), F.col("px"), F.col("f"), F.col("t"), F.col("c"), ["bare", "water"]).alias("v")).collect()]
-    assert out == [("increased", False, 0.9, 0.1), ("modified", False, 0.9, 0.1), ("modified", True, 0.6, 0.4), ("modified", True, 0.5, 0.5)]
+    out = [
+        tuple(r["v"])
+        for r in df.select(
+            T.semantic_validation(F.col("d"), F.col("px"), F.col("f"), F.col("t"), F.col("c"), ["bare", "water"]).alias("v")
+        ).collect()
+    ]
+    assert out == [
+        ("increased", False, 0.9, 0.1),
+        ("modified", False, 0.9, 0.1),
+        ("modified", True, 0.6, 0.4),
+        ("modified", True, 0.5, 0.5),
+    ]
 
 
 def test_a_cluster_needs_a_shared_folder(spark):
@@ -430,7 +604,13 @@ def test_exact_percentiles_like_numpy(spark):
     from gridloom.operators.percentiles import exact_percentiles
 
     r = np.random.default_rng(4)
-    groups = {0: r.standard_normal(501), 1: np.full(40, 3.0), 2: np.concatenate([np.full(300, 1.0), [1e9, -1e9, 1.0000001]]), 3: np.array([7.0]), 4: r.integers(0, 5, 1000).astype(float)}
+    groups = {
+        0: r.standard_normal(501),
+        1: np.full(40, 3.0),
+        2: np.concatenate([np.full(300, 1.0), [1e9, -1e9, 1.0000001]]),
+        3: np.array([7.0]),
+        4: r.integers(0, 5, 1000).astype(float),
+    }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(0, None)]
     df = spark.createDataFrame(rows, "k long, v double").repartition(3)
     for bins in (1024, 4):
@@ -457,7 +637,9 @@ def png(a, bits, colour, filters, palette=None):
         lines.append(bytes([how]) + bytes(out))
         up = line
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
-    body = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, colour, 0, 0, 0)) + (chunk(b"PLTE", palette.astype(np.uint8).tobytes()) if palette is not None else b"")
+    body = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, colour, 0, 0, 0)) + (
+        chunk(b"PLTE", palette.astype(np.uint8).tobytes()) if palette is not None else b""
+    )
     return b"\x89PNG\r\n\x1a\n" + body + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
 
 
@@ -505,8 +687,24 @@ def tiff_parts(a, part, packed, predictor, planar, tiled):
     for p in parts:
         starts.append(at)
         at += len(p)
-    fields = [(256, 4, [w]), (257, 4, [h]), (258, 3, [16] * n), (259, 3, [packed]), (277, 3, [n]), (284, 3, [planar]), (317, 3, [predictor]), (339, 3, [1] * n), (33550, 12, [10.0, 10.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 500.0, 900.0, 0.0])]
-    fields += [(322, 4, [pw]), (323, 4, [ph]), (324, 4, starts), (325, 4, [len(p) for p in parts])] if tiled else [(273, 4, starts), (278, 4, [ph]), (279, 4, [len(p) for p in parts])]
+    fields = [
+        (256, 4, [w]),
+        (257, 4, [h]),
+        (258, 3, [16] * n),
+        (259, 3, [packed]),
+        (277, 3, [n]),
+        (284, 3, [planar]),
+        (317, 3, [predictor]),
+        (339, 3, [1] * n),
+        (33550, 12, [10.0, 10.0, 0.0]),
+        (33922, 12, [0.0, 0.0, 0.0, 500.0, 900.0, 0.0]),
+    ]
+    fields += [
+        (322, 4, [pw]),
+        (323, 4, [ph]),
+        (324, 4, starts),
+        (325, 4, [len(p) for p in parts]),
+    ] if tiled else [(273, 4, starts), (278, 4, [ph]), (279, 4, [len(p) for p in parts])]
     extra, entries = b"", []
     base = at + 2 + 12 * len(fields) + 4
     for tag, kind, v in sorted(fields):
@@ -540,7 +738,10 @@ def test_tiff_tiles_lzw_and_differences(spark, tmp_path):
         for predictor in (1, 2):
             for planar in (1, 2):
                 for tiled, part in ((False, 4), (False, 21), (True, 16)):
-                    assert np.array_equal(SR.array_of(tiff_parts(a, part, packed, predictor, planar, tiled)), a), (packed, predictor, planar, tiled)
+                    assert np.array_equal(
+                        SR.array_of(tiff_parts(a, part, packed, predictor, planar, tiled)),
+                        a,
+                    ), (packed, predictor, planar, tiled)
     big = np.random.default_rng(3).integers(0, 2**16, (1, 60, 90)).astype(np.uint16)
     assert np.array_equal(SR.array_of(tiff_parts(big, 60, 5, 1, 1, False)), big)
     (tmp_path / "a.tif").write_bytes(tiff_parts(a, 16, 5, 2, 1, True))
@@ -582,7 +783,10 @@ def test_shared_models():
 
 def test_validation_results(spark):
     df = spark.createDataFrame([(["a"], ["w"]), ([], ["w"]), ([], [])], "e array<string>, w array<string>")
-    assert [(r["v"]["ok"], r["v"]["status"]) for r in df.select(R.validation_result(F.col("e"), F.col("w")).alias("v")).collect()] == [(False, "invalid"), (True, "valid_with_warnings"), (True, "valid")]
+    assert [
+        (r["v"]["ok"], r["v"]["status"])
+        for r in df.select(R.validation_result(F.col("e"), F.col("w")).alias("v")).collect()
+    ] == [(False, "invalid"), (True, "valid_with_warnings"), (True, "valid")]
 
 
 def test_specialists(spark):
@@ -604,10 +808,16 @@ def test_fallback_and_stillness(spark):
     rows = lambda scene, n: [(scene, i // 8, i % 8) for i in range(n)]
     frame = lambda rs: spark.createDataFrame(rs, "scene long, y int, x int")
     neural, cva = frame(rows(0, 20) + rows(1, 3) + rows(2, 3) + rows(3, 0)), frame(rows(0, 30) + rows(1, 30) + rows(2, 10) + rows(3, 30))
-    pair = spark.createDataFrame([(s, i // 8, i % 8, [0.0], [1.0 if i < n else 0.0]) for s, n in enumerate((40, 40, 40, 10)) for i in range(64)], "scene long, y int, x int, a array<double>, b array<double>")
+    pair = spark.createDataFrame(
+        [(s, i // 8, i % 8, [0.0], [1.0 if i < n else 0.0]) for s, n in enumerate((40, 40, 40, 10)) for i in range(64)],
+        "scene long, y int, x int, a array<double>, b array<double>",
+    )
     out = CH.with_fallback(neural, cva, pair).groupBy("scene", "source").count().collect()
     assert sorted(map(tuple, out)) == [(0, "neural", 20), (1, "cva", 30), (2, "neural", 3)]
-    still = spark.createDataFrame([(0, 0), (5, 0), (5, 1), (None, None)], "c long, r long").select(CH.is_still(F.col("c"), F.col("r")).alias("s"))
+    still = spark.createDataFrame(
+        [(0, 0), (5, 0), (5, 1), (None, None)],
+        "c long, r long",
+    ).select(CH.is_still(F.col("c"), F.col("r")).alias("s"))
     assert [x["s"] for x in still.collect()] == [True, True, False, True]
 
 
@@ -615,4 +825,7 @@ def test_pair_scores(spark):
     """WIN6: half overlap, half phase where the overlap is known; the score's grades."""
     shift = spark.createDataFrame([(i, 0, 0, 0.0, 0.0, 0.0, 0.0, s) for i, s in enumerate((0.9, 0.9, 0.01, 0.4))], A.SHIFT)
     share = spark.createDataFrame([(0, 1.0), (2, 0.05), (3, 1.0)], "scene long, share double")
-    assert [(r["scene"], r["score"], r["grade"]) for r in A.pair_score(shift, share).orderBy("scene").collect()] == [(0, 0.95, "excellent"), (1, 0.9, "excellent"), (2, 0.1, "poor"), (3, 0.7, "good")]
+    assert [
+        (r["scene"], r["score"], r["grade"])
+        for r in A.pair_score(shift, share).orderBy("scene").collect()
+    ] == [(0, 0.95, "excellent"), (1, 0.9, "excellent"), (2, 0.1, "poor"), (3, 0.7, "good")]

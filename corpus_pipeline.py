@@ -50,7 +50,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("secret_scans", secrets), ("mixing", mixing), ("best_fit_packing", packing)]
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scans", secrets),
+    ("mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
 #: Hashes, network-free tokenizers and the packing search are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -284,6 +284,7 @@ def failure_distribution(df: DataFrame, kind: str, order: str) -> DataFrame:
     """AGG14: kind, n, primary: the kinds of failure, and which is the most frequent, the earlier by `order` of equal ones."""
     n = df.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     top = n.agg(F.max_by("kind", F.struct("n", -F.col("first"))).alias("top"))
+    # One row, the most frequent kind, beside each kind.
     return n.join(F.broadcast(top), F.lit(True)).select("kind", "n", (F.col("kind") == F.col("top")).alias("primary"))
 
 

@@ -34,11 +34,21 @@ def jn8(spark, d):
     return _docs(spark, d, "lang").join(V.table(spark, d, "labels"), "doc_id")
 
 
-@query("jn9_members_by_key", "select conv_id, max(case when turn = 0 then len(text) end) as t0, max(case when turn = 1 then len(text) end) as t1, coalesce(max(case when turn = 2 then len(text) end), -1) as t2 from conversations group by conv_id having t0 is not null and t1 is not null")
+@query(
+    "jn9_members_by_key",
+    "select conv_id, max(case when turn = 0 then len(text) end) as t0, max(case when turn = 1 then len(text) end) as t1, "
+    "coalesce(sum(case when turn > 1 then len(text) end), -1)::bigint as others from conversations group by conv_id "
+    "having t0 is not null and t1 is not null",
+)
 def jn9(spark, d):
-    """The members of a key side by side: one group-by with the names given, instead of two joins."""
-    c = V.table(spark, d, "conversations").groupBy("conv_id").pivot("turn", [0, 1, 2]).agg(F.max(F.length("text")).cast("long"))
-    return c.toDF("conv_id", "t0", "t1", "t2").where("t0 is not null and t1 is not null").fillna(-1, ["t2"])
+    """The members of a key side by side, the first two by name and all others together: one group-by instead of joins."""
+    size = F.length("text").cast("long")
+    c = V.table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, size)).alias("t0"),
+        F.max(F.when(F.col("turn") == 1, size)).alias("t1"),
+        F.coalesce(F.sum(F.when(F.col("turn") > 1, size)), F.lit(-1)).alias("others"),
+    )
+    return c.where("t0 is not null and t1 is not null")
 
 
 @query("jn13_provenance", "select doc_id, coalesce(quality, -1) as quality from documents left join labels using (doc_id)")

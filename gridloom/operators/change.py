@@ -93,39 +93,32 @@ def pixels_of(w: DataFrame) -> DataFrame:
     return w.select("scene", "y", F.explode(F.transform(set_, lambda i: (F.col("w") * BITS + i).cast("int"))).alias("x"))
 
 
-def _square(w: DataFrame, height: int, width: int, grow: bool) -> DataFrame:
-    """The 3 x 3 erosion or dilation of words. Each number goes to the lines above and below, and the bits at its ends
-    to the numbers beside it: nine rows for BITS pixels, combined before the one shuffle. What lies outside is not in the mask."""
-    last = (width - 1) // BITS
-    parts = [
-        F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw"), F.expr(bits).alias("v"))
-        for dy in (-1, 0, 1)
-        for dw, bits in ((-1, f"shiftleft(b, {BITS - 1})"), (0, "b"), (1, f"shiftrightunsigned(b, {BITS - 1})"))
-    ]
-    rows = w.select("scene", "y", "w", F.explode(F.array(*parts)).alias("p")).where("p.v != 0")
-    rows = rows.select(
-        "scene",
-        (F.col("y") + F.col("p.dy")).cast("int").alias("y"),
-        (F.col("w") + F.col("p.dw")).cast("int").alias("w"),
-        "p.*",
-    )
+def _square(w: DataFrame, height: int, width: int, radius: int, grow: bool) -> DataFrame:
+    """The erosion or dilation of words by a square of `radius` pixels about the centre. Each number goes to the lines
+    and numbers around it: some rows for BITS pixels, combined before the one shuffle. What lies outside is not in the mask."""
+    last, lines = (width - 1) // BITS, range(-radius, radius + 1)
+    near = [F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw")) for dy in lines for dw in (-1, 0, 1)]
+    rows = w.select("scene", "y", "w", "b", F.explode(F.array(*near)).alias("p"))
+    rows = rows.select("scene", (F.col("y") + F.col("p.dy")).alias("y"), (F.col("w") + F.col("p.dw")).alias("w"), "p.*", "b")
     rows = rows.where(F.col("y").between(0, height - 1) & F.col("w").between(0, last))
+    at = {(dy, dw): f"v{i}{j}" for i, dy in enumerate(lines) for j, dw in enumerate((-1, 0, 1))}
+    none = F.lit(0).cast("long")
     found = rows.groupBy("scene", "y", "w").agg(
-        *[
-            F.coalesce(F.bit_or(F.when((F.col("dy") == dy) & (F.col("dw") == dw), F.col("v"))), F.lit(0).cast("long")).alias(f"v{i}{j}")
-            for i, dy in enumerate((-1, 0, 1))
-            for j, dw in enumerate((-1, 0, 1))
-        ]
+        *[F.coalesce(F.bit_or(F.when((F.col("dy") == dy) & (F.col("dw") == dw), F.col("b"))), none).alias(n) for (dy, dw), n in at.items()]
     )
 
-    def line(i: int) -> Column:
-        # From the number on the left came its last bit, which stands at 0 here; from the one on the right its first, at the end.
-        own, left, right = (f"v{i}{j}" for j in (1, 2, 0))
-        low, high = f"(shiftleft({own}, 1) | {left})", f"(shiftrightunsigned({own}, 1) | {right})"
-        return F.expr(f"{own} | {low} | {high}" if grow else f"{own} & {low} & {high}")
-
-    join = Column.bitwiseOR if grow else Column.bitwiseAND
-    out = join(join(line(0), line(1)), line(2))
+    def line(dy: int) -> Column:
+        # What came with dw = 1 is the number on the left, whose last bits are next to this one's first.
+        own, left, right = at[dy, 0], at[dy, 1], at[dy, -1]
+        sides = []
+        for k in range(1, radius + 1):
+            sides.append(f"(shiftleft({own}, {k}) | shiftrightunsigned({left}, {BITS - k}))")
+            sides.append(f"(shiftrightunsigned({own}, {k}) | shiftleft({right}, {BITS - k}))")
+        return F.expr((" | " if grow else " & ").join([own, *sides]))
+
+    out = line(-radius)
+    for dy in lines[1:]:
+        out = out.bitwiseOR(line(dy)) if grow else out.bitwiseAND(line(dy))
     inside = (1 << ((width - 1) % BITS + 1)) - 1
     inside = inside - (1 << 64) if inside >> 63 else inside
     out = F.when(F.col("w") == last, out.bitwiseAND(F.lit(inside).cast("long"))).otherwise(out)
@@ -133,10 +126,11 @@ def _square(w: DataFrame, height: int, width: int, grow: bool) -> DataFrame:
 
 
 def opened_closed(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """WIN2: 3 x 3 opening, then closing, on numbers of BITS pixels."""
+    """WIN2: 3 x 3 opening, then closing, on numbers of BITS pixels. The two dilations between are one of twice the radius;
+    that the first is cut off at the border changes nothing, as what is nearest to it lies inside."""
     w = words(mask)
-    for grow in (False, True, True, False):
-        w = _square(w, height, width, grow)
+    for radius, grow in ((1, False), (2, True), (1, False)):
+        w = _square(w, height, width, radius, grow)
     return pixels_of(w)
 
 

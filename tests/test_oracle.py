@@ -38,4 +38,4 @@ def test_same_rows_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.SQL)))
 def test_runs_without_sql(spark, name):
-    assert q.QUERIES[name](spark, SF).columns
+    assert q.QUERIES[name](spark, SF).count() > 0

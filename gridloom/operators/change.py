@@ -33,12 +33,15 @@ def difference(pair: DataFrame) -> DataFrame:
 def thresholds(diff: DataFrame, *, sigmas: float = 1.5, least: float = 0.15, most: float = 0.65, bins: int = 128) -> DataFrame:
     """AGG6, AGG7: scene, mu, sigma, threshold. Otsu's cut (the middle of the first best bin) where the difference is spread
     (mu > 0.10 and sigma > 0.08), else mu + sigmas * sigma; clamped. A scene's histogram is at most `bins` rows."""
-    stats = diff.groupBy("scene").agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sigma"))
-    hist = diff.groupBy("scene", F.least(F.floor(F.col("d") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bin_ = F.least(F.floor(F.col("d") * bins), F.lit(bins - 1)).alias("bin")
+    hist = diff.groupBy("scene", bin_).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d1"), F.sum(F.col("d") * F.col("d")).alias("d2"))
     run, all_ = W.partitionBy("scene").orderBy("bin"), W.partitionBy("scene")
     h = hist.select(
         "scene",
         "bin",
+        "n",
+        "d1",
+        "d2",
         F.sum("n").over(run).alias("w0"),
         F.sum(F.col("bin") * F.col("n")).over(run).alias("s0"),
         F.sum("n").over(all_).alias("w"),
@@ -46,16 +49,18 @@ def thresholds(diff: DataFrame, *, sigmas: float = 1.5, least: float = 0.15, mos
     )
     w1 = F.col("w") - F.col("w0")
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1
-    h = h.where("w0 < w").withColumn("between", F.col("w0") * w1 * gap * gap)
-    otsu = h.groupBy("scene").agg(F.max_by("bin", F.struct("between", -F.col("bin"))).alias("bin"))
+    between = F.when(w1 > 0, F.struct((F.col("w0") * w1 * gap * gap).alias("between"), (-F.col("bin")).alias("first")))
+    # Mean and deviation come from the bins' own sums, so that one pass and one shuffle give all.
+    stats = h.groupBy("scene").agg(
+        (F.sum("d1") / F.sum("n")).alias("mu"),
+        (F.sum("d2") / F.sum("n")).alias("square"),
+        F.max(between).alias("best"),
+    )
+    sigma = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mu") * F.col("mu")))
+    stats = stats.select("scene", "mu", sigma.alias("sigma"), (-F.col("best.first")).alias("bin"))
     cut = F.coalesce((F.col("bin") + 0.5) / bins, F.lit(0.35))
     raw = F.when((F.col("mu") > 0.10) & (F.col("sigma") > 0.08), cut).otherwise(F.col("mu") + sigmas * F.col("sigma"))
-    return stats.join(otsu, "scene", "left").select(
-        "scene",
-        "mu",
-        "sigma",
-        F.greatest(F.lit(least), F.least(F.lit(most), raw)).alias("threshold"),
-    )
+    return stats.select("scene", "mu", "sigma", F.greatest(F.lit(least), F.least(F.lit(most), raw)).alias("threshold"))
 
 
 def raw_mask(diff: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -4,12 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
 from collections.abc import Callable, Iterator
 
-#: Chunks of text whose ids a worker remembers; all are forgotten when there are more.
-MEMORY = 700_000
 #: Longer chunks aren't remembered.
 LONGEST = 64
 #: Texts are split into chunks that many code points at a time, so that one text's chunks never stand in memory at once.
@@ -28,17 +24,14 @@ _encoders: dict = {}
 class Known(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers, worked out when first asked for."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], bytes], memory: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.memory = encode, memory
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.encode(chunk))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        ids = ids.tobytes()
+        ids = self.encode(chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= MEMORY:
+            if len(self) >= self.memory:
                 self.clear()
             self[chunk] = ids
         return ids
@@ -55,6 +48,8 @@ class Encoder:
     plain: str
     runs: str
     lower = False
+    #: Chunks of text whose ids a worker remembers; all are forgotten when there are more.
+    memory = 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,9 +57,17 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        model, spell = tokenizer.model, _spelling()
-        self.pieces = Known(lambda c: [t.id for t in model.tokenize(c.encode().decode("latin-1").translate(spell))])
-        self.others = Known(lambda c: tokenizer.encode(c, add_special_tokens=False).ids)
+        tokenize, spell = tokenizer.model.tokenize, _spelling()
+        packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+        blank = chr(spell[ord(" ")])
+
+        def of_piece(c: str) -> bytes:
+            # Of the printable characters of ASCII only the blank is written as another one.
+            c = c.replace(" ", blank) if c.isascii() and c.isprintable() else c.encode().decode("latin-1").translate(spell)
+            return b"".join([packed[t.id] for t in tokenize(c)])
+
+        self.pieces = Known(of_piece, self.memory)
+        self.others = Known(lambda c: b"".join([packed[i] for i in tokenizer.encode(c, add_special_tokens=False).ids]), self.memory)
         self.find_plain, self.find_runs = re.compile(self.plain).finditer, re.compile(self.runs).finditer
         self.odd = re.compile(f"[^{LETTERS}{OTHERS}0-9\\t-\\r ]").search
 
@@ -96,14 +99,15 @@ def _spelling() -> dict[int, int]:
 class ByteLevel(Encoder):
     """Byte-level BPE that keeps white space; a run takes the blank before it along."""
 
-    plain = f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[{OTHERS}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+"
+    plain = f" ?[{LETTERS}]+|{CONTRACTIONS}| ?[0-9]+| ?[{OTHERS}]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+"
     runs = f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
 class WordEnd(Encoder):
     """BPE with word ends over lower-cased text, which drops white space and takes digits one by one."""
 
-    plain = f"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[{OTHERS}]+"
+    memory = 500_000
+    plain = f"[{LETTERS}]+|{CONTRACTIONS}|[0-9]|[{OTHERS}]+"
     runs = f"[^{SPACES}]+"
     lower = True
 

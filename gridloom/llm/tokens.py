@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .encode import ByteLevel, Encoder, each_text, encoder
 
-TOKENS_TYPE = "doc_id long, n_tokens long, tokens array<int>"
+TOKENS_TYPE = "doc_id long, text_hash long, n_tokens long, tokens array<int>"
 #: Bytes of ids in an Arrow batch, and rows of one of the small columns.
 BATCH_BYTES = 4 << 20
 
@@ -23,22 +23,25 @@ def _encoding(kind: type[Encoder], path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(kind, path)
-        rows: list[tuple[object, bytes]] = []
+        rows: list[tuple[object, object, bytes]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(b) // 4 for _, b in rows], np.int64)
-            values = pa.array(np.frombuffer(b"".join(b for _, b in rows), "<i4"), pa.int32())
+            keys, hashes, ids = zip(*rows)
+            lengths = np.array([len(b) // 4 for b in ids], np.int64)
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
             return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], pa.int64()), pa.array(lengths), lists],
-                ["doc_id", "n_tokens", "tokens"],
+                [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lengths), lists],
+                ["doc_id", "text_hash", "n_tokens", "tokens"],
             )
 
         for b in batches:
-            for i, text in zip(b.column("doc_id"), each_text(b.column("text"))):
-                rows.append((i.as_py(), enc.ids(text) + end))
-                held += len(rows[-1][1])
+            keys, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
+            for i, h, text in zip(keys, hashes, each_text(b.column("text"))):
+                ids = enc.ids(text) + end
+                rows.append((i, h, ids))
+                held += len(ids)
                 if held >= BATCH_BYTES:
                     yield flush()
                     rows, held = [], 0
@@ -57,7 +60,7 @@ def encode_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_tokens, tokens: the ids of each whole text, then end_id, in ascending (doc_id, hash of the text) order.
+    """doc_id, text_hash, n_tokens, tokens: the ids of each whole text, then end_id, in ascending (doc_id, text_hash) order.
 
     Null text is empty and has end_id alone; a null id comes first; repeated rows are rows of their own; an empty
     table gives no rows; other columns are ignored. One shuffle, of the texts, by ranges of ids."""
@@ -65,9 +68,10 @@ def encode_documents(
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         C.texts(docs, text_col).alias("text"),
-    ).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return rows.select("doc_id", "text").mapInArrow(_encoding(kind, tokenizer_path, end_id), TOKENS_TYPE)
+    ).withColumn("text_hash", F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("text_hash"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(_encoding(kind, tokenizer_path, end_id), TOKENS_TYPE)
 
 
 def write_tokens(
@@ -98,7 +102,7 @@ def write_tokens(
 def read_tokens(
     spark: SparkSession,
     path: str,
-    columns: tuple[str, ...] = ("doc_id", "n_tokens", "tokens"),
+    columns: tuple[str, ...] = ("doc_id", "text_hash", "n_tokens", "tokens"),
     first_id: int | None = None,
     last_id: int | None = None,
 ) -> DataFrame:
@@ -118,22 +122,20 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = lists.offsets.to_numpy()
         crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("file"), b.column("at"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
-            ["doc_id", "file", "at", "n_tokens", "ids_crc32"],
+            [b.column("doc_id"), b.column("text_hash"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
+            ["doc_id", "text_hash", "n_tokens", "ids_crc32"],
         )
 
 
 def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what read_tokens gives; start is the number of ids of all documents before
-    it in the files. Rows with one id stand as they do there: by file, in the order of the writers' numbers, and row."""
-    name = F.col("_metadata.file_name")
-    number = F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0")
-    rows = tokens.select("doc_id", "tokens", F.concat(number, name).alias("file"), F.col("_metadata.row_index").alias("at"))
-    rows = C.written(rows.mapInArrow(_crc, "doc_id long, file string, at long, n_tokens long, ids_crc32 long"), "digests")
-    return C.with_prefix(
-        rows,
+    it in the files. Rows with one id stand as they do there, by text_hash; rows that have that in common, too, are alike."""
+    rows = tokens.select("doc_id", "text_hash", "tokens").mapInArrow(_crc, "doc_id long, text_hash long, n_tokens long, ids_crc32 long")
+    at = C.with_prefix(
+        C.written(rows, "digests"),
         "doc_id",
-        ("file", "at"),
+        ("text_hash",),
         "n_tokens",
-        spread=F.col("file"),
-    ).select("doc_id", "start", "n_tokens", "ids_crc32")
+        spread=F.format_string("%03d", F.shiftright("text_hash", 56) + 128),
+    )
+    return at.select("doc_id", "start", "n_tokens", "ids_crc32")

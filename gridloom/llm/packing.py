@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from .encode import Encoder, WordEnd, each_text, encoder
 
 #: Steps of the search for fewer sequences than the incumbent has: fillings looked at, used or not.
 MAX_NODES = 20_000
+#: The deepest steps of the search that keep their place among their fillings; others find it again.
+KEPT_STEPS = 32
 #: Pieces of one size are numbered within groups of about this many pieces, chosen by hash.
 GROUP_ROWS, MIN_GROUPS = 20_000, 64
 
@@ -163,10 +166,14 @@ def plan_packing(counts: np.ndarray, capacity: int, max_nodes: int = MAX_NODES)
             counts[s] += k * n
 
     nodes = 0
-    stack: list[tuple[int, int, Iterator]] = [(0, 0, options())] if counts.any() else []  # waste, sequences, fillings to try
+    # Waste and sequences so far, the fillings to try and how many were: a list a step.
+    stack: list[list] = [[0, 0, options(), 0]] if counts.any() else []
     while stack and n_best > least and nodes < max_nodes:
-        waste, used, tries = stack[-1]
+        waste, used, tries, tried = top = stack[-1]
+        if tries is None:
+            top[2] = tries = islice(options(), tried, None)
         option = next(tries, ())
+        top[3] += 1
         nodes += 1
         if option is None:
             continue
@@ -187,7 +194,9 @@ def plan_packing(counts: np.ndarray, capacity: int, max_nodes: int = MAX_NODES)
         elif seen.get(state, n_best) > used and used + least_sequences(counts, capacity) < n_best:
             seen[state] = used
             chosen.append((tuple(need.elements()), n))
-            stack.append((waste, used, options()))
+            stack.append([waste, used, options(), 0])
+            if len(stack) > KEPT_STEPS:
+                stack[-KEPT_STEPS - 1][2] = None
             continue
         put(need, n)
     return best

@@ -53,15 +53,34 @@ LONG_LIST, LEVELS = 64, 5
 #: Costs are counted in parts of 1 / UNIT of a shingle.
 UNIT = NUM + DEN
 
+#: Words whose hashes a worker remembers; a task's are forgotten at its end, so that later stages have the room.
+MAX_WORDS = 300_000
+
 _words: dict[bytes, int] = {}
 
 
+def _forget() -> None:
+    _words.clear()
+
+
+def _forgetting(run):
+    """run, over the batches of a task, whose words are forgotten at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _forget()
+
+    return task
+
+
 def shingle_set(text: str) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; with fewer than N words, of all of them as one."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 300_000:
+    if len(_words) > MAX_WORDS:
         _words.clear()
     for w in words:
         if w not in _words:
@@ -93,7 +112,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles, rarest first; at most MAX_FREQUENT numbers come to the driver."""
     seen = C.written(
-        docs.select("text").mapInArrow(_common, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT),
+        docs.select("text").mapInArrow(_forgetting(_common), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT),
         "frequent",
     )
     # The least count that leaves MAX_FREQUENT at most; counts from 10,000 on are alike here.
@@ -233,7 +252,7 @@ def _with_texts(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFram
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked ones of pairs (a, b); see _with_texts."""
-    return C.written(_with_texts(pairs, sets, texts).mapInArrow(_verify, "a long, b long"), "links")
+    return C.written(_with_texts(pairs, sets, texts).mapInArrow(_forgetting(_verify), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -420,7 +439,7 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     C.require(docs, id_col, text_col)
     text = C.texts(docs, text_col)
     given = docs.select(row_key(docs[id_col], text).alias("row"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    summary = C.written(given.mapInArrow(_summarize(frequent_shingles(given)), SUMMARY_TYPE), "summary")
+    summary = C.written(given.mapInArrow(_forgetting(_summarize(frequent_shingles(given))), SUMMARY_TYPE), "summary")
     full = summary.where("n > 0")
     sets = C.written(full.groupBy("uid").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "sets")
     texts = given.select("row", "text")
@@ -455,7 +474,7 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         if not marked.where(F.col("kind") == LONG).limit(1).count():
             break
         members = _with_texts(C.written(_hubs(marked), "members"), sets, texts)
-        rows = C.written(members.mapInArrow(_differ, DIFFERENCE_TYPE), "differences")
+        rows = C.written(members.mapInArrow(_forgetting(_differ), DIFFERENCE_TYPE), "differences")
         links = C.written(links.union(rows.where("tied").select(F.col("uid").alias("a"), F.col("hub").alias("b"))), "links")
         labels = components(links)
         entries = C.written(_differences(rows, label), "entries")

@@ -214,7 +214,7 @@ def fewest(sizes, capacity):
     return best[-1][0]
 
 
-def test_bin_completion_is_optimal():
+def test_bin_completion_is_optimal(monkeypatch):
     r = np.random.default_rng(1)
     cases = [[6, 14, 14, 19, 20, 25, 25, 28, 28, 33, 38, 44]]
     cases += [r.integers(*((1, 61), (10, 50), (20, 45), (5, 90))[i % 4], 11).tolist() for i in range(120)]
@@ -226,6 +226,10 @@ def test_bin_completion_is_optimal():
         n = sum(n for _, n in plan)
         assert n == fewest(sizes, 100), sizes
         better += n < sum(n for _, n in PK.best_fit(c, 100))
+    # Steps that find their place among the fillings again.
+    monkeypatch.setattr(PK, "KEPT_STEPS", 1)
+    for sizes in cases[:40]:
+        assert sum(n for _, n in PK.plan_packing(np.bincount(sizes, minlength=101), 100)) == fewest(sizes, 100), sizes
     assert better > 5
 
 

@@ -16,6 +16,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written_by(df: DataFrame, name: str, batch_rows: int) -> DataFrame:
+    """written, with batches of at most batch_rows rows between Spark and its Python workers: bounds what texts take there."""
+    spark = df.sparkSession
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(batch_rows))
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def texts(df: DataFrame, text_col: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))

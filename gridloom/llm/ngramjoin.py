@@ -45,6 +45,8 @@ MAX_FREQUENT, MIN_COUNT = 2_000_000, 4
 ANCHORS = 4
 #: Candidates of one query in a block, and tables of ids that are broadcast at most.
 BLOCK, MAX_BROADCAST = 256, 500_000
+#: Rows of one text, and of two, that go to a Python worker at once.
+TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2_000, 500
 #: Open lists' shingles, 8 bytes each, that are broadcast at most.
 MAX_OPEN = 2_000_000
 #: Lists of more members are long and give no pairs. Differences from hubs are taken so many times over at most; the
@@ -102,11 +104,13 @@ def needed(a: int, b: int) -> int:
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(x.as_py() or "") for x in b.column("text")]
-        every, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-        keep = np.flatnonzero(n > 1)
-        keep = keep[np.argsort(-n[keep], kind="stable")[:MAX_FREQUENT]]
-        yield pa.RecordBatch.from_arrays([pa.array(every[keep].view(np.int64)), pa.array(n[keep])], ["s", "n"])
+        every = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(x.as_py() or "") for x in b.column("text"))])
+        every.sort()
+        # A shingle met n times stands n - 1 times after itself.
+        every, n = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+        keep = np.argsort(-n, kind="stable")[:MAX_FREQUENT]
+        every, n = every[keep], n[keep] + 1
+        yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n)], ["s", "n"])
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -131,7 +135,7 @@ SUMMARY_TYPE = "row long, doc_id long, n long, uid long, anchors array<long>, pr
 
 
 def _summarize(last: np.ndarray):
-    by_value = np.argsort(last)
+    by_value = np.argsort(last).astype(np.int32)
     values = last[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +256,7 @@ def _with_texts(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFram
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked ones of pairs (a, b); see _with_texts."""
-    return C.written(_with_texts(pairs, sets, texts).mapInArrow(_forgetting(_verify), "a long, b long"), "links")
+    return C.written_by(_with_texts(pairs, sets, texts).mapInArrow(_forgetting(_verify), "a long, b long"), "links", PAIRS_AT_ONCE)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -439,7 +443,7 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     C.require(docs, id_col, text_col)
     text = C.texts(docs, text_col)
     given = docs.select(row_key(docs[id_col], text).alias("row"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    summary = C.written(given.mapInArrow(_forgetting(_summarize(frequent_shingles(given))), SUMMARY_TYPE), "summary")
+    summary = C.written_by(given.mapInArrow(_forgetting(_summarize(frequent_shingles(given))), SUMMARY_TYPE), "summary", TEXTS_AT_ONCE)
     full = summary.where("n > 0")
     sets = C.written(full.groupBy("uid").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "sets")
     texts = given.select("row", "text")
@@ -474,7 +478,7 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         if not marked.where(F.col("kind") == LONG).limit(1).count():
             break
         members = _with_texts(C.written(_hubs(marked), "members"), sets, texts)
-        rows = C.written(members.mapInArrow(_forgetting(_differ), DIFFERENCE_TYPE), "differences")
+        rows = C.written_by(members.mapInArrow(_forgetting(_differ), DIFFERENCE_TYPE), "differences", PAIRS_AT_ONCE)
         links = C.written(links.union(rows.where("tied").select(F.col("uid").alias("a"), F.col("hub").alias("b"))), "links")
         labels = components(links)
         entries = C.written(_differences(rows, label), "entries")

@@ -107,6 +107,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_docs(spark, sf_dir))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .wordpieces import encode_pieces, piece_digests
+
+    return piece_digests(encode_pieces(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 OP6_SQL = r"""
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
 s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [hash(array_to_string(ws, ' '))]
@@ -135,6 +155,24 @@ select d.doc_id, d.size, p.source_size, p.target,
 from d join p on d.source is not distinct from p.source
 """
 
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+g as (select lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, len(ws) - m + 2), lambda i: {'m': m, 'p': array_to_string(ws[i:i + m - 1], ' ')}))), recursive := true) from w),
+f as (select lang, m, p, count(*) as a from g group by all),
+n as (select lang, sum(a)::bigint as n from f where m = 1 group by lang),
+c as (select *, string_split(p, ' ') as ws from f where m > 1 and a >= 100),
+k as (select lang, m, p, a, ws, unnest(range(1, m)) as k from c),
+s as (select k.*, x.a as l, y.a as r, n.n, (1000::hugeint * k.a * n.n) // (x.a::hugeint * y.a) as score from k
+  join f x on x.lang = k.lang and x.p = array_to_string(k.ws[1:k.k], ' ') join f y on y.lang = k.lang and y.p = array_to_string(k.ws[k.k + 1:], ' ') join n on n.lang = k.lang),
+t as (select * from s qualify row_number() over (partition by lang, p order by score, k) = 1),
+i as (select lang, unnest(flatten(list_transform(range(2, m), lambda j: list_transform(range(1, m - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))))) as p, a from c),
+j as (select lang, p, max(a) as longer from i group by all),
+o as (select t.lang, t.p as phrase, t.a, t.l, t.r, t.n, t.score::bigint as score from t left join j on j.lang = t.lang and j.p = t.p where longer is null or 100 * longer < 100 * t.a),
+q as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
+select lang, rank, phrase, a, l, r, n, score from q where rank <= 2000
+"""
+
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
@@ -147,5 +185,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
+    "op11_collocations": op11_collocations,
+    "op12_resampling": op12_resampling,
+    "op13_wordpieces": op13_wordpieces,
 }
-SQL = {"op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}
+SQL = {"op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op11_collocations": OP11_SQL}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHIFT = "scene long, dy int, dx int, peak double, psr double, ncc double, consensus double, score double"
@@ -104,3 +105,24 @@ def tiled(img: DataFrame, height: int, width: int, tile: int, model: Callable[[D
     starts = lambda c, n: F.explode(F.filter(F.lit(tile_starts(n, tile)), lambda s: (F.col(c) >= s) & (F.col(c) < s + tile)))
     out = model(img.withColumn("ty", starts("y", height)).withColumn("tx", starts("x", width)))
     return out.groupBy("scene", "y", "x").agg(F.avg("v").alias("v"))
+
+
+def training_tiles(
+    img: DataFrame,
+    height: int,
+    width: int,
+    tile: tuple[int, int],
+    *,
+    least_changed: int = 50,
+    most_still: int = 40,
+    measures: dict[str, Column] | None = None,
+) -> DataFrame:
+    """WIN8: scene, ty, tx, pixels, changed and the measures of the tiles that don't overlap and lie wholly in the image
+    (scene, y, x, changed): all with least_changed changed pixels, and of the others each scene's first most_still in
+    order of lines and columns."""
+    whole = img.where((F.col("y") < height // tile[0] * tile[0]) & (F.col("x") < width // tile[1] * tile[1]))
+    at = [F.floor(F.col(c) / n).alias(f"t{c}") for c, n in zip("yx", tile)]
+    tiles = whole.groupBy("scene", *at).agg(F.count(F.lit(1)).alias("pixels"), F.count_if("changed").alias("changed"), *[m.alias(n) for n, m in (measures or {}).items()])
+    still = F.col("changed") < least_changed
+    first = W.partitionBy("scene", still).orderBy("ty", "tx")
+    return tiles.withColumn("n", F.row_number().over(first)).where(~still | (F.col("n") <= most_still)).drop("n")

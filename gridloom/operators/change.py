@@ -30,11 +30,17 @@ def difference(pair: DataFrame) -> DataFrame:
     return d.join(top, "scene").select("scene", "y", "x", (F.col("d") / F.greatest("top", F.lit(1e-6))).alias("d"))
 
 
-def thresholds(diff: DataFrame, *, sigmas: float = 1.5, least: float = 0.15, most: float = 0.65, bins: int = 128) -> DataFrame:
-    """AGG6, AGG7: scene, mu, sigma, threshold. Otsu's cut (the middle of the first best bin) where the difference is spread
-    (mu > 0.10 and sigma > 0.08), else mu + sigmas * sigma; clamped. A scene's histogram is at most `bins` rows."""
+def thresholds(diff: DataFrame, *, bins: int = 128, **options) -> DataFrame:
+    """AGG6, AGG7: scene, mu, sigma, threshold of differences in 0..1; see thresholds_of."""
     bin_ = F.least(F.floor(F.col("d") * bins), F.lit(bins - 1)).alias("bin")
     hist = diff.groupBy("scene", bin_).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d1"), F.sum(F.col("d") * F.col("d")).alias("d2"))
+    return thresholds_of(hist, bins=bins, **options)
+
+
+def thresholds_of(hist: DataFrame, *, sigmas: float = 1.5, least: float = 0.15, most: float = 0.65, bins: int = 128) -> DataFrame:
+    """scene, mu, sigma, threshold of histograms (scene, bin, n, d1, d2), d1 and d2 being the sums of the differences and of
+    their squares. Otsu's cut (the middle of the first best bin) where the difference is spread (mu > 0.10 and sigma > 0.08),
+    else mu + sigmas * sigma; clamped. A scene's histogram is at most `bins` rows."""
     run, all_ = W.partitionBy("scene").orderBy("bin"), W.partitionBy("scene")
     h = hist.select(
         "scene",

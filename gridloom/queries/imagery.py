@@ -61,9 +61,9 @@ def map3(spark, d):
 _IX = "case when {g} * 2.0::double + r + b > 1e-6::double then {g} * 2.0::double + r + b else 1e-6::double end"
 
 
-@query("map6_indices", V.with_views("os") + """ select scene, y, x, (2.0::double * g - r - b) / greatest(2.0::double * g + r + b, 1e-6::double) as exg, greatest(r, g, b) as lightness, b / greatest(r + g + b, 1e-6::double) as blue_ratio, r / greatest(r + g + b, 1e-6::double) as red_ratio from os""")
+@query("map6_indices", V.with_views("ost") + """ select scene, y, x, (2.0::double * g - r - b) / greatest(2.0::double * g + r + b, 1e-6::double) as exg, greatest(r, g, b) as lightness, b / greatest(r + g + b, 1e-6::double) as blue_ratio, r / greatest(r + g + b, 1e-6::double) as red_ratio from os""")
 def map6(spark, d):
-    p = V.optical_sar(spark, d)
+    p = V.each_optical_sar(spark, d)
     return p.select("scene", "y", "x", *[v.alias(k) for k, v in P.indices(F.col("r"), F.col("g"), F.col("b")).items()])
 
 
@@ -73,16 +73,21 @@ def map7(spark, d):
     return p.select("scene", "t", "band", "y", "x", F.round(P.unit(F.col("v"), low, high), 9).alias("u"))
 
 
+def levels(spark: SparkSession, d: str) -> DataFrame:
+    """scene, y, x, v: each band of each time as a scene of whole numbers."""
+    p = V.pixels(spark, d).select("scene", "t", "y", "x", F.posexplode("bands").alias("i", "u"))
+    return p.select(((F.col("scene") * 2 + F.col("t")) * 4 + F.col("i")).alias("scene"), "y", "x", F.floor((F.col("u") + 1.0) * 127.0).alias("v"))
+
+
 _TRI = lambda n, m: f"(select i, s, greatest(0.0::double, 1.0::double - abs((s + 0.5::double - (i + 0.5::double) * {n / m}::double) / {max(1.0, n / m)}::double)) as k from (select unnest(range({m})) as i) a, (select unnest(range({n})) as s) b where s >= floor((i + 0.5::double) * {n / m}::double - {max(1.0, n / m)}::double + 0.5::double) and s < floor((i + 0.5::double) * {n / m}::double + {max(1.0, n / m)}::double + 0.5::double))"
 
 
-@query("map9_bilinear_resize", V.with_views("px") + f""", v as (select scene * 2 + t as scene, y, x, floor((bands[1] + 1.0::double) * 127.0::double) as v from px), wx as {_TRI(16, 40)}, wy as {_TRI(50, 20)},
+@query("map9_bilinear_resize", V.with_views("px") + f""", v as (select (scene * 2 + t) * 4 + i.i as scene, y, x, floor((bands[i.i + 1] + 1.0::double) * 127.0::double) as v from px, (select unnest([0, 1, 2, 3]) as i) i), wx as {_TRI(16, 40)}, wy as {_TRI(50, 20)},
 hz as (select scene, y, i as x, floor(round(sum(v * k) / sum(k), 9) + 0.5::double) as v from v join wx on wx.s = v.x group by scene, y, i)
 select scene, i::int as y, x::int as x, floor(round(sum(v * k) / sum(k), 9) + 0.5::double)::bigint as v from hz join wy on wy.s = hz.y group by scene, i, x""")
 def map9(spark, d):
-    """Both times of every scene from 50 x 16 to 20 x 40: one side smaller, one larger."""
-    v = V.pixels(spark, d).select((F.col("scene") * 2 + F.col("t")).alias("scene"), "y", "x", F.floor((_b(0) + 1.0) * 127.0).alias("v"))
-    return A.resize_bilinear(v, (H, WIDTH), (20, 40))
+    """All bands of both times of every scene from 50 x 16 to 20 x 40: one side smaller, one larger."""
+    return A.resize_bilinear(levels(spark, d), (H, WIDTH), (20, 40))
 
 
 @query("map9_nearest_mask_resize", V.with_views("px") + """, g as (select y.y::int as y, x.x::int as x, floor((y.y + 0.5::double) * 50 / 25)::int as sy, floor((x.x + 0.5::double) * 16 / 32)::int as sx from (select unnest(range(25)) as y) y, (select unnest(range(32)) as x) x)
@@ -105,28 +110,29 @@ def map9_nearest(spark, d):
     )
 
 
-@query("map23_centre_crop", V.with_views("px") + " select scene, t, (y - 19)::int as y, (x - 2)::int as x, bands[1] as v from px where y >= 19 and y < 31 and x >= 2 and x < 14")
+@query("map23_centre_crop", V.with_views("px") + " select scene, t, (y - 19)::int as y, (x - 2)::int as x, bands[1] as b1, bands[2] as b2, bands[3] as b3, bands[4] as b4 from px where y >= 19 and y < 31 and x >= 2 and x < 14")
 def map23(spark, d):
     inside, y, x = B.centre_crop(F.col("y"), F.col("x"), H, WIDTH, 12)
-    return V.pixels(spark, d).where(inside).select("scene", "t", y.alias("y"), x.alias("x"), _b(0).alias("v"))
+    return V.pixels(spark, d).where(inside).select("scene", "t", y.alias("y"), x.alias("x"), *[_b(i).alias(f"b{i + 1}") for i in range(4)])
 
 
-@query("map18_overlay", V.with_views("px") + " select scene, y, x, floor(least(greatest(bands[1], 0), 1) * 255.0::double * 0.5::double + 255.0::double * 0.5::double)::int as red from px where t = 0")
+@query("map18_overlay", V.with_views("px") + " select scene, t, y, x, floor(least(greatest(bands[1], 0), 1) * 255.0::double * 0.5::double + 255.0::double * 0.5::double)::int as red from px")
 def map18(spark, d):
-    return V.pixels(spark, d).where("t = 0").select(
+    return V.pixels(spark, d).select(
         "scene",
+        "t",
         "y",
         "x",
         P.blend(F.least(F.greatest(_b(0), F.lit(0.0)), F.lit(1.0)) * 255.0, 255.0, 0.5).alias("red"),
     )
 
 
-@query("jn1_jn2_aligned_grid", V.with_views("px") + """ select p.scene, p.y, p.x, p.bands[1] as a0, q.bands[1] as b0 from px p join px q on p.scene = q.scene and p.y = q.y + 3 and p.x = q.x + 2 where p.t = 0 and q.t = 1""")
+@query("jn1_jn2_aligned_grid", V.with_views("px") + """ select p.scene, p.y, p.x, p.bands[1] as a1, p.bands[2] as a2, p.bands[3] as a3, p.bands[4] as a4, q.bands[1] as b1, q.bands[2] as b2, q.bands[3] as b3, q.bands[4] as b4 from px p join px q on p.scene = q.scene and p.y = q.y + 3 and p.x = q.x + 2 where p.t = 0 and q.t = 1""")
 def jn1(spark, d):
     """Grids of equal pixels whose origins differ by whole pixels (3 lines, 2 columns): an equi-join on the shifted index."""
     p = V.pixels(spark, d)
-    q = p.where("t = 1").select("scene", (F.col("y") + 3).alias("y"), (F.col("x") + 2).alias("x"), _b(0).alias("b0"))
-    return p.where("t = 0").select("scene", "y", "x", _b(0).alias("a0")).join(q, ["scene", "y", "x"])
+    q = p.where("t = 1").select("scene", (F.col("y") + 3).alias("y"), (F.col("x") + 2).alias("x"), *[_b(i).alias(f"b{i + 1}") for i in range(4)])
+    return p.where("t = 0").select("scene", "y", "x", *[_b(i).alias(f"a{i + 1}") for i in range(4)]).join(q, ["scene", "y", "x"])
 
 
 def difference_sql(pair: str, height: int, width: int, bands: int) -> str:
@@ -244,12 +250,12 @@ _RO_STEPS = _ROUGH.format(n=16).replace("mx", "wx") + _ROUGH.format(n=50).replac
 r2 as (select scene, wy.i as y, x, sum(s) as s, sum(q) as q from r1 join wy on wy.j = r1.y group by 1, 2, 3), ro as (select scene, y::int as y, x::int as x, sqrt(greatest(0, q / 25.0::double - (s / 25.0::double) * (s / 25.0::double))) as rough from r2)"""
 
 
-_RO = V.with_views("os") + _RO_STEPS
+_RO = V.with_views("ost") + _RO_STEPS
 
 
 @query("win1_roughness", _RO + " select scene, y, x, round(rough, 6) as rough from ro")
 def win1(spark, d):
-    return CH.roughness(V.optical_sar(spark, d), H, WIDTH).select("scene", "y", "x", F.round("rough", 6).alias("rough"))
+    return CH.roughness(V.each_optical_sar(spark, d), H, WIDTH).select("scene", "y", "x", F.round("rough", 6).alias("rough"))
 
 
 CLASS_STEPS = _RO_STEPS + """, f as (select os.*, round(rough, 6) as rough, (2.0::double * g - r - b) / greatest(2.0::double * g + r + b, 1e-6::double) as exg, greatest(r, g, b) as l, b / greatest(r + g + b, 1e-6::double) as br, r / greatest(r + g + b, 1e-6::double) as rr from os join ro using (scene, y, x)),
@@ -258,11 +264,11 @@ when exg >= 0.06 and g > r and sar >= 0.15 and sar <= 0.75 then 'vegetation_or_c
 when r > g and g >= b and rr >= 0.34 and sar >= 0.15 and sar <= 0.50 and rough <= 0.12 then 'bare_ground_or_soil' else 'unknown' end as class from f)"""
 
 
-_CLS = V.with_views("os") + CLASS_STEPS
+_CLS = V.with_views("ost") + CLASS_STEPS
 
 
 def _classes(spark, d):
-    return U.classes(V.optical_sar(spark, d), H, WIDTH)
+    return U.classes(V.each_optical_sar(spark, d), H, WIDTH)
 
 
 @query("cmp4_classes", _CLS + " select scene, y, x, class from k")
@@ -350,10 +356,11 @@ def agg4_regions(spark, d):
     return r.select("scene", "class", "label", "x0", "y0", "x1", "y1", "pixels", "confidence", "sar", "rough", "coverage_pct")
 
 
-@query("win7_tiles_with_overlap", V.with_views("px") + """, t as (select unnest([0, 20, 30]) as o), m as (select scene, px.t, o, avg(bands[1]) as m from px, t where y >= o and y < o + 20 group by all) select px.scene * 2 + px.t as scene, px.y, px.x, round(avg(bands[1] - m), 6) as v from px join t on px.y >= o and px.y < o + 20 join m on m.scene = px.scene and m.t = px.t and m.o = t.o group by all""")
+@query("win7_tiles_with_overlap", V.with_views("px") + """, b as (select (scene * 2 + t) * 4 + i.i as scene, y, x, bands[i.i + 1] as u from px, (select unnest([0, 1, 2, 3]) as i) i), t as (select unnest([0, 20, 30]) as o), m as (select scene, o, avg(u) as m from b, t where y >= o and y < o + 20 group by all) select b.scene, b.y, b.x, round(avg(u - m), 6) as v from b join t on b.y >= o and b.y < o + 20 join m on m.scene = b.scene and m.o = t.o group by all""")
 def win7(spark, d):
     """Tiles of 20 x 20 (16 columns wide, as the image is), the last re-anchored to the edge; the model takes each tile's mean off its pixels."""
-    p = V.pixels(spark, d).select((F.col("scene") * 2 + F.col("t")).alias("scene"), "y", "x", _b(0).alias("u"))
+    p = V.pixels(spark, d).select("scene", "t", "y", "x", F.posexplode("bands").alias("i", "u"))
+    p = p.select(((F.col("scene") * 2 + F.col("t")) * 4 + F.col("i")).alias("scene"), "y", "x", "u")
 
     def model(tiles):
         key = ["scene", "ty", "tx"]
@@ -362,12 +369,10 @@ def win7(spark, d):
     return A.tiled(p, H, WIDTH, 20, model).withColumn("v", F.round("v", 6))
 
 
-@query("win8_whole_tiles", V.with_views("px") + " select scene, (y // 12)::bigint as ty, (x // 6)::bigint as tx, count(*) as n, round(max(bands[1]), 6) as top from px where t = 0 and y < 48 and x < 12 group by all")
+@query("win8_whole_tiles", V.with_views("px") + """, v as (select scene * 2 + t as scene, y, x, bands[1] as v, bands[2] > 0.2 as m from px where y < 48 and x < 12), t as (select scene, (y // 12)::bigint as ty, (x // 6)::bigint as tx, count(*) as pixels, count(*) filter (where m) as changed, round(max(v), 6) as top from v group by all),
+k as (select *, changed >= 3 as keep, row_number() over (partition by scene, changed >= 3 order by ty, tx) as n from t) select scene, ty, tx, pixels, changed, top from k where keep or n <= 2""")
 def win8(spark, d):
-    """Tiles that don't overlap; what is left over at the edges is dropped."""
-    p = V.pixels(spark, d).where("t = 0 and y < 48 and x < 12")
-    return p.groupBy(
-        "scene",
-        F.floor(F.col("y") / 12).alias("ty"),
-        F.floor(F.col("x") / 6).alias("tx"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(_b(0)), 6).alias("top"))
+    """Tiles that don't overlap, those with change and a few without; what is left over at the edges is dropped."""
+    p = V.pixels(spark, d).select((F.col("scene") * 2 + F.col("t")).alias("scene"), "y", "x", _b(0).alias("v"), (_b(1) > 0.2).alias("changed"))
+    t = A.training_tiles(p, H, WIDTH, (12, 6), least_changed=3, most_still=2, measures={"top": F.round(F.max("v"), 6)})
+    return t.select("scene", "ty", "tx", "pixels", "changed", "top")

@@ -65,6 +65,13 @@ def optical_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def each_optical_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """optical_sar of both times, each a scene of its own: scene * 2 + time."""
+    u = lambda i: (F.get("bands", F.lit(i)) + 1.0) / 2.0
+    names = ("r", "g", "b", "sar")
+    return pixels(spark, sf_dir).select((F.col("scene") * 2 + F.col("t")).alias("scene"), "y", "x", *[u(i).alias(n) for i, n in enumerate(names)])
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, ord, x0, y0, x1, y1, score in a 512 x 512 image: an order's lines."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -85,12 +92,13 @@ SQL = {
     "pair": "pair as (select p.scene, p.y, p.x, p.bands as a, q.bands as b from px p join px q using (scene, y, x) where p.t = 0 and q.t = 1)",
     "cpair": "cpair as (select scene, y, x, a, case when scene % 4 <> 0 and y >= 8 + scene % 7 and y < 28 + scene % 9 and x >= 2 + scene % 3 and x < 12 then list_transform(b, lambda z: z + 1.5::double) else b end as b from pair)",
     "os": "os as (select scene, y, x, (bands[1] + 1.0::double) / 2.0::double as r, (bands[2] + 1.0::double) / 2.0::double as g, (bands[3] + 1.0::double) / 2.0::double as b, (bands[4] + 1.0::double) / 2.0::double as sar from px where t = 0)",
+    "ost": "os as (select scene * 2 + t as scene, y, x, (bands[1] + 1.0::double) / 2.0::double as r, (bands[2] + 1.0::double) / 2.0::double as g, (bands[3] + 1.0::double) / 2.0::double as b, (bands[4] + 1.0::double) / 2.0::double as sar from px)",
     "bx": "bx as (select l_orderkey as image, l_linenumber as ord, (l_partkey % 400)::double as x0, (l_suppkey * 37 % 400)::double as y0, (l_partkey % 400) + l_quantity * 4 as x1, (l_suppkey * 37 % 400) + l_quantity * 3 as y1, l_discount as score from lineitem)",
 }
 
 
 def with_views(*names: str) -> str:
     """A WITH clause of the views; a query's own may follow after a comma."""
-    need = {"pair": ["px", "pair"], "cpair": ["px", "pair", "cpair"], "os": ["px", "os"]}
+    need = {"pair": ["px", "pair"], "cpair": ["px", "pair", "cpair"], "os": ["px", "os"], "ost": ["px", "ost"]}
     order = [v for n in names for v in need.get(n, [n])]
     return "with " + ", ".join(SQL[v] for v in dict.fromkeys(order))

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from . import common as C
 
 #: Words of a block, whose arrays stand in memory at once, bytes of text split into words at once, and words whose CRC a
@@ -195,19 +195,6 @@ def _weighing(gain: np.ndarray, longest: int):
     return run
 
 
-def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with rank from 1 on in this order; rows is a written table. Ranges of the order are numbered each by itself,
-    and a row a range tells how many stand before it; equal rows stand in any order and may be cut."""
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(*order, "row").sortWithinPartitions(*order, "row").withColumn("at", F.monotonically_increasing_id())
-    rows = C.written(rows.drop("row").withColumns({"range": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)}), "in_order")
-    # As many rows as there are partitions.
-    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(sizes), "range").withColumn("rank", F.col("at") + F.col("before") + 1).drop("range", "at", "before")
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,

@@ -1,13 +1,7 @@
-"""Manifests, archives of samples, directory pairs, and report sinks."""
+"""Manifests, directory pairs, and report sinks."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,33 +27,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """SRC7, SRC8: members of tar and zip archives: archive, key (name to the first dot), ext, content. An archive that
-    can't be read gives one row with a null key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, c in zip(b["path"], b["content"]):
-                rows = []
-                try:
-                    if zipfile.is_zipfile(io.BytesIO(c)):
-                        z = zipfile.ZipFile(io.BytesIO(c))
-                        files = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-                    else:
-                        t = tarfile.open(fileobj=io.BytesIO(c))
-                        files = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-                    for name, data in files:
-                        folder, _, base = name.rpartition("/")
-                        key, _, ext = base.partition(".")
-                        rows.append((p, f"{folder}/{key}" if folder else key, ext, data))
-                except (tarfile.TarError, zipfile.BadZipFile, OSError):
-                    rows.append((p, None, None, None))
-                yield pd.DataFrame(rows, columns=["archive", "key", "ext", "content"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, key string, ext string, content binary")
-
-
 def pair_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC11: files t1.* and t2.* of a folder, or of the same name in folders A and B: sample, t1, t2. Contents aren't read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")

@@ -19,6 +19,8 @@ from gridloom.operators import routing as R
 from gridloom.operators import scoring as S
 from gridloom.plans import registry as P
 from gridloom.sources import documents as SD
+from gridloom.sources import archives as AR
+from gridloom.sources import blocks as BL
 from gridloom.sources import raster as SR
 
 
@@ -296,7 +298,7 @@ def test_raster_files(spark, tmp_path):
     ) == (4, "float32", "EPSG:32643", [10.0, 0.0, 725000.0, 0.0, -10.0, 3130000.0])
     assert (h["d.png"]["width"], h["d.png"]["n_bands"]) == (5, 3)
     assert (h["c.tif"]["error_kind"], h["e.txt"]["error_kind"]) == ("corrupted", "unreadable")
-    got = {(r["path"][-5:], r["y"], r["x"]): r["value"] for r in SR.read_bands(spark, str(tmp_path), pattern="*.tif").collect()}
+    got = {(r["path"][-5:], r["y"], r["x"]): r["value"] for r in BL.read_bands(spark, str(tmp_path), pattern="*.tif").collect()}
     assert len(got) == 18 and got["b.tif", 1, 2] == 5.0 and abs(got["a.tif", 2, 3] - 11 / 7) < 1e-6
 
 
@@ -316,7 +318,7 @@ def test_manifests_and_archives(spark, tmp_path):
             i.size = 2
             t.addfile(i, io.BytesIO(b"hi"))
     (tmp_path / "bad.tar").write_bytes(b"nope")
-    got = sorted((r["key"] or "", r["ext"] or "") for r in SD.read_members(spark, str(tmp_path), "*.tar").collect())
+    got = sorted((r["key"] or "", r["ext"] or "") for r in AR.read_members(spark, str(tmp_path), "*.tar").collect())
     assert got == [("", ""), ("x", "0.img"), ("x", "json")]
 
 
@@ -727,7 +729,7 @@ def test_png_samples(spark, tmp_path):
             assert np.array_equal(SR.array_of(png(a, bits, colour, filters, palette)), want), (bits, colour, filters)
     (tmp_path / "a.png").write_bytes(png(rgb, 8, 2, [4, 1]))
     (tmp_path / "b.png").write_bytes(png(rgb, 8, 2, [0])[:60])
-    rows = SR.read_bands(spark, str(tmp_path), [2]).collect()
+    rows = BL.read_bands(spark, str(tmp_path), [2]).collect()
     assert {(x["y"], x["x"]): x["value"] for x in rows} == {(y, x): float(rgb[y, x, 1]) for y in range(7) for x in range(9)}
 
 

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import assembly, boxes, corpora, fixtures, imagery, judging, language, tiled  # noqa: F401
+    from . import assembly, boxes, corpora, fixtures, imagery, judging, language, tiled, validating  # noqa: F401

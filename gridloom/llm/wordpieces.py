@@ -8,8 +8,7 @@ the ids are read off the table from the end. The work is linear in the text howe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +21,31 @@ from .encode import SLICE, Known, each_text
 #: How a blank is written in pieces.
 BLANK = "▁"
 #: Chunks of text and pairs of tokens that a worker remembers; all are forgotten when there are more.
-CHUNKS, PAIRS = 400_000, 500_000
+CHUNKS, PAIRS = 600_000, 1_000_000
 #: Bytes of ids and texts in an Arrow batch.
 BATCH_BYTES = 4 << 20
-UNKNOWN = -1
+UNKNOWN, NEVER = -1, float("inf")
+
+
+def _alike(pieces: Iterable[str]) -> list[set[str]]:
+    """The pieces' characters in sets, such that characters side by side in a piece, blanks aside, are of one set."""
+    of: dict[str, set[str]] = {}
+    for p in pieces:
+        p = p.lstrip(BLANK)
+        sets = {id(x): x for x in (of.get(c) for c in p) if x is not None}.values()
+        one = max(sets, key=len, default=set())
+        for c in [*p, *(c for x in sets if x is not one for c in x)]:
+            one.add(c)
+            of[c] = one
+    return list({id(x): x for x in of.values()}.values())
 
 
 class PieceEncoder:
     """ids(text) as the library's encode(text) gives them, decode(ids) as its decode does.
 
-    No piece holds a blank after another character, so that a text falls into chunks of blanks and what follows them, and
-    a chunk met again costs one look-up."""
-
-    chunk = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+    No piece holds a blank after another character, nor two characters side by side of which chains of pieces don't lead
+    from one to the other. So a text falls into chunks of blanks and what follows them, letters or others, and a chunk met
+    again costs one look-up."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -52,6 +63,8 @@ class PieceEncoder:
             raise ValueError("the model changes texts beyond blanks, or has no byte pieces")
         if not letters <= self.merges.keys() or any(BLANK in p.lstrip(BLANK) for p in self.merges):
             raise ValueError("a piece holds a character that is none itself, or a blank within")
+        alike = re.escape("".join(max(_alike(self.merges), key=len)))
+        self.chunk = re.compile(f"{BLANK}*(?:[{alike}]+|[^{BLANK}{alike}]+)|{BLANK}+")
         self.automaton = ahocorasick.Automaton()
         for i, p in self.pieces.items():
             self.automaton.add_word(p, (i, len(p)))
@@ -66,32 +79,42 @@ class PieceEncoder:
 
     def merged(self, text: str) -> list[str]:
         """What merging leaves of a short text, step by step."""
-        parts = list(text)
-        while True:
-            best = min(((s, i) for i in range(len(parts) - 1) if (s := self.merges.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        parts, of = list(text), self.merges.get
+        costs = [of(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while costs:
+            best = min(costs)
+            if best == NEVER:
+                break
+            i = costs.index(best)
+            parts[i] += parts.pop(i + 1)
+            costs.pop(i)
+            if i:
+                costs[i - 1] = of(parts[i - 1] + parts[i], NEVER)
+            if i < len(costs):
+                costs[i] = of(parts[i] + parts[i + 1], NEVER)
+        return parts
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token b stays itself after token a; a is UNKNOWN where nothing that merges stands before b."""
-        key = (a + 1) << 32 | b
-        found = self.stable.get(key)
-        if found is None:
-            if len(self.stable) >= PAIRS:
-                self.stable.clear()
-            parts = [self.pieces[b]] if a == UNKNOWN else [self.pieces[a], self.pieces[b]]
-            found = self.stable[key] = self.merged("".join(parts)) == parts
-        return found
+        parts = [self.pieces[b]] if a == UNKNOWN else [self.pieces[a], self.pieces[b]]
+        text = "".join(parts)
+        return not (len(parts) == 2 and text in self.merges) and self.merged(text) == parts
 
     def chunk_ids(self, chunk: str) -> list[int]:
-        last, lengths = [UNKNOWN] * (len(chunk) + 1), [1] * (len(chunk) + 1)
-        for end, found in groupby(self.automaton.iter(chunk), key=lambda x: x[0]):
-            for _, (token, length) in found:
-                if self.compatible(last[end + 1 - length], token):
-                    last[end + 1], lengths[end + 1] = token, length
-                    break
+        last, lengths, stable = [UNKNOWN] * (len(chunk) + 1), [1] * (len(chunk) + 1), self.stable
+        # The automaton gives the longest of the tokens that end at a place first.
+        for end, (token, length) in self.automaton.iter(chunk):
+            if last[end + 1] != UNKNOWN:
+                continue
+            before = last[end + 1 - length]
+            key = (before + 1) << 20 | token
+            fits = stable.get(key)
+            if fits is None:
+                if len(stable) >= PAIRS:
+                    stable.clear()
+                fits = stable[key] = self.compatible(before, token)
+            if fits:
+                last[end + 1], lengths[end + 1] = token, length
         ids, at = [], len(chunk)
         while at:
             if last[at] == UNKNOWN:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from .passages import leaks
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -41,54 +39,6 @@ def split(df: DataFrame, n_val: int, seed: str, key: str) -> DataFrame:
     ).drop("cut")
 
 
-#: Code points of passages in one automaton.
-MAX_PASSAGES = 20_000_000
-
-
-def _searcher(passages: list[tuple[int, str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        by_text: dict[str, list[int]] = {}
-        for i, p in passages:
-            by_text.setdefault(p, []).append(i)
-        automaton = ahocorasick.Automaton()
-        for p, ids in by_text.items():
-            if p:
-                automaton.add_word(p, ids)
-        automaton.make_automaton()
-        everywhere = by_text.get("", [])
-        for b in batches:
-            doc, item = [], []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                found = set(everywhere)
-                if len(automaton):
-                    for _, ids in automaton.iter(text.as_py()):
-                        found.update(ids)
-                doc += [i] * len(found)
-                item += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64())], ["doc_id", "item_id"])
-
-    return run
-
-
-def leaks(samples: DataFrame, frozen: DataFrame) -> DataFrame:
-    """FLT18: doc_id, item_id of a sample whose text holds a frozen passage (item_id, passage).
-
-    One automaton of all passages reads each text once, whatever their number; passages of over MAX_PASSAGES code
-    points in all are dealt to as many automata as that takes, each of which reads the texts. A null text or passage
-    holds nothing, an empty passage is in every text."""
-    rows = samples.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    given = frozen.where("passage is not null").select(F.col("item_id").cast("long").alias("item_id"), "passage")
-    parts = -(-(given.agg(F.sum(F.length("passage"))).first()[0] or 0) // MAX_PASSAGES) or 1
-    out = None
-    for k in range(parts):
-        mine = [(r["item_id"], r["passage"]) for r in given.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).toLocalIterator()]
-        one = rows.mapInArrow(_searcher(mine), "doc_id long, item_id long")
-        out = one if out is None else out.union(one)
-    return out
-
-
 def repeated(df: DataFrame, times: int) -> DataFrame:
     """SET4."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))

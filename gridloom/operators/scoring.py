@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _zero = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
@@ -19,6 +20,33 @@ def confusion(joined: DataFrame, *keys: str, truth: str = "truth", pred: str = "
     )
 
 
+def sweep(scores: DataFrame, *, bins: int = 128) -> DataFrame:
+    """BEN5, AGG8, AGG9: candidate, bin, threshold, tp, fp, fn, tn, precision, recall, f1, iou of scores (candidate, truth, score
+    in 0..1) at the thresholds bin / bins, a score of which or more says yes. One scan gives a histogram a candidate and
+    truth; the confusion at every threshold is its sums from the top, over `bins` rows a candidate."""
+    at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
+    hist = scores.where("truth is not null and score is not null").groupBy("candidate", at.alias("bin")).agg(F.count_if("truth").alias("yes"), F.count_if(~F.col("truth")).alias("no"))
+    every = hist.select("candidate").distinct().select("candidate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    hist = every.join(hist, ["candidate", "bin"], "left").fillna(0, ["yes", "no"])
+    up, all_ = W.partitionBy("candidate").orderBy(F.desc("bin")), W.partitionBy("candidate")
+    tp, fp = F.sum("yes").over(up), F.sum("no").over(up)
+    c = hist.select("candidate", "bin", tp.alias("tp"), fp.alias("fp"), (F.sum("yes").over(all_) - tp).alias("fn"), (F.sum("no").over(all_) - fp).alias("tn"))
+    tp, fp, fn = (F.col(k).cast("double") for k in ("tp", "fp", "fn"))
+    p, r = _zero(tp, tp + fp), _zero(tp, tp + fn)
+    metrics = {"precision": p, "recall": r, "f1": _zero(2.0 * tp, 2.0 * tp + fp + fn), "iou": _zero(tp, tp + fp + fn)}
+    return c.withColumn("threshold", F.col("bin") / F.lit(float(bins))).withColumns({k: F.round(v, 6) for k, v in metrics.items()})
+
+
+def best_of(swept: DataFrame, metric: str = "f1") -> DataFrame:
+    """Each candidate's threshold of the greatest metric, of equals the greatest threshold, with what it gives there, and the
+    differences to the best candidate: d_<metric>. A row a candidate."""
+    names = ["threshold", "precision", "recall", "f1", "iou"]
+    best = swept.groupBy("candidate").agg(F.max_by(F.struct(*names), F.struct(metric, "threshold")).alias("b")).select("candidate", "b.*")
+    top = best.agg(F.max_by(F.struct(*names[1:]), F.struct(F.col(metric), "candidate")).alias("t"))  # one row
+    out = best.join(F.broadcast(top), F.lit(True))
+    return out.select("candidate", *names, *[F.round(F.col(n) - F.col(f"t.{n}"), 6).alias(f"d_{n}") for n in names[1:]])
+
+
 def metrics_eps(c: DataFrame, eps: float = 1e-8) -> DataFrame:
     """AGG8: small divisors; nothing there gives 0."""
     p, r = F.col("tp") / (F.col("tp") + F.col("fp") + eps), F.col("tp") / (F.col("tp") + F.col("fn") + eps)

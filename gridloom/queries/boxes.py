@@ -8,6 +8,7 @@ from .. import views as V
 from ..functions import boxes as B
 from ..operators import detections as D
 from ..operators import routing as R
+from ..operators import spatial as SP
 from . import query
 
 def _c():
@@ -118,32 +119,24 @@ def _rects(spark, d):
 _RECT = "with c as (select c_custkey, (c_custkey * 13 % 900)::double as ax, (c_custkey * 29 % 900)::double as ay from customer), s as (select s_suppkey, (s_suppkey * 17 % 900)::double as bx, (s_suppkey * 31 % 900)::double as b_y from supplier)"
 
 
-def _cells(df, x, y, side, cell=100):
-    return df.withColumn(
-        "cx",
-        F.explode(F.sequence(F.floor(F.col(x) / cell), F.floor((F.col(x) + side) / cell))),
-    ).withColumn("cy", F.explode(F.sequence(F.floor(F.col(y) / cell), F.floor((F.col(y) + side) / cell))))
+def _boxed(spark, d):
+    """_rects with the columns of a box."""
+    c, s = _rects(spark, d)
+    box = lambda df, key, x, y, side: df.select(key, F.col(x).alias("x0"), F.col(y).alias("y0"), (F.col(x) + side).alias("x1"), (F.col(y) + side).alias("y1"))
+    return box(c, "c_custkey", "ax", "ay", 60.0), box(s, "s_suppkey", "bx", "b_y", 77.0)
 
 
 @query("jn3_rectangle_overlap", _RECT + ", o as (select c_custkey, s_suppkey, (least(ax + 60, bx + 77) - greatest(ax, bx)) as w, (least(ay + 60, b_y + 77) - greatest(ay, b_y)) as h from c, s) select c_custkey, s_suppkey, w * h as area, round(w * h / 3600.0::double, 4) as share_a, round(w * h / 5929.0::double, 4) as share_b from o where w > 0 and h > 0")
 def jn3(spark, d):
-    """Rectangles meet in coarse cells by an equi-join; a pair counts in the cell of its intersection's corner."""
-    c, s = _rects(spark, d)
-    j = _cells(c, "ax", "ay", 60).join(_cells(s, "bx", "b_y", 77), ["cx", "cy"])
-    j = j.where((F.floor(F.greatest("ax", "bx") / 100) == F.col("cx")) & (F.floor(F.greatest("ay", "b_y") / 100) == F.col("cy")))
-    a = (F.col("ax"), F.col("ay"), F.col("ax") + 60.0, F.col("ay") + 60.0)
-    b = (F.col("bx"), F.col("b_y"), F.col("bx") + 77.0, F.col("b_y") + 77.0)
-    area, sa, sb = R.overlap(a, b)
-    return j.select("c_custkey", "s_suppkey", area.alias("area"), sa.alias("share_a"), sb.alias("share_b")).where("area > 0")
+    """The two catalogues' rectangles meet in the nodes of a quadtree."""
+    j = SP.meeting(*_boxed(spark, d))
+    side = lambda k: tuple(F.col(f"{c}_{k}") for c in SP.BOX)
+    area, sa, sb = R.overlap(side(1), side(2))
+    return j.select(F.col("c_custkey_1").alias("c_custkey"), F.col("s_suppkey_2").alias("s_suppkey"), area.alias("area"), sa.alias("share_a"), sb.alias("share_b"))
 
 
 @query("jn4_src12_catalogue_search", _RECT + " select s_suppkey, count(*) as hits from c, s where ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60 group by s_suppkey")
 def jn4(spark, d):
     """Bounds count as touching, unlike jn3; every supplier's rectangle is a query."""
-    c, s = _rects(spark, d)
-    j = _cells(c, "ax", "ay", 60).join(
-        _cells(s, "bx", "b_y", 77),
-        ["cx", "cy"],
-    ).where("ax <= bx + 77 and bx <= ax + 60 and ay <= b_y + 77 and b_y <= ay + 60")
-    j = j.where((F.floor(F.greatest("ax", "bx") / 100) == F.col("cx")) & (F.floor(F.greatest("ay", "b_y") / 100) == F.col("cy")))
-    return j.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("hits"))
+    j = SP.meeting(*_boxed(spark, d), touching=True)
+    return j.groupBy(F.col("s_suppkey_2").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("hits"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..operators import change as CH
+from ..operators import scoring as S
 from ..operators import validation as VA
+from . import imagery as I
 from . import query
 
 _HEADS = """h as (select o_orderkey as k, o_orderkey % 41 <> 0 as f1, o_orderkey % 43 <> 0 as f2, case when o_orderkey % 37 = 0 then 'corrupted' end as e1, case when o_orderkey % 31 = 0 then 'unsupported' end as e2,
@@ -58,3 +61,34 @@ select k, error is null as valid, error, case when error is null then concat_ws(
 def flt10(spark, d):
     v = _heads(spark, d).select("k", VA.cross_modal(F.col("a"), F.col("b")).alias("v"))
     return v.select("k", "v.valid", F.col("v.error.code").alias("error"), _codes("v.warnings").alias("warnings"), "v.swapped", "v.overlap")
+
+
+#: Two candidates for a change score, by scene-wise difference and by the bands' mean; the truth is the raised block.
+_SCORES = I.CHANGED + """, tr as (select scene, y, x, scene % 4 <> 0 and y >= 8 + scene % 7 and y < 28 + scene % 9 and x >= 2 + scene % 3 and x < 12 as truth from cpair),
+sc as (select 'vector' as candidate, truth, d as score from df join tr using (scene, y, x) union all select 'mean', truth, least(1.0::double, (abs(b[1] - a[1]) + abs(b[2] - a[2]) + abs(b[3] - a[3]) + abs(b[4] - a[4])) / 8.0::double) from cpair join tr using (scene, y, x)),
+hs as (select candidate, least(floor(score * 128), 127)::bigint as bin, count(*) filter (where truth) as yes, count(*) filter (where not truth) as no from sc group by all),
+al as (select candidate, unnest(range(128))::bigint as bin from (select distinct candidate from hs)),
+hf as (select candidate, bin, coalesce(yes, 0) as yes, coalesce(no, 0) as no from al left join hs using (candidate, bin)),
+cf as (select candidate, bin, sum(yes) over u::bigint as tp, sum(no) over u::bigint as fp, (sum(yes) over (partition by candidate) - sum(yes) over u)::bigint as fn, (sum(no) over (partition by candidate) - sum(no) over u)::bigint as tn from hf window u as (partition by candidate order by bin desc)),
+sw as (select candidate, bin, bin / 128.0::double as threshold, tp, fp, fn, tn, round(case when tp + fp > 0 then tp::double / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp::double / (tp + fn) else 0 end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2.0::double * tp / (2 * tp + fp + fn) else 0 end, 6) as f1, round(case when tp + fp + fn > 0 then tp::double / (tp + fp + fn) else 0 end, 6) as iou from cf)"""
+
+
+def _swept(spark, d):
+    pair, y, x, n = V.changed_pair(spark, d), F.col("y"), F.col("x"), F.col("scene")
+    truth = ((n % 4 != 0) & (y >= 8 + n % 7) & (y < 28 + n % 9) & (x >= 2 + n % 3) & (x < 12)).alias("truth")
+    steps = F.aggregate(F.zip_with("a", "b", lambda p, q: F.abs(q - p)), F.lit(0.0), lambda s, v: s + v)
+    one = CH.difference(pair).select(F.lit("vector").alias("candidate"), truth, F.col("d").alias("score"))
+    two = pair.select(F.lit("mean").alias("candidate"), truth, F.least(F.lit(1.0), steps / 8.0).alias("score"))
+    return S.sweep(one.unionByName(two))
+
+
+@query("ben5_agg8_threshold_sweep", _SCORES + " select * from sw")
+def ben5_sweep(spark, d):
+    """Two candidates' scores of all pixels at 128 thresholds."""
+    return _swept(spark, d)
+
+
+@query("ben5_best_thresholds", _SCORES + """, bc as (select candidate, arg_max({'threshold': threshold, 'precision': precision, 'recall': recall, 'f1': f1, 'iou': iou}, {'f1': f1, 'threshold': threshold}) as b from sw group by candidate), tc as (select arg_max(b, {'f1': b.f1, 'candidate': candidate}) as t from bc)
+select candidate, b.threshold as threshold, b.precision as precision, b.recall as recall, b.f1 as f1, b.iou as iou, round(b.precision - t.precision, 6) as d_precision, round(b.recall - t.recall, 6) as d_recall, round(b.f1 - t.f1, 6) as d_f1, round(b.iou - t.iou, 6) as d_iou from bc, tc""")
+def ben5_best(spark, d):
+    return S.best_of(_swept(spark, d))

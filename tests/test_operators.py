@@ -19,6 +19,7 @@ from gridloom.operators import routing as R
 from gridloom.operators import scoring as S
 from gridloom.plans import registry as P
 from gridloom.sources import documents as SD
+from gridloom.operators import passages as PS
 from gridloom.sources import archives as AR
 from gridloom.sources import blocks as BL
 from gridloom.sources import raster as SR
@@ -466,15 +467,20 @@ def test_processed_boxes_like_brute_force(spark):
 
 
 def test_leaks_like_contains(spark, monkeypatch):
-    texts = ["the quick brown fox", "aabaab", "", None, "zz the quick", "Größe quick"]
-    passages = [(0, "quick"), (1, "aab"), (2, ""), (3, None), (4, "the quick brown"), (5, "öß"), (6, "quick"), (7, "not there")]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    frozen = spark.createDataFrame(passages, "item_id long, passage string")
-    want = {(i, k) for i, t in enumerate(texts) for k, p in passages if t is not None and p is not None and p in t}
-    for most in (20_000_000, 10):
-        monkeypatch.setattr(K, "MAX_PASSAGES", most)
-        out = [tuple(r) for r in K.leaks(docs, frozen).collect()]
-        assert len(out) == len(set(out)) and set(out) == want
+    """Passages of all lengths, shorter and longer than a gram, some hundred times in a text, cut by slices; repeated rows."""
+    rng = np.random.default_rng(7)
+    words = ["the", "quick", "brown", "fox", "öß", "東京", "𝄞x", "aab"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(40)]
+    texts += ["the quick brown fox", "aabaab" * 50, "", None, "zz the quick", "Größe quick", "Größe quick"]
+    passages = ["quick", "aab", "", None, "the quick brown", "öß", "quick", "not there", "aab" * 30, "a", "x" * 400]
+    passages += [texts[k][a : a + n] for k, a, n in ((1, 3, 15), (2, 0, 16), (3, 5, 17), (4, 2, 60), (5, 0, 400)) if len(texts[k]) > a]
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    frozen = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    want = sorted(((i if i % 9 else -1), k) for i, t in enumerate(texts) for k, p in enumerate(passages) if t is not None and p is not None and p in t)
+    for n_bits, slice_, most in ((1 << 20, 1 << 20, 200_000), (64, 7, 0)):
+        monkeypatch.setattr(PS, "SLICE", slice_)
+        monkeypatch.setattr(PS, "MAX_BROADCAST", most)
+        assert sorted((-1 if i is None else i, k) for i, k in PS.leaks(docs, frozen, filter_bits=n_bits).collect()) == want
     assert K.leaks(docs.limit(0), frozen).count() == 0 and K.leaks(docs, frozen.limit(0)).count() == 0
 
 

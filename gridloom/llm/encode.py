@@ -38,7 +38,8 @@ class Known(dict):
 
 
 class Encoder:
-    """ids(text) as encode(text, add_special_tokens=False) gives them, strings of special tokens being ordinary text.
+    """ids(text) as encode(text, add_special_tokens=False) gives them. A special token's string in a text is that token, as
+    the library has it: the text is cut there, and its parts are encoded each by itself.
 
     Both tokenizers first split a text into pieces and merge within a piece, so a text's ids are those of its
     pieces, and a piece met again costs one look-up. Texts of plain characters are split here, by the tokenizer's
@@ -56,7 +57,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         tokenize, spell = tokenizer.model.tokenize, _spelling()
         packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
         blank = chr(spell[ord(" ")])
@@ -68,10 +68,21 @@ class Encoder:
 
         self.pieces = Known(of_piece, self.memory)
         self.others = Known(lambda c: b"".join([packed[i] for i in tokenizer.encode(c, add_special_tokens=False).ids]), self.memory)
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("a token is added that isn't looked for in the text as it stands")
+        self.special = {t.content: packed[i] for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.find_plain, self.find_runs = re.compile(self.plain).finditer, re.compile(self.runs).finditer
         self.odd = re.compile(f"[^{LETTERS}{OTHERS}0-9\\t-\\r ]").search
 
     def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.special):
+            # Every other part is a special token.
+            return b"".join(self.special[p] if k % 2 else self._part(p) for k, p in enumerate(self.cut(text)))
+        return self._part(text)
+
+    def _part(self, text: str) -> bytes:
         if self.odd(text):
             return self._joined(text, self.find_runs, self.others)
         return self._joined(text.lower() if self.lower else text, self.find_plain, self.pieces)

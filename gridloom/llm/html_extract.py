@@ -21,8 +21,10 @@ from . import common as C
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea iframe svg title audio video select button".split()
+RAW = "script style noscript template textarea iframe svg title audio video".split()
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math semantics mrow mi mn mo ms mtext mspace msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle".split())
+#: Controls, whose text is none of the page's: up to their end tag, or, where that is missing, to the next tag of a block.
+CONTROLS = frozenset("button select option optgroup".split())
 #: A start tag of the key ends open elements of the value, up to a container.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -54,7 +56,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p li dd dt td th tr pre address figcaption caption".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<control>button|select)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:(?!</?(?:button|select|p|h[1-6]|article|section|main|ul|ol|table|form)[\s/>]).)*</(?P=control)\s*>|<(?:svg|math)(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -75,25 +77,44 @@ MAX_LINKS = 0.7
 #: The innermost element that holds so much of the text, each block's times its score's square, is the page's main one.
 MAIN_SHARE = 0.85
 WEAK, STRONG = 1, 2
+#: Characters of text that a form, or what a name speaks against, must hold to be the page itself where all is in such.
+LEAST_FREED = 60
 
 
 class Tree:
     """Nodes by number, each made after its parent; 0 is the root."""
 
     def __init__(self) -> None:
-        self.parent, self.step, self.zone, self.marked = [0], [""], [0], [False]
+        self.parent, self.step, self.own, self.zone, self.marked = [0], [""], [0], [0], [False]
         self.known: dict[tuple[int, str, int], int] = {}
 
     def add(self, parent: int, step: str, zone: int = 0) -> int:
         marks = step.split(".")[0] in MARKS
-        around = self.zone[parent]
         self.parent.append(parent)
         self.step.append(step)
-        # An article in a form that holds the page is no part of a form.
-        self.zone.append(zone if marks and around == WEAK else max(zone, around))
+        self.own.append(zone)
+        self.zone.append(self._around(len(self.own) - 1))
         self.marked.append(marks or self.marked[parent])
         return len(self.parent) - 1
 
+    def _around(self, i: int) -> int:
+        """An article in a form that holds the page is no part of a form."""
+        around = self.zone[self.parent[i]]
+        return self.own[i] if self.step[i].split(".")[0] in MARKS and around == WEAK else max(self.own[i], around)
+
+    def free_one(self, chars: list[float]) -> bool:
+        """Of the outermost nodes that a name speaks against, or that are forms, the one below which most of the characters
+        are counts as any other from now on. Menus, footers and the like stay what they are. Whether there was one."""
+        below = self.sums(chars)
+        named = [t == "form" or t not in ZONES | {"header"} for t in (s.split(".")[0] for s in self.step)]
+        outer = [i for i in range(1, len(self.own)) if self.own[i] and not self.zone[self.parent[i]] and named[i] and below[i] >= LEAST_FREED]
+        if not outer:
+            return False
+        self.own[max(outer, key=lambda i: below[i])] = 0
+        for i in range(1, len(self.own)):
+            self.zone[i] = self._around(i)
+        return True
+
     def child(self, parent: int, step: str, zone: int) -> int:
         """The parent's one child of that name."""
         key = (parent, step, zone)
@@ -173,16 +194,16 @@ def blocks(page: str) -> tuple[list[Block], Tree, Tree]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in INLINE:
+        if tag in INLINE or tag in CONTROLS:
             if tag == "br":
                 now.parts.append(" ")
             elif m["close"]:
                 links = max(0, links - 1) if tag == "a" else links
-                if inline_zone and inline_zone[-1] == tag:
-                    inline_zone.pop()
+                if tag in inline_zone:
+                    del inline_zone[len(inline_zone) - 1 - inline_zone[::-1].index(tag) :]
             elif tag == "a":
                 links += 1
-            elif inline_zone and tag == inline_zone[-1] or tag == "span" and m["attrs"] and _reading(
+            elif inline_zone and tag == inline_zone[-1] or tag in CONTROLS or tag == "span" and m["attrs"] and _reading(
                 tag,
                 m["attrs"],
                 open_["article"] + open_["main"] > 0,
@@ -273,6 +294,13 @@ def content(found: list[Block], paths: Tree, elements: Tree) -> list[bool]:
     LEAST_OUTSIDE on. Where that element, not being an article, holds the whole page: those of paths from LEAST on, and of those from
     LEAST_WITHIN on the ones between the first and the last of these. A heading goes with the next block that isn't one,
     if that stands in the heading's parent."""
+    while found and all(paths.zone[b.path] for b in found):
+        # What holds all of the page is the page, whatever it is called.
+        chars = [0.0] * len(paths.parent)
+        for b in found:
+            chars[b.path] += len(b.text)
+        if not paths.free_one(chars):
+            break
     scores = path_scores(found, paths)
     score = [scores[b.path] for b in found]
     weight, each = [0.0] * len(elements.parent), [0.0] * len(elements.parent)

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from . import common as C
 
 #: Up to as many sources the table of targets is broadcast (a few hundred KB); beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 5_000
+#: Up to as many ids that several rows share are broadcast (some MB as a hash table); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -56,17 +59,19 @@ def mix_counts(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights
                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each document's number of copies: doc_id, source, size, source_size, target, rate, copies, taken and the columns in keep.
 
-    Null text has size 0 and is never taken; a null source is a source of its own, the last. Repeated rows
-    each count and, having the same id, share one draw. A source's taken words miss its target by the draws' deviation,
+    Null text has size 0 and is never taken; a null source is a source of its own, the last. Repeated rows each count.
+    A row draws by its id; rows that share one, and those without one, draw each for itself, by their place among all such
+    rows in the order of id and text, so that they meet their targets, too, and reruns agree. A source's taken words miss its target by the draws' deviation,
     the root of f (1 - f) times the sum of its sizes' squares, f being the rate's fraction: little where no document is
     a large part of its source. An empty table gives no rows. Other columns are ignored.
-    Plan: one pass over the texts writes (id, source, size); totals combine before their shuffle, so a source
+    Plan: one pass over the texts writes (id, source, size); ids are counted, and rows of shared ones ranked; totals combine before their shuffle, so a source
     with most rows is one row a task; the small table of targets is broadcast below BROADCAST_SOURCES sources."""
     C.require(docs, id_col, text_col, source_col)
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
     if not keep:
@@ -74,11 +79,26 @@ def mix_counts(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = C.written(targets(totals, share, cap, weights).withColumnRenamed("source", "of"), "targets")
     small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    out = sizes.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+    out = _with_draws(sizes, seed).join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
     whole = F.floor("rate")
-    extra = F.when(unit_hash(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    extra = F.when(F.col("draw") < F.col("rate") - whole, 1).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(whole + extra))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("draw", "text_hash")
+
+
+def _with_draws(rows: DataFrame, seed: str) -> DataFrame:
+    """rows (doc_id, text_hash and others) with draw, a number in [0, 1)."""
+    shared = rows.groupBy(F.col("doc_id").alias("twice")).agg(F.count(F.lit(1)).alias("n"))
+    shared = C.written(shared.where("n > 1 or twice is null").select("twice"), "shared_ids")
+    own = unit_hash(F.col("doc_id"), seed)
+    if not shared.limit(1).count():
+        return rows.withColumn("draw", own)
+    few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = (F.broadcast(shared) if few else shared), F.col("doc_id").eqNullSafe(F.col("twice"))
+    again = ranked(C.written(rows.join(*met, "left_semi"), "sharing"), F.asc_nulls_first("doc_id"), F.asc("text_hash"))
+    place = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("rank").cast("string"))
+    again = again.withColumn("draw", unit_hash(place, seed)).drop("rank")
+    return rows.join(*met, "left_anti").withColumn("draw", own).unionByName(again)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

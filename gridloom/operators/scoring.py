@@ -208,6 +208,39 @@ def gate(status_: Column) -> Column:
     ).otherwise("allow")
 
 
+#: What a violated rule says of the evidence.
+SAYS = {
+    "C1_ZERO_CHANGE_CONTRADICTION": "A change is told of, though no pixel changed.",
+    "C2_UNSUPPORTED_REGION": "A region is told of that no detector found.",
+    "C3_NONZERO_CHANGE_SUPPORT": "Transitions are told of without a changed pixel.",
+    "C4_AREA_CONSISTENCY": "The area that is told of isn't the one that was measured.",
+    "C5_TEMPORAL_CHRONOLOGY_INVALID": "The images aren't in order of time.",
+    "C5_TEMPORAL_DIRECTION_CONFLICT": "The direction that is told of isn't what the pixels and the transitions show.",
+    "C7_CLASS_TRANSITION_CONFLICT": "A transition is told of that its few pixels don't bear out.",
+    "C8_INSUFFICIENT_EVIDENCE": "No detector found what was asked for.",
+    "C8_DEGENERATE_DETECTION": "A detection covers nothing, or everything.",
+}
+
+
+def gated_answer(answer: Column, status_: Column, conflicts: Column) -> Column:
+    """CON9: the answer as far as its evidence bears it. conflicts: array of struct(rule, severity). A consistent answer stays
+    as it is; one that its evidence contradicts, or that has too little, gives way to what is wrong; others are remarked on."""
+    of = F.create_map(*[F.lit(v) for kv in SAYS.items() for v in kv])
+    say = lambda c: F.coalesce(F.try_element_at(of, c["rule"]), c["rule"])
+    first = F.try_element_at(conflicts, F.lit(1))
+    worst = F.coalesce(F.try_element_at(F.filter(conflicts, lambda c: c["severity"] == "critical"), F.lit(1)), first)
+    n = F.coalesce(F.size(conflicts), F.lit(0))
+    own = F.coalesce(answer, F.lit(""))
+    against = F.format_string("[contradiction] %s It can't be told as a fact, as what was measured speaks against it.", F.coalesce(say(worst), F.lit("The evidence contradicts itself.")))
+    little = F.format_string("[insufficient evidence] %s Nothing definite can be said without more observations.", F.coalesce(say(first), F.lit("There is too little evidence.")))
+    unsure = F.format_string("[provisional] %s (The evidence is ambiguous; conflicts noted: %d.)", own, n)
+    partly = F.format_string("%s [partly consistent: %s]", own, F.coalesce(say(first), F.lit("small discrepancies.")))
+    return F.when(status_ == "contradictory", against).when(status_ == "insufficient_evidence", little).when(status_ == "uncertain", unsure).when(
+        status_ == "partially_consistent",
+        partly,
+    ).otherwise(answer)
+
+
 # By status, the cap of confidence, its factor and its penalty.
 STATUS = {
     "consistent": (0.99, 1.00, 0.00),

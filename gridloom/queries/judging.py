@@ -217,6 +217,19 @@ def agg20(spark, d):
     )
 
 
+_SAY = lambda rule: "'" + S.SAYS[rule].replace("'", "''") + "'"
+
+
+@query("con9_gated_answers", "with " + _EV + f""", fr as (select k, case when c1 then {_SAY("C1_ZERO_CHANGE_CONTRADICTION")} when c3 then {_SAY("C3_NONZERO_CHANGE_SUPPORT")} when c5a then {_SAY("C5_TEMPORAL_CHRONOLOGY_INVALID")} when c5b or c5c then {_SAY("C5_TEMPORAL_DIRECTION_CONFLICT")} when c2 then {_SAY("C2_UNSUPPORTED_REGION")} when c4 then {_SAY("C4_AREA_CONSISTENCY")} when c7 then {_SAY("C7_CLASS_TRANSITION_CONFLICT")} end as say from cf)
+select sq.k, case status when 'contradictory' then '[contradiction] ' || say || ' It can''t be told as a fact, as what was measured speaks against it.' when 'uncertain' then printf('[provisional] Order %d: it changed. (The evidence is ambiguous; conflicts noted: %d.)', sq.k, critical + warnings) when 'partially_consistent' then printf('Order %d: it changed. [partly consistent: %s]', sq.k, say) else printf('Order %d: it changed.', sq.k) end as answer from sq join fr using (k)""")
+def con9(spark, d):
+    """Each order's answer as far as its evidence bears it."""
+    e = S.change_conflicts(_evidence(spark, d))
+    n = lambda s: F.size(F.filter("conflicts", lambda x: x["severity"] == s))
+    s, _ = S.status(n("critical"), n("warning"), F.lit(False))
+    return e.select("k", S.gated_answer(F.format_string("Order %d: it changed.", F.col("k")), s, F.col("conflicts")).alias("answer"))
+
+
 @query("con6_sensor_conflicts", "select l_orderkey, l_linenumber, case when l_discount * 5 > 0.15 and l_tax * 12 > 0.75 and l_quantity / 100 > 0.20 then 'green_but_double_bounce' when l_linenumber % 4 = 0 and l_tax * 12 > 0.35 then 'water_but_rough' when l_linenumber % 4 = 1 and l_tax * 12 < 0.10 and l_quantity / 100 < 0.04 then 'built_but_smooth' when l_linenumber % 4 = 2 then 'unclassified' end as conflict from lineitem")
 def con6(spark, d):
     m = F.col("l_linenumber") % 4

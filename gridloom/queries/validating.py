@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import change as CH
+from ..operators import evidence as E
 from ..operators import scoring as S
 from ..operators import validation as VA
+from ..store import written
 from . import imagery as I
 from . import query
 
@@ -92,3 +94,24 @@ def ben5_sweep(spark, d):
 select candidate, b.threshold as threshold, b.precision as precision, b.recall as recall, b.f1 as f1, b.iou as iou, round(b.precision - t.precision, 6) as d_precision, round(b.recall - t.recall, 6) as d_recall, round(b.f1 - t.f1, 6) as d_f1, round(b.iou - t.iou, 6) as d_iou from bc, tc""")
 def ben5_best(spark, d):
     return S.best_of(_swept(spark, d))
+
+
+def _boxes(spark, d):
+    b = V.boxes(spark, d).groupBy(F.col("image").alias("request"), "ord").agg(F.max("score").cast("double").alias("score"))
+    requests = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("request"))
+    return written(E.fused(E.from_boxes(requests, b)), "items")
+
+
+_ITEMS = V.with_views("bx") + ", rq as (select o_orderkey as request from orders), bs as (select image as request, ord, max(score)::double as score from bx group by image, ord)"
+
+
+@query("agg23_report_metrics", _ITEMS + ", m as (select request, count(*) as n, max(score) as best from bs group by request) select request, coalesce(n, 0) as boxes, coalesce(best, 0.25::double) as best_confidence, case when n is null then 'Nothing was found of what was looked for.|Uncertain items: 1.' else '' end as notes from rq left join m using (request) union all select request, n, best, '' from m where request not in (select request from rq)")
+def agg23(spark, d):
+    """The numbers of every order's report."""
+    return E.metrics(_boxes(spark, d)).select("request", "boxes", "best_confidence", F.concat_ws("|", "notes").alias("notes"))
+
+
+@query("evd6_lookup", _ITEMS + " select request, printf('box_%02d', ord) as region, score as value from bs where ord = 3")
+def evd6(spark, d):
+    """The third box of every order that has one, by specialist, type and region."""
+    return E.lookup(_boxes(spark, d), specialist="RS_GROUND", kind="box", region="box_03").select("request", "region", "value")

@@ -45,8 +45,8 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def markdown(report: DataFrame) -> DataFrame:
-    """SNK2: report rows (title, answer, status, confidence, tier, findings array<string>) as Markdown text."""
+def markdown(report: DataFrame, *keep: str) -> DataFrame:
+    """SNK2: report rows (title, answer, status, confidence, tier, findings array<string>) as Markdown text, beside the columns in keep."""
     lines = F.concat(
         F.array(
             F.concat(F.lit("# "), F.col("title")),
@@ -58,4 +58,4 @@ def markdown(report: DataFrame) -> DataFrame:
         ),
         F.transform("findings", lambda x: F.concat(F.lit("- "), x)),
     )
-    return report.select(F.concat_ws("\n", lines).alias("value"))
+    return report.select(*keep, F.concat_ws("\n", lines).alias("value"))

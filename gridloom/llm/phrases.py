@@ -15,13 +15,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from . import common as C
 
-#: Words in a shard, each of which has its own suffix array; about 100 bytes of arrays a word stand in memory.
-SHARD_WORDS = 1 << 20
+#: Words in a shard, each of which has its own suffix array; about 60 bytes of arrays a word stand in memory.
+SHARD_WORDS = 3 << 19
+#: Texts that go to a worker at once.
+TEXTS_AT_ONCE = 2_000
 #: Pieces of more bytes are taken as runs of RUN_WORDS words, which overlap by what a phrase may reach.
 LONG_PIECE, RUN_WORDS = 1 << 20, 1 << 16
 FILTER_BITS = 1 << 27
@@ -56,12 +58,12 @@ def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     a suffix has before its run ends; a shorter one stands before those that go on from it."""
     rank, d = ids, 1
     while d < depth:
-        after = np.zeros(len(ids), np.int64)
+        key = rank * np.int64(rank.max(initial=0) + 2)
         on = np.flatnonzero(left > d)
-        after[on] = rank[on + d] + 1
-        _, rank = np.unique(rank * (after.max(initial=0) + 1) + after, return_inverse=True)
+        key[on] += rank[on + d] + 1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
         d *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank, kind="stable").astype(np.int32)
 
 
 def common_prefixes(ids: np.ndarray, left: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -81,16 +83,19 @@ def common_prefixes(ids: np.ndarray, left: np.ndarray, order: np.ndarray, depth:
 def gram_counts(ids: np.ndarray, goes_on: np.ndarray, own: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(m, where a phrase of m words is met, how often) for all distinct phrases of low to high words: the intervals of
     suffixes that share m words. goes_on: a phrase may reach from a word to the one after it; own: it may begin there."""
-    n = len(ids)
-    ends = np.where(goes_on, n, np.arange(n))
-    left = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n) + 1
+    n, at = len(ids), np.arange(len(ids), dtype=np.int32)
+    left = np.minimum.accumulate(np.where(goes_on, np.int32(n), at)[::-1])[::-1] - at + 1
+    begins = np.flatnonzero(np.concatenate([[True], ~goes_on[:-1]]))
+    # Runs of fewer than low words hold no phrase, and nothing needs their order.
+    at = np.flatnonzero(np.repeat(left[begins] >= low, np.diff(begins, append=n)))
+    ids, left, own = ids[at], left[at], own[at]
     order = suffix_array(ids, left, high)
     order = order[own[order] & (left[order] >= low)]
     lcp = common_prefixes(ids, left, order, high)
     for m in range(low, high + 1):
         has = left[order] >= m
         first = has & (lcp < m)
-        yield m, order[first], np.bincount(np.cumsum(first)[has], minlength=1)[1:]
+        yield m, at[order[first]], np.bincount(np.cumsum(first)[has], minlength=1)[1:]
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,7 +141,7 @@ class _Shard:
         vocabulary = self.of_lang.get(lang)
         if vocabulary is None:
             vocabulary = self.of_lang[lang] = _Vocabulary(self.words)
-        self.parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+        self.parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
         self.langs += [lang] * (len(self.words) - len(self.langs))
         self.size += len(words)
         self.ends.append(self.size)
@@ -233,7 +238,8 @@ def phrase_counts(
 
     def counted(name: str, *how) -> DataFrame:
         each = rows.mapInArrow(_counting(*how), "lang string, phrase string, m int, a long")
-        return C.written(each.groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a")).where(F.col("a") >= (min_count if how[0] > 1 else 1)), name)
+        counts = each.groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a")).where(F.col("a") >= (min_count if how[0] > 1 else 1))
+        return C.written_by(counts, name, TEXTS_AT_ONCE)
 
     words = counted("words", 1, 1, shard_words)
     totals = C.written(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
@@ -288,7 +294,9 @@ def collocations(docs: DataFrame, *, top: int = 2000, share: int = 100, **option
     a is how often the phrase is met, overlaps included, l and r its two parts at the cut that scores least, n all words
     of the language; see phrase_counts for nulls, repeats and empty tables."""
     counts, totals = phrase_counts(docs, **options)
-    kept = not_within_longer(scored(counts, totals), share)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    kept = C.written(not_within_longer(scored(counts, totals), share), "scored")
+    # Ranks over all languages, less those of the languages before: a language's phrases are dealt to many tasks.
+    rows = C.written(ranked(kept, F.asc("lang"), F.desc("score"), F.desc("a"), F.asc("phrase")), "ranked")
+    before = rows.groupBy("lang").agg((F.min("rank") - 1).alias("before"))
+    rows = rows.join(F.broadcast(before), "lang").withColumn("rank", F.col("rank") - F.col("before")).where(F.col("rank") <= top)
+    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

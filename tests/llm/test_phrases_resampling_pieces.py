@@ -72,7 +72,7 @@ def phrase_rows():
     return [*rows, (200, long, "en"), (201, long, "en"), (201, long, "en"), (202, "", "en"), (203, None, "de"), (204, " \t ", "xx"), (None, "new york", None)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 50}, {"filter_bits": 64}, {"share": 60, "top": 5}, {"max_words": 3}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 50}, {"filter_bits": 64}, {"filter_bits": 1 << 20, "shard_words": 9}, {"share": 60, "top": 5}, {"max_words": 3}])
 def test_collocations_against_brute_force(spark, options, monkeypatch):
     rows = phrase_rows()
     # Pieces of more than 200 bytes are taken in runs, so that phrases cross their cuts.

@@ -108,8 +108,8 @@ def _weighed(samples: np.ndarray, at: np.ndarray, sources: np.ndarray, n: int, m
     return np.floor(np.round(total / k.sum(1), 9) + 0.5)
 
 
-def resize_bilinear(tiles: DataFrame, target: tuple[int, int]) -> DataFrame:
-    """MAP9: scenes of one size at another, by a triangle over columns, then over lines, each rounded to whole numbers. A
+def resize_bilinear(tiles: DataFrame, target: tuple[int, int], *, layers: int = 1, kind: str = "<f8") -> DataFrame:
+    """MAP9: scenes of one size, of so many layers, at another, by a triangle over columns, then over lines, each rounded to whole numbers. A
     smaller target widens the triangle, so a target tile then takes all samples of its ground."""
     sized = tiles.withColumns({"new_height": F.lit(target[0]), "new_width": F.lit(target[1])})
 
@@ -118,7 +118,7 @@ def resize_bilinear(tiles: DataFrame, target: tuple[int, int]) -> DataFrame:
         return np.moveaxis(_weighed(np.moveaxis(wide, -2, -1), lines, ys, size[0], target[0]), -1, -2)
 
     need = [lambda at, n, m=m: _triangle(at, n, m)[0].ravel() for m in target]
-    return T.regridded(sized, *need, kernel)
+    return T.regridded(sized, *need, kernel, layers=layers, kind=kind)
 
 
 # --- change ---

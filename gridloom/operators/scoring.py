@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import written
+from .percentiles import exact_percentiles
+
 _zero = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
 
 
@@ -20,6 +23,10 @@ def confusion(joined: DataFrame, *keys: str, truth: str = "truth", pred: str = "
     )
 
 
+#: Keys whose first samples are broadcast at most.
+MAX_KEYS = 200_000
+
+
 def sweep(scores: DataFrame, *, bins: int = 128) -> DataFrame:
     """BEN5, AGG8, AGG9: candidate, bin, threshold, tp, fp, fn, tn, precision, recall, f1, iou of scores (candidate, truth, score
     in 0..1) at the thresholds bin / bins, a score of which or more says yes. One scan gives a histogram a candidate and
@@ -96,20 +103,26 @@ def metrics_bench(c: DataFrame, smooth: float = 1e-6, tolerance: int = 25) -> Da
 
 
 def macro(m: DataFrame, digits: int = 4) -> DataFrame:
-    """AGG11: statistics over samples of their rounded metrics."""
+    """AGG11: statistics over samples of their rounded metrics. Medians are exact without all samples in one task."""
+    names = ("iou", "precision", "recall", "f1")
+    m = written(m, "metrics")
+    each = m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in names])).alias("x")).select("x.*")
+    medians = exact_percentiles(each, ["metric"], "v", [0.5])
+    row = medians.agg(*[F.max(F.when(F.col("metric") == k, F.get("q", F.lit(0)))).alias(f"median_{k}") for k in names])
     cols = []
-    for k in ("iou", "precision", "recall", "f1"):
-        cols += [
-            F.round(f(k), digits).alias(f"{n}_{k}")
-            for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))
-        ]
-    return m.agg(
+    for k in names:
+        cols += [F.round(f(k), digits).alias(f"{n}_{k}") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    out = m.agg(
         F.count(F.lit(1)).alias("samples"),
         *cols,
         F.round(F.avg("fpr"), digits).alias("mean_fpr"),
         F.round(F.avg(F.col("is_empty").cast("double")), digits).alias("empty_rate"),
         F.round(F.avg(F.col("is_full").cast("double")), digits).alias("full_rate"),
     )
+    # Two tables of one row.
+    out = out.join(F.broadcast(row.select(*[F.round(c, digits).alias(c) for c in row.columns])), F.lit(True))
+    order = ["samples", *[f"{n}_{k}" for k in names for n in ("mean", "median", "std", "min", "max")], "mean_fpr", "empty_rate", "full_rate"]
+    return out.select(*order)
 
 
 def micro(c: DataFrame) -> DataFrame:
@@ -329,16 +342,16 @@ def needs_grid(query: Column, crs: Column) -> Column:
 
 def latencies(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """AGG13, WIN12: by key, of all but its first sample by `order` (the cold start): mean, median, p95, low, high. The
-    first one is found by an aggregate, so that no key is one window; keys are few, and their table is broadcast."""
-    cold = df.groupBy(key).agg(F.min(order).alias(order))
-    warm = df.join(F.broadcast(cold), [key, order], "left_anti")
-    return warm.groupBy(key).agg(
-        F.round(F.avg(value), 4).alias("mean"),
-        F.round(F.median(value), 4).alias("median"),
-        F.round(F.percentile(value, F.lit(0.95)), 4).alias("p95"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-    )
+    first one is found by an aggregate, so that no key is one window, and percentiles by narrowing histograms, so that no
+    key's samples meet in one task. Keys meet their samples by a broadcast only where they are few."""
+    cold = written(df.groupBy(key).agg(F.min(order).alias(order)), "cold")
+    few = cold.limit(MAX_KEYS + 1).count() <= MAX_KEYS
+    warm = written(df.join(F.broadcast(cold) if few else cold, [key, order], "left_anti").select(key, value), "warm")
+    q = exact_percentiles(warm, [key], value, [0.5, 0.95]).select(F.col(key).alias("of"), "q")
+    out = warm.groupBy(key).agg(F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    at = lambda i: F.round(F.get("q", F.lit(i)), 4)
+    out = out.join(q, F.col(key).eqNullSafe(F.col("of")), "left")
+    return out.select(key, "mean", at(0).alias("median"), at(1).alias("p95"), "low", "high")
 
 
 def failure_distribution(df: DataFrame, kind: str, order: str) -> DataFrame:

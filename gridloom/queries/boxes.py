@@ -90,16 +90,20 @@ def cmp8(spark, d):
     return D.processed(V.boxes(spark, d))
 
 
-@query("agg15_grounding_metrics", _BX + """, g as (select a.image, max(round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / nullif((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)), 0), 4)) as iou from bx a left join bx b on a.image = b.image and b.ord = 2 where a.ord = 1 group by a.image)
-select round(avg(iou), 4) as mean_iou, round(median(iou), 4) as median_iou, round(avg((coalesce(iou, 0) >= 0.5)::int::double) * 100.0::double, 2) as success_pct, round(avg((iou is null)::int::double) * 100.0::double, 2) as empty_pct, 0.0::double as degenerate_pct from g""")
+@query("agg15_grounding_metrics", _BX + """, g as (select a.image, max(round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / nullif((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)), 0), 4)) as iou from bx a left join bx b on a.image = b.image and b.ord > 1 where a.ord = 1 group by a.image), dg as (select image, bool_or((x1 - x0) * (y1 - y0) <= 0 or (x1 - x0) * (y1 - y0) / 16500.0::double >= 0.98 or (x1 - x0 >= 148.5 and y1 - y0 >= 108.9)) as d from bx where ord > 1 group by image)
+select round(avg(iou), 4) as mean_iou, round(median(iou), 4) as median_iou, round(avg((coalesce(iou, 0) >= 0.5)::int::double) * 100.0::double, 2) as success_pct, round(avg((iou is null)::int::double) * 100.0::double, 2) as empty_pct, round(avg(coalesce(d, false)::int::double) * 100.0::double, 2) as degenerate_pct from g left join dg using (image)""")
 def agg15(spark, d):
+    """An order's first line is the truth, all its others are predictions, of which the best counts; small ones are degenerate."""
     b = V.boxes(spark, d)
-    second = b.where("ord = 2").select("image", *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
-    best = b.where("ord = 1").join(second, "image", "left").select(
+    names = ("x0", "y0", "x1", "y1")
+    others = b.where("ord > 1").select("image", *[F.col(c).alias(f"{c}_b") for c in names])
+    small = B.degeneracy(*[F.col(f"{c}_b") for c in names], F.lit(150.0), F.lit(110.0)).isNotNull()
+    met = b.where("ord = 1").join(others, "image", "left").select(
         "image",
-        F.when(F.col("x0_b").isNotNull(), B.iou(_c(), tuple(F.col(f"{c}_b") for c in ("x0", "y0", "x1", "y1")))).alias("iou"),
+        F.when(F.col("x0_b").isNotNull(), B.iou(_c(), tuple(F.col(f"{c}_b") for c in names))).alias("iou"),
+        (small & F.col("x0_b").isNotNull()).alias("degenerate"),
     )
-    return D.grounding_metrics(best.groupBy("image").agg(F.max("iou").alias("iou"), F.lit(False).alias("degenerate")))
+    return D.grounding_metrics(met.groupBy("image").agg(F.max("iou").alias("iou"), F.bool_or("degenerate").alias("degenerate")))
 
 
 def _rects(spark, d):

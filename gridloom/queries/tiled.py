@@ -13,6 +13,7 @@ from ..operators import tile_filters as TF
 from ..operators import tile_labels as TL
 from ..operators import tiles as T
 from ..operators import warp as WP
+from ..plans import functions as FN
 from ..store import written
 from . import SQL, query
 from . import imagery as I
@@ -134,3 +135,23 @@ def win5(spark, d):
     s = s.join(share, F.floor(F.col("scene") / BANDS) == F.col("of"), "left")
     score = F.when(F.col("share").isNotNull(), F.greatest(F.lit(0.10), 0.5 * F.col("score") + 0.5 * F.col("share"))).otherwise(F.col("score"))
     return s.select("scene", "dy", "dx", F.round(score, 4).alias("score"), WP.grade(score).alias("grade"))
+
+
+@query("udf1_change_statistics", V.with_views("pair") + I.difference_sql("pair", I.H, I.WIDTH, BANDS) + ", cc as (select scene, count(*) as n from rw group by scene), tt as (select scene, count(*) as total, max(d) as top from df group by scene) select scene, total, coalesce(n, 0) as changed, round(coalesce(n, 0)::double / total * 100.0::double, 4) as ratio_pct, round(top, 6) as largest from tt left join cc using (scene)")
+def udf1_change(spark, d):
+    """The change specialist as a function of SQL, over the scenes' tiles."""
+    FN.register(spark)
+    distance = written(TF.distances(_pairs(V.pair(spark, d))), "distances")
+    TF.with_scene(distance, TF.cuts(distance)).createOrReplaceTempView("udf1_distances")
+    return spark.sql("select scene, total, changed, round(ratio_pct, 4) as ratio_pct, round(largest, 6) as largest from change_statistics(table(select * from udf1_distances) partition by scene)")
+
+
+@query("udf1_udf7_class_shares", I._CLS + ", n as (select scene, class, count(*) as pixels from k group by all) select scene, class, pixels, round(pixels::double / (sum(pixels) over (partition by scene))::double * 100.0::double, 2) as pct from n")
+def udf1_classes(spark, d):
+    """The fusion specialist alike, over the scenes' tiles of class numbers."""
+    FN.register(spark)
+    names = F.lit([U.UNKNOWN, *FN.CLASSES])
+    k = U.classes(V.each_optical_sar(spark, d), I.H, I.WIDTH)
+    k = k.withColumn("k", F.array_position(names, F.col("class")).cast("int") - 1)
+    written(_tiles(k, ["k"], "<i4"), "classes").createOrReplaceTempView("udf1_classes")
+    return spark.sql("select scene, class, pixels, round(pct, 2) as pct from class_shares(table(select * from udf1_classes) partition by scene)")

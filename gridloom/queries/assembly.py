@@ -12,6 +12,7 @@ from ..operators import evidence as E
 from ..operators import scoring as S
 from ..plans import executor as X
 from ..plans import registry as P
+from ..plans import specialist as SP
 from . import imagery as I
 from . import language as L
 from . import query
@@ -23,13 +24,20 @@ _CAPS = "with c as (select * from (values " + ", ".join(
 ) + ") v(name, task, modalities, inputs, built_in))"
 
 
-@query(
-    "udf2_udf3_flt14_capability_search",
-    _CAPS + " select name, task, built_in from c where list_contains(modalities, 'sar') and list_contains(inputs, 2)",
-)
+_SEARCH = "o as (select o_orderkey as request, ['vqa', 'grounding', 'caption', 'change_detection', 'change_vqa', 'optical_sar_analysis'][o_orderkey % 6 + 1] as task, ['optical', 'multispectral', 'sar'][o_orderkey // 6 % 3 + 1] as modality, (o_orderkey // 18 % 2 + 1)::int as n from orders)"
+
+
+@query("udf2_udf3_flt14_capability_search", _CAPS + ", " + _SEARCH + " select request, o.task, modality, n, name, built_in from o left join c on c.task = o.task and list_contains(modalities, modality) and list_contains(inputs, n)")
 def flt14(spark, d):
-    c = P.capabilities(spark)
-    return c.where(F.array_contains("modalities", "sar") & F.array_contains("inputs", 2)).select("name", "task", "built_in")
+    """For every order's task, modality and number of inputs the specialist that takes them."""
+    k, c = F.col("o_orderkey"), P.capabilities(spark)
+    pick = lambda vs, at: F.element_at(F.array(*map(F.lit, vs)), (at % len(vs) + 1).cast("int"))
+    o = V.table(spark, d, "orders").select(
+        k.alias("request"), pick(list(P.STEPS), k).alias("task"), pick(("optical", "multispectral", "sar"), F.floor(k / 6)).alias("modality"), (F.floor(k / 18) % 2 + 1).cast("int").alias("n")
+    )
+    takes = F.expr("array_contains(modalities, modality) and array_contains(inputs, n)")
+    j = o.join(F.broadcast(c.withColumnRenamed("task", "of")), (F.col("of") == F.col("task")) & takes, "left")
+    return j.select("request", "task", "modality", "n", "name", "built_in")
 
 
 @query("pln1_plan_steps", "with p as (select * from (values " + ", ".join(f"('{k}', {v!r})" for k, v in P.STEPS.items()) + ") v(task, steps)), o as (select o_orderkey as request, ['vqa', 'grounding', 'caption', 'change_detection', 'change_vqa', 'optical_sar_analysis'][o_orderkey % 6 + 1] as task from orders) select request, unnest(range(1, len(steps) + 1))::int as step, unnest(steps) as name from o join p using (task)")
@@ -42,24 +50,22 @@ def pln1(spark, d):
 _TASK = "['vqa', 'grounding', 'caption', 'change_detection', 'change_vqa', 'optical_sar_analysis'][o_orderkey % 6 + 1]"
 
 
-@query("udf1_udf5_registry_status", _CAPS + f", o as (select o_orderkey as request, {_TASK} as task, o_totalprice as price from orders) select request, c.name as specialist, case when built_in then 'ok' else 'unavailable' end as status, case when built_in then round(price * 2, 2) end as answer from o join c using (task)")
+@query("udf1_udf5_registry_status", I.CHANGED + ", " + V.SQL["os"] + I.CLASS_STEPS + ", " + _CAPS.replace("with ", "", 1) + f""", zo as (select scene, count(cl.x)::double as n from df left join cl using (scene, y, x) group by scene), kc as (select scene, count(distinct class)::double as n from k group by scene), sc as (select distinct scene from df)
+select sc.scene as request, c.name as specialist, case when built_in then 'ok' else 'unavailable' end as status, case c.name when 'CHANGE_DETECT' then zo.n when 'OPTICAL_SAR_FUSION' then kc.n end as answer from sc cross join c left join zo on zo.scene = sc.scene left join kc on kc.scene = sc.scene""")
 def udf5(spark, d):
-    """Every request through the pipeline of its task: a registered one answers, one that isn't there gives its status only."""
+    """Every specialist over every scene: the built-in ones answer (changed pixels, land cover classes), the others give their
+    status only."""
     registry = P.Registry()
-    for name, *_, built_in in P.SPECIALISTS:
-        if built_in:
-            registry.register(name, lambda df: df.withColumn("answer", F.round(F.col("price") * 2, 2)))
-    task = F.element_at(F.array(*[F.lit(t) for t in P.STEPS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), task.alias("task"), F.col("o_totalprice").alias("price"))
+    change, fusion = SP.ChangeDetector(I.H, I.WIDTH), SP.SensorFusion(I.H, I.WIDTH)
+    registry.register(change.capability.name, lambda df: change(df).select("scene", F.col("changed").cast("double").alias("answer")))
+    registry.register(fusion.capability.name, lambda df: fusion(df).where("pixels > 0").groupBy("scene").agg(F.count(F.lit(1)).cast("double").alias("answer")))
+    pair = V.changed_pair(spark, d)
+    inputs = {change.capability.name: pair, fusion.capability.name: V.optical_sar(spark, d)}
     out = None
-    for name, of, *_ in P.SPECIALISTS:
-        one = registry.run(name, o.where(F.col("task") == of))
-        one = one.select(
-            "request",
-            F.lit(name).alias("specialist"),
-            "status",
-            (F.col("answer") if "answer" in one.columns else F.lit(None).cast("double")).alias("answer"),
-        )
+    for name, *_ in P.SPECIALISTS:
+        one = registry.run(name, inputs.get(name, pair.select("scene").distinct()))
+        answer = F.col("answer") if "answer" in one.columns else F.lit(None).cast("double")
+        one = one.select(F.col("scene").alias("request"), F.lit(name).alias("specialist"), "status", answer.alias("answer"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -208,8 +208,12 @@ def flt11(spark, d):
     ).select("k", "p.compatible", "p.reason", "p.overlap_pct", "p.temporal")
 
 
-@query("snk4_status", "select * from (values ('CHANGE_DETECT', 'change_detection', true, true, 'loaded'), ('CHANGE_VQA', 'change_vqa', false, false, 'unavailable'), ('OPTICAL_SAR_FUSION', 'optical_sar_analysis', true, false, 'ready'), ('RS_CAPTION', 'caption', false, false, 'unavailable'), ('RS_GROUND', 'grounding', false, false, 'unavailable'), ('RS_VQA', 'vqa', false, false, 'unavailable')) v(name, task, built_in, registered, state)")
+@query("snk4_status", """with c as (select * from (values ('CHANGE_DETECT', 'change_detection', true, true, 'loaded'), ('CHANGE_VQA', 'change_vqa', false, false, 'unavailable'), ('OPTICAL_SAR_FUSION', 'optical_sar_analysis', true, false, 'ready'), ('RS_CAPTION', 'caption', false, false, 'unavailable'), ('RS_GROUND', 'grounding', false, false, 'unavailable'), ('RS_VQA', 'vqa', false, false, 'unavailable')) v(name, task, built_in, registered, state)),
+o as (select ['vqa', 'grounding', 'caption', 'change_detection', 'change_vqa', 'optical_sar_analysis'][o_orderkey % 6 + 1] as task, count(*) as waiting from orders group by 1) select c.*, waiting from c left join o using (task)""")
 def snk4(spark, d):
+    """What can be asked for now, and how many orders ask for it."""
     r = P.Registry()
     r.register("CHANGE_DETECT", lambda df: df)
-    return P.status(spark, r)
+    task = F.element_at(F.array(*[F.lit(t) for t in P.STEPS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    waiting = V.table(spark, d, "orders").groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("waiting"))
+    return P.status(spark, r).join(waiting, "task", "left").select("name", "task", "built_in", "registered", "state", "waiting")

@@ -101,9 +101,11 @@ def flt2(spark, d):
     return R.route(_requests(spark, d))
 
 
-@query("str1_referring_phrase", f"with q as (select query from {_Q}), p as (select query, trim(regexp_replace(trim(query), '(?i)^({'|'.join(sorted(T.PREFIXES, key=len, reverse=True))})', '')) as t from q), a as (select query, trim(regexp_replace(t, '(?i)^(the |an |a )', '')) as t from p), z as (select query, trim(regexp_replace(t, '[?!.]+$', '')) as t from a) select query, case when t = '' then 'object' else t end || '.' as phrase from z")
+@query("str1_referring_phrase", f"with q as (select query from {_Q} union all select text from conversations where text is not null), p as (select query, trim(regexp_replace(trim(query), '(?i)^({'|'.join(sorted(T.PREFIXES, key=len, reverse=True))})', '')) as t from q), a as (select query, trim(regexp_replace(t, '(?i)^(the |an |a )', '')) as t from p), z as (select query, trim(regexp_replace(t, '[?!.]+$', '')) as t from a) select query, case when t = '' then 'object' else t end || '.' as phrase from z")
 def str1(spark, d):
+    """Of the fixed questions and of every turn of the conversations."""
     q = spark.createDataFrame([(q,) for q in QUESTIONS], "query string")
+    q = q.union(V.table(spark, d, "conversations").where("text is not null").select("text"))
     return q.select("query", T.referring_phrase(F.col("query")).alias("phrase"))
 
 
@@ -130,10 +132,14 @@ def str2(spark, d):
 
 @query(
     "str3_tolerant_json",
-    f"with a as (select answer from {_values([(a,) for a in ANSWERS], 'answer')}) select answer, nullif(trim(regexp_extract(answer, '\"direction\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as direction, nullif(trim(regexp_extract(answer, '\"confidence\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as confidence from a",
+    f"with a as (select answer from {_values([(a,) for a in ANSWERS], 'answer')} union all select text || ' {{\"direction\": \"' || role || '\", \"confidence\": ' || turn::varchar || '}} ' || text from conversations where text is not null) select answer, nullif(trim(regexp_extract(answer, '\"direction\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as direction, nullif(trim(regexp_extract(answer, '\"confidence\"\\s*:\\s*\"?([^\",}}]+)', 1)), '') as confidence from a",
 )
 def str3(spark, d):
+    """Of the fixed answers, and of an object in the midst of every turn of the conversations."""
     a = spark.createDataFrame([(a,) for a in ANSWERS], "answer string")
+    c = V.table(spark, d, "conversations").where("text is not null")
+    own = F.format_string(' {"direction": "%s", "confidence": %s} ', "role", F.col("turn").cast("string"))
+    a = a.union(c.select(F.concat("text", own, "text")))
     return a.select(
         "answer",
         T.json_answer(F.col("answer"), "direction string, confidence string", ["direction", "confidence"]).alias("j"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..operators import benchmark as BE
 from ..operators import change as CH
 from ..operators import evidence as E
 from ..operators import scoring as S
@@ -115,3 +116,39 @@ def agg23(spark, d):
 def evd6(spark, d):
     """The third box of every order that has one, by specialist, type and region."""
     return E.lookup(_boxes(spark, d), specialist="RS_GROUND", kind="box", region="box_03").select("request", "region", "value")
+
+
+def _truth(y, x, n):
+    return (n % 4 != 0) & (y >= 8 + n % 7) & (y < 28 + n % 9) & (x >= 2 + n % 3) & (x < 12)
+
+
+@query("ben1_scene_benchmark", I.CHANGED + """, tr as (select scene, y, x from cpair where scene % 4 <> 0 and y >= 8 + scene % 7 and y < 28 + scene % 9 and x >= 2 + scene % 3 and x < 12),
+bo as (select scene, y, x, max(p) as p, max(t) as t from (select scene, y, x, 1 as p, 0 as t from cl union all select scene, y, x, 0, 1 from tr) group by all), co as (select scene, sum(p * t)::bigint as tp, sum(p * (1 - t))::bigint as fp, sum(t * (1 - p))::bigint as fn from bo group by scene),
+c as (select sa.scene, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn, 800 - coalesce(tp, 0) - coalesce(fp, 0) - coalesce(fn, 0) as tn from (select distinct scene from cpair) sa left join co using (scene)),
+pr as (select *, case when tp + fp + fn = 0 then 1 when tp + fp > 0 then tp::double / (tp + fp) else 0 end as p, case when tp + fp + fn = 0 then 1 when tp + fn > 0 then tp::double / (tp + fn) else 0 end as r from c)
+select scene, tp, fp, fn, tn, round(p, 4) as precision, round(r, 4) as recall, round(case when p + r > 0 then 2.0::double * p * r / (p + r) else 0 end, 4) as f1 from pr""")
+def ben1(spark, d):
+    """Change detection on every scene of the table, against the block that was raised."""
+    pair, n = V.changed_pair(spark, d), F.col("scene")
+    samples = pair.select("scene").distinct().select(
+        "scene",
+        F.lit(I.H * I.WIDTH).cast("long").alias("pixels"),
+        F.element_at(F.array(*map(F.lit, ("urban", "forest", "water", "agriculture"))), (n % 4 + 1).cast("int")).alias("category"),
+        F.element_at(F.array(*map(F.lit, ("none", "illumination", "shadow"))), (n % 3 + 1).cast("int")).alias("nuisance"),
+        (n % 3 != 0).alias("quantitative"),
+        n.alias("ord"),
+    )
+    truth = pair.where(_truth(F.col("y"), F.col("x"), n)).select("scene", "y", "x")
+    out = BE.change_benchmark(CH.detect(pair, I.H, I.WIDTH)["mask"], truth, samples)["samples"]
+    return out.select("scene", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
+
+
+@query("ben2_agg17_scene_formats", I.CHANGED + """, cc as (select scene, count(*) as n from cl group by scene), ex as (select scene, ['tif', 'png', 'jp2'][scene % 3 + 1] as formats, scene % 4 <> 0 as change, coalesce(n, 0) as changed from (select distinct scene from df) left join cc using (scene)),
+ve as (select *, round(changed::double / 800 * 100.0::double, 4) >= 1.0 and changed > 100 as found from ex)
+select formats, count(*) as n, count(*) filter (where found = change) as correct, count(*) filter (where found and not change) as false_positives, round(count(*) filter (where found = change)::double / count(*) * 100.0::double, 2) as accuracy_pct from ve group by formats""")
+def ben2(spark, d):
+    """The verdict on every scene of the table by its format; how well the pairs align has no SQL."""
+    pair, n = V.changed_pair(spark, d), F.col("scene")
+    formats = F.element_at(F.array(*map(F.lit, ("tif", "png", "jp2"))), (n % 3 + 1).cast("int"))
+    expected = pair.select("scene").distinct().select("scene", formats.alias("formats"), (n % 4 != 0).alias("change"))
+    return S.format_matrix(BE.format_audit(pair, expected, I.H, I.WIDTH)).drop("misaligned")

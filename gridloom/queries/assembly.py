@@ -134,7 +134,7 @@ def win5(spark, d):
 
 
 _ASKED = [(q, m1, m2, None) for q in QUESTIONS for m1, m2 in (("optical", "optical"), ("optical", None), ("optical", "sar"))]
-_RQ = "rq as (select i as request, i % 5 as scene, query, m1, m2, hint from (values " + ", ".join(
+_RQ = f"rq as (select sn.scene * {len(_ASKED)} + i as request, sn.scene, query, m1, m2, hint from (select distinct scene from px) sn, (values " + ", ".join(
     f"({i}, '{q}', '{m1}', {repr(m2) if m2 else 'null'}, null::varchar)"
     for i, (q, m1, m2, _) in enumerate(_ASKED)
 ) + ") v(i, query, m1, m2, hint))"
@@ -153,9 +153,10 @@ select request, task, rejection, sg.specialist, case when rejection is not null
 case when confidence >= 0.78 then 'HIGH' when confidence >= 0.55 then 'MEDIUM' when confidence >= 0.35 then 'LOW' when confidence is not null then 'UNSUPPORTED' end as tier
 from sg left join jj on jj.scene = sg.scene and jj.specialist = sg.specialist and rejection is null""")
 def pln2(spark, d):
-    """Questions over three kinds of inputs and five scenes, each request's specialists run and its evidence judged."""
-    rows = [(i, q, m1, m2, hint, i % 5) for i, (q, m1, m2, hint) in enumerate(_ASKED)]
-    q = spark.createDataFrame(rows, "request long, query string, m1 string, m2 string, hint string, scene long")
+    """Every question over three kinds of inputs and every scene, each request's specialists run and its evidence judged."""
+    asked = [F.struct(F.lit(i).alias("i"), F.lit(q).alias("query"), F.lit(m1).alias("m1"), F.lit(m2).cast("string").alias("m2")) for i, (q, m1, m2, _) in enumerate(_ASKED)]
+    q = V.pixels(spark, d).select("scene").distinct().select("scene", F.explode(F.array(*asked)).alias("a"))
+    q = q.select((F.col("scene") * len(_ASKED) + F.col("a.i")).alias("request"), "a.query", "a.m1", "a.m2", F.lit(None).cast("string").alias("hint"), "scene")
     o = X.execute(q, V.changed_pair(spark, d), V.optical_sar(spark, d), I.H, I.WIDTH)
     judged = o["judged"].select("request", "status", F.round("confidence", 4).alias("confidence"), "tier")
     ran = F.col("specialist").isin(X.CHANGE, X.FUSION) & F.col("rejection").isNull()

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
+from ..store import written
 from .passages import leaks
+from .ranks import ranked
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -49,6 +51,16 @@ def statistics(df: DataFrame, *dims: str) -> DataFrame:
     return df.groupingSets([[d] for d in dims] + [[]], *dims).agg(F.count(F.lit(1)).alias("n"))
 
 
+def split_scenes(samples: DataFrame, split: str, scene: str) -> DataFrame:
+    """AGG18: split, scene, n, place: each split's distinct scenes in order, a row a scene, with how many samples it has and
+    its place in the split's list from 1. No list stands in a row, and no split in a task."""
+    each = written(samples.groupBy(F.col(split).alias("split"), F.col(scene).alias("scene")).agg(F.count(F.lit(1)).alias("n")), "scenes")
+    rows = written(ranked(each, F.asc_nulls_first("split"), F.asc_nulls_first("scene")), "places")
+    before = rows.groupBy(F.col("split").alias("of")).agg((F.min("rank") - 1).alias("before"))
+    rows = rows.join(F.broadcast(before), F.col("split").eqNullSafe(F.col("of")))  # a row a split
+    return rows.select("split", "scene", "n", (F.col("rank") - F.col("before")).alias("place"))
+
+
 def build(samples: DataFrame, quarantined: DataFrame, frozen: DataFrame, *, per_stratum: int, n_val: int, seed: str) -> DataFrame:
     """BEN3: an evaluation corpus of samples (doc_id, stratum, text): the first of equal texts, without those quarantined
     (doc_id) and those that hold a frozen passage (item_id, passage), up to per_stratum of each stratum, n_val of them for validation:

@@ -181,14 +181,12 @@ def map24(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", F.round(PX.token_confidence(logits), 6).alias("confidence"))
 
 
-@query("agg21_bce_dice_loss", "select label, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) as bce, round(1 - (2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) as dice from (select label, (embedding[1]::double + 1) / 2 as p, (embedding[2] > 0)::int::double as y from embeddings) group by label")
+@query("agg21_bce_dice_loss", "with v as (select label, unnest(list_transform(range(1, 33), lambda i: {'p': (embedding[i]::double + 1) / 2, 'y': (embedding[i + 32] > 0)::int::double})) as v from embeddings) select label, round(-avg(v.y * ln(v.p) + (1 - v.y) * ln(1 - v.p)), 6) as bce, round(1 - (2 * sum(v.p * v.y) + 1) / (sum(v.p) + sum(v.y) + 1), 6) as dice from v group by label")
 def agg21(spark, d):
-    t = V.table(spark, d, "embeddings").select(
-        "label",
-        ((F.get("embedding", F.lit(0)).cast("double") + 1) / 2).alias("p"),
-        (F.get("embedding", F.lit(1)) > 0).cast("double").alias("y"),
-    )
-    return S.bce_dice(t, "label")
+    """The first half of a row's numbers are probabilities, the signs of the other half what is true."""
+    half = lambda at: F.slice("embedding", at, 32)
+    pairs = F.zip_with(half(1), half(33), lambda u, v: F.struct(((u.cast("double") + 1) / 2).alias("p"), (v > 0).cast("double").alias("y")))
+    return S.bce_dice(V.table(spark, d, "embeddings").select("label", F.explode(pairs).alias("v")).select("label", "v.*"), "label")
 
 
 @query("str4_semantic_post_validation", "with o as (select o_orderkey as k, ['increased', 'shrunk', 'no_change', 'modified'][o_orderkey % 4 + 1] as d, (o_orderkey % 10) * 200 as px, ['water', 'lava', 'forest'][o_orderkey % 3 + 1] as f, ['forest', 'bare'][o_orderkey % 2 + 1] as t, (o_orderkey % 100) / 100.0::double as c from orders), v as (select k, case when d not in ('increased', 'decreased', 'no_change', 'modified') then 'modified' when d = 'no_change' and px > 500 then 'modified' else d end as direction, f not in ('water', 'forest', 'bare', 'building') or f = t as unc, c from o) select k, direction, unc as uncertain, case when unc then least(c, 0.60::double) else c end as confidence, round(1.0::double - case when unc then least(c, 0.60::double) else c end, 4) as uncertainty from v")

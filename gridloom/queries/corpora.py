@@ -120,12 +120,10 @@ def agg16(spark, d):
     return K.statistics(_docs(spark, d, "lang", "source"), "lang", "source")
 
 
-@query("agg18_split_scenes", "select lang, array_to_string(list_sort(list(distinct source)), ',') as sources, count(*) as n from documents group by lang")
+@query("agg18_split_scenes", "select lang as split, source as scene, count(*) as n, row_number() over (partition by lang order by source nulls first) as place from documents group by lang, source")
 def agg18(spark, d):
-    return _docs(spark, d, "lang", "source").groupBy("lang").agg(
-        F.concat_ws(",", F.sort_array(F.collect_set("source"))).alias("sources"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    """Each language's sources in order, as rows."""
+    return K.split_scenes(_docs(spark, d, "lang", "source"), "lang", "source")
 
 
 @query("ben4_duplicates", "select sha256(text) as sha, count(*) as n from documents group by 1 having count(*) > 1")

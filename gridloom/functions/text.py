@@ -229,9 +229,19 @@ def fusion_narrative(built: Column, water: Column) -> Column:
     return F.format_string("Both sensors together show %d pixels of buildings, by double bounce, and %d of open water, by its smooth surface.", built, water)
 
 
-def scene_questions(scene: Column, kinds: Column, absent: Column, crs: Column) -> Column:
-    """STR15. Questions and answers of a scene's annotations: what it is, what is there, what isn't, and its map grid.
-    An array of struct(family, question, answer); those without an annotation are left out."""
+def stages_narrative(stages: Column) -> Column:
+    """STR14: what a request's stages, an array of struct(name, finding) in order, found one after the other; a stage without a
+    finding says so, and without any stage there is nothing to tell."""
+    said = F.transform(stages, lambda x, i: F.format_string("Step %d, %s: %s.", i + 1, x["name"], F.coalesce(x["finding"], F.lit("nothing was found"))))
+    return F.when(F.coalesce(F.size(stages), F.lit(0)) == 0, "No stage ran.").otherwise(F.concat_ws(" ", said))
+
+
+def scene_questions(scene: Column, kinds: Column, absent: Column, crs: Column, bounds: Column | None = None, pixel: Column | None = None) -> Column:
+    """STR15. Questions and answers of a scene's annotations: what it is, what is there, what isn't, its map grid, the ground
+    that its bounds (minx, miny, maxx, maxy, in m) hold, and its pixels' size in m. An array of struct(family, question,
+    answer); those without an annotation are left out."""
+    bounds = F.lit(None).cast("array<double>") if bounds is None else bounds
+    pixel = F.lit(None).cast("double") if pixel is None else pixel
     qa = lambda family, q, a, cond: F.when(cond, F.struct(F.lit(family).alias("family"), q.alias("question"), a.alias("answer")))
     first = F.get(kinds, F.lit(0))
     return F.array_compact(
@@ -251,6 +261,13 @@ def scene_questions(scene: Column, kinds: Column, absent: Column, crs: Column) -
                 absent.isNotNull() & ~F.array_contains(kinds, absent),
             ),
             qa("crs", F.format_string("Which map grid has scene %s?", scene), crs, crs.isNotNull()),
+            qa(
+                "extent",
+                F.format_string("How much ground does scene %s show?", scene),
+                F.format_string("%.2f x %.2f km", (F.get(bounds, F.lit(2)) - F.get(bounds, F.lit(0))) / 1000.0, (F.get(bounds, F.lit(3)) - F.get(bounds, F.lit(1))) / 1000.0),
+                F.size(bounds) == 4,
+            ),
+            qa("gsd", F.format_string("How large is a pixel of scene %s?", scene), F.format_string("%.2f m", pixel), pixel > 0),
         )
     )
 

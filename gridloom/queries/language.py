@@ -233,17 +233,28 @@ def str14(spark, d):
     return g.select("l_orderkey", T.change_narrative(F.col("px"), F.col("n"), 100.0).alias("t"))
 
 
-@query("str15_templated_questions", """with s as (select doc_id::varchar as s, case when doc_id % 7 = 0 then [] else [lang, source] end as kinds, case when doc_id % 3 = 0 then 'de' when doc_id % 3 = 1 then 'xx' end as absent, case when doc_id % 2 = 0 then 'EPSG:32643' end as crs from documents),
+@query("str14_stages_narrative", """select o_orderkey, 'Step 1, detection: ' || o_orderkey % 50 || ' regions. Step 2, interpretation: ' || case when o_orderkey % 3 = 0 then 'nothing was found' else ['more', 'less'][o_orderkey % 2 + 1] || ' water' end || '. Step 3, report: ' || o_orderpriority || '.' as t from orders""")
+def str14_stages(spark, d):
+    """Three stages of every order, the second of which may find nothing."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 3 != 0, F.concat(F.when(k % 2 == 0, "more").otherwise("less"), F.lit(" water")))
+    found = {"detection": F.format_string("%d regions", k % 50), "interpretation": said, "report": F.col("o_orderpriority")}
+    stages = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("finding")) for n, v in found.items()])
+    return V.table(spark, d, "orders").select("o_orderkey", T.stages_narrative(stages).alias("t"))
+
+
+@query("str15_templated_questions", """with s as (select doc_id::varchar as s, case when doc_id % 5 <> 0 then (doc_id % 50 + 1) * 0.5::double end as wide, case when doc_id % 4 <> 0 then (doc_id % 8 + 1) * 0.25::double end as gsd, case when doc_id % 7 = 0 then [] else [lang, source] end as kinds, case when doc_id % 3 = 0 then 'de' when doc_id % 3 = 1 then 'xx' end as absent, case when doc_id % 2 = 0 then 'EPSG:32643' end as crs from documents),
 q as (select 'scene' as family, 'What does scene ' || s || ' show?' as question, array_to_string(kinds, ', ') as answer from s where len(kinds) > 0 union all select 'inventory', 'How many kinds are there in scene ' || s || '?', len(kinds)::varchar from s where len(kinds) > 0
-union all select 'presence', 'Is there ' || kinds[1] || ' in scene ' || s || '?', 'yes' from s where len(kinds) > 0 union all select 'hard_negative', 'Is there ' || absent || ' in scene ' || s || '?', 'no' from s where absent is not null and not list_contains(kinds, absent) union all select 'crs', 'Which map grid has scene ' || s || '?', crs from s where crs is not null) select * from q""")
+union all select 'presence', 'Is there ' || kinds[1] || ' in scene ' || s || '?', 'yes' from s where len(kinds) > 0 union all select 'hard_negative', 'Is there ' || absent || ' in scene ' || s || '?', 'no' from s where absent is not null and not list_contains(kinds, absent) union all select 'crs', 'Which map grid has scene ' || s || '?', crs from s where crs is not null
+union all select 'extent', 'How much ground does scene ' || s || ' show?', printf('%.2f x %.2f km', wide, wide * 2) from s where wide is not null union all select 'gsd', 'How large is a pixel of scene ' || s || '?', printf('%.2f m', gsd) from s where gsd is not null) select * from q""")
 def str15(spark, d):
     k = F.col("doc_id")
     kinds = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source"))
-    t = V.table(spark, d, "documents").select(
-        F.explode(
-            T.scene_questions(k.cast("string"), kinds, F.when(k % 3 == 0, "de").when(k % 3 == 1, "xx"), F.when(k % 2 == 0, "EPSG:32643"))
-        ).alias("q")
-    )
+    wide = (k % 50 + 1) * 500.0
+    bounds = F.when(k % 5 != 0, F.array(F.lit(1000.0), F.lit(2000.0), wide + 1000.0, wide * 2 + 2000.0))
+    absent, crs = F.when(k % 3 == 0, "de").when(k % 3 == 1, "xx"), F.when(k % 2 == 0, "EPSG:32643")
+    asked = T.scene_questions(k.cast("string"), kinds, absent, crs, bounds, F.when(k % 4 != 0, (k % 8 + 1) * 0.25))
+    t = V.table(spark, d, "documents").select(F.explode(asked).alias("q"))
     return t.select("q.*")
 
 

@@ -30,6 +30,13 @@ def capped(df: DataFrame, stratum: str, n: int, seed: str, key: str) -> DataFram
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("rank")
 
 
+def two_caps(df: DataFrame, kind: str, per_kind: int, total: int, order: str) -> DataFrame:
+    """WIN9: in order, up to per_kind of each kind, and the first `total` of these: a report of fixed size. Ranks are cut
+    before the shuffle, and the limit takes its rows in order."""
+    w = W.partitionBy(kind).orderBy(order)
+    return df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_kind).drop("n").orderBy(order).limit(total)
+
+
 def split(df: DataFrame, n_val: int, seed: str, key: str) -> DataFrame:
     """WIN11: the n_val rows of the least hash are val, the others train. The cut is found by an ordered limit, so no
     global window holds all rows."""

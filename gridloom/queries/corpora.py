@@ -75,9 +75,8 @@ def win10(spark, d):
 
 @query("win9_two_caps", "with r as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as k from documents), t as (select doc_id, lang from r where k <= 12) select doc_id, lang from t order by doc_id limit 30")
 def win9(spark, d):
-    """Up to 12 of each class in order, then the first 30 of all: a report of fixed size."""
-    w = K.W.partitionBy("lang").orderBy("doc_id")
-    return _docs(spark, d, "lang").withColumn("k", F.row_number().over(w)).where("k <= 12").drop("k").orderBy("doc_id").limit(30)
+    """Up to 12 of each class in order, then the first 30 of all."""
+    return K.two_caps(_docs(spark, d, "lang"), "lang", 12, 30, "doc_id")
 
 
 @query("win11_split", "with h as (select doc_id, sha256('v' || doc_id::varchar) as h from documents), c as (select max(h) as cut from (select h from h order by h limit 120)) select doc_id, case when h <= cut then 'val' else 'train' end as split from h, c")

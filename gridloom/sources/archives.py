@@ -157,3 +157,37 @@ def read_indexed(index: DataFrame, share_bytes: int = SHARE_BYTES) -> DataFrame:
 def read_members(spark: SparkSession, path: str, pattern: str, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """SRC7, SRC8: rows of MEMBERS of the archives at path whose names match."""
     return read_indexed(written(archive_index(spark, path, pattern), "members"), share_bytes)
+
+
+def read_samples(index: DataFrame, exts: dict[str, str], share_bytes: int = SHARE_BYTES) -> DataFrame:
+    """JN9: archive, key and a binary column a name of exts (such as {"t1": "0.img", "t2": "1.img", "meta": "json"}) of each key
+    that has a member of every one of these endings. What is joined are the index's rows; then each sample's members are
+    read side by side, by one task. Of members of one name the first in the archive counts. Packed tars have no index.
+    index is a written table."""
+    base = F.element_at(F.split("name", "/"), -1)
+    folder = F.regexp_extract("name", r"^(.*/)", 1)
+    rows = index.where("name is not null").withColumns({"key": F.concat(folder, F.substring_index(base, ".", 1)), "ext": F.when(F.contains(base, F.lit(".")), F.regexp_extract(base, r"^[^.]*\.(.*)$", 1)).otherwise("")})
+    place = F.struct("kind", "at", "size", "packed", "crc")
+    out = None
+    for column, ext in exts.items():
+        one = rows.where(F.col("ext") == ext).groupBy("archive", "key").agg(F.min_by(place, "at").alias(column))
+        out = one if out is None else out.join(one, ["archive", "key"])
+    out = written(out, "samples")
+    sizes = [F.col(f"{c}.size") for c in exts]
+    total = out.agg(F.sum(sum(sizes[1:], sizes[0])).alias("s")).first()["s"] or 0
+    dealt = out.repartition(max(1, -(-total // share_bytes)), F.xxhash64("archive", "key")).sortWithinPartitions("archive", f"{next(iter(exts))}.at")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                found = []
+                with Ranged(r["archive"]) as data:
+                    for c in exts:
+                        try:
+                            found.append(member(data, *r[c].values()))
+                        except (OSError, ValueError, EOFError, struct.error, zlib.error, lzma.LZMAError):
+                            found.append(None)
+                cols = [pa.array([r["archive"]]), pa.array([r["key"]]), *[pa.array([v], pa.binary()) for v in found]]
+                yield pa.RecordBatch.from_arrays(cols, ["archive", "key", *exts])
+
+    return dealt.mapInArrow(read, "archive string, key string, " + ", ".join(f"{c} binary" for c in exts))

@@ -203,3 +203,17 @@ def test_chosen_members(spark, archives):
     index = written(AR.archive_index(spark, str(archives), "*.tar"), "index").where("name like '%.json' and archive like '%a.tar'")
     got = AR.read_indexed(index).collect()
     assert len(got) == 30 and {r["ext"] for r in got} == {"json"} and zlib.crc32(got[0]["content"]) >= 0
+
+
+def test_samples_of_three_members(spark, tmp_path):
+    from gridloom.store import written
+
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for name, data in [("x/1.0.img", b"one"), ("x/1.1.img", b"two"), ("x/1.json", b"{}"), ("2.0.img", b"no"), ("2.json", b"{}"), ("3.0.img", b"3a"), ("3.json", b"[]"), ("3.1.img", b"3b"), ("3.0.img", b"again"), ("4", b"")]:
+            i = tarfile.TarInfo(name)
+            i.size = len(data)
+            t.addfile(i, io.BytesIO(data))
+    index = written(AR.archive_index(spark, str(tmp_path), "*.tar"), "index")
+    got = AR.read_samples(index, {"t1": "0.img", "t2": "1.img", "meta": "json"}).collect()
+    assert sorted((r["key"], bytes(r["t1"]), bytes(r["t2"]), bytes(r["meta"])) for r in got) == [("3", b"3a", b"3b", b"[]"), ("x/1", b"one", b"two", b"{}")]
+    assert AR.read_samples(index, {"a": "0.img", "b": "gone"}).collect() == []

@@ -124,3 +124,32 @@ def test_only_a_reported_try_of_a_task_is_published(tmp_path):
     w = RP.ReportWriter(str(tmp_path / "out"))
     w.abort([w.write(batch("c")), None])
     assert files(tmp_path / "out") == ["a", "b"] and len(os.listdir(tmp_path / "out")) == 1
+
+
+def test_narratives_of_stages(spark):
+    from gridloom.functions import text as T
+
+    rows = [([("detect", "3 regions"), ("interpret", None)],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "s array<struct<name: string, finding: string>>")
+    assert [r["v"] for r in df.select(T.stages_narrative(F.col("s")).alias("v")).collect()] == [
+        "Step 1, detect: 3 regions. Step 2, interpret: nothing was found.", "No stage ran.", "No stage ran."
+    ]
+
+
+def test_training_tiles_keep_all_with_change_and_some_without(spark):
+    from gridloom.operators.alignment import training_tiles
+
+    px = [(0, y, x, y < 4 and x < 4) for y in range(13) for x in range(9)]
+    t = training_tiles(spark.createDataFrame(px, "scene long, y int, x int, changed boolean"), 13, 9, (4, 4), least_changed=5, most_still=2)
+    assert sorted((r["ty"], r["tx"], r["pixels"], r["changed"]) for r in t.collect()) == [(0, 0, 16, 16), (0, 1, 16, 0), (1, 0, 16, 0)]
+
+
+def test_split_scenes_and_caps(spark):
+    from gridloom.operators import corpus as K
+
+    rows = [("train", s) for s in "cabba"] + [("val", "z"), ("val", None), (None, "q")]
+    got = sorted(map(tuple, K.split_scenes(spark.createDataFrame(rows, "split string, scene string"), "split", "scene").collect()), key=str)
+    assert got == sorted([(None, "q", 1, 1), ("train", "a", 2, 1), ("train", "b", 2, 2), ("train", "c", 1, 3), ("val", None, 1, 1), ("val", "z", 1, 2)], key=str)
+    df = spark.range(40).withColumn("k", F.col("id") % 3)
+    assert sorted(r["id"] for r in K.two_caps(df, "k", 4, 10, "id").collect()) == list(range(10))
+    assert K.two_caps(df, "k", 2, 10, "id").count() == 6

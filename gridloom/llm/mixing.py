@@ -61,7 +61,7 @@ def mix_counts(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights
 
     Null text has size 0 and is never taken; a null source is a source of its own, the last. Repeated rows each count.
     A row draws by its id; rows that share one, and those without one, draw each for itself, by their place among all such
-    rows in the order of id and text, so that they meet their targets, too, and reruns agree. A source's taken words miss its target by the draws' deviation,
+    rows in the order of id, text and source, so that they meet their targets, too, and reruns agree. A source's taken words miss its target by the draws' deviation,
     the root of f (1 - f) times the sum of its sizes' squares, f being the rate's fraction: little where no document is
     a large part of its source. An empty table gives no rows. Other columns are ignored.
     Plan: one pass over the texts writes (id, source, size); ids are counted, and rows of shared ones ranked; totals combine before their shuffle, so a source
@@ -87,7 +87,7 @@ def mix_counts(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights
 
 
 def _with_draws(rows: DataFrame, seed: str) -> DataFrame:
-    """rows (doc_id, text_hash and others) with draw, a number in [0, 1)."""
+    """rows (doc_id, text_hash, source and others) with draw, a number in [0, 1)."""
     shared = rows.groupBy(F.col("doc_id").alias("twice")).agg(F.count(F.lit(1)).alias("n"))
     shared = C.written(shared.where("n > 1 or twice is null").select("twice"), "shared_ids")
     own = unit_hash(F.col("doc_id"), seed)
@@ -95,7 +95,7 @@ def _with_draws(rows: DataFrame, seed: str) -> DataFrame:
         return rows.withColumn("draw", own)
     few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     met = (F.broadcast(shared) if few else shared), F.col("doc_id").eqNullSafe(F.col("twice"))
-    again = ranked(C.written(rows.join(*met, "left_semi"), "sharing"), F.asc_nulls_first("doc_id"), F.asc("text_hash"))
+    again = ranked(C.written(rows.join(*met, "left_semi"), "sharing"), F.asc_nulls_first("doc_id"), F.asc("text_hash"), F.asc_nulls_first("source"))
     place = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("rank").cast("string"))
     again = again.withColumn("draw", unit_hash(place, seed)).drop("rank")
     return rows.join(*met, "left_anti").withColumn("draw", own).unionByName(again)

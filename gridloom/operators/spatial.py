@@ -22,6 +22,8 @@ from ..store import written
 SAMPLE, NODE_ROWS, DEPTH = 20_000, 100, 14
 #: A rectangle stays at nodes of less than its greater side divided by this.
 FINE = 4
+#: Rows of one rectangle that meet another's together.
+BLOCK_ROWS = 500
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -121,24 +123,65 @@ def _above(tree: Tree) -> Column:
     return F.filter(F.transform(steps, lambda k: F.call_function("shiftright", F.col("home"), (2 * k).cast("int"))), lambda n: n > 0)
 
 
+def _known(df: DataFrame) -> DataFrame:
+    return df.where(" and ".join(f"{c} is not null" for c in BOX) + " and x0 <= x1 and y0 <= y1")
+
+
+def _doubles(df: DataFrame) -> list[Column]:
+    return [df[c].cast("double").alias(f"{c}_as") for c in BOX]
+
+
+def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different rectangles of df (BOX, rectangle: their number, copies: rows that have it), and df's rows beside the
+    number of theirs and `block`: a rectangle's rows are dealt to blocks of some BLOCK_ROWS. Both are written tables."""
+    rows = written(_known(df), "rows")
+    each = rows.select(*_doubles(rows)).groupBy(*[f"{c}_as" for c in BOX]).agg(F.count(F.lit(1)).alias("copies"))
+    each = written(each.select(*[F.col(f"{c}_as").alias(c) for c in BOX], "copies", F.monotonically_increasing_id().alias("rectangle")), "rectangles")
+    numbers = each.select(*[F.col(c).alias(f"{c}_as") for c in BOX], "copies", "rectangle")
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), _blocks(F.col("copies"))).alias("block")
+    named = rows.select("*", *_doubles(rows)).join(numbers, [f"{c}_as" for c in BOX])
+    return each, written(named.select(*rows.columns, "rectangle", dealt), "members")
+
+
+def _blocks(copies: Column) -> Column:
+    return F.ceil(copies / BLOCK_ROWS)
+
+
+def rectangles_meeting(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFrame:
+    """rectangle_1, rectangle_2, copies_1, copies_2 of each two different rectangles (see classes) that meet: a written table,
+    which doesn't grow with their copies."""
+    tree = grown(one, two)
+    homes = [written(df.select("rectangle", *BOX).mapInArrow(_homes(tree), _NODES), "homes") for df in (one, two)]
+    pairs = _met(*homes, tree, False, touching).unionByName(_met(homes[1], homes[0], tree, True, touching))
+    for k, df in ((1, one), (2, two)):
+        pairs = pairs.join(df.select(F.col("rectangle").alias(f"rectangle_{k}"), F.col("copies").alias(f"copies_{k}")), f"rectangle_{k}")
+    return written(pairs, "pairs")
+
+
 def meeting(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFrame:
     """JN3, JN4: one's and two's columns, with suffixes _1 and _2, of each two rectangles (BOX) that have ground in common, or,
     if touching counts, a point of their edges; a row a pair.
 
     Rectangles without an extent in one direction have no ground but may touch; nulls in BOX meet nothing; repeated rows
-    are rectangles of their own. Shuffles some rows of numbers a rectangle; its other columns join the pairs by row."""
-    sides = []
-    for k, df in ((1, one), (2, two)):
-        known = " and ".join(f"{c} is not null" for c in BOX) + " and x0 <= x1 and y0 <= y1"
-        sides.append(written(df.where(known).withColumn("rectangle", F.monotonically_increasing_id()), f"rectangles_{k}"))
-    tree = grown(*sides)
-    homes = [written(df.select("rectangle", *[F.col(c).cast("double").alias(c) for c in BOX]).mapInArrow(_homes(tree), _NODES), "homes") for df in sides]
-    pairs = written(_met(*homes, tree, False, touching).unionByName(_met(homes[1], homes[0], tree, True, touching)), "pairs")
-    out = pairs
-    for k, df in ((1, sides[0]), (2, sides[1])):
-        named = df.select(*[F.col(c).alias(f"{c}_{k}") for c in df.columns])
-        out = out.join(named, f"rectangle_{k}")
-    return out.drop("rectangle_1", "rectangle_2")
+    are rectangles of their own. Different rectangles meet in the tree; their rows join the pairs at the end, by blocks, so
+    that neither the tree's work nor what is written grows with the copies of a rectangle, and no task has all of them."""
+    (each_1, rows_1), (each_2, rows_2) = classes(one), classes(two)
+    out = rectangles_meeting(each_1, each_2, touching=touching)
+    for k in (1, 2):
+        out = out.withColumn(f"block_{k}", F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(f"copies_{k}")) - 1)))
+    out = out.select("rectangle_1", "block_1", "rectangle_2", "block_2")
+    for k, rows in ((1, rows_1), (2, rows_2)):
+        named = rows.select(*[F.col(c).alias(f"{c}_{k}") for c in rows.columns])
+        out = out.join(named, [f"rectangle_{k}", f"block_{k}"])
+    return out.drop("rectangle_1", "block_1", "rectangle_2", "block_2")
+
+
+def counted(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFrame:
+    """SRC12: two's rows that meet any, beside `hits`, the number of one's rows that they meet (see meeting). Copies are counted,
+    not paired."""
+    (each_1, _), (each_2, rows_2) = classes(one), classes(two)
+    hits = rectangles_meeting(each_1, each_2, touching=touching).groupBy(F.col("rectangle_2").alias("rectangle")).agg(F.sum("copies_1").alias("hits"))
+    return rows_2.join(hits, "rectangle").drop("rectangle", "block")
 
 
 def _met(high: DataFrame, low: DataFrame, tree: Tree, turned: bool, touching: bool) -> DataFrame:

@@ -65,6 +65,23 @@ def test_empty_sides(spark):
         assert SP.meeting(a, b).collect() == []
 
 
+@pytest.mark.parametrize("touching", [False, True])
+def test_copies_of_a_rectangle_meet_once_and_all_count(spark, monkeypatch, touching):
+    """400 and 300 rows of three rectangles a side: what the tree pairs has a row a pair of rectangles."""
+    monkeypatch.setattr(SP, "BLOCK_ROWS", 50)
+    some = lambda n, w: [(i, *map(float, (i % 3 * 10, 0, i % 3 * 10 + w, 5))) for i in range(n)] + [(n, None, 1.0, 2.0, 3.0)]
+    a, b = some(400, 10), some(300, 4)
+    one, two = (spark.createDataFrame(r, "id long, x0 double, y0 double, x1 double, y1 double") for r in (a, b))
+    (each_1, rows_1), (each_2, _) = SP.classes(one), SP.classes(two)
+    assert (each_1.count(), each_2.count(), rows_1.count()) == (3, 3, 400)
+    assert rows_1.groupBy("rectangle", "block").count().agg(F.max("count")).first()[0] < 100
+    want = all_pairs(a, b, touching)
+    assert SP.rectangles_meeting(each_1, each_2, touching=touching).count() == (5 if touching else 3)
+    assert sorted(map(tuple, SP.meeting(one, two, touching=touching).select("id_1", "id_2").collect())) == want
+    hits = {r["id"]: r["hits"] for r in SP.counted(one, two, touching=touching).collect()}
+    assert hits == {j: sum(k == j for _, k in want) for j in {k for _, k in want}}
+
+
 def test_sweep_equals_loops(spark):
     r = np.random.default_rng(1)
     rows = [(c, bool(t), float(s)) for c in "ab" for t, s in zip(r.random(300) < 0.3, np.round(r.random(300), 2))] + [("a", None, 0.5), ("b", True, None), ("c", False, 1.0)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,10 +12,10 @@ from .passages import leaks
 from .ranks import ranked
 
 
-def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
+def first_of_each(df: DataFrame, key: str, order: str | Column, *more: str) -> DataFrame:
     """AGG22, JN10: the row of each key with the least order. min_by combines before the shuffle, so a key that most
-    rows share costs a row a task."""
-    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+    rows share costs a row a task. more: further columns of the key, null being a value."""
+    return df.groupBy(key, *more).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
 def without(df: DataFrame, quarantined: DataFrame, key: str) -> DataFrame:

@@ -62,15 +62,11 @@ def from_answers(answers: DataFrame, specialist: str) -> DataFrame:
 
 
 def fused(*items: DataFrame) -> DataFrame:
-    """EVD6, AGG22: one of each id, the least by specialist and type."""
+    """EVD6, AGG22: one of each item. An id has 32 bits, so that many requests share some: what an id is made of is the key."""
     every = items[0]
     for i in items[1:]:
         every = every.unionByName(i)
-    return first_of_each(
-        every.withColumn("o", F.concat_ws(":", "specialist", "type", F.coalesce("region", F.lit("")))),
-        "item_id",
-        "o",
-    ).drop("o")
+    return first_of_each(every, "item_id", F.struct("value", "confidence", "is_uncertain"), "request", "specialist", "type", "region")
 
 
 def lookup(items: DataFrame, *, specialist: str | None = None, region: str | None = None, kind: str | None = None) -> DataFrame:

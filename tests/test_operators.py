@@ -837,3 +837,13 @@ def test_pair_scores(spark):
         (r["scene"], r["score"], r["grade"])
         for r in A.pair_score(shift, share).orderBy("scene").collect()
     ] == [(0, 0.95, "excellent"), (1, 0.9, "excellent"), (2, 0.1, "poor"), (3, 0.7, "good")]
+
+
+def test_items_of_one_id_and_different_requests_all_stay(spark):
+    """Ids have 32 bits: these two requests' first boxes share one. A repeated item goes, an item without a value stays."""
+    boxes = spark.createDataFrame([(100159, 1, 0.5), (115470, 1, 0.25), (115470, 1, 0.25), (7, 2, None)], "request long, ord int, score double")
+    items = E.fused(E.from_boxes(boxes.select("request").limit(0), boxes))
+    rows = sorted((r["request"], r["item_id"], r["region"], r["value"]) for r in items.collect())
+    assert [(r[0], r[2], r[3]) for r in rows] == [(7, "box_02", None), (100159, "box_01", 0.5), (115470, "box_01", 0.25)]
+    assert rows[1][1] == rows[2][1] == "ev_70349383"
+    assert {r["request"]: r["boxes"] for r in E.metrics(items).collect()} == {7: 1, 100159: 1, 115470: 1}

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +73,16 @@ def partitioned(tiles: DataFrame) -> DataFrame:
     return tiles.repartition(*KEYS)
 
 
-def from_pixels(px: DataFrame, values: list[str], height: int, width: int, *, side: int = SIDE, kind: str = "<f8") -> DataFrame:
-    """Tiles of pixel rows (scene, y, x, values): a layer a value. A pixel that isn't there is zero. One shuffle, a tile a group."""
+def from_pixels(px: DataFrame, values: list[str], height: int, width: int, *, side: int = SIDE, kind: str = "<f8", scenes: DataFrame | None = None) -> DataFrame:
+    """Tiles of pixel rows (scene, y, x, values): a layer a value. A pixel that isn't there is zero; a value of ones, as the
+    last layer, tells these from others (`seen` of the filters). One shuffle, a tile a group. scenes: table of the scenes (one
+    row each) all of whose tiles come, those without pixels too."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         scene, ty, tx = (k.as_py() for k in key)
         p = _place(ty, tx, height, width, side)
         out = np.zeros((len(values), p.h, p.w), kind)
+        group = group.filter(pc.is_valid(group["y"]))
         y, x = group["y"].to_numpy() - p.y0, group["x"].to_numpy() - p.x0
         for k, v in enumerate(values):
             out[k, y, x] = group[v].to_numpy()
@@ -86,6 +90,10 @@ def from_pixels(px: DataFrame, values: list[str], height: int, width: int, *, si
         return pa.Table.from_pylist([{**row, "data": out.tobytes()}], schema=_SCHEMA)
 
     rows = px.select("scene", F.floor(F.col("y") / side).cast("int").alias("ty"), F.floor(F.col("x") / side).cast("int").alias("tx"), "y", "x", *values)
+    if scenes is not None:
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // side)))
+        none = scenes.select("scene", each(height).alias("ty")).select("scene", "ty", each(width).alias("tx"))
+        rows = rows.unionByName(none, allowMissingColumns=True)
     return rows.groupBy(*KEYS).applyInArrow(run, TYPE)
 
 

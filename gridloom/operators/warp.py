@@ -76,6 +76,17 @@ def _neighbours(at: np.ndarray, b: float, a: float) -> tuple[np.ndarray, np.ndar
     return v, np.floor(v - 0.5).astype(np.int64)
 
 
+def _sums(samples: np.ndarray, at: np.ndarray, sources: np.ndarray, n: int, b: float, a: float) -> np.ndarray:
+    """The two neighbours' weighted sum along the last axis; nothing for places outside."""
+    v, i = _neighbours(at, b, a)
+    f = v - 0.5 - i
+    total = 0.0
+    for k, w in ((i, 1.0 - f), (i + 1, f)):
+        w = np.where((k >= 0) & (k < n) & (v >= 0) & (v < n), w, 0.0)
+        total = total + samples[..., np.clip(np.searchsorted(sources, k), 0, max(len(sources) - 1, 0))] * w
+    return total
+
+
 def _between(samples: np.ndarray, at: np.ndarray, sources: np.ndarray, n: int, b: float, a: float) -> np.ndarray:
     """The two neighbours' weighted mean along the last axis; one that lies outside is left out."""
     v, i = _neighbours(at, b, a)
@@ -89,15 +100,22 @@ def _between(samples: np.ndarray, at: np.ndarray, sources: np.ndarray, n: int, b
     return np.where(inside, total / np.where(inside, weight, 1.0), 0.0)
 
 
-def warped(tiles: DataFrame, windows_: DataFrame, *, layers: int, kind: str = "<f8") -> DataFrame:
+def warped(tiles: DataFrame, windows_: DataFrame, *, layers: int, kind: str = "<f8", seen: bool = False) -> DataFrame:
     """JN1, JN2: the tiles' first layers on the windows' grids (scene, new_height, new_width, by, ay, bx, ax): each pixel's
     centre is mapped back, and its four neighbours weigh by their nearness; those outside the image are left out, and a
-    centre outside it gives 0. Whole-number kinds round. windows_ is a written table. One shuffle, of the lines and
+    centre outside it gives 0. With seen, the layer after these has 1 for the pixels that are there, and the others are left
+    out, too. Whole-number kinds round. windows_ is a written table. One shuffle, of the lines and
     columns that are needed."""
 
     def kernel(samples, lines, columns, ys, xs, size, p, by, ay, bx, ax) -> np.ndarray:
         if not len(ys) or not len(xs):
             return np.zeros((layers, p.h, p.w))
+        if seen:
+            # Values that aren't there are 0, and the last layer's sum is the others' weight.
+            wide = _sums(samples[: layers + 1].astype(float), columns, xs, size[1], bx, ax)
+            sums = np.moveaxis(_sums(np.moveaxis(wide, -2, -1), lines, ys, size[0], by, ay), -1, -2)
+            out = np.where(sums[-1] > 0, sums[:-1] / np.where(sums[-1] > 0, sums[-1], 1.0), 0.0)
+            return np.floor(out + 0.5) if np.dtype(kind).kind in "iu" else out
         wide = _between(samples[:layers].astype(float), columns, xs, size[1], bx, ax)
         out = np.moveaxis(_between(np.moveaxis(wide, -2, -1), lines, ys, size[0], by, ay), -1, -2)
         return np.floor(out + 0.5) if np.dtype(kind).kind in "iu" else out
@@ -128,11 +146,12 @@ def stacked(one: DataFrame, two: DataFrame) -> DataFrame:
     return met.select(*T.KEYS, "height", "width", "side", (F.col("layers") + F.col("more")).alias("layers"), "kind", run("data", "other").alias("data"))
 
 
-def aligned(one: DataFrame, two: DataFrame, grids: DataFrame, *, layers: int, kind: str = "<f8") -> tuple[DataFrame, DataFrame]:
+def aligned(one: DataFrame, two: DataFrame, grids: DataFrame, *, layers: int, kind: str = "<f8", seen: bool = False) -> tuple[DataFrame, DataFrame]:
     """JN1: tiles of the first image's window and of the second image on its grid, `layers` of each, and the windows.
-    grids is a table of GRIDS, a row a scene; scenes without shared ground are in neither."""
+    grids is a table of GRIDS, a row a scene; scenes without shared ground are in neither. With seen, both have a layer more,
+    1 for the pixels that are there, and the first one's follows its layers."""
     w = written(windows(grids), "windows")
-    return stacked(cropped(one, w, layers=layers, kind=kind), warped(two, w, layers=layers, kind=kind)), w
+    return stacked(cropped(one, w, layers=layers + seen, kind=kind), warped(two, w, layers=layers, kind=kind, seen=seen)), w
 
 
 def grade(score: Column) -> Column:

@@ -44,7 +44,8 @@ def _array(row) -> np.ndarray:
 
 
 class ChangeStatistics:
-    """CHANGE_DETECT: scene, total, changed, ratio_pct, largest of tiles of distances beside their scene's top and threshold."""
+    """CHANGE_DETECT: scene, total, changed, ratio_pct, largest of tiles of distances beside their scene's top and threshold.
+    Distances below 0 are no pixels."""
 
     NEEDS = (*TILE, "top", "threshold")
 
@@ -57,11 +58,12 @@ class ChangeStatistics:
         return _analyzed(tiles, ChangeStatistics.NEEDS, s)
 
     def eval(self, row):
-        d = _array(row)[0] / row["top"]
+        d = _array(row)[0]
+        d = d[~(d < 0)] / row["top"]
         self.scene = row["scene"]
         self.total += d.size
         self.changed += int(np.count_nonzero(d >= row["threshold"]))
-        self.largest = max(self.largest, float(d.max()))
+        self.largest = max(self.largest, float(d.max(initial=0.0)))
 
     def terminate(self):
         if self.total:
@@ -69,7 +71,8 @@ class ChangeStatistics:
 
 
 class ClassShares:
-    """OPTICAL_SAR_FUSION: scene, class, pixels, pct of tiles of class numbers, 0 being unknown. The classes' names are the
+    """OPTICAL_SAR_FUSION: scene, class, pixels, pct of tiles of class numbers, 0 being unknown; a second layer has 1 for
+    the pixels that are there. The classes' names are the
     model here: each worker loads them once."""
 
     NEEDS = TILE
@@ -83,7 +86,8 @@ class ClassShares:
         return _analyzed(tiles, ClassShares.NEEDS, s)
 
     def eval(self, row):
-        n = np.bincount(_array(row)[0].ravel(), minlength=len(self.counts))
+        a = _array(row)
+        n = np.bincount(a[0][a[1] > 0] if len(a) > 1 else a[0].ravel(), minlength=len(self.counts))
         n[: len(self.counts)] += self.counts
         self.scene, self.counts = row["scene"], n
 

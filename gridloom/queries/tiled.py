@@ -26,16 +26,22 @@ def _tiles(px: DataFrame, values: list[str], kind: str = "<f8") -> DataFrame:
     return T.from_pixels(px, values, I.H, I.WIDTH, side=SIDE, kind=kind)
 
 
+def _seen(px: DataFrame, values: list[str], kind: str = "<f8", scenes: DataFrame | None = None) -> DataFrame:
+    """_tiles with a last layer that tells which pixels are there: the last scene of a table may lack lines."""
+    return T.from_pixels(px.withColumn("seen", F.lit(1)), [*values, "seen"], I.H, I.WIDTH, side=SIDE, kind=kind, scenes=scenes)
+
+
 def _pairs(pair: DataFrame) -> DataFrame:
     names = [f"{c}{i}" for c in "ab" for i in range(BANDS)]
     px = pair.select("scene", "y", "x", *[F.get(c, F.lit(i)).alias(f"{c}{i}") for c in "ab" for i in range(BANDS)])
-    return written(_tiles(px, names), "pairs")
+    return written(_seen(px, names), "pairs")
 
 
 @query("win1_tiles_roughness", SQL["win1_roughness"])
 def win1(spark: SparkSession, d: str) -> DataFrame:
-    rough = TF.roughness(T.partitioned(_tiles(V.each_optical_sar(spark, d), ["sar"])))
-    return T.to_pixels(rough, ["rough"]).withColumn("rough", F.round("rough", 6))
+    px = V.each_optical_sar(spark, d)
+    rough = TF.roughness(T.partitioned(_seen(px, ["sar"], scenes=px.select("scene").distinct())), seen=True)
+    return T.to_pixels(rough, ["rough", "seen"], only="seen").drop("seen").withColumn("rough", F.round("rough", 6))
 
 
 @query("cmp1_win2_tiles_mask", SQL["cmp1_win2_cva_mask"])
@@ -61,13 +67,14 @@ def win3(spark, d):
     names = [U.UNKNOWN, "water_body", "built_structure", "vegetation_or_cropland", "road_or_infrastructure", "bare_ground_or_soil"]
     k = U.classes(V.each_optical_sar(spark, d), I.H, I.WIDTH)
     k = k.withColumn("k", F.array_position(F.lit(names), F.col("class")).cast("int") - 1)
-    opened = TF.opened_classes(T.partitioned(_tiles(k, ["k"], "<i4")))
-    return T.to_pixels(opened, ["k"]).select("scene", "y", "x", F.element_at(F.lit(names), F.col("k").cast("int") + 1).alias("class"))
+    opened = TF.opened_classes(T.partitioned(_seen(k, ["k"], "<i4")), seen=True)
+    return T.to_pixels(opened, ["k", "seen"], only="seen").select("scene", "y", "x", F.element_at(F.lit(names), F.col("k").cast("int") + 1).alias("class"))
 
 
 @query("map9_tiles_resize", SQL["map9_bilinear_resize"])
 def map9(spark, d):
-    return T.to_pixels(TF.resize_bilinear(_tiles(I.levels(spark, d), ["v"]), (20, 40)), ["v"]).withColumn("v", F.col("v").cast("long"))
+    small = TF.resize_bilinear(_seen(I.levels(spark, d), ["v"]), (20, 40), seen=True)
+    return T.to_pixels(small, ["v", "seen"], only="seen").drop("seen").withColumn("v", F.col("v").cast("long"))
 
 
 def _labels(spark, d):
@@ -103,7 +110,8 @@ def _grids(spark, d) -> DataFrame:
 def _times(spark, d) -> tuple[DataFrame, DataFrame]:
     names = [f"b{i}" for i in range(BANDS)]
     p = V.pixels(spark, d).select("scene", "t", "y", "x", *[F.get("bands", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return tuple(_tiles(p.where(F.col("t") == t), names) for t in (0, 1))
+    scenes = p.select("scene").distinct()
+    return tuple(_seen(p.where(F.col("t") == t), names, scenes=scenes) for t in (0, 1))
 
 
 @query("jn1_win6_affine_warp", V.with_views("px") + ", " + _GRIDS + """, t as (select wi.*, p.y - oy as y, p.x - ox as x, p.bands as a, (t2 - t1 + oy * 10.0::double) / 7.5::double + (p.y - oy + 0.5::double) * (10.0::double / 7.5::double) as v, (l1 + ox * 10.0::double - l2) / 7.5::double + (p.x - ox + 0.5::double) * (10.0::double / 7.5::double) as u
@@ -114,9 +122,9 @@ m as (select n.scene, n.y, n.x, any_value(n.a) as a, bool_or(inside) as inside,
 select scene, y::int as y, x::int as x, """ + ", ".join(f"a[{i}] as a{i}" for i in range(1, 5)) + ", " + ", ".join(f"round(case when inside and w > 0 then s{i} / w else 0 end, 6) as b{i}" for i in range(1, 5)) + " from m")
 def jn1(spark, d):
     """All bands of the second time on the first one's grid, over the ground that both show."""
-    pairs, _ = WP.aligned(*_times(spark, d), _grids(spark, d), layers=BANDS)
+    pairs, _ = WP.aligned(*_times(spark, d), _grids(spark, d), layers=BANDS, seen=True)
     a, b = [f"a{i + 1}" for i in range(BANDS)], [f"b{i + 1}" for i in range(BANDS)]
-    return T.to_pixels(pairs, a + b).select("scene", "y", "x", *a, *[F.round(c, 6).alias(c) for c in b])
+    return T.to_pixels(pairs, [*a, "seen", *b], only="seen").select("scene", "y", "x", *a, *[F.round(c, 6).alias(c) for c in b])
 
 
 @query("jn1_win6_windows", V.with_views("px") + ", " + _GRIDS + " select scene, ox, oy, w, h, round((x1 - x0) * (y1 - y0) / 80000.0::double, 4) as share1, round((x1 - x0) * (y1 - y0) / 45000.0::double, 4) as share2 from wi where x0 < x1 and y0 < y1 and w > 0 and h > 0")
@@ -153,5 +161,5 @@ def udf1_classes(spark, d):
     names = F.lit([U.UNKNOWN, *FN.CLASSES])
     k = U.classes(V.each_optical_sar(spark, d), I.H, I.WIDTH)
     k = k.withColumn("k", F.array_position(names, F.col("class")).cast("int") - 1)
-    written(_tiles(k, ["k"], "<i4"), "classes").createOrReplaceTempView("udf1_classes")
+    written(_seen(k, ["k"], "<i4"), "classes").createOrReplaceTempView("udf1_classes")
     return spark.sql("select scene, class, pixels, round(pct, 2) as pct from class_shares(table(select * from udf1_classes) partition by scene)")

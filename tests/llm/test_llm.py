@@ -356,6 +356,17 @@ def test_quality_scores_like_brute_force(spark):
     assert {True, False} <= {r["kept"] for r in rows.values() if not r["base_failed"]} or min(score) > limit
 
 
+def test_quality_takes_all_trusted_rows_however_many(spark, monkeypatch):
+    many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert Q.trusted_ids(many).count() == 50_000
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.union(docs.limit(3)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    verdicts = lambda: sorted(map(str, Q.with_quality(docs, labels).drop("row").collect()))
+    want = verdicts()
+    monkeypatch.setattr(Q, "MAX_BROADCAST", 5)
+    assert verdicts() == want
+
+
 def test_quality_tells_junk_from_prose(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     t = Q.with_quality(docs, labels).drop("row").join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))

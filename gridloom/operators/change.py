@@ -156,7 +156,8 @@ def components(mask: DataFrame, width: int) -> DataFrame:
 
     Runs of a line are found by a window, so that labels travel along runs and not pixels; runs that touch in the next
     line pass the least label on, and each round also takes its label's label. A round is a written table; their
-    number grows with the logarithm of a component's extent in lines for most shapes."""
+    number grows with the logarithm of a component's extent in lines for most shapes. Runs and labels meet by shuffles: a
+    broadcast a join and round would pass many times the table through the driver."""
     w = W.partitionBy("scene", "y").orderBy("x")
     runs = mask.select("scene", "y", "x").withColumn("g", F.col("x") - F.row_number().over(w))
     runs = _written(
@@ -167,16 +168,16 @@ def components(mask: DataFrame, width: int) -> DataFrame:
         "runs",
     )
     up = runs.select("scene", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("uid"))
-    touch = runs.join(up, ["scene", "y"]).where("x0 <= u1 and u0 <= x1").select("scene", "id", "uid")
+    touch = runs.join(up.hint("merge"), ["scene", "y"]).where("x0 <= u1 and u0 <= x1").select("scene", "id", "uid")
     edges = _written(touch.union(touch.select("scene", F.col("uid").alias("id"), F.col("id").alias("uid"))), "edges")
     labels = runs.select("scene", "id", F.col("id").alias("label"))
     while True:
         near = edges.join(
-            labels.select("scene", F.col("id").alias("uid"), F.col("label").alias("o")),
+            labels.select("scene", F.col("id").alias("uid"), F.col("label").alias("o")).hint("merge"),
             ["scene", "uid"],
         ).groupBy("scene", "id").agg(F.min("o").alias("o"))
         new = _written(
-            labels.join(near, ["scene", "id"], "left").select(
+            labels.join(near.hint("merge"), ["scene", "id"], "left").select(
                 "scene",
                 "id",
                 F.col("label").alias("was"),
@@ -185,7 +186,7 @@ def components(mask: DataFrame, width: int) -> DataFrame:
             "nearer",
         )
         new = new.join(
-            new.select("scene", F.col("id").alias("to"), F.col("to").alias("label")),
+            new.select("scene", F.col("id").alias("to"), F.col("to").alias("label")).hint("merge"),
             ["scene", "to"],
         ).select("scene", "id", "was", "label")
         new = _written(new, "jumped")
@@ -197,7 +198,7 @@ def components(mask: DataFrame, width: int) -> DataFrame:
         labels.select("scene", "label").distinct().withColumn("number", F.row_number().over(W.partitionBy("scene").orderBy("label"))),
         "numbers",
     )
-    out = runs.join(labels, ["scene", "id"]).join(numbers, ["scene", "label"]).withColumn("label", F.col("number"))
+    out = runs.join(labels.hint("merge"), ["scene", "id"]).join(numbers.hint("merge"), ["scene", "label"]).withColumn("label", F.col("number"))
     return out.select("scene", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
 
 

@@ -16,7 +16,7 @@ UNKNOWN = "unknown"
 def classes(img: DataFrame, height: int, width: int) -> DataFrame:
     """CMP4 over scene, y, x, r, g, b, sar in 0..1: img with rough, class and prob."""
     rough = CH.roughness(img, height, width).withColumn("rough", F.round("rough", 6))
-    t = img.join(rough, ["scene", "y", "x"])
+    t = img.join(rough.hint("merge"), ["scene", "y", "x"])
     i = P.indices(F.col("r"), F.col("g"), F.col("b"))
     label, prob = P.classify(
         F.col("r"),
@@ -38,11 +38,11 @@ def class_regions(k: DataFrame, height: int, width: int, *, least: int = 16, mos
     a class of fewer pixels has none. All classes are labelled at once, the class being part of the key."""
     known = k.where(F.col("class") != UNKNOWN)
     enough = known.groupBy("scene", "class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scene", "class")
-    key = known.join(enough, ["scene", "class"], "left_semi").select(F.struct("scene", "class").alias("scene"), "y", "x")
+    key = known.join(enough.hint("merge"), ["scene", "class"], "left_semi").select(F.struct("scene", "class").alias("scene"), "y", "x")
     labelled = CH.components(key, width).select("scene.scene", "scene.class", "y", "x", "label").where(F.col("label") <= most)
     total = height * width
     mean = lambda c: F.round(F.avg(c), digits)
-    r = labelled.join(k.drop("class"), ["scene", "y", "x"]).groupBy("scene", "class", "label").agg(
+    r = labelled.join(k.drop("class").hint("merge"), ["scene", "y", "x"]).groupBy("scene", "class", "label").agg(
         F.min("x").alias("x0"),
         F.min("y").alias("y0"),
         (F.max("x") + 1).alias("x1"),

@@ -847,3 +847,20 @@ def test_items_of_one_id_and_different_requests_all_stay(spark):
     assert [(r[0], r[2], r[3]) for r in rows] == [(7, "box_02", None), (100159, "box_01", 0.5), (115470, "box_01", 0.25)]
     assert rows[1][1] == rows[2][1] == "ev_70349383"
     assert {r["request"]: r["boxes"] for r in E.metrics(items).collect()} == {7: 1, 100159: 1, 115470: 1}
+
+
+def test_components_send_no_table_to_the_driver(spark, monkeypatch):
+    """Runs and labels are joined by shuffles, however few they are."""
+    plans = []
+    write = CH._written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(CH, "_written", written)
+    mask = spark.createDataFrame([(s, y, x) for s in (1, 2) for y in range(6) for x in range(6) if (x + y) % 3], "scene long, y int, x int")
+    out = CH.components(mask, 6)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 5 and not [p for p in plans if "BroadcastExchange" in p]
+    assert out.groupBy("scene").agg(F.max("label").alias("m")).where("m = 4").count() == 2

@@ -86,12 +86,14 @@ def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
 
 def processed(boxes: DataFrame, w: float = 512.0, h: float = 512.0, least: float = 16.0) -> DataFrame:
     """CMP8: clamp, drop small and unsound boxes, mark degenerate ones, suppress."""
-    raw = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    d = B.degeneracy(*raw, w, h)
-    c = B.clamped(*raw, F.lit(w), F.lit(h))
-    t = boxes.select("image", "ord", "score", d.alias("degenerate"), *[v.alias(n) for v, n in zip(c, ("x0", "y0", "x1", "y1"))])
-    t = t.where(B.area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) >= least).where(F.col("degenerate").isNull())
-    return suppress(t.drop("degenerate"))
+    names = ("x0", "y0", "x1", "y1")
+    raw = tuple(F.col(c) for c in names)
+    # Generated, so that the filter reads columns: the optimizer would put a projection's expressions for each of their
+    # many uses, which took six times as long.
+    both = F.struct(*[v.alias(n) for v, n in zip(B.clamped(*raw, F.lit(w), F.lit(h)), names)], *[v.alias(f"{n}_raw") for v, n in zip(raw, names)])
+    t = boxes.select("image", "ord", "score", F.inline(F.array(both)))
+    t = t.where(B.area(*raw) >= least).where(B.degeneracy(*[F.col(f"{n}_raw") for n in names], w, h).isNull())
+    return suppress(t)
 
 
 def grounding_metrics(best: DataFrame) -> DataFrame:

@@ -170,6 +170,20 @@ def test_box_facts(spark):
     assert out[4]["c"] == [0.0, 3.0, 100.0, 40.0]
 
 
+def test_processed_boxes_filter_reads_columns(spark):
+    """The optimizer doesn't put the clamped expressions into the filter, for each of their uses; odd boxes go."""
+    nan, inf = float("nan"), float("inf")
+    odd = [(nan, 0.0, 1.0, 1.0), (0.0, 0.0, inf, 9.0), (None, 0.0, 50.0, 50.0), (9.0, 9.0, 5.0, 20.0), (5.0, 5.0, 5.0, 9.0), (0.0, 0.0, 512.0, 508.0), (3.0, 3.0, 6.0, 6.0)]
+    fine = [(10.0, 10.0, 30.0, 40.0), (-5.0, 3.0, 300.004, 40.0), (500.0, 500.0, 600.0, 700.0)]
+    rows = [(i, 1, *b, 0.5) for i, b in enumerate(odd + fine)]
+    df = spark.createDataFrame(rows, "image long, ord int, x0 double, y0 double, x1 double, y1 double, score double")
+    out = D.processed(df.withColumn("x0", F.col("x0") + F.lit(0.0)))
+    got = sorted((r["image"] - len(odd), r["x0"], r["y0"], r["x1"], r["y1"]) for r in out.collect())
+    assert got == [(0, 10.0, 10.0, 30.0, 40.0), (1, 0.0, 3.0, 300.0, 40.0), (2, 500.0, 500.0, 512.0, 512.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("round(" in line for line in plan if "Filter" in line)
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(*[st.integers(0, 50)] * 4).filter(lambda t: sum(t) > 0), min_size=1, max_size=6))
 def test_metric_bounds(spark, cells):

@@ -259,22 +259,43 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return C.written_by(_with_texts(pairs, sets, texts).mapInArrow(_forgetting(_verify), "a long, b long"), "links", PAIRS_AT_ONCE)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) for all ends of the links, by least neighbours' labels and
-    labels of labels; every round is a written table. links is a written table."""
-    edges = C.written(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = C.written(edges.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")), "labels")
-    while True:
-        near = edges.join(
-            labels.select(F.col("node").alias("other"), F.col("label").alias("o")),
-            "other",
-        ).groupBy("node").agg(F.min("o").alias("o"))
-        new = C.written(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "o").alias("to")), "nearer")
-        jump = new.join(new.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "was", "label")
-        jump = C.written(jump, "jumped")
-        labels = jump.select("node", "label")
-        if jump.where("was != label").limit(1).count() == 0:
-            return labels
+def _relabelled(df: DataFrame, name: str, labels: DataFrame) -> DataFrame:
+    """df with the label of the node in column `name`, where it has one. labels is a written table."""
+    node = labels.select(F.col("node").alias(name), F.col("label").alias("to"))
+    return df.join(_few(node), name, "left").withColumn(name, F.coalesce("to", name)).drop("to")
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    """The links between different nodes, each once, a being less than b; a written table."""
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return C.written(ends.where("a != b").distinct(), "edges")
+
+
+def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """node, label (the least node of its component) for all ends of the links and all nodes of `before`, the labels of
+    earlier links, which aren't looked at again.
+
+    In a round each node takes the least of its lesser neighbours, and so on to the end of that chain by labels of labels;
+    the links then lie between what is left of the nodes, each once, and those within one node are gone. So a
+    link is read in as many rounds as it takes to have its ends meet, and a group's links go with the first rounds."""
+    if before is not None:
+        links = _relabelled(_relabelled(links.select("a", "b"), "a", before), "b", before)
+    edges = _edges(links)
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    if before is not None:
+        ends = ends.join(before, "node", "left_anti")
+    new = ends.select("node", F.col("node").alias("label"))
+    labels = C.written(new if before is None else before.select("node", "label").union(new), "labels")
+    while edges.limit(1).count():
+        near = C.written(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "nearer")
+        while True:
+            jump = C.written(_relabelled(near.withColumn("was", F.col("label")), "label", near), "jumped")
+            near = jump.select("node", "label")
+            if not jump.where("was != label").limit(1).count():
+                break
+        labels = C.written(_relabelled(labels, "label", near).select("node", "label"), "labels")
+        edges = _edges(_relabelled(_relabelled(edges, "a", near), "b", near))
+    return labels
 
 
 def _stars(entries: DataFrame, key: str, least: int) -> DataFrame:
@@ -343,28 +364,30 @@ def _marked(entries: DataFrame, long_list: float) -> DataFrame:
 
 
 def _merged(marked: DataFrame) -> DataFrame:
-    """Pairs of different components that enough lists have in common. One of two prefixes lies wholly before the
-    other's end, so what is shared beyond the lists is less than the larger `own`; the rest must be in the lists.
-    Short lists are counted; a wide one only shows pairs of which it can be the first list in common."""
-    names = ("uid", "n", "cost", "d", "own", "at", "comp", "others")
-    other = marked.select("hub", "s", "kind", *[F.col(c).alias(f"{c}_b") for c in names])
+    """Pairs of different components that enough lists have in common. Two sets meet where the first element that they
+    share can stand, in the index of the one of less cost and with D elements to go in both; where that one's list is
+    long, its hub has them. What the prefixes share is then counted once a pair: one of the two lies wholly before the
+    other's end, so what is shared beyond the lists is less than the larger `own`; the rest must be in the lists."""
+    names = ("uid", "n", "cost", "d", "own", "at", "comp")
+    merged = marked.where(F.col("kind") != LONG)
+    other = merged.select("hub", "s", *[F.col(c).alias(f"{c}_b") for c in names])
     need = _over(F.col("cost") + F.col("cost_b")) - F.col("base")
-    least = need - F.greatest("own", "own_b") + 1 - F.least("others", "others_b")
     fits = (F.col("comp") != F.col("comp_b")) & (F.least("n", "n_b") >= _needed(F.col("n"), F.col("n_b")))
     first = (F.struct("cost", "uid") < F.struct("cost_b", "uid_b")) & (F.least(F.col("d") - F.col("at"), F.col("d_b") - F.col("at_b")) >= need)
-    meet = lambda kind, mine, which: mine.where(F.col("kind") == kind).join(
-        other.where(F.col("kind") == kind).drop("kind"),
-        ["hub", "s"],
-    ).where(fits & which)
-    pick = lambda df, k: df.select(
+    met = merged.where("index").join(other, ["hub", "s"]).where(fits & first).select(
         "hub",
-        F.least("uid", "uid_b").alias("a"),
-        F.greatest("uid", "uid_b").alias("b"),
-        least.alias("least"),
-        F.lit(k).alias("k"),
+        F.col("uid").alias("a"),
+        F.col("uid_b").alias("b"),
+        (need - F.greatest("own", "own_b") + 1).alias("least"),
     )
-    found = pick(meet(SHORT, marked, F.col("uid") < F.col("uid_b")), 1).union(pick(meet(WIDE, marked.where("index"), first), 0))
-    return found.groupBy("hub", "a", "b", "least").agg(F.sum("k").alias("k")).where("k >= least").select("a", "b").distinct()
+    met = C.written(met.distinct(), "met")
+    ids = C.written(met.select("hub", F.col("a").alias("uid")).union(met.select("hub", "b")).distinct(), "ids")
+    prefix = marked.join(_few(ids), ["hub", "uid"], "left_semi").groupBy("hub", "uid").agg(F.collect_list("s").alias("p"))
+    prefix = C.written(prefix, "prefixes")
+    for end in ("a", "b"):
+        met = met.join(prefix.select("hub", F.col("uid").alias(end), F.col("p").alias(f"p_{end}")), ["hub", end])
+    met = met.where(F.size(F.array_intersect("p_a", "p_b")) >= F.col("least"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _hubs(marked: DataFrame) -> DataFrame:
@@ -474,15 +497,15 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     entries = C.written(label(first).join(_few(C.written(open_, "open"), MAX_OPEN), "s", "left_semi").distinct(), "entries")
     for level in range(LEVELS):
         marked = _marked(entries, LONG_LIST if level < LEVELS - 1 else float("inf"))
-        links = C.written(links.union(verified(C.written(_merged(marked), "pairs"), sets, texts)), "links")
+        links = verified(C.written(_merged(marked), "pairs"), sets, texts)
         if not marked.where(F.col("kind") == LONG).limit(1).count():
             break
         members = _with_texts(C.written(_hubs(marked), "members"), sets, texts)
         rows = C.written_by(members.mapInArrow(_forgetting(_differ), DIFFERENCE_TYPE), "differences", PAIRS_AT_ONCE)
         links = C.written(links.union(rows.where("tied").select(F.col("uid").alias("a"), F.col("hub").alias("b"))), "links")
-        labels = components(links)
+        labels = components(links, labels)
         entries = C.written(_differences(rows, label), "entries")
-    labels = components(links)
+    labels = components(links, labels)
     roots = sets.join(labels, F.col("uid") == F.col("node"), "left").select("uid", "least_id", F.coalesce("label", "uid").alias("root"))
     roots = C.written(roots, "roots")
     ids = C.written(roots.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")

@@ -547,6 +547,44 @@ def test_ngram_join_candidates_of_a_family_grow_with_its_size(spark, monkeypatch
     assert grown[1] < 8 * grown[0] and grown[1] < 10 * 1200, grown
 
 
+def inner_join_rows(spark, run):
+    """What run() returns, and the rows that its inner joins made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))}
+    out, rows = run(), 0
+    done = store.executionsList()
+    for k in {done.apply(i).executionId() for i in range(done.size())} - before:
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for m in map(node.metrics().apply, range(node.metrics().size())):
+                if "Join" in node.name() and ", Inner" in node.desc() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    rows += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return out, rows
+
+
+def test_components_read_a_groups_links_in_few_rounds(spark):
+    """A clique, a chain and a star; later links don't bring the earlier ones again."""
+    links = [(i, j) for i in range(100, 160) for j in range(i) if j >= 100] + [(k, k + 1) for k in range(200, 300)] + [(400, k) for k in range(350, 400)]
+    links = C.written(spark.createDataFrame(links, "a long, b long"), "links")
+    labels, rows = inner_join_rows(spark, lambda: NJ.components(links))
+    want = {k: 100 for k in range(100, 160)} | {k: 200 for k in range(200, 301)} | {k: 350 for k in range(350, 401)}
+    assert {r["node"]: r["label"] for r in labels.collect()} == want
+    assert rows <= 3 * links.count(), rows
+    more = C.written(spark.createDataFrame([(250, 120), (7, 9), (101, 102)], "a long, b long"), "links")
+    want |= {k: 100 for k in range(200, 301)} | {7: 7, 9: 7}
+    assert {r["node"]: r["label"] for r in NJ.components(more, labels).collect()} == want
+    none = NJ.components(links.limit(0))
+    assert none.columns == ["node", "label"] and none.count() == 0
+
+
+def test_ngram_join_meets_a_pair_of_a_family_once(spark):
+    rows = list(enumerate(family(300, 5)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out, made = inner_join_rows(spark, lambda: NJ.link_documents(df).collect())
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out) == Counter(linked(rows))
+    assert made <= 100 * len(rows), made
+
+
 def test_divide_skip_like_intersections():
     r = np.random.default_rng(2)
     for _ in range(40):

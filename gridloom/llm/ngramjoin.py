@@ -12,13 +12,19 @@ How all links are found without the pairs of every group:
    block of candidates is indexed by shingle, the short lists are merged, the T_0 - 1 longest ones probed (DivideSkip).
 5. A long list never gives the pairs of its members. It names a hub S, the member that has the largest share of its
    prefix in long lists, and each other member A is compared with S alone. What links becomes one component. Any other
-   pair is searched for in what sets A from S: with the difference a = A xor S, of which m shingles are missing from A,
+   pair is searched for in what sets A from S, of which m(A) shingles are missing from A and the others are beyond S.
+   No more than |S| - max(m(A), m(B)) of what A and B share is in S, so a link needs of shingles beyond S
 
-       |A and B| = |S| - m(a) - m(b) + |a and b|,   so a link needs   |a and b| >= D = T - |S| + m(a) + m(b).
+       |A and B beyond S| >= E = T - |S| + max(m(A), m(B)).
 
-   If D is 0 or less, both A and B link with S, so they are of one component already. If not, the pair shares D shingles
-   of the differences, from which those of S that nearly all have are gone: the same T-occurrence search, with D for T
-   and the differences for the sets, goes on over the differences' lists, which are short, or name hubs in turn.
+   E is 1 or more unless both A and B share T with S; then, but for one smaller than S and one that doesn't link with S,
+   they are of one component already. So the same T-occurrence search, with E for T and the shingles beyond S for the sets,
+   goes on over these alone: what near copies miss of S, the long lists, isn't listed. Their lists are short, or name hubs
+   in turn. The few rows of E <= 0 (see _differences) are searched by their whole differences a = A xor S, too:
+
+       |A and B| = |S| - m(A) - m(B) + |a and b|,   so a link needs   |a and b| >= D = T - |S| + m(A) + m(B),
+
+   and if D is 0 or less, both A and B link with S, so they are of one component already.
 
 The order is a heuristic, and so are the hubs: they decide how long lists are, never which links are found."""
 
@@ -214,7 +220,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in found], pa.int64()) for x in (a, b)], ["a", "b"])
 
 
-DIFFERENCE_TYPE = "hub long, uid long, n long, base long, missing long, tied boolean, others array<long>"
+DIFFERENCE_TYPE = "hub long, uid long, n long, base long, missing long, tied boolean, beyond array<long>, lost array<long>"
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,19 +229,19 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 1000):
             part = batch.slice(at, 1000)
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for b, a_text, b_text in zip(part.column("b").to_pylist(), part.column("a_text"), part.column("b_text")):
                 if b != hub:
                     hub, s = b, shingle_set(b_text.as_py())
                 x = shingle_set(a_text.as_py())
-                others = np.setxor1d(x, s, assume_unique=True)
-                missing = (len(others) - len(x) + len(s)) // 2
-                for c, v in zip(cols, (len(x), len(s), missing, len(s) - missing >= needed(len(x), len(s)), others.view(np.int64))):
+                beyond, lost = np.setdiff1d(x, s, assume_unique=True), np.setdiff1d(s, x, assume_unique=True)
+                tied = len(s) - len(lost) >= needed(len(x), len(s))
+                for c, v in zip(cols, (len(x), len(s), len(lost), tied, beyond.view(np.int64), lost.view(np.int64))):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 2)
             yield pa.RecordBatch.from_arrays(
                 [part.column("b"), part.column("a"), *[pa.array(c, t) for c, t in zip(cols, types)]],
-                ["hub", "uid", "n", "base", "missing", "tied", "others"],
+                ["hub", "uid", "n", "base", "missing", "tied", "beyond", "lost"],
             )
 
 
@@ -323,15 +329,29 @@ def _needed(a: F.Column, b: F.Column) -> F.Column:
     return F.floor((DEN * (a + b) + (NUM + DEN - 1)) / (NUM + DEN))
 
 
+#: Whose lists these are: a hub's, of the shingles beyond it or of the whole differences.
+SPACE = ("hub", "whole")
+
+
+def _overlap(n: F.Column, m: F.Column, n_b: F.Column, m_b: F.Column) -> F.Column:
+    """What a link of sets of n and n_b elements, of which the hub's m and m_b are missing, needs of their space: E, or D."""
+    return _needed(n, n_b) - F.col("base") + F.greatest(m, m_b) + F.when(F.col("whole"), F.least(m, m_b)).otherwise(0)
+
+
 def _prefixed(rows: DataFrame) -> DataFrame:
     """rows with own, the least overlap that any link of theirs needs, of which the prefix is d - own + 1 elements long.
 
-    hub names the set S that the rows' differences are from (none at first: S is empty, the differences are the sets),
-    base is |S|, d the difference's size, cost DEN * n + UNIT * m, so that D is (cost + cost) / UNIT - base, rounded up.
-    Whoever the partner is, its cost is at least DEN * base, and DEN times the least size that may link. The partner of
-    one that is tied to S isn't tied, or the two are of one component; its cost is over NUM * base."""
-    least = F.greatest(DEN * F.ceil(DEN * F.col("n") / NUM), F.when(F.col("tied"), NUM * F.col("base") + 1).otherwise(DEN * F.col("base")))
-    return rows.withColumn("own", F.greatest(F.lit(1), _over(F.col("cost") + least) - F.col("base")))
+    hub names the set S that the rows' differences are from (none at first: S is empty, what is beyond it are the sets),
+    base is |S|, d the size in the space, cost DEN * n + UNIT * m, least_n the least n that the hub has. Beyond S, the
+    partner is of least_n elements at least, and of the least size that may link. In whole differences D is
+    (cost + cost) / UNIT - base, rounded up. Whoever the partner is, its cost is at least DEN * base, and DEN times the least
+    size that may link. The partner of one that is tied to S isn't tied, or the two are of one component; its cost is over
+    NUM * base."""
+    size = F.ceil(DEN * F.col("n") / NUM)
+    cost = F.greatest(DEN * size, F.when(F.col("tied"), NUM * F.col("base") + 1).otherwise(DEN * F.col("base")))
+    beyond = _needed(F.col("n"), F.greatest(size, "least_n")) - F.col("base") + F.col("missing")
+    own = F.when(F.col("whole"), _over(F.col("cost") + cost) - F.col("base")).otherwise(beyond)
+    return rows.withColumn("own", F.greatest(F.lit(1), own))
 
 
 def _over(cost: F.Column) -> F.Column:
@@ -347,20 +367,20 @@ def _marked(entries: DataFrame, long_list: float) -> DataFrame:
     """entries of lists with members of several components, with index, kind and others, the set's number of lists that
     aren't short.
 
-    index: the first element that two sets share stands early in the one of less cost, among its first d - D + 1 for
-    the D of a partner that costs as much."""
-    alike = F.when(F.col("tied"), F.col("own")).otherwise(F.greatest(F.lit(1), _over(2 * F.col("cost")) - F.col("base")))
+    index: the first element that two sets share stands early in the one of less cost, among its first d - x + 1 for
+    the overlap x that one needs with its like: D and E are no less for any partner that costs as much or more."""
+    alike = F.greatest("own", _overlap(*[F.col(c) for c in ("n", "missing")] * 2))
     entries = entries.withColumn("index", F.col("at") <= F.col("d") - alike)
-    lists = entries.groupBy("hub", "s").agg(
+    lists = entries.groupBy(*SPACE, "s").agg(
         F.count(F.lit(1)).alias("k"),
         F.count_if("index").alias("i"),
         F.min("comp").alias("c0"),
         F.max("comp").alias("c1"),
     ).where("c0 != c1")
     kind = F.when(F.col("k") <= F.lit(long_list), SHORT).when(F.col("i") <= F.lit(long_list), WIDE).otherwise(LONG)
-    lists = C.written(lists.select("hub", "s", kind.alias("kind")), "lists")
-    own = W.partitionBy("hub", "uid")
-    return C.written(entries.join(lists, ["hub", "s"]).withColumn("others", F.count_if(F.col("kind") != SHORT).over(own)), "marked")
+    lists = C.written(lists.select(*SPACE, "s", kind.alias("kind")), "lists")
+    own = W.partitionBy(*SPACE, "uid")
+    return C.written(entries.join(lists, [*SPACE, "s"]).withColumn("others", F.count_if(F.col("kind") != SHORT).over(own)), "marked")
 
 
 def _merged(marked: DataFrame) -> DataFrame:
@@ -368,24 +388,24 @@ def _merged(marked: DataFrame) -> DataFrame:
     share can stand, in the index of the one of less cost and with D elements to go in both; where that one's list is
     long, its hub has them. What the prefixes share is then counted once a pair: one of the two lies wholly before the
     other's end, so what is shared beyond the lists is less than the larger `own`; the rest must be in the lists."""
-    names = ("uid", "n", "cost", "d", "own", "at", "comp")
+    names = ("uid", "n", "missing", "cost", "d", "own", "at", "comp")
     merged = marked.where(F.col("kind") != LONG)
-    other = merged.select("hub", "s", *[F.col(c).alias(f"{c}_b") for c in names])
-    need = _over(F.col("cost") + F.col("cost_b")) - F.col("base")
+    other = merged.select(*SPACE, "s", *[F.col(c).alias(f"{c}_b") for c in names])
+    need = _overlap(*[F.col(c) for c in ("n", "missing", "n_b", "missing_b")])
     fits = (F.col("comp") != F.col("comp_b")) & (F.least("n", "n_b") >= _needed(F.col("n"), F.col("n_b")))
     first = (F.struct("cost", "uid") < F.struct("cost_b", "uid_b")) & (F.least(F.col("d") - F.col("at"), F.col("d_b") - F.col("at_b")) >= need)
-    met = merged.where("index").join(other, ["hub", "s"]).where(fits & first).select(
-        "hub",
+    met = merged.where("index").join(other, [*SPACE, "s"]).where(fits & first).select(
+        *SPACE,
         F.col("uid").alias("a"),
         F.col("uid_b").alias("b"),
         (need - F.greatest("own", "own_b") + 1).alias("least"),
     )
     met = C.written(met.distinct(), "met")
-    ids = C.written(met.select("hub", F.col("a").alias("uid")).union(met.select("hub", "b")).distinct(), "ids")
-    prefix = marked.join(_few(ids), ["hub", "uid"], "left_semi").groupBy("hub", "uid").agg(F.collect_list("s").alias("p"))
+    ids = C.written(met.select(*SPACE, F.col("a").alias("uid")).union(met.select(*SPACE, "b")).distinct(), "ids")
+    prefix = marked.join(_few(ids), [*SPACE, "uid"], "left_semi").groupBy(*SPACE, "uid").agg(F.collect_list("s").alias("p"))
     prefix = C.written(prefix, "prefixes")
     for end in ("a", "b"):
-        met = met.join(prefix.select("hub", F.col("uid").alias(end), F.col("p").alias(f"p_{end}")), ["hub", end])
+        met = met.join(prefix.select(*SPACE, F.col("uid").alias(end), F.col("p").alias(f"p_{end}")), [*SPACE, end])
     met = met.where(F.size(F.array_intersect("p_a", "p_b")) >= F.col("least"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -394,31 +414,47 @@ def _hubs(marked: DataFrame) -> DataFrame:
     """Each member of a long list as `a` beside the list's hub as `b`."""
     long_ = marked.where(F.col("kind") == LONG)
     share = F.struct(F.col("others") / (F.col("d") - F.col("own") + 1), "uid")
-    hubs = C.written(long_.groupBy("hub", "s").agg(F.max_by("uid", share).alias("b")), "hubs")
-    return long_.join(hubs, ["hub", "s"]).where("uid != b").select(F.col("uid").alias("a"), "b").distinct()
+    hubs = C.written(long_.groupBy(*SPACE, "s").agg(F.max_by("uid", share).alias("b")), "hubs")
+    return long_.join(hubs, [*SPACE, "s"]).where("uid != b").select(F.col("uid").alias("a"), "b").distinct()
 
 
 def _differences(rows: DataFrame, label) -> DataFrame:
-    """Entries of the differences' prefixes; rows are _differ's. Elements that only one component has come first, as no
-    pair that is looked for shares them, then the others, those of few differences first."""
-    each = label(rows).select(
-        "hub",
-        "uid",
-        "n",
-        "base",
-        "tied",
+    """Entries of the prefixes of what is beyond the hubs, and of some whole differences; rows are _differ's. Elements that
+    only one component has come first, as no pair that is looked for shares them, then the others, the rarer ones first.
+
+    A pair of E <= 0 has T in common with S on either side, so either's partner is no larger than its reach, the largest
+    size whose T it has in common with S. One of the two isn't tied; the other is no larger than what such rows of
+    the hub reach, which is less than S. Only rows that can be of such a pair are there with their whole differences."""
+    reach = F.floor(UNIT * (F.col("base") - F.col("missing")) / DEN) - F.col("n")
+    rows = label(rows).withColumn("reach", reach)
+    hubs = rows.groupBy("hub").agg(
+        F.min("n").alias("least_n"),
+        F.max(F.when(~F.col("tied"), F.col("reach"))).alias("most_n"),
+        F.min("comp").alias("c0"),
+        F.max("comp").alias("c1"),
+    ).where("c0 != c1")
+    rows = rows.join(_few(C.written(hubs.drop("c0", "c1"), "hub_sizes")), "hub")
+    columns = ("hub", "uid", "n", "base", "missing", "tied", "least_n", "comp")
+    beyond = rows.select(*columns, F.lit(False).alias("whole"), F.col("beyond").alias("others"))
+    whole = rows.where("reach >= least_n and (not tied or n <= most_n)").select(
+        *columns,
+        F.lit(True).alias("whole"),
+        F.concat("beyond", "lost").alias("others"),
+    )
+    each = beyond.union(whole).select(
+        *columns,
+        "whole",
         (DEN * F.col("n") + UNIT * F.col("missing")).alias("cost"),
         F.size("others").cast("long").alias("d"),
-        "comp",
         F.explode("others").alias("s"),
     )
-    lists = each.groupBy("hub", "s").agg(
+    lists = each.groupBy(*SPACE, "s").agg(
         F.count(F.lit(1)).alias("k"),
         F.min("comp").alias("c0"),
         F.max("comp").alias("c1"),
     ).where("c0 != c1")
-    each = _prefixed(each).join(C.written(lists.select("hub", "s", "k"), "lists"), ["hub", "s"])
-    own = W.partitionBy("hub", "uid")
+    each = _prefixed(each).drop("least_n").join(C.written(lists.select(*SPACE, "s", "k"), "lists"), [*SPACE, "s"])
+    own = W.partitionBy(*SPACE, "uid")
     at = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "s")) - 1
     return each.withColumn("at", at).where("at <= d - own").drop("k")
 
@@ -484,7 +520,9 @@ def link_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         "uid",
         "n",
         F.lit(0).cast("long").alias("base"),
+        F.lit(0).cast("long").alias("missing"),
         F.lit(False).alias("tied"),
+        F.lit(False).alias("whole"),
         (DEN * F.col("n")).alias("cost"),
         F.col("n").alias("d"),
         F.ceil(DEN * F.col("n") / NUM).alias("own"),

@@ -585,6 +585,57 @@ def test_ngram_join_meets_a_pair_of_a_family_once(spark):
     assert made <= 100 * len(rows), made
 
 
+def test_ngram_join_lists_what_near_copies_add_not_what_they_miss(spark):
+    """A copy's entries beyond a hub are read twice, for the lists and for the entries; what it misses of the hub isn't exploded."""
+    store, m = spark._jsparkSession.sharedState().statusStore(), 1600
+    before = {x.executionId() for x in map(store.executionsList().apply, range(store.executionsList().size()))}
+    NJ.link_documents(spark.createDataFrame(list(enumerate(family(m, 3))), "doc_id long, text string")).count()
+    done, rows = store.executionsList(), 0
+    for k in {done.apply(i).executionId() for i in range(done.size())} - before:
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if node.name() == "Generate" and "explode(others" in node.desc():
+                for x in map(node.metrics().apply, range(node.metrics().size())):
+                    if x.name() == "number of output rows" and values.contains(x.accumulatorId()):
+                        rows += int(values.apply(x.accumulatorId()).replace(",", ""))
+    assert 0 < rows <= 2 * 20 * m, rows
+
+
+def test_ngram_join_of_sets_smaller_than_their_hub(spark, monkeypatch):
+    """Copies with words replaced, left out and added at either end: links that share nothing beyond the hub are found by whole differences."""
+    r, texts = random.Random(0), []
+    for f in range(8):
+        for _ in range(36):
+            own = [f"w{i}" for i in range(40)]
+            for _ in range(r.randrange(3)):
+                k, kind = r.randrange(len(own)), r.randrange(4)
+                if kind == 0:
+                    own[k] = f"z{r.randrange(6)}"
+                elif kind == 1:
+                    del own[k]
+                elif kind == 2:
+                    own.insert(k, f"z{r.randrange(6)}")
+                else:
+                    own = own[: len(own) - r.randrange(8)] if r.random() < 0.5 else own + [f"y{j}" for j in range(r.randrange(8))]
+            texts.append(" ".join(f"{x}f{f}" for x in own))
+    whole, searched = C.written, set()
+
+    def seen(df, name, **options):
+        out = whole(df, name, **options)
+        if name == "entries":
+            searched.update(x["whole"] for x in out.select("whole").distinct().collect())
+        return out
+
+    monkeypatch.setattr(C, "written", seen)
+    monkeypatch.setattr(NJ, "LONG_LIST", 2)
+    monkeypatch.setattr(NJ, "LEVELS", 2)
+    monkeypatch.setattr(NJ, "ANCHORS", 0)
+    rows = list(enumerate(texts))
+    out = NJ.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out) == Counter(linked(rows))
+    assert searched == {True, False}
+
+
 def test_divide_skip_like_intersections():
     r = np.random.default_rng(2)
     for _ in range(40):

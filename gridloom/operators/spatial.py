@@ -8,6 +8,7 @@ still holds more than its share, as where all lie at one place, is dealt to seve
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,6 +21,8 @@ from ..store import written
 
 #: Rectangles of each side that the tree is grown from, those of them that a node holds unsplit, and how deep it grows.
 SAMPLE, NODE_ROWS, DEPTH = 20_000, 100, 14
+#: Places of the ground a side.
+GRID = 1 << DEPTH
 #: A rectangle stays at nodes of less than its greater side divided by this.
 FINE = 4
 #: Rows of one rectangle that meet another's together.
@@ -29,7 +32,10 @@ BOX = ("x0", "y0", "x1", "y1")
 
 class Tree(NamedTuple):
     """The ground (x, y, side), the nodes that are split, and the salts of crowded ones. A node's number has a one, then two
-    bits a step from the root: 1 is the root, 4 to 7 its quarters."""
+    bits a step from the root: 1 is the root, 4 to 7 its quarters.
+
+    The ground has GRID places a side, and what lies beyond it is at its outermost ones. A coordinate's place never falls as it
+    grows, so what meets has places in common, wherever it lies, and each place is in one cell of a level."""
 
     x: float
     y: float
@@ -37,47 +43,63 @@ class Tree(NamedTuple):
     split: frozenset[int]
     salts: dict[int, int]
 
-    def cell(self, node: int) -> tuple[float, float, float]:
-        x, y, side = self.x, self.y, self.side
+    def places(self, boxes: np.ndarray) -> np.ndarray:
+        """The places of (n, 4) rectangles; what is no number is the greatest there is, as in comparisons of columns."""
+        low = np.array([self.x, self.y, self.x, self.y])
+        with np.errstate(over="ignore", invalid="ignore"):
+            at = np.clip(np.floor((boxes - low) / self.side * GRID), 0, GRID - 1)
+        return np.where(np.isnan(boxes), GRID - 1, at).astype(np.int64)
+
+    def square(self, node: int) -> tuple[int, int, int]:
+        """A node's first places and how many it has a side."""
+        x, y, size = 0, 0, GRID
         for k in range(node.bit_length() - 3, -1, -2):
-            step, side = (node >> k) & 3, side / 2
-            x, y = x + (step & 1) * side, y + (step >> 1) * side
-        return x, y, side
+            step, size = (node >> k) & 3, size >> 1
+            x, y = x + (step & 1) * size, y + (step >> 1) * size
+        return x, y, size
+
+    def cell(self, node: int) -> tuple[float, float, float]:
+        """A node's ground."""
+        x, y, size = self.square(node)
+        return self.x + x * self.side / GRID, self.y + y * self.side / GRID, size * self.side / GRID
 
     def cover(self, x0: float, y0: float, x1: float, y1: float) -> list[int]:
         """Nodes apart that together hold the rectangle."""
-        large, out, todo = max(x1 - x0, y1 - y0), [], [(1, self.x, self.y, self.side)]
+        return self.covered(*self.places(np.array([[x0, y0, x1, y1]]))[0].tolist())
+
+    def covered(self, x0: int, y0: int, x1: int, y1: int) -> list[int]:
+        """cover for places."""
+        large, out, todo = max(x1 - x0, y1 - y0), [], [(1, 0, 0, GRID)]
         while todo:
-            node, x, y, side = todo.pop()
-            inside = x0 <= x and y0 <= y and x + side <= x1 and y + side <= y1
-            if node not in self.split or inside or side * FINE < large:
+            node, x, y, size = todo.pop()
+            inside = x0 <= x and y0 <= y and x + size <= x1 + 1 and y + size <= y1 + 1
+            if node not in self.split or inside or size * FINE < large:
                 out.append(node)
                 continue
-            half = side / 2
+            half = size >> 1
             for k in range(4):
                 cx, cy = x + (k & 1) * half, y + (k >> 1) * half
-                # The ground's edge lies in its last cells; others begin at their lower edges and end before their upper ones.
-                if (x1 >= cx or not k & 1) and (y1 >= cy or not k >> 1) and (x0 < cx + half or k & 1) and (y0 < cy + half or k >> 1):
+                if x1 >= cx and y1 >= cy and x0 < cx + half and y0 < cy + half:
                     todo.append((4 * node + k, cx, cy, half))
         return out
 
 
 def _grown(boxes: np.ndarray) -> Tree:
     """boxes: a sample (n, 4); a salt stands for NODE_ROWS that the sample has at a crowded node."""
-    x, y = float(boxes[:, 0].min()), float(boxes[:, 1].min())
-    side = max(float(boxes[:, 2].max()) - x, float(boxes[:, 3].max()) - y, 1e-9)
+    (x, far_x), (y, far_y) = (_ends(boxes[:, k::2]) for k in (0, 1))
+    side = min(max(far_x - x, far_y - y, 1e-9), sys.float_info.max)
     split: set[int] = set()
     salts: dict[int, int] = {}
-    todo = [(1, x, y, side, boxes, 0)]
+    todo = [(1, 0, 0, GRID, Tree(x, y, side, frozenset(), {}).places(boxes), 0)]
     while todo:
         node, cx, cy, size, held, depth = todo.pop()
         large = np.maximum(held[:, 2] - held[:, 0], held[:, 3] - held[:, 1])
-        inside = (held[:, 0] <= cx) & (held[:, 1] <= cy) & (held[:, 2] >= cx + size) & (held[:, 3] >= cy + size)
+        inside = (held[:, 0] <= cx) & (held[:, 1] <= cy) & (held[:, 2] + 1 >= cx + size) & (held[:, 3] + 1 >= cy + size)
         stays = inside | (size * FINE < large)
         crowd, held = len(held), held[~stays]
         if len(held) > NODE_ROWS and depth < DEPTH:
             split.add(node)
-            crowd, half = int(stays.sum()), size / 2
+            crowd, half = int(stays.sum()), size >> 1
             for k in range(4):
                 ax, ay = cx + (k & 1) * half, cy + (k >> 1) * half
                 there = (held[:, 2] >= ax) & (held[:, 3] >= ay) & (held[:, 0] < ax + half) & (held[:, 1] < ay + half)
@@ -87,34 +109,51 @@ def _grown(boxes: np.ndarray) -> Tree:
     return Tree(x, y, side, frozenset(split), salts)
 
 
+def _ends(v: np.ndarray) -> tuple[float, float]:
+    v = v[np.isfinite(v)]
+    return (float(v.min()), float(v.max())) if len(v) else (0.0, 0.0)
+
+
 def grown(*sides: DataFrame) -> Tree:
     """A tree for tables with the columns BOX, written ones, from at most SAMPLE rows of each."""
     parts = []
     for df in sides:
         n = df.count()
-        some = df.select(*[F.col(c).cast("double") for c in BOX])
+        some = df.select(*_doubles())
         some = some if n <= SAMPLE else some.sample(SAMPLE / n, 17).limit(SAMPLE)
         parts.append(np.array(some.collect(), float).reshape(-1, 4))
     every = np.concatenate(parts)
     return _grown(every) if len(every) else Tree(0.0, 0.0, 1.0, frozenset(), {})
 
 
-_NODES = "rectangle long, x0 double, y0 double, x1 double, y1 double, home long, cell_x double, cell_y double, cell_side double, salts int"
+def _doubles() -> list[Column]:
+    return [F.col(c).cast("double").alias(f"{c}_as") for c in BOX]
+
+
+_NODES = "at_x int, at_y int, home long, cell_x int, cell_y int, cell_size int, salts int"
 
 
-def _homes(tree: Tree):
+def _homes(each: DataFrame, tree: Tree) -> DataFrame:
+    """rectangle and BOX of classes' first table, a row for each node that holds the rectangle: its first places, the node, the
+    node's places and salts."""
+    kept = ["rectangle", *BOX]
+    names = [c.split()[0] for c in _NODES.split(", ")]
+    types = [pa.int64() if c == "home" else pa.int32() for c in names]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, *box in zip(*(b.column(c).to_pylist() for c in ("rectangle", *BOX))):
-                for node in tree.cover(*box):
-                    rows.append((i, *box, node, *tree.cell(node), tree.salts.get(node, 1)))
+            index, rows = [], []
+            boxes = np.stack([b.column(f"{c}_as").to_numpy(zero_copy_only=False) for c in BOX], axis=1)
+            for i, at in enumerate(tree.places(boxes).tolist()):
+                for node in tree.covered(*at):
+                    index.append(i)
+                    rows.append((*at[:2], node, *tree.square(node), tree.salts.get(node, 1)))
             if rows:
-                types = [pa.int64(), *[pa.float64()] * 4, pa.int64(), *[pa.float64()] * 3, pa.int32()]
-                names = [c.split()[0] for c in _NODES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                same = [b.column(c).take(pa.array(index)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], [*kept, *names])
 
-    return run
+    schema = ", ".join(f"{c} {t}" for c, t in each.select(*kept).dtypes) + ", " + _NODES
+    return each.select(*kept, *_doubles()).mapInArrow(run, schema)
 
 
 def _above(tree: Tree) -> Column:
@@ -127,20 +166,14 @@ def _known(df: DataFrame) -> DataFrame:
     return df.where(" and ".join(f"{c} is not null" for c in BOX) + " and x0 <= x1 and y0 <= y1")
 
 
-def _doubles(df: DataFrame) -> list[Column]:
-    return [df[c].cast("double").alias(f"{c}_as") for c in BOX]
-
-
 def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The different rectangles of df (BOX, rectangle: their number, copies: rows that have it), and df's rows beside the
-    number of theirs and `block`: a rectangle's rows are dealt to blocks of some BLOCK_ROWS. Both are written tables."""
-    rows = written(_known(df), "rows")
-    each = rows.select(*_doubles(rows)).groupBy(*[f"{c}_as" for c in BOX]).agg(F.count(F.lit(1)).alias("copies"))
-    each = written(each.select(*[F.col(f"{c}_as").alias(c) for c in BOX], "copies", F.monotonically_increasing_id().alias("rectangle")), "rectangles")
-    numbers = each.select(*[F.col(c).alias(f"{c}_as") for c in BOX], "copies", "rectangle")
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), _blocks(F.col("copies"))).alias("block")
-    named = rows.select("*", *_doubles(rows)).join(numbers, [f"{c}_as" for c in BOX])
-    return each, written(named.select(*rows.columns, "rectangle", dealt), "members")
+    """The different rectangles of df (BOX, rectangle: their number, copies: rows that have it), a written table, and df's rows
+    (row: all their columns) beside the number of theirs and `block`: a rectangle's rows are dealt to blocks of some BLOCK_ROWS."""
+    rows = written(_known(df).select(*BOX, F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("place")), "rows")
+    each = rows.groupBy(*BOX).agg(F.count(F.lit(1)).alias("copies"))
+    each = written(each.select(*BOX, "copies", F.monotonically_increasing_id().alias("rectangle")), "rectangles")
+    dealt = F.pmod(F.xxhash64("place"), _blocks(F.col("copies"))).alias("block")
+    return each, rows.join(each, list(BOX)).select("rectangle", dealt, "row")
 
 
 def _blocks(copies: Column) -> Column:
@@ -148,13 +181,13 @@ def _blocks(copies: Column) -> Column:
 
 
 def rectangles_meeting(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFrame:
-    """rectangle_1, rectangle_2, copies_1, copies_2 of each two different rectangles (see classes) that meet: a written table,
-    which doesn't grow with their copies."""
+    """rectangle, BOX and copies, with suffixes _1 and _2, of each two different rectangles (see classes) that meet: a written
+    table, which doesn't grow with their copies."""
     tree = grown(one, two)
-    homes = [written(df.select("rectangle", *BOX).mapInArrow(_homes(tree), _NODES), "homes") for df in (one, two)]
+    homes = [written(_homes(df, tree), "homes") for df in (one, two)]
     pairs = _met(*homes, tree, False, touching).unionByName(_met(homes[1], homes[0], tree, True, touching))
     for k, df in ((1, one), (2, two)):
-        pairs = pairs.join(df.select(F.col("rectangle").alias(f"rectangle_{k}"), F.col("copies").alias(f"copies_{k}")), f"rectangle_{k}")
+        pairs = pairs.join(df.select(*[F.col(c).alias(f"{c}_{k}") for c in ("rectangle", *BOX, "copies")]), f"rectangle_{k}")
     return written(pairs, "pairs")
 
 
@@ -165,15 +198,14 @@ def meeting(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFr
     Rectangles without an extent in one direction have no ground but may touch; nulls in BOX meet nothing; repeated rows
     are rectangles of their own. Different rectangles meet in the tree; their rows join the pairs at the end, by blocks, so
     that neither the tree's work nor what is written grows with the copies of a rectangle, and no task has all of them."""
-    (each_1, rows_1), (each_2, rows_2) = classes(one), classes(two)
-    out = rectangles_meeting(each_1, each_2, touching=touching)
+    sides = classes(one), classes(two)
+    out = rectangles_meeting(sides[0][0], sides[1][0], touching=touching)
     for k in (1, 2):
         out = out.withColumn(f"block_{k}", F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(f"copies_{k}")) - 1)))
     out = out.select("rectangle_1", "block_1", "rectangle_2", "block_2")
-    for k, rows in ((1, rows_1), (2, rows_2)):
-        named = rows.select(*[F.col(c).alias(f"{c}_{k}") for c in rows.columns])
-        out = out.join(named, [f"rectangle_{k}", f"block_{k}"])
-    return out.drop("rectangle_1", "block_1", "rectangle_2", "block_2")
+    for k, (_, rows) in enumerate(sides, 1):
+        out = out.join(rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("rectangle", "block", "row")]), [f"rectangle_{k}", f"block_{k}"])
+    return out.select(*[F.col(f"row_{k}")[c].alias(f"{c}_{k}") for k, df in ((1, one), (2, two)) for c in df.columns])
 
 
 def counted(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFrame:
@@ -181,7 +213,7 @@ def counted(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFr
     not paired."""
     (each_1, _), (each_2, rows_2) = classes(one), classes(two)
     hits = rectangles_meeting(each_1, each_2, touching=touching).groupBy(F.col("rectangle_2").alias("rectangle")).agg(F.sum("copies_1").alias("hits"))
-    return rows_2.join(hits, "rectangle").drop("rectangle", "block")
+    return rows_2.join(hits, "rectangle").select("row.*", "hits")
 
 
 def _met(high: DataFrame, low: DataFrame, tree: Tree, turned: bool, touching: bool) -> DataFrame:
@@ -193,8 +225,8 @@ def _met(high: DataFrame, low: DataFrame, tree: Tree, turned: bool, touching: bo
     down = low.select("*", F.explode(nodes).alias("node"))
     few = held.limit(50_001).count() <= 50_000
     down = down.join((F.broadcast(held) if few else held).withColumnRenamed("home", "node"), "node", "left_semi")
-    down = down.select("node", "home", "cell_x", "cell_y", "cell_side", F.col("rectangle").alias("r"), *[F.col(c).alias(f"{c}_r") for c in BOX])
-    up = high.select(F.col("home").alias("node"), "rectangle", *BOX, "salts", F.lit(0).alias("part"))
+    down = down.select("node", "cell_x", "cell_y", "cell_size", F.col("rectangle").alias("r"), *[F.col(c).alias(f"{c}_r") for c in (*BOX, "at_x", "at_y")])
+    up = high.select(F.col("home").alias("node"), "rectangle", *BOX, "at_x", "at_y", "salts", F.lit(0).alias("part"))
     if tree.salts:
         # A crowded node's rows of one side are dealt to parts, which each meet all of the other's.
         salts = F.create_map(*[F.lit(v) for kv in tree.salts.items() for v in kv])
@@ -207,9 +239,9 @@ def _met(high: DataFrame, low: DataFrame, tree: Tree, turned: bool, touching: bo
     left, bottom = F.greatest("x0", "x0_r"), F.greatest("y0", "y0_r")
     right, top = F.least("x1", "x1_r"), F.least("y1", "y1_r")
     meet = (left <= right) & (bottom <= top) if touching else (left < right) & (bottom < top)
-    # The cell in which the intersection's lower corner lies; the ground's last cells hold its upper edge.
-    in_cell = lambda v, c, low, far: (v >= c) & ((v < c + F.col("cell_side")) | (c + F.col("cell_side") >= F.lit(far)))
-    here = in_cell(left, F.col("cell_x"), tree.x, tree.x + tree.side) & in_cell(bottom, F.col("cell_y"), tree.y, tree.y + tree.side)
+    # The cell that has the place where the intersection's lower corner lies, by whole numbers: exactly one on each side.
+    in_cell = lambda v, c: (v >= F.col(c)) & (v < F.col(c) + F.col("cell_size"))
+    here = in_cell(F.greatest("at_x", "at_x_r"), "cell_x") & in_cell(F.greatest("at_y", "at_y_r"), "cell_y")
     j = j.where(meet & here)
     a, b = ("r", "rectangle") if turned else ("rectangle", "r")
     return j.select(F.col(a).alias("rectangle_1"), F.col(b).alias("rectangle_2"))

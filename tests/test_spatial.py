@@ -82,6 +82,41 @@ def test_copies_of_a_rectangle_meet_once_and_all_count(spark, monkeypatch, touch
     assert hits == {j: sum(k == j for _, k in want) for j in {k for _, k in want}}
 
 
+@pytest.mark.parametrize("touching", [False, True])
+def test_rectangles_beyond_the_sampled_ground_meet(spark, monkeypatch, touching):
+    """The tree knows 40 of 400 and more: some lie before its ground, some beyond, some without an end."""
+    monkeypatch.setattr(SP, "NODE_ROWS", 10)
+    monkeypatch.setattr(SP, "SAMPLE", 40)
+    ends = [(-np.inf, -np.inf, np.inf, np.inf), (3.5, -np.inf, 9.5, np.inf), (-np.inf, 1e300, -1e300, np.inf)]
+    far = [(x + i / 3, y, x + i / 3 + 1.1, y + 2.0) for x in (-7000.1, 400.2, 9000.3) for y in (-8000.0, 500.0, 9500.7) for i in range(4)]
+    a, b = ([r for r in rectangles(seed, 400, 40) if None not in r] for seed in (11, 12))
+    a, b = ([*r, *((1000 + i, *map(float, box)) for i, box in enumerate(far + ends))] for r in (a, b))
+    one, two = (spark.createDataFrame(r, "id long, x0 double, y0 double, x1 double, y1 double") for r in (a, b))
+    assert sorted(map(tuple, SP.meeting(one, two, touching=touching).select("id_1", "id_2").collect())) == all_pairs(a, b, touching)
+    hits = {r["id"]: r["hits"] for r in SP.counted(one, two, touching=touching).collect()}
+    assert sum(hits.values()) == len(all_pairs(a, b, touching))
+
+
+def test_every_place_is_in_one_cell_of_a_level():
+    """On grounds whose halves aren't exact, a value between two cells' ends would belong to neither."""
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        boxes = np.sort(r.random((300, 2, 2)) * r.random() * 10 + r.random(), axis=1).reshape(-1, 4)
+        tree = SP._grown(boxes)
+        for box, at in zip(boxes[:40], tree.places(boxes[:40]).tolist()):
+            squares = [tree.square(n) for n in tree.cover(*box)]
+            for x, y in ((at[0], at[1]), (at[2], at[3]), (at[0], at[3])):
+                assert sum(a <= x < a + s and b <= y < b + s for a, b, s in squares) == 1
+
+
+def test_whole_numbers_that_doubles_do_not_tell_apart(spark):
+    big = 2**53
+    one = spark.createDataFrame([(1, big, 0, big + 1, 5)], "id long, x0 long, y0 long, x1 long, y1 long")
+    two = spark.createDataFrame([(7, big, 0, big + 1, 5), (8, big + 1, 0, big + 2, 5)], one.schema)
+    assert [tuple(r) for r in SP.meeting(one, two).select("id_1", "id_2").collect()] == [(1, 7)]
+    assert sorted(r["id"] for r in SP.counted(one, two, touching=True).collect()) == [7, 8]
+
+
 def test_sweep_equals_loops(spark):
     r = np.random.default_rng(1)
     rows = [(c, bool(t), float(s)) for c in "ab" for t, s in zip(r.random(300) < 0.3, np.round(r.random(300), 2))] + [("a", None, 0.5), ("b", True, None), ("c", False, 1.0)]

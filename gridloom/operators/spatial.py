@@ -25,8 +25,10 @@ SAMPLE, NODE_ROWS, DEPTH = 20_000, 100, 14
 GRID = 1 << DEPTH
 #: A rectangle stays at nodes of less than its greater side divided by this.
 FINE = 4
-#: Rows of one rectangle that meet another's together.
+#: Rows of one rectangle that meet another's together, on average.
 BLOCK_ROWS = 500
+#: Pairs of rows that a task unfolds, on average, and tasks at most.
+TASK_PAIRS, TASKS = 2_000_000, 10_000
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -166,10 +168,12 @@ def _known(df: DataFrame) -> DataFrame:
     return df.where(" and ".join(f"{c} is not null" for c in BOX) + " and x0 <= x1 and y0 <= y1")
 
 
-def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The different rectangles of df (BOX, rectangle: their number, copies: rows that have it), a written table, and df's rows
-    (row: all their columns) beside the number of theirs and `block`: a rectangle's rows are dealt to blocks of some BLOCK_ROWS."""
-    rows = written(_known(df).select(*BOX, F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("place")), "rows")
+    (row: all their columns or those to keep) beside the number of theirs and `block`: a rectangle's rows are dealt to blocks of
+    some BLOCK_ROWS."""
+    row = F.struct(*[F.col(c) for c in keep or df.columns]).alias("row")
+    rows = written(_known(df).select(*BOX, row, F.monotonically_increasing_id().alias("place")), "rows")
     each = rows.groupBy(*BOX).agg(F.count(F.lit(1)).alias("copies"))
     each = written(each.select(*BOX, "copies", F.monotonically_increasing_id().alias("rectangle")), "rectangles")
     dealt = F.pmod(F.xxhash64("place"), _blocks(F.col("copies"))).alias("block")
@@ -191,21 +195,33 @@ def rectangles_meeting(one: DataFrame, two: DataFrame, *, touching: bool = False
     return written(pairs, "pairs")
 
 
-def meeting(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFrame:
+def meeting(one: DataFrame, two: DataFrame, *, touching: bool = False, keep: tuple[list[str], list[str]] | None = None, facts: dict[str, Column] | None = None) -> DataFrame:
     """JN3, JN4: one's and two's columns, with suffixes _1 and _2, of each two rectangles (BOX) that have ground in common, or,
     if touching counts, a point of their edges; a row a pair.
 
     Rectangles without an extent in one direction have no ground but may touch; nulls in BOX meet nothing; repeated rows
-    are rectangles of their own. Different rectangles meet in the tree; their rows join the pairs at the end, by blocks, so
-    that neither the tree's work nor what is written grows with the copies of a rectangle, and no task has all of them."""
-    sides = classes(one), classes(two)
+    are rectangles of their own. keep: the columns of either side that are wanted. facts: columns of the two rectangles (BOX
+    with the suffixes), which are computed once for all their copies.
+
+    Different rectangles meet in the tree. Their rows come to the pairs at the end as arrays, block by block, and are unfolded
+    after the last shuffle: what is moved has an entry for each block that a row's block meets, not one a pair of rows, and
+    no task has all pairs of a rectangle."""
+    facts = facts or {}
+    sides = [classes(df, keep[k] if keep else None) for k, df in enumerate((one, two))]
     out = rectangles_meeting(sides[0][0], sides[1][0], touching=touching)
+    total = out.agg(F.sum(F.col("copies_1").cast("double") * F.col("copies_2"))).first()[0] or 0.0
+    ids = [f"{c}_{k}" for k in (1, 2) for c in ("rectangle", "block")]
     for k in (1, 2):
         out = out.withColumn(f"block_{k}", F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(f"copies_{k}")) - 1)))
-    out = out.select("rectangle_1", "block_1", "rectangle_2", "block_2")
+    out = out.select(*ids, *[c.alias(f"fact_{n}") for n, c in facts.items()])
     for k, (_, rows) in enumerate(sides, 1):
-        out = out.join(rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("rectangle", "block", "row")]), [f"rectangle_{k}", f"block_{k}"])
-    return out.select(*[F.col(f"row_{k}")[c].alias(f"{c}_{k}") for k, df in ((1, one), (2, two)) for c in df.columns])
+        blocks = rows.groupBy(F.col("rectangle").alias(f"rectangle_{k}"), F.col("block").alias(f"block_{k}")).agg(F.collect_list("row").alias(f"rows_{k}"))
+        out = out.join(blocks, [f"rectangle_{k}", f"block_{k}"])
+    out = out.repartition(min(1 + int(total / TASK_PAIRS), TASKS), *ids)
+    for k in (1, 2):
+        out = out.withColumn(f"rows_{k}", F.explode(f"rows_{k}"))
+    fields = [F.col(f"rows_{k}")[c].alias(f"{c}_{k}") for k, (_, rows) in enumerate(sides, 1) for c in rows.schema["row"].dataType.names]
+    return out.select(*fields, *[F.col(f"fact_{n}").alias(n) for n in facts])
 
 
 def counted(one: DataFrame, two: DataFrame, *, touching: bool = False) -> DataFrame:

@@ -117,6 +117,26 @@ def test_whole_numbers_that_doubles_do_not_tell_apart(spark):
     assert sorted(r["id"] for r in SP.counted(one, two, touching=True).collect()) == [7, 8]
 
 
+def test_copies_are_unfolded_after_the_last_shuffle(spark, monkeypatch):
+    """Pairs of rows take part in no join; facts are of the pairs of rectangles."""
+    monkeypatch.setattr(SP, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(SP, "TASK_PAIRS", 10_000)
+    rows = lambda n, w: [(i, f"n{i}" if i % 5 else None, *map(float, (i % 3 * 10, 0, i % 3 * 10 + w, 5))) for i in range(n)]
+    a, b = rows(400, 13), rows(300, 4)
+    one, two = (spark.createDataFrame(r, "id long, name string, x0 double, y0 double, x1 double, y1 double") for r in (a, b))
+    every = SP.meeting(one, two)
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(rows_2") < plan.index("Generate explode(rows_1") < plan.index("Repartition") < plan.index("Join")
+    assert every.columns == [f"{c}_{k}" for k in (1, 2) for c in one.columns]
+    some = SP.meeting(one, two, keep=(["id"], ["id", "name"]), facts={"width": F.least("x1_1", "x1_2") - F.greatest("x0_1", "x0_2")})
+    assert some.columns == ["id_1", "id_2", "name_2", "width"] and some.rdd.getNumPartitions() == 1 + 65_000 // 10_000
+    width = lambda i, j: min(a[i][4], b[j][4]) - max(a[i][2], b[j][2])
+    want = [(i, j, b[j][1], width(i, j)) for i in range(400) for j in range(300) if width(i, j) > 0]
+    key = lambda r: r[:2]
+    assert sorted(map(tuple, some.collect()), key=key) == want
+    assert sorted(((r["id_1"], r["id_2"], r["name_2"], r["name_1"]) for r in every.collect()), key=key) == [(i, j, n, a[i][1]) for i, j, n, _ in want]
+
+
 def test_sweep_equals_loops(spark):
     r = np.random.default_rng(1)
     rows = [(c, bool(t), float(s)) for c in "ab" for t, s in zip(r.random(300) < 0.3, np.round(r.random(300), 2))] + [("a", None, 0.5), ("b", True, None), ("c", False, 1.0)]
